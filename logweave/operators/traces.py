@@ -18,13 +18,13 @@ INDEX_CHUNK = 4096
 
 
 def line_index(lines: DataFrame, key: str = "trace_id", ts: str = "ts",
-               line_no: str = "line_no", chunk_seconds: int = 1) -> DataFrame:
+               line_no: str = "line_no") -> DataFrame:
     """Add ``idx``: 0-based position of a line in its trace, ordered by (ts, line_no).
 
-    Ranked in chunks of ``chunk_seconds`` of log time, so a trace with billions of lines
-    is spread over many tasks.
+    Ranked in chunks of one second of log time (``date_trunc``, zone-free on TIMESTAMP_NTZ),
+    so a trace with billions of lines is spread over many tasks.
     """
-    chunk = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (chunk_seconds * 1_000_000))
+    chunk = F.date_trunc("second", F.col(ts))
     out = rank_within(lines, [key], [F.col(ts), F.col(line_no)], chunk, out="idx")
     return out.withColumn("idx", F.col("idx") - 1)
 
