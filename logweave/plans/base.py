@@ -29,16 +29,12 @@ def incidents(spark: SparkSession) -> DataFrame:
 
 def truth(spark: SparkSession, sf: str) -> DataFrame:
     """Per trace: flow, start, label, type, deviation index, incident phase, optional lines."""
-    ix = indexed(spark, sf)
-    heads = FL.trace_heads(ix)
-    a = FL.conformance(ix)
+    a = FL.conformance(indexed(spark, sf), with_optional=True)
     starts = trace_start(trace_lines(spark, sf)).select("trace_id", "start")
-    opt = FL.optional_lines(ix, heads)
-    t = (a.join(starts, "trace_id").join(opt, "trace_id", "left")
+    t = (a.join(starts, "trace_id")
          .select("trace_id", "flow", "start",
                  (F.col("verdict") == "anomalous").cast("int").alias("label"), "anomaly_type",
-                 F.col("first_deviation_line").alias("first_deviation_index"),
-                 F.coalesce("n_optional", F.lit(0)).alias("n_optional")))
+                 F.col("first_deviation_line").alias("first_deviation_index"), "n_optional"))
     return SP.incident_phase(t, incidents(spark))
 
 

@@ -372,3 +372,177 @@ def auroc_secondary(spark, sf):
         "doc_id", (F.col("n_chars") / F.size(F.split("text", "\n"))).alias("mean_loss"))
     return M.auroc(er.join(d, "doc_id"), score="mean_loss").select(
         F.col("auroc").alias("auroc_mean_loss"))
+
+
+# ---- 2.4 / 2.7 / 2.8 incidents, splits, selection ------------------------------------------
+
+from logweave.operators import splits as SP  # noqa: E402
+
+_TR = W(LL, CONF, TRUTH)
+_SPL = W(LL, CONF, TRUTH, SPLITS)
+
+
+@query("label_from_verdict", _ANS + """
+SELECT trace_id, CAST(verdict = 'anomalous' AS INTEGER) AS label FROM answers""")
+def label_from_verdict(spark, sf):
+    a = B.answers(spark, sf)
+    return a.select("trace_id", (F.col("verdict") == "anomalous").cast("int").alias("label"))
+
+
+@query("incident_phase", _TR + "\nSELECT trace_id, flow, phase, incident_id FROM truth")
+def incident_phase(spark, sf):
+    return B.truth(spark, sf).select("trace_id", "flow", "phase", "incident_id")
+
+
+@query("incident_summary", _TR + """
+SELECT incident_id, phase, count(*) AS n_traces, CAST(sum(label) AS BIGINT) AS n_anomalous
+FROM truth GROUP BY incident_id, phase""")
+def incident_summary(spark, sf):
+    return SP.incident_summary(B.truth(spark, sf))
+
+
+@query("range_anti_incident", W(LL, S.INCIDENTS_TYPED) + """
+SELECT t.trace_id FROM (SELECT trace_id, min(ts) AS start FROM log_lines GROUP BY trace_id) t
+WHERE NOT EXISTS (SELECT 1 FROM incidents i WHERE t.start >= i.precursor_start AND t.start <= i."end")""")
+def range_anti_incident(spark, sf):
+    starts = TR.trace_start(log_lines(spark, sf)).select("trace_id", "start")
+    return SP.range_anti_incident(starts, B.incidents(spark)).select("trace_id")
+
+
+@query("scan_incidents", W(LL, S.INCIDENTS_TYPED) + """
+SELECT i.id, i.flow, strftime(i.precursor_start, '%Y-%m-%d %H:%M:%S') AS precursor_start,
+  strftime(i.start, '%Y-%m-%d %H:%M:%S') AS start, strftime(i."end", '%Y-%m-%d %H:%M:%S') AS "end",
+  count(t.trace_id) AS n_traces_in_window
+FROM incidents i LEFT JOIN (SELECT trace_id, min(ts) AS start FROM log_lines GROUP BY trace_id) t
+  ON t.start >= i.precursor_start AND t.start <= i."end"
+GROUP BY ALL""")
+def scan_incidents(spark, sf):
+    path = scratch_path(spark, "incidents") + "/incidents.csv"
+    header = "id,title,flow,precursor_start,start,end\n"
+    FS.write_small_text(spark, path, header + "".join(",".join(r) + "\n" for r in SP.INCIDENTS))
+    inc = FS.scan_incidents(spark, path)
+    starts = TR.trace_start(log_lines(spark, sf)).select("trace_id", "start")
+    # a handful of windows: broadcast the incident side of the range join
+    j = F.broadcast(inc).join(starts, starts["start"].between(inc["precursor_start"], inc["end"]), "left")
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    return j.groupBy(
+        inc["id"], inc["flow"], F.date_format(inc["precursor_start"], fmt).alias("precursor_start"),
+        F.date_format(inc["start"], fmt).alias("start"), F.date_format(inc["end"], fmt).alias("end"),
+    ).agg(F.count("trace_id").alias("n_traces_in_window"))
+
+
+@query("stratified_quota", _SPL + "\nSELECT trace_id, stratum FROM anom_q UNION ALL SELECT trace_id, stratum FROM anom_fill")
+def stratified_quota(spark, sf):
+    from logweave.session import cut_lineage
+
+    t = cut_lineage(B.truth(spark, sf))
+    known = t.where((F.col("flow") != "unknown") & (F.col("label") == 1))
+    return SP.stratified_quota(known, SP.SELECTION["anomalous_quota"],
+                               SP.SELECTION["anomalous"]).select("trace_id", "stratum")
+
+
+@query("hard_negatives", _SPL + "\nSELECT trace_id FROM hard")
+def hard_negatives(spark, sf):
+    t = B.truth(spark, sf)
+    normal = t.where((F.col("flow") != "unknown") & (F.col("label") == 0))
+    return SP.hard_negatives(normal, SP.SELECTION["hard_negatives"]).select("trace_id")
+
+
+@query("round_robin_fill", _SPL + "\nSELECT trace_id, flow, turn FROM rr")
+def round_robin_fill(spark, sf):
+    from logweave.session import cut_lineage
+
+    t = cut_lineage(B.truth(spark, sf))
+    normal = t.where((F.col("flow") != "unknown") & (F.col("label") == 0))
+    hard = SP.hard_negatives(normal, SP.SELECTION["hard_negatives"])
+    rest = normal.join(hard.select("trace_id"), "trace_id", "left_anti")
+    rr = SP.round_robin_fill(rest, SP.SELECTION["normal"] - hard.count())
+    return rr.select("trace_id", "flow", F.col("turn").cast("long").alias("turn"))
+
+
+@query("split_train_val", _SPL + "\nSELECT trace_id, split FROM splits")
+def split_train_val(spark, sf):
+    return B.splits(spark, sf)
+
+
+@query("split_membership", _SPL + """
+SELECT l.trace_id, l.line_no, s.split FROM log_lines l JOIN splits s ON s.trace_id = l.trace_id""")
+def split_membership(spark, sf):
+    return SP.split_membership(log_lines(spark, sf).select("trace_id", "line_no"),
+                               B.splits(spark, sf))
+
+
+@query("split_summary", _SPL + """
+, per AS (SELECT s.split, l.trace_id, count(*) AS n FROM log_lines l JOIN splits s ON s.trace_id = l.trace_id
+  GROUP BY s.split, l.trace_id)
+SELECT p.split, count(*) AS traces, count(*) FILTER (WHERE t.label = 0) AS normal,
+  count(*) FILTER (WHERE t.label = 1) AS anomalous, CAST(sum(p.n) AS BIGINT) AS lines
+FROM per p JOIN truth t ON t.trace_id = p.trace_id GROUP BY p.split""".replace("\n, per AS", ",\nper AS", 1)
+       .replace("splits s ON s.trace_id = l.trace_id\nSELECT", "splits s ON s.trace_id = l.trace_id\nSELECT"))
+def split_summary(spark, sf):
+    from logweave.session import cut_lineage
+
+    t = cut_lineage(B.truth(spark, sf))
+    sp = SP.trace_splits(t, B.incidents(spark))
+    lines = log_lines(spark, sf).select("trace_id", "line_no").join(sp, "trace_id")
+    out = SP.split_summary(lines, t)
+    return out.select("split", "traces", "normal", "anomalous", F.col("lines").cast("long"))
+
+
+@query("union_splits", _SPL + """
+SELECT split, count(*) AS n_lines, count(DISTINCT l.trace_id) AS n_traces
+FROM (SELECT l.trace_id FROM log_lines l) l JOIN splits s ON s.trace_id = l.trace_id GROUP BY split""")
+def union_splits(spark, sf):
+    sp = B.splits(spark, sf)
+    lines = log_lines(spark, sf).select("trace_id")
+    parts = [lines.join(sp.where(F.col("split") == s).select("trace_id"), "trace_id")
+             .withColumn("split", F.lit(s)) for s in ("train", "val", "test")]
+    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return u.groupBy("split").agg(F.count("*").alias("n_lines"),
+                                  F.count_distinct("trace_id").alias("n_traces"))
+
+
+@query("ids_except", _SPL + """
+SELECT trace_id FROM truth EXCEPT SELECT trace_id FROM splits WHERE split = 'test'""")
+def ids_except(spark, sf):
+    sp = B.splits(spark, sf)
+    allt = B.truth(spark, sf).select("trace_id")
+    return allt.exceptAll(sp.where(F.col("split") == "test").select("trace_id")).distinct()
+
+
+@query("ids_intersect", _SPL + """
+SELECT trace_id FROM splits WHERE split = 'test'
+INTERSECT SELECT trace_id FROM splits WHERE split IN ('train', 'val')""")
+def ids_intersect(spark, sf):
+    sp = B.splits(spark, sf)
+    return (sp.where(F.col("split") == "test").select("trace_id")
+            .intersect(sp.where(F.col("split").isin("train", "val")).select("trace_id")))
+
+
+@query("anti_join_labelled", _SPL + """
+SELECT t.trace_id FROM truth t WHERE t.trace_id NOT IN (SELECT trace_id FROM splits WHERE split = 'test')""")
+def anti_join_labelled(spark, sf):
+    sp = B.splits(spark, sf)
+    return B.truth(spark, sf).select("trace_id").join(
+        sp.where(F.col("split") == "test"), "trace_id", "left_anti")
+
+
+_LAB = """labelled AS (SELECT t.* FROM truth t JOIN splits s ON s.trace_id = t.trace_id AND s.split = 'test')"""
+
+
+@query("sort_labelled", W(LL, CONF, TRUTH, SPLITS, _LAB) + """
+SELECT trace_id, strftime(start, '%Y-%m-%d %H:%M:%S.%f') AS start,
+  row_number() OVER (ORDER BY start, trace_id) AS pos FROM labelled""")
+def sort_labelled(spark, sf):
+    lab = B.labelled(spark, sf)
+    # the labelled set is a fixed-size selection: a single ordered window over it is bounded
+    from pyspark.sql.window import Window
+
+    return lab.select("trace_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"),
+                      F.row_number().over(Window.orderBy("start", "trace_id")).cast("long").alias("pos"))
+
+
+@query("limit_traces", W(LL, CONF, TRUTH, SPLITS, _LAB) + """
+SELECT trace_id FROM labelled ORDER BY start, trace_id LIMIT 10""")
+def limit_traces(spark, sf):
+    return B.labelled(spark, sf).orderBy("start", "trace_id").limit(10).select("trace_id")

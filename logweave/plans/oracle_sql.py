@@ -27,7 +27,8 @@ def values(rows: list[tuple], cols: list[str], name: str) -> str:
             return str(v)
         return q(str(v))
     body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
-    return f"{name} AS (SELECT * FROM (VALUES {body}) t({', '.join(cols)}))"
+    names = ", ".join(f'"{c}"' for c in cols)
+    return f"{name} AS (SELECT * FROM (VALUES {body}) t({names}))"
 
 
 MASK = keyed_mask_pattern()

@@ -57,10 +57,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/logweave/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder, so a lost executor does not replay the plan."""
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as a parquet table in the shared folder and read it back.
+
+    Cuts the lineage (a lost executor does not replay the upstream plan), lets several
+    branches read one result, and gives AQE exact sizes of what was written.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable Spark checkpoint into ``spark.checkpoint.dir`` (set only when unset)."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    return df.checkpoint(eager=True)
 
 
 def local_path(path: str) -> str:
