@@ -162,14 +162,13 @@ def report_table(det: DataFrame) -> DataFrame:
     loc = F.concat(null_format(F.col("localisation_hit_rate")), F.lit(" ("),
                    F.col("localisation_hits").cast("string"), F.lit(" of "),
                    F.col("localisation_n").cast("string"), F.lit(")"))
-    head = m.select(F.inline(F.array(
-        F.struct(F.lit(1).alias("pos"), F.lit("traces").alias("metric"), traces.alias("value")),
-        F.struct(F.lit(2), F.lit("precision"), null_format(F.col("precision"))),
-        F.struct(F.lit(3), F.lit("recall"), null_format(F.col("recall"))),
-        F.struct(F.lit(4), F.lit("F1"), null_format(F.col("f1"))),
-        F.struct(F.lit(5), F.lit("false positive rate"), null_format(F.col("false_positive_rate"))),
-        F.struct(F.lit(6), F.lit("AUROC"), null_format(F.col("auroc"))),
-        F.struct(F.lit(7), F.lit("localisation hit rate"), loc))))
+    rows = [(1, "traces", traces), (2, "precision", null_format(F.col("precision"))),
+            (3, "recall", null_format(F.col("recall"))), (4, "F1", null_format(F.col("f1"))),
+            (5, "false positive rate", null_format(F.col("false_positive_rate"))),
+            (6, "AUROC", null_format(F.col("auroc"))), (7, "localisation hit rate", loc)]
+    head = m.select(F.inline(F.array(*[
+        F.struct(F.lit(p).alias("pos"), F.lit(k).alias("metric"), v.alias("value"))
+        for p, k, v in rows])))
     types = recall_per_type(det).select(
         F.lit(100).alias("pos"), F.concat(F.lit("recall "), F.col("anomaly_type")).alias("metric"),
         F.format_string("%d of %d (%.3f)", "flagged", "n", "recall").alias("value"))

@@ -65,22 +65,25 @@ def trace_surprise(line_scores: DataFrame) -> DataFrame:
 
 # ---- token losses --------------------------------------------------------------------------
 
-def token_to_line_loss(tokens: DataFrame, traces: DataFrame) -> DataFrame:
-    """Map token losses to lines and average.
-
-    ``tokens``: ``(trace_id, tok, s, e, nll)``, nll of token ``tok`` given the ones before it;
-    ``traces``: ``(trace_id, text, starts)`` with the line start offsets (last = END marker).
-    The first token and zero-width tokens are skipped; a token belongs to the line of its first
-    non-space character (a pure whitespace token to the line it ends); header tokens
-    (line < 0) are ignored. Returns ``(trace_id, line, line_loss, n)``.
-    """
-    j = tokens.where((F.col("tok") > 0) & (F.col("e") > F.col("s"))).join(traces, "trace_id")
-    span = F.substring(F.col("text"), F.col("s") + 1, F.col("e") - F.col("s"))
-    stripped = F.ltrim(span)
+def token_lines(tokens: DataFrame, starts: DataFrame) -> DataFrame:
+    """As-of lookup of each token's line: the last line whose start offset is <= the position
+    of the token's first non-space character (a pure whitespace token: its own start, i.e. the
+    line it ends). ``tokens``: ``(trace_id, tok, s, e, span, nll)`` (span = the token's text, as
+    a tokenizer's offset mapping gives it); ``starts``: ``(trace_id, starts)``. The lookup runs
+    inside the row on the trace's small offsets array; no range join."""
+    t = tokens.where((F.col("tok") > 0) & (F.col("e") > F.col("s")))
+    stripped = F.regexp_replace("span", r"^\s+", "")  # whitespace incl. newlines
     pos = F.when(F.length(stripped) > 0,
-                 F.col("s") + F.length(span) - F.length(stripped)).otherwise(F.col("s"))
-    line = F.size(F.filter("starts", lambda x: x <= pos)) - 1  # as-of lookup inside the row
-    lines = j.select("trace_id", line.alias("line"), "nll").where(F.col("line") >= 0)
+                 F.col("s") + F.length("span") - F.length(stripped)).otherwise(F.col("s"))
+    j = t.join(starts.select("trace_id", "starts"), "trace_id")
+    return j.select("trace_id", "tok", "nll",
+                    (F.size(F.filter("starts", lambda x: x <= pos)) - 1).alias("line"))
+
+
+def token_to_line_loss(tokens: DataFrame, starts: DataFrame) -> DataFrame:
+    """Map token losses to lines and average: the first token and zero-width tokens are
+    skipped, header tokens (line < 0) ignored. Returns ``(trace_id, line, line_loss, n)``."""
+    lines = token_lines(tokens, starts).where(F.col("line") >= 0)
     return lines.groupBy("trace_id", "line").agg(F.avg("nll").alias("line_loss"),
                                                  F.count("*").alias("n"))
 

@@ -57,3 +57,39 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 __all__ = ["log_lines"]
+
+
+def conv_traces(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as traces: ordered ``role: text`` lines, trace text and line offsets."""
+    from logweave.functions import text as T
+    from logweave.operators.traces import group_traces, line_index_by_number
+    from logweave.sources.tables import conv_lines
+
+    ix = line_index_by_number(conv_lines(spark, sf))
+    g = group_traces(ix, value="line").where(F.col("part") == 0)
+    return g.select("trace_id", "lines", T.trace_text(F.col("lines")).alias("text"),
+                    T.line_char_offsets(F.col("lines")).alias("starts"))
+
+
+def conv_tokens(traces: DataFrame, width: int = 4) -> DataFrame:
+    """Fixed-width character tokens of each trace text with a loss derived from the token
+    text (a deterministic stand-in for a model's per-token loss)."""
+    n = F.length("text")
+    t = traces.select("trace_id", "text", F.explode(
+        F.sequence(F.lit(0), F.greatest(F.ceil(n / width).cast("int") - 1, F.lit(0)))).alias("tok"))
+    s = F.col("tok") * width
+    e = F.least(s + width, F.length("text"))
+    span = F.substring("text", (s + 1).cast("int"), (e - s).cast("int"))
+    nll = F.pmod(F.ascii(span), F.lit(13)) / 4.0 + 0.25 * (e - s)
+    return t.select("trace_id", F.col("tok").cast("int").alias("tok"), s.cast("int").alias("s"),
+                    e.cast("int").alias("e"), span.alias("span"), nll.cast("double").alias("nll"))
+
+
+def train_and_scored(spark: SparkSession, sf: str):
+    """(indexed lines with split) for the surprise model: one truth/split pass, cut."""
+    from logweave.session import cut_lineage
+
+    t = cut_lineage(truth(spark, sf))
+    sp = SP.trace_splits(t, incidents(spark))
+    ix = cut_lineage(indexed(spark, sf).select("trace_id", "idx", "template").join(sp, "trace_id"))
+    return ix, t

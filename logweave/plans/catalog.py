@@ -546,3 +546,304 @@ def sort_labelled(spark, sf):
 SELECT trace_id FROM labelled ORDER BY start, trace_id LIMIT 10""")
 def limit_traces(spark, sf):
     return B.labelled(spark, sf).orderBy("start", "trace_id").limit(10).select("trace_id")
+
+
+# ---- templates (2.5 / 2.6) -----------------------------------------------------------------
+
+_TPL = W(LL, CONF, TRUTH, SPLITS, """
+lws AS (SELECT l.*, s.split FROM tl l JOIN splits s ON s.trace_id = l.trace_id),
+dict0 AS (
+  SELECT template AS text, count(*) AS count,
+    count(*) FILTER (WHERE split = 'train') AS train_count,
+    min(CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 WHEN 'dev' THEN 2 WHEN 'fewshot' THEN 3
+        WHEN 'test' THEN 4 ELSE 5 END) AS sr
+  FROM lws GROUP BY template),
+dict1 AS (
+  SELECT d.*, (SELECT first(l.ts ORDER BY l.ts, l.line_no) FROM lws l
+     WHERE l.template = d.text AND (CASE l.split WHEN 'train' THEN 0 WHEN 'val' THEN 1 WHEN 'dev' THEN 2
+        WHEN 'fewshot' THEN 3 WHEN 'test' THEN 4 ELSE 5 END) = d.sr) AS fts,
+    (SELECT first(l.line_no ORDER BY l.ts, l.line_no) FROM lws l
+     WHERE l.template = d.text AND (CASE l.split WHEN 'train' THEN 0 WHEN 'val' THEN 1 WHEN 'dev' THEN 2
+        WHEN 'fewshot' THEN 3 WHEN 'test' THEN 4 ELSE 5 END) = d.sr) AS fln
+  FROM dict0 d),
+dictionary AS (
+  SELECT row_number() OVER (ORDER BY sr, fts, fln) AS id, text, count, train_count,
+    train_count > 0 AS seen_in_train FROM dict1)""")
+
+
+def _dictionary(spark, sf):
+    from logweave.session import cut_lineage
+
+    t = cut_lineage(B.truth(spark, sf))
+    sp = SP.trace_splits(t, B.incidents(spark))
+    lws = cut_lineage(B.indexed(spark, sf).join(sp, "trace_id"))
+    return TP.template_dictionary(lws), lws
+
+
+@query("mine_templates", W(LL) + """
+SELECT template, count(*) AS count, first(line_no ORDER BY ts, line_no) AS first_line_no
+FROM log_lines GROUP BY template""")
+def mine_templates(spark, sf):
+    m = TP.mine_templates(log_lines(spark, sf))
+    return m.select("template", "count", F.col("first.line_no").alias("first_line_no"))
+
+
+@query("template_ids", _TPL + "\nSELECT id, text FROM dictionary")
+def template_ids(spark, sf):
+    return _dictionary(spark, sf)[0].select("id", "text")
+
+
+@query("template_stats", _TPL + "\nSELECT text, count, train_count, seen_in_train FROM dictionary")
+def template_stats(spark, sf):
+    return _dictionary(spark, sf)[0].select("text", "count", "train_count", "seen_in_train")
+
+
+@query("join_template_ids", _TPL + """
+SELECT l.trace_id, l.line_no, d.id AS template_id FROM lws l JOIN dictionary d ON d.text = l.template""")
+def join_template_ids(spark, sf):
+    d, lws = _dictionary(spark, sf)
+    return TP.join_template_ids(lws, d).select("trace_id", "line_no", "template_id")
+
+
+@query("unseen_template_traces", _TPL + """
+SELECT l.trace_id, count(*) FILTER (WHERE NOT d.seen_in_train) AS n_unseen_lines, count(*) AS n_lines
+FROM lws l JOIN dictionary d ON d.text = l.template GROUP BY l.trace_id
+HAVING count(*) FILTER (WHERE NOT d.seen_in_train) > 0""")
+def unseen_template_traces(spark, sf):
+    d, lws = _dictionary(spark, sf)
+    return TP.unseen_template_traces(TP.join_template_ids(lws, d))
+
+
+@query("sink_template_csv", _TPL + """
+SELECT printf('T%03d', id) AS template_id, count, text AS template FROM dictionary""")
+def sink_template_csv(spark, sf):
+    d, _ = _dictionary(spark, sf)
+    out = scratch_path(spark, "templates-csv")
+    WR.sink_template_csv(TP.template_csv_rows(d), out)
+    return spark.read.csv(out, header=True, schema="template_id string, count long, template string")
+
+
+@query("sink_templates", _TPL + "\nSELECT id, text, count, train_count, seen_in_train FROM dictionary")
+def sink_templates(spark, sf):
+    d, _ = _dictionary(spark, sf)
+    out = scratch_path(spark, "templates-json")
+    WR.sink_templates(d, out)
+    return spark.read.schema(
+        "id long, text string, count long, train_count long, seen_in_train boolean").json(out)
+
+
+@query("flow_summary", _ANS + "\nSELECT flow, count(*) AS n_traces FROM answers GROUP BY flow")
+def flow_summary(spark, sf):
+    return B.answers(spark, sf).groupBy("flow").agg(F.count("*").alias("n_traces")).orderBy("flow")
+
+
+# ---- 2.10 surprise scoring -----------------------------------------------------------------
+
+from logweave.operators import surprise as SU  # noqa: E402
+
+_SUR = W(LL, CONF, TRUTH, SPLITS, """
+lws AS (SELECT l.trace_id, l.idx, l.template, s.split FROM tl l JOIN splits s ON s.trace_id = l.trace_id),
+trans AS (
+  SELECT coalesce(c.trace_id, p.trace_id) AS trace_id, coalesce(c.split, p.split) AS split,
+    coalesce(c.idx, p.idx + 1) AS idx, coalesce(p.template, '<START>') AS prev,
+    coalesce(c.template, '<END>') AS next
+  FROM lws c FULL JOIN lws p ON p.trace_id = c.trace_id AND p.idx + 1 = c.idx),
+model AS (SELECT prev, next, count(*) AS c_pair FROM trans WHERE split = 'train' GROUP BY prev, next),
+prev_tot AS (SELECT prev, sum(c_pair) AS c_prev FROM model GROUP BY prev),
+vocab AS (SELECT count(DISTINCT next) + 2 AS v FROM model WHERE next <> '<END>'),
+ls AS (
+  SELECT t.trace_id, t.split, t.idx, t.prev, t.next,
+    -ln((coalesce(m.c_pair, 0) + 0.1) / (coalesce(pt.c_prev, 0) + 0.1 * (SELECT v FROM vocab))) AS surprise
+  FROM trans t LEFT JOIN model m ON m.prev = t.prev AND m.next = t.next
+  LEFT JOIN prev_tot pt ON pt.prev = t.prev),
+ts AS (
+  SELECT trace_id, split, max(surprise) AS score,
+    first(idx ORDER BY surprise DESC, idx ASC) AS pred_index,
+    first(CASE WHEN next = '<END>' THEN 'TRACE END' ELSE next END ORDER BY surprise DESC, idx ASC) AS worst_line_text,
+    avg(surprise) AS mean_nll
+  FROM ls GROUP BY trace_id, split),
+thr AS (SELECT quantile_cont(score, 0.99) AS threshold FROM ts WHERE split = 'val'),
+sdet AS (
+  SELECT s.trace_id, t.label, t.anomaly_type, s.score > (SELECT threshold FROM thr) AS flagged,
+    s.score, s.pred_index, t.first_deviation_index, s.worst_line_text, s.mean_nll
+  FROM ts s JOIN truth t ON t.trace_id = s.trace_id WHERE s.split = 'test')""")
+
+
+def _surprise(spark, sf):
+    ix, t = B.train_and_scored(spark, sf)
+    model = SU.transition_model(ix.where(F.col("split") == "train"))
+    model = model.cache()  # (templates + 2)^2 rows at most; reused by every scoring branch
+    v = SU.vocabulary_size(model)
+    ls = SU.line_surprise(ix, model, vocab=v).join(ix.select("trace_id", "split").distinct(), "trace_id")
+    return ix, t, model, ls
+
+
+def _trace_scores(spark, sf):
+    ix, t, model, ls = _surprise(spark, sf)
+    ts = SU.trace_surprise(ls).join(ix.select("trace_id", "split").distinct(), "trace_id")
+    return ts, t
+
+
+def _surprise_detections(spark, sf):
+    from logweave.session import cut_lineage
+
+    ts, t = _trace_scores(spark, sf)
+    ts = cut_lineage(ts)
+    thr = M.exact_percentile(ts.where(F.col("split") == "val"), "score", 99.0)
+    det = ts.where(F.col("split") == "test").join(
+        t.select("trace_id", "label", "anomaly_type", "first_deviation_index"), "trace_id")
+    return M.threshold_flag(det, thr), thr
+
+
+@query("transition_model", _SUR + "\nSELECT prev, next, c_pair FROM model")
+def transition_model(spark, sf):
+    ix, _ = B.train_and_scored(spark, sf)
+    return SU.transition_model(ix.where(F.col("split") == "train"))
+
+
+@query("line_surprise", _SUR + "\nSELECT trace_id, idx, round(surprise, 9) AS surprise FROM ls")
+def line_surprise(spark, sf):
+    _, _, _, ls = _surprise(spark, sf)
+    return ls.select("trace_id", "idx", F.round("surprise", 9).alias("surprise"))
+
+
+@query("trace_surprise", _SUR + """
+SELECT trace_id, round(score, 9) AS score, pred_index, worst_line_text, round(mean_nll, 9) AS mean_nll FROM ts""")
+def trace_surprise(spark, sf):
+    ts, _ = _trace_scores(spark, sf)
+    return ts.select("trace_id", F.round("score", 9).alias("score"), "pred_index",
+                     "worst_line_text", F.round("mean_nll", 9).alias("mean_nll"))
+
+
+@query("percentile_threshold", _SUR + "\nSELECT round(threshold, 9) AS threshold FROM thr")
+def percentile_threshold(spark, sf):
+    ts, _ = _trace_scores(spark, sf)
+    return M.percentile_threshold(spark, ts.where(F.col("split") == "val"), "score", 99.0)
+
+
+@query("threshold_flag", _SUR + "\nSELECT trace_id, round(score, 9) AS score, flagged FROM sdet")
+def threshold_flag(spark, sf):
+    det, _ = _surprise_detections(spark, sf)
+    return det.select("trace_id", F.round("score", 9).alias("score"), "flagged")
+
+
+@query("surprise_detect", W(_SUR[5:], CLASS_METRICS_SQL.format(src="sdet")))
+def surprise_detect(spark, sf):
+    det, _ = _surprise_detections(spark, sf)
+    return M.classification_metrics(det)
+
+
+@query("worst_line", _SUR + """
+SELECT trace_id, pred_index AS worst_index, worst_line_text AS worst_text FROM ts WHERE split = 'test'""")
+def worst_line_q(spark, sf):
+    det, _ = _surprise_detections(spark, sf)
+    return det.select("trace_id", F.col("pred_index").alias("worst_index"),
+                      F.col("worst_line_text").alias("worst_text"))
+
+
+# ---- metrics on eval records (thresholds, histogram, report, examples) ----------------------
+
+@query("score_histogram", W(ER, """
+rng AS (SELECT label, min(score) AS lo, max(score) AS hi FROM eval_records GROUP BY label)""") + """
+SELECT e.label, CAST(CASE WHEN r.hi = r.lo THEN 1 ELSE least(floor((e.score - r.lo) / (r.hi - r.lo) * 40) + 1, 40) END AS BIGINT) AS bucket,
+  count(*) AS n, min(r.lo) AS lo, min(r.hi) AS hi
+FROM eval_records e JOIN rng r ON r.label = e.label GROUP BY 1, 2""")
+def score_histogram(spark, sf):
+    return M.score_histogram(eval_records(spark, sf))
+
+
+@query("top_examples", _ER + """
+SELECT trace_id, anomaly_type, score, pred_index, worst_line_text FROM eval_records
+WHERE flagged AND label = 1 ORDER BY trace_id LIMIT 5""")
+def top_examples(spark, sf):
+    er = eval_records(spark, sf)
+    return (er.where(F.col("flagged") & (F.col("label") == 1)).orderBy("trace_id").limit(5)
+            .select("trace_id", "anomaly_type", "score", "pred_index", "worst_line_text"))
+
+
+@query("report_table", W(ER, CLASS_METRICS_SQL.format(src="eval_records").split("SELECT n_traces")[0].rstrip(),
+                         AUROC_SQL.format(score="score", src="eval_records", alias="auroc")
+                         .split("SELECT round(")[0].rstrip().rstrip(","),
+                         """au AS (SELECT round(CASE WHEN n > 0 AND n_scored = n AND n_p > 0 AND n_n > 0
+  THEN (rpos - n_p * (n_p + 1) / 2.0) / (n_p * n_n) END, 9) AS auroc FROM agg)""",
+                         """m AS (SELECT *, round(precision, 9) AS p, round(recall, 9) AS rc,
+  round(CASE WHEN precision IS NULL OR recall IS NULL THEN NULL WHEN precision + recall > 0
+    THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 9) AS f1,
+  round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) END, 9) AS fpr,
+  round(CASE WHEN tp > 0 THEN localisation_hits / tp END, 9) AS loc FROM pr)""") + """
+SELECT 1 AS pos, 'traces' AS metric, printf('%d (%d normal, %d anomalous)', n_traces, fp + tn, tp + fn) AS value FROM m
+UNION ALL SELECT 2, 'precision', coalesce(printf('%.3f', p), 'n/a') FROM m
+UNION ALL SELECT 3, 'recall', coalesce(printf('%.3f', rc), 'n/a') FROM m
+UNION ALL SELECT 4, 'F1', coalesce(printf('%.3f', f1), 'n/a') FROM m
+UNION ALL SELECT 5, 'false positive rate', coalesce(printf('%.3f', fpr), 'n/a') FROM m
+UNION ALL SELECT 6, 'AUROC', coalesce(printf('%.3f', auroc), 'n/a') FROM au
+UNION ALL SELECT 7, 'localisation hit rate', coalesce(printf('%.3f', loc), 'n/a') || ' (' || localisation_hits || ' of ' || tp || ')' FROM m
+UNION ALL SELECT 100, 'recall ' || anomaly_type, printf('%d of %d (%.3f)', flagged, n, recall) FROM (""" +
+       RECALL_TYPE_SQL.format(src="eval_records") + ")")
+def report_table(spark, sf):
+    return M.report_table(eval_records(spark, sf))
+
+
+# ---- token losses over conversation traces --------------------------------------------------
+
+_CONV = """
+cl AS (SELECT 'conv-' || CAST(conv_id AS VARCHAR) AS trace_id, turn, role || ': ' || text AS line FROM conversations),
+ct AS (
+  SELECT trace_id, 'TRACE START' || chr(10) || string_agg(line, chr(10) ORDER BY turn) || chr(10) || 'TRACE END' AS text,
+    list(line ORDER BY turn) AS lines FROM cl GROUP BY trace_id),
+cstarts AS (
+  SELECT trace_id, turn, 12 + coalesce(sum(length(line) + 1) OVER (PARTITION BY trace_id ORDER BY turn
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM cl),
+cend AS (SELECT trace_id, 12 + sum(length(line) + 1) AS s FROM cl GROUP BY trace_id),
+st AS (SELECT trace_id, list(s ORDER BY s) AS starts FROM (SELECT trace_id, s FROM cstarts UNION ALL SELECT trace_id, s FROM cend) GROUP BY trace_id),
+toks AS (
+  SELECT trace_id, text, CAST(tok AS INTEGER) AS tok, CAST(tok * 4 AS INTEGER) AS s,
+    CAST(least(tok * 4 + 4, length(text)) AS INTEGER) AS e
+  FROM (SELECT trace_id, text, unnest(range(0, greatest(CAST(ceil(length(text) / 4) AS BIGINT), 1))) AS tok FROM ct)),
+tokn AS (
+  SELECT trace_id, tok, s, e, (ascii(substring(text, s + 1, 1)) % 13) / 4.0 + 0.25 * (e - s) AS nll,
+    substring(text, s + 1, e - s) AS span FROM toks),
+tpos AS (
+  SELECT t.trace_id, t.tok, t.nll,
+    CASE WHEN length(regexp_replace(span, '^\\s+', '')) > 0
+      THEN t.s + length(span) - length(regexp_replace(span, '^\\s+', '')) ELSE t.s END AS pos
+  FROM tokn t WHERE t.tok > 0 AND t.e > t.s),
+tline AS (
+  SELECT p.trace_id, p.tok, p.nll, len(list_filter(st.starts, lambda x: x <= p.pos)) - 1 AS line
+  FROM tpos p JOIN st ON st.trace_id = p.trace_id),
+lloss AS (SELECT trace_id, line, avg(nll) AS line_loss, count(*) AS n FROM tline WHERE line >= 0 GROUP BY trace_id, line)"""
+
+
+def _conv(spark, sf):
+    tr = B.conv_traces(spark, sf)
+    toks = B.conv_tokens(tr)
+    return tr, toks
+
+
+@query("asof_token_line", W(_CONV) + "\nSELECT trace_id, tok, line FROM tline")
+def asof_token_line(spark, sf):
+    tr, toks = _conv(spark, sf)
+    return SU.token_lines(toks, tr).select("trace_id", "tok", "line")
+
+
+@query("token_to_line_loss", W(_CONV) + "\nSELECT trace_id, line, round(line_loss, 9) AS line_loss, n FROM lloss")
+def token_to_line_loss(spark, sf):
+    tr, toks = _conv(spark, sf)
+    r = SU.token_to_line_loss(toks, tr)
+    return r.select("trace_id", "line", F.round("line_loss", 9).alias("line_loss"), "n")
+
+
+@query("trace_token_score", W(_CONV, """
+wl AS (
+  SELECT trace_id, max(line_loss) AS score, first(line ORDER BY line_loss DESC, line ASC) AS worst_index,
+    sum(line_loss * n) / sum(n) AS mean_nll FROM lloss GROUP BY trace_id)""") + """
+SELECT c.trace_id, round(coalesce(w.score, 0.0), 9) AS score, round(coalesce(w.mean_nll, 0.0), 9) AS mean_nll,
+  CAST(w.worst_index AS BIGINT) AS worst_index,
+  CASE WHEN w.worst_index IS NULL THEN '' WHEN w.worst_index >= len(c.lines) THEN 'TRACE END'
+    ELSE c.lines[w.worst_index + 1] END AS worst_text
+FROM ct c LEFT JOIN wl w ON w.trace_id = c.trace_id""")
+def trace_token_score(spark, sf):
+    tr, toks = _conv(spark, sf)
+    w = SU.worst_line(SU.token_to_line_loss(toks, tr), tr)
+    return w.select("trace_id", F.round("score", 9).alias("score"),
+                    F.round("mean_nll", 9).alias("mean_nll"), "worst_index", "worst_text")
