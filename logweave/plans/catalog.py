@@ -141,7 +141,7 @@ def ts_format(spark, sf):
 
 @query("line_index", W(LL) + "SELECT trace_id, line_no, idx FROM tl")
 def line_index(spark, sf):
-    return B.indexed(spark, sf).select("trace_id", "line_no", "idx")
+    return B.indexed_fresh(spark, sf).select("trace_id", "line_no", "idx")
 
 
 @query("sort_lines", W(LL) + """
@@ -249,7 +249,7 @@ _ANS = W(LL, CONF)
 
 @query("flow_recognise", _ANS + "\nSELECT trace_id, flow FROM answers")
 def flow_recognise(spark, sf):
-    return FL.trace_heads(B.indexed(spark, sf)).select("trace_id", "flow")
+    return FL.trace_heads(B.indexed_fresh(spark, sf)).select("trace_id", "flow")
 
 
 @query("flow_step_check", _ANS + "\nSELECT trace_id, step_check FROM answers WHERE flow <> 'unknown'")
@@ -284,7 +284,7 @@ def flow_explanation(spark, sf):
 
 @query("flow_conformance", _ANS + "\nSELECT * FROM answers")
 def flow_conformance(spark, sf):
-    return B.answers(spark, sf)
+    return FL.conformance(B.indexed_fresh(spark, sf))
 
 
 # ---- 2.5 metrics over detection records ----------------------------------------------------
@@ -433,9 +433,7 @@ def scan_incidents(spark, sf):
 
 @query("stratified_quota", _SPL + "\nSELECT trace_id, stratum FROM anom_q UNION ALL SELECT trace_id, stratum FROM anom_fill")
 def stratified_quota(spark, sf):
-    from logweave.session import cut_lineage
-
-    t = cut_lineage(B.truth(spark, sf))
+    t = B.truth(spark, sf)
     known = t.where((F.col("flow") != "unknown") & (F.col("label") == 1))
     return SP.stratified_quota(known, SP.SELECTION["anomalous_quota"],
                                SP.SELECTION["anomalous"]).select("trace_id", "stratum")
@@ -450,9 +448,7 @@ def hard_negatives(spark, sf):
 
 @query("round_robin_fill", _SPL + "\nSELECT trace_id, flow, turn FROM rr")
 def round_robin_fill(spark, sf):
-    from logweave.session import cut_lineage
-
-    t = cut_lineage(B.truth(spark, sf))
+    t = B.truth(spark, sf)
     normal = t.where((F.col("flow") != "unknown") & (F.col("label") == 0))
     hard = SP.hard_negatives(normal, SP.SELECTION["hard_negatives"])
     rest = normal.join(hard.select("trace_id"), "trace_id", "left_anti")
@@ -480,10 +476,8 @@ SELECT p.split, count(*) AS traces, count(*) FILTER (WHERE t.label = 0) AS norma
 FROM per p JOIN truth t ON t.trace_id = p.trace_id GROUP BY p.split""".replace("\n, per AS", ",\nper AS", 1)
        .replace("splits s ON s.trace_id = l.trace_id\nSELECT", "splits s ON s.trace_id = l.trace_id\nSELECT"))
 def split_summary(spark, sf):
-    from logweave.session import cut_lineage
-
-    t = cut_lineage(B.truth(spark, sf))
-    sp = SP.trace_splits(t, B.incidents(spark))
+    t = B.truth(spark, sf)
+    sp = B.splits(spark, sf)
     lines = log_lines(spark, sf).select("trace_id", "line_no").join(sp, "trace_id")
     out = SP.split_summary(lines, t)
     return out.select("split", "traces", "normal", "anomalous", F.col("lines").cast("long"))
@@ -572,11 +566,7 @@ dictionary AS (
 
 
 def _dictionary(spark, sf):
-    from logweave.session import cut_lineage
-
-    t = cut_lineage(B.truth(spark, sf))
-    sp = SP.trace_splits(t, B.incidents(spark))
-    lws = cut_lineage(B.indexed(spark, sf).join(sp, "trace_id"))
+    lws = B.lines_with_split(spark, sf)
     return TP.template_dictionary(lws), lws
 
 
@@ -847,3 +837,372 @@ def trace_token_score(spark, sf):
     w = SU.worst_line(SU.token_to_line_loss(toks, tr), tr)
     return w.select("trace_id", F.round("score", 9).alias("score"),
                     F.round("mean_nll", 9).alias("mean_nll"), "worst_index", "worst_text")
+
+
+# ---- answers, usage, runs, costs, comparison (2.3 / 2.5 / 2.13) ---------------------------
+
+from logweave.operators import answers as AN  # noqa: E402
+
+SYSTEM_PROMPT = (
+    "Check one trace of application log lines that share a correlation id, in time order. "
+    "Each line is a masked template with its 0-based number. Name the expected flow from the "
+    "first line, match every expected step to its line numbers, then give the verdict, the "
+    "anomaly type and the first line that breaks the flow.")
+# Prices per the public list-price file of the priced runs: LLM input / output per 1M tokens,
+# GPU per hour. Scoring time of the GPU method is estimated at 100 lines per second and
+# training at 20 lines per second.
+PRICES = {"llm_input_per_1m_tokens": 0.22, "llm_output_per_1m_tokens": 1.32, "gpu_per_hour": 2.4768}
+SCORE_SECONDS_PER_LINE = 0.01
+TRAIN_SECONDS_PER_LINE = 0.05
+
+
+def _flow_doc_text() -> str:
+    import yaml
+
+    return yaml.safe_dump(FL.flows_document(), sort_keys=True)
+
+
+def _prompts(spark, sf, answers_df=None):
+    g = TR.group_traces(B.indexed(spark, sf)).where(F.col("part") == 0)
+    system = SYSTEM_PROMPT + "\n\nExpected flows:\n" + _flow_doc_text()
+    return g.select("trace_id", F.lit(system).alias("system"),
+                    T.numbered_lines(F.col("lines")).alias("user")), len(system)
+
+
+_SYS_LEN = None
+
+
+def _system_len() -> int:
+    return len(SYSTEM_PROMPT + "\n\nExpected flows:\n" + _flow_doc_text())
+
+
+_ANSWER_JSON_SQL = """'{"flow":"' || flow || '","step_check":"' || step_check || '","explanation":"'
+  || explanation || '","verdict":"' || verdict || '","anomaly_type":"' || anomaly_type
+  || '","first_deviation_line":' || coalesce(CAST(first_deviation_line AS VARCHAR), 'null') || '}'"""
+
+
+def _usage_sql() -> str:
+    return f"""
+numb AS (SELECT trace_id, string_agg(CAST(idx AS VARCHAR) || ': ' || template, chr(10) ORDER BY idx) AS user_text
+  FROM tl GROUP BY trace_id),
+usage AS (
+  SELECT a.trace_id, CAST(ceil(({_system_len()} + length(n.user_text)) / 4) AS BIGINT) AS prompt_tokens,
+    CAST(ceil(length({_ANSWER_JSON_SQL}) / 4) AS BIGINT) AS completion_tokens,
+    CAST(ceil({_system_len()} / 4) AS BIGINT) AS cached_tokens
+  FROM answers a JOIN numb n ON n.trace_id = a.trace_id)"""
+
+
+def _usage(spark, sf):
+    prompts, n_sys = _prompts(spark, sf)
+    return AN.usage_table(prompts, AN.answers_json(B.answers(spark, sf)), n_sys)
+
+
+@query("prompt_table", W(LL) + f"""
+SELECT trace_id, {_system_len()} AS system_chars,
+  string_agg(CAST(idx AS VARCHAR) || ': ' || template, chr(10) ORDER BY idx) AS user_text
+FROM tl GROUP BY trace_id""")
+def prompt_table(spark, sf):
+    p, _ = _prompts(spark, sf)
+    return p.select("trace_id", F.length("system").alias("system_chars"), F.col("user").alias("user_text"))
+
+
+@query("answer_parse", _ANS + """
+SELECT trace_id, verdict = 'anomalous' AS flagged, first_deviation_line AS pred_index,
+  explanation AS worst_line_text, anomaly_type FROM answers""")
+def answer_parse(spark, sf):
+    p = AN.answer_parse(AN.answers_json(B.answers(spark, sf)))
+    return p.select("trace_id", "flagged", "pred_index", "worst_line_text", "anomaly_type")
+
+
+@query("answer_contract", _ANS + """
+SELECT trace_id, 'violation' AS violations FROM answers
+WHERE verdict NOT IN ('normal', 'anomalous')
+   OR anomaly_type NOT IN ('none', 'visible_error', 'silent_skip', 'wrong_order', 'truncated', 'retry_storm', 'other')
+   OR (first_deviation_line IS NOT NULL AND (first_deviation_line < 0 OR first_deviation_line > n_lines))""")
+def answer_contract(spark, sf):
+    names = [f.name for f in FL.EVENT_FLOWS]
+    return AN.answer_contract(AN.answers_json(B.answers(spark, sf)), names)
+
+
+@query("token_usage", W(LL, CONF, _usage_sql()) + """
+SELECT CAST(sum(prompt_tokens) AS BIGINT) AS input_tokens, CAST(sum(completion_tokens) AS BIGINT) AS output_tokens,
+  CAST(sum(cached_tokens) AS BIGINT) AS cached_input_tokens, count(*) AS n_calls FROM usage""")
+def token_usage(spark, sf):
+    return AN.token_usage(_usage(spark, sf))
+
+
+@query("llm_cost_per_1000", W(LL, CONF, _usage_sql()) + f"""
+SELECT round((sum(prompt_tokens) / 1e6 * {PRICES['llm_input_per_1m_tokens']}
+  + sum(completion_tokens) / 1e6 * {PRICES['llm_output_per_1m_tokens']}) / count(*) * 1000, 9) AS cost_per_1000
+FROM usage""")
+def llm_cost_per_1000(spark, sf):
+    u = AN.token_usage(_usage(spark, sf))
+    c = M.llm_cost_per_1000(F.col("input_tokens"), F.col("output_tokens"), F.col("n_calls"),
+                            F.lit(PRICES["llm_input_per_1m_tokens"]),
+                            F.lit(PRICES["llm_output_per_1m_tokens"]))
+    return u.select(F.round(c, 9).alias("cost_per_1000"))
+
+
+@query("gpu_cost_per_1000", W(LL) + f"""
+SELECT round(count(*) * {SCORE_SECONDS_PER_LINE} / 3600.0 * {PRICES['gpu_per_hour']}
+  / count(DISTINCT trace_id) * 1000, 9) AS cost_per_1000 FROM log_lines""")
+def gpu_cost_per_1000(spark, sf):
+    a = log_lines(spark, sf).agg(F.count("*").alias("n_lines"),
+                                 F.count_distinct("trace_id").alias("n_traces"))
+    c = M.gpu_cost_per_1000(F.col("n_lines") * SCORE_SECONDS_PER_LINE, F.col("n_traces"),
+                            F.lit(PRICES["gpu_per_hour"]))
+    return a.select(F.round(c, 9).alias("cost_per_1000"))
+
+
+@query("training_cost", _SPL + f"""
+SELECT round(count(*) * {TRAIN_SECONDS_PER_LINE} / 3600.0 * {PRICES['gpu_per_hour']}, 9) AS training_cost
+FROM log_lines l JOIN splits s ON s.trace_id = l.trace_id WHERE s.split = 'train'""")
+def training_cost(spark, sf):
+    sp = B.splits(spark, sf).where(F.col("split") == "train")
+    n = log_lines(spark, sf).select("trace_id").join(sp, "trace_id").agg(F.count("*").alias("n"))
+    return n.select(F.round(M.training_cost(F.col("n") * TRAIN_SECONDS_PER_LINE,
+                                            F.lit(PRICES["gpu_per_hour"])), 9).alias("training_cost"))
+
+
+@query("explain_trace", _ANS + "\nSELECT trace_id, anomaly_type, explanation FROM answers WHERE flow <> 'unknown'")
+def explain_trace(spark, sf):
+    a = B.answers(spark, sf)
+    return a.where(F.col("flow") != "unknown").select("trace_id", "anomaly_type", "explanation")
+
+
+@query("safe_ratio", _ER + """
+SELECT lang, CASE WHEN count(*) FILTER (WHERE label = 1) > 0
+  THEN round(count(*) FILTER (WHERE label = 1 AND flagged) / count(*) FILTER (WHERE label = 1), 9) END AS recall
+FROM eval_records e JOIN documents d ON d.doc_id = e.doc_id GROUP BY lang""")
+def safe_ratio(spark, sf):
+    er = eval_records(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    g = er.groupBy("lang").agg(F.count_if((F.col("label") == 1) & F.col("flagged")).alias("hit"),
+                               F.count_if(F.col("label") == 1).alias("pos"))
+    return g.select("lang", F.round(T.safe_ratio(F.col("hit"), F.col("pos")), 9).alias("recall"))
+
+
+@query("null_format", _ER + """
+SELECT lang, CASE WHEN count(*) FILTER (WHERE label = 1) > 0
+  THEN printf('%.3f', count(*) FILTER (WHERE label = 1 AND flagged) / count(*) FILTER (WHERE label = 1))
+  ELSE 'n/a' END AS recall
+FROM eval_records e JOIN documents d ON d.doc_id = e.doc_id GROUP BY lang""")
+def null_format(spark, sf):
+    er = eval_records(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    g = er.groupBy("lang").agg(F.count_if((F.col("label") == 1) & F.col("flagged")).alias("hit"),
+                               F.count_if(F.col("label") == 1).alias("pos"))
+    return g.select("lang", T.null_format(T.safe_ratio(F.col("hit"), F.col("pos"))).alias("recall"))
+
+
+# ---- evaluation runs: detections x labels -> payloads -> comparison -------------------------
+
+RUN_SCHEMA = (
+    "method string, run_id string, variant string, split string, threshold double, "
+    "metrics struct<n_traces:long, n_normal:long, n_anomalous:long, tp:long, fp:long, fn:long, "
+    "tn:long, precision:double, recall:double, f1:double, false_positive_rate:double, "
+    "localisation_hit_rate:double, localisation_hits:long, localisation_n:long, auroc:double, "
+    "recall_per_type:map<string, struct<n:long, flagged:long, recall:double>>>, "
+    "input_tokens long, output_tokens long, scoring_seconds double, training_seconds double, "
+    "cost_per_1000 double")
+
+_DETS = W(_SUR[5:], _LAB, _usage_sql(), f"""
+kw AS (SELECT trace_id, min(idx) FILTER (WHERE regexp_matches(template, {S.q(S.KEYWORD_RE)})) AS pred_index,
+  coalesce(arg_min(template, idx) FILTER (WHERE regexp_matches(template, {S.q(S.KEYWORD_RE)})), '') AS txt
+  FROM tl GROUP BY trace_id),
+det_kw AS (
+  SELECT l.trace_id, l.label, l.anomaly_type, k.pred_index IS NOT NULL AS flagged, CAST(NULL AS DOUBLE) AS score,
+    k.pred_index, l.first_deviation_index, k.txt AS worst_line_text
+  FROM labelled l JOIN kw k ON k.trace_id = l.trace_id),
+det_ans AS (
+  SELECT l.trace_id, l.label, l.anomaly_type, a.verdict = 'anomalous' AS flagged, CAST(NULL AS DOUBLE) AS score,
+    a.first_deviation_line AS pred_index, l.first_deviation_index, a.explanation AS worst_line_text
+  FROM labelled l JOIN answers a ON a.trace_id = l.trace_id),
+dets AS (
+  SELECT 'r1-keywords' AS run_id, 'keywords' AS method, 'keywords' AS variant, * FROM det_kw
+  UNION ALL SELECT 'r2-answers', 'answers', 'flow rules', * FROM det_ans
+  UNION ALL SELECT 'r3-surprise', 'surprise', 'transition model a=0.1', trace_id, label, anomaly_type,
+    flagged, score, pred_index, first_deviation_index, worst_line_text FROM sdet),
+test_usage AS (
+  SELECT sum(u.prompt_tokens) AS input_tokens, sum(u.completion_tokens) AS output_tokens
+  FROM usage u JOIN labelled l ON l.trace_id = u.trace_id),
+test_lines AS (SELECT count(*) AS n FROM tl JOIN labelled l ON l.trace_id = tl.trace_id),
+train_lines AS (SELECT count(*) AS n FROM lws WHERE split = 'train'),
+rm AS (
+  SELECT run_id, method, variant, count(*) AS n_traces,
+    count(*) FILTER (WHERE label = 1 AND flagged) AS tp, count(*) FILTER (WHERE label = 1 AND NOT flagged) AS fn,
+    count(*) FILTER (WHERE label = 0 AND flagged) AS fp, count(*) FILTER (WHERE label = 0 AND NOT flagged) AS tn
+  FROM dets GROUP BY run_id, method, variant),
+rm2 AS (
+  SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 9) END AS precision,
+    CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 9) END AS recall,
+    CASE WHEN fp + tn > 0 THEN round(fp / (fp + tn), 9) END AS fpr FROM rm),
+rm3 AS (
+  SELECT *, round(CASE WHEN tp + fp = 0 OR tp + fn = 0 THEN NULL WHEN tp > 0
+      THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / ((tp / (tp + fp)) + (tp / (tp + fn))) ELSE 0.0 END, 9) AS f1,
+    CASE method
+      WHEN 'answers' THEN ((SELECT input_tokens FROM test_usage) / 1e6 * {PRICES['llm_input_per_1m_tokens']}
+        + (SELECT output_tokens FROM test_usage) / 1e6 * {PRICES['llm_output_per_1m_tokens']}) / n_traces * 1000
+      WHEN 'surprise' THEN (SELECT n FROM test_lines) * {SCORE_SECONDS_PER_LINE} / 3600.0 * {PRICES['gpu_per_hour']} / n_traces * 1000
+      ELSE 0.0 END AS cost_per_1000_traces,
+    CASE method WHEN 'surprise' THEN (SELECT n FROM train_lines) * {TRAIN_SECONDS_PER_LINE} / 3600.0 * {PRICES['gpu_per_hour']}
+      ELSE 0.0 END AS training_cost
+  FROM rm2)""")
+
+
+def _det_rows(spark, sf):
+    det_sur, thr = _surprise_detections(spark, sf)
+    t = B.truth(spark, sf)
+    test = B.splits(spark, sf).where(F.col("split") == "test").select("trace_id")
+    lab = t.join(test, "trace_id").select("trace_id", "label", "anomaly_type", "first_deviation_index")
+    ix = B.indexed(spark, sf)
+    kw = D.keyword_match(ix.join(test, "trace_id"))
+    det_kw = lab.join(kw, "trace_id").select(
+        "trace_id", "label", "anomaly_type", "flagged", F.lit(None).cast("double").alias("score"),
+        "pred_index", "first_deviation_index", "worst_line_text")
+    ans = AN.answer_parse(AN.answers_json(B.answers(spark, sf)))
+    det_ans = lab.join(ans.select("trace_id", "flagged", "pred_index", "worst_line_text"), "trace_id").select(
+        "trace_id", "label", "anomaly_type", "flagged", F.lit(None).cast("double").alias("score"),
+        "pred_index", "first_deviation_index", "worst_line_text")
+    det_sur = det_sur.select("trace_id", "label", "anomaly_type", "flagged", "score", "pred_index",
+                             "first_deviation_index", "worst_line_text")
+    return {"kw": det_kw, "ans": det_ans, "sur": det_sur, "thr": thr, "test": test, "truth": t}
+
+
+@query("join_labels", W(_DETS[5:]) + """
+SELECT trace_id, label, anomaly_type, flagged, pred_index, first_deviation_index FROM det_kw""")
+def join_labels(spark, sf):
+    d = _det_rows(spark, sf)["kw"]
+    return d.select("trace_id", "label", "anomaly_type", "flagged", "pred_index", "first_deviation_index")
+
+
+@query("keyword_eval", W(_DETS[5:], CLASS_METRICS_SQL.format(src="det_kw")))
+def keyword_eval(spark, sf):
+    return M.classification_metrics(_det_rows(spark, sf)["kw"])
+
+
+@query("conformance_eval", W(_DETS[5:], CLASS_METRICS_SQL.format(src="det_ans")))
+def conformance_eval(spark, sf):
+    return M.classification_metrics(_det_rows(spark, sf)["ans"])
+
+
+@query("join_results", W(_DETS[5:]) + """
+SELECT a.trace_id, n.user_text, d.flagged FROM det_ans d JOIN answers a ON a.trace_id = d.trace_id
+JOIN numb n ON n.trace_id = a.trace_id""")
+def join_results(spark, sf):
+    d = _det_rows(spark, sf)
+    prompts, _ = _prompts(spark, sf)
+    seqs = prompts.join(d["test"], "trace_id")
+    res = d["ans"].select("trace_id", "flagged")
+    j = seqs.join(res, "trace_id")
+    # both sides must have the same traces (the reference zips them strictly)
+    n_seq, n_res, n_j = seqs.count(), res.count(), j.count()
+    if not (n_seq == n_res == n_j):
+        raise ValueError(f"sequences and results differ: {n_seq} vs {n_res} ({n_j} matched)")
+    return j.select("trace_id", F.col("user").alias("user_text"), "flagged")
+
+
+def _payloads(spark, sf):
+    d = _det_rows(spark, sf)
+    u = AN.token_usage(_usage(spark, sf).join(d["test"], "trace_id")).first()
+    ix = B.indexed(spark, sf)
+    test_lines = ix.join(d["test"], "trace_id").count()
+    sp = B.splits(spark, sf)
+    train_lines = ix.join(sp.where(F.col("split") == "train"), "trace_id").count()
+    dl = F.lit(None).cast("double")
+    lg = F.lit(None).cast("long")
+    runs = [
+        AN.run_payload(d["kw"], "keywords", "r1-keywords", "keywords", "test", None,
+                       {"input_tokens": lg, "output_tokens": lg, "scoring_seconds": dl,
+                        "training_seconds": dl, "cost_per_1000": F.lit(0.0)}),
+        AN.run_payload(d["ans"], "answers", "r2-answers", "flow rules", "test", None,
+                       {"input_tokens": F.lit(u["input_tokens"]).cast("long"),
+                        "output_tokens": F.lit(u["output_tokens"]).cast("long"),
+                        "scoring_seconds": dl, "training_seconds": dl, "cost_per_1000": dl}),
+        AN.run_payload(d["sur"], "surprise", "r3-surprise", "transition model a=0.1", "test", d["thr"],
+                       {"input_tokens": lg, "output_tokens": lg,
+                        "scoring_seconds": F.lit(test_lines * SCORE_SECONDS_PER_LINE),
+                        "training_seconds": F.lit(train_lines * TRAIN_SECONDS_PER_LINE),
+                        "cost_per_1000": dl}),
+    ]
+    root = scratch_path(spark, "runs")
+    for r in runs:
+        rid = r.select("run_id").first()[0]
+        WR.sink_json_row(r, f"{root}/{rid}/eval/metrics.json")
+    return root
+
+
+@query("sink_metrics", W(_DETS[5:]) + "\nSELECT run_id, method, n_traces, tp, fp, fn, tn FROM rm")
+def sink_metrics(spark, sf):
+    root = _payloads(spark, sf)
+    r = spark.read.schema(RUN_SCHEMA).json(f"{root}/*/eval/metrics.json")
+    return r.select("run_id", "method", "metrics.n_traces", "metrics.tp", "metrics.fp",
+                    "metrics.fn", "metrics.tn")
+
+
+@query("scan_run_metrics", W(_DETS[5:]) + """
+SELECT run_id, method, variant, n_traces, precision, recall FROM rm2""")
+def scan_run_metrics(spark, sf):
+    root = _payloads(spark, sf)
+    r = FS.scan_run_metrics(spark, f"{root}/*/eval/metrics.json", RUN_SCHEMA)
+    return r.select("run_id", "method", "variant", "metrics.n_traces", "metrics.precision",
+                    "metrics.recall")
+
+
+def _costed(spark, sf):
+    root = _payloads(spark, sf)
+    runs = FS.scan_run_metrics(spark, f"{root}/*/eval/metrics.json", RUN_SCHEMA)
+    price_path = scratch_path(spark, "prices") + "/prices.yaml"
+    FS.write_small_text(spark, price_path, "".join(f"{k}: {v}\n" for k, v in PRICES.items()))
+    return AN.run_costs(runs, FS.scan_prices(spark, price_path))
+
+
+@query("scan_prices", W(_DETS[5:]) + """
+SELECT run_id, round(cost_per_1000_traces, 9) AS cost_per_1000_traces FROM rm3""")
+def scan_prices(spark, sf):
+    return _costed(spark, sf).select("run_id", "cost_per_1000_traces")
+
+
+@query("run_costs", W(_DETS[5:]) + """
+SELECT run_id, method, round(cost_per_1000_traces, 9) AS cost_per_1000_traces,
+  round(training_cost, 9) AS training_cost FROM rm3""")
+def run_costs(spark, sf):
+    return _costed(spark, sf).select("run_id", "method", "cost_per_1000_traces", "training_cost")
+
+
+@query("compare_runs", W(_DETS[5:]) + """
+SELECT run_id, method, variant, n_traces AS traces,
+  coalesce(printf('%.3f', precision), 'n/a') AS precision, coalesce(printf('%.3f', recall), 'n/a') AS recall,
+  coalesce(printf('%.3f', f1), 'n/a') AS f1, coalesce(printf('%.3f', fpr), 'n/a') AS fpr,
+  coalesce(printf('%.4f', round(cost_per_1000_traces, 9)), 'n/a') AS cost_per_1000,
+  coalesce(printf('%.4f', round(training_cost, 9)), 'n/a') AS training_cost
+FROM rm3""")
+def compare_runs(spark, sf):
+    return AN.compare_runs(_costed(spark, sf))
+
+
+@query("recall_pivot", W(_DETS[5:], """
+rt AS (SELECT run_id, anomaly_type, printf('%.3f', round(count(*) FILTER (WHERE flagged) / count(*), 9)) AS r
+  FROM dets GROUP BY run_id, anomaly_type HAVING max(label) = 1)""") + """
+SELECT r.run_id,
+  coalesce(max(r2.r) FILTER (WHERE r2.anomaly_type = 'visible_error'), '-') AS visible_error,
+  coalesce(max(r2.r) FILTER (WHERE r2.anomaly_type = 'silent_skip'), '-') AS silent_skip,
+  coalesce(max(r2.r) FILTER (WHERE r2.anomaly_type = 'wrong_order'), '-') AS wrong_order,
+  coalesce(max(r2.r) FILTER (WHERE r2.anomaly_type = 'truncated'), '-') AS truncated,
+  coalesce(max(r2.r) FILTER (WHERE r2.anomaly_type = 'retry_storm'), '-') AS retry_storm
+FROM (SELECT DISTINCT run_id FROM dets) r LEFT JOIN rt r2 ON r2.run_id = r.run_id GROUP BY r.run_id""")
+def recall_pivot(spark, sf):
+    root = _payloads(spark, sf)
+    runs = FS.scan_run_metrics(spark, f"{root}/*/eval/metrics.json", RUN_SCHEMA)
+    return AN.recall_pivot(runs)
+
+
+@query("sink_scores", W(_DETS[5:]) + """
+SELECT trace_id, label, anomaly_type, coalesce(printf('%.6f', score), '') AS score,
+  CAST(flagged AS INTEGER) AS flagged, coalesce(CAST(pred_index AS VARCHAR), '') AS worst_line_index,
+  coalesce(worst_line_text, '') AS worst_line_text FROM sdet""")
+def sink_scores(spark, sf):
+    det = _det_rows(spark, sf)["sur"]
+    out = scratch_path(spark, "scores")
+    WR.sink_scores(det, out)
+    return spark.read.csv(out, header=True, schema=(
+        "trace_id string, label int, anomaly_type string, score string, flagged int, "
+        "worst_line_index string, worst_line_text string")).na.fill("", ["score", "worst_line_index", "worst_line_text"])

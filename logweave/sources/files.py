@@ -118,8 +118,12 @@ def scan_sequences(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == split)
 
 
-def scan_run_metrics(spark: SparkSession, glob: str) -> DataFrame:
-    return (spark.read.option("multiLine", True).json(glob)
+def scan_run_metrics(spark: SparkSession, glob: str, schema: str | None = None) -> DataFrame:
+    """Every run's metrics document, ordered by path."""
+    r = spark.read.option("multiLine", True)
+    if schema:
+        r = r.schema(schema)
+    return (r.json(glob)
             .withColumn("path", F.col("_metadata.file_path")).orderBy("path"))
 
 
