@@ -1206,3 +1206,216 @@ def sink_scores(spark, sf):
     return spark.read.csv(out, header=True, schema=(
         "trace_id string, label int, anomaly_type string, score string, flagged int, "
         "worst_line_index string, worst_line_text string")).na.fill("", ["score", "worst_line_index", "worst_line_text"])
+
+
+# ---- remaining sources and sinks ----------------------------------------------------------
+
+_LAB_SQL = W(LL, CONF, TRUTH, SPLITS, _LAB)
+
+
+def _labelled_csv(spark, sf) -> str:
+    root = scratch_path(spark, "labels")
+    lab = B.labelled(spark, sf)
+    WR.sink_labels(lab, f"{root}/labels_test.csv")
+    return root
+
+
+@query("sink_labels", _LAB_SQL + """
+SELECT trace_id || ',' || CAST(label AS VARCHAR) || ',' || anomaly_type || ','
+  || coalesce(CAST(first_deviation_index AS VARCHAR), '') AS value FROM labelled""")
+def sink_labels(spark, sf):
+    root = _labelled_csv(spark, sf)
+    return spark.read.text(f"{root}/labels_test.csv").where(~F.col("value").startswith("trace_id,"))
+
+
+@query("scan_labels", _LAB_SQL + """
+SELECT trace_id, label, anomaly_type, CAST(first_deviation_index AS INTEGER) AS first_deviation_index FROM labelled""")
+def scan_labels(spark, sf):
+    return FS.scan_labels(spark, _labelled_csv(spark, sf), "test")
+
+
+@query("scan_labelled_jsonl", W(_TPL[5:], _LAB, """
+lt AS (SELECT l.trace_id, list(printf('T%03d', d.id) ORDER BY l.idx) AS tids, count(*) AS n_raw
+  FROM lws l JOIN dictionary d ON d.text = l.template GROUP BY l.trace_id)""") + """
+SELECT b.trace_id, b.flow, CASE WHEN b.label = 1 THEN 'anomalous' ELSE 'normal' END AS expected_verdict,
+  b.anomaly_type, CAST(b.first_deviation_index AS INTEGER) AS first_deviation_index,
+  len(lt.tids) AS n_templates, lt.tids[1] AS first_template, lt.n_raw AS n_raw_lines
+FROM labelled b JOIN lt ON lt.trace_id = b.trace_id""")
+def scan_labelled_jsonl(spark, sf):
+    d, lws = _dictionary(spark, sf)
+    lab = B.labelled(spark, sf)
+    ll = log_lines(spark, sf).select("line_no", "raw")
+    lines = (lws.join(lab.select("trace_id"), "trace_id").join(ll, "line_no")
+             .join(d.select(F.col("text").alias("template"), "id"), "template"))
+    g = TR.group_traces(lines.withColumn("tid", F.format_string("T%03d", "id")), value="tid")
+    r = TR.group_traces(lines, value="raw")
+    ans = B.answers(spark, sf).select("trace_id", "explanation")
+    rec = (lab.join(g.where(F.col("part") == 0).select("trace_id", F.col("lines").alias("template_ids")), "trace_id")
+           .join(r.where(F.col("part") == 0).select("trace_id", F.col("lines").alias("raw_lines")), "trace_id")
+           .join(ans, "trace_id")
+           .select("trace_id", "flow", F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("start"),
+                   "template_ids",
+                   F.when(F.col("label") == 1, "anomalous").otherwise("normal").alias("expected_verdict"),
+                   "anomaly_type",
+                   F.coalesce(F.col("first_deviation_index").cast("string"), F.lit("")).alias("first_deviation_index"),
+                   "explanation", "raw_lines"))
+    out = scratch_path(spark, "labelled-jsonl")
+    rec.write.json(out)
+    j = FS.scan_labelled_jsonl(spark, out)
+    return j.select("trace_id", "flow", "expected_verdict", "anomaly_type", "first_deviation_index",
+                    F.size("template_ids").cast("long").alias("n_templates"),
+                    F.element_at("template_ids", 1).alias("first_template"),
+                    F.size("raw_lines").cast("long").alias("n_raw_lines"))
+
+
+def _step_rows_sql() -> str:
+    return "f_match"
+
+
+@query("scan_flows", W(LL, CONF) + """
+SELECT m.flow, m.pos, n.step, m.template, count(l.line_no) AS n_lines
+FROM f_match m JOIN f_names n ON n.flow = m.flow AND n.pos = m.pos
+LEFT JOIN log_lines l ON l.template = m.template
+WHERE m.sub = 0 GROUP BY ALL""")
+def scan_flows(spark, sf):
+    import yaml
+
+    path = scratch_path(spark, "flows") + "/flows.yaml"
+    FS.write_small_text(spark, path, yaml.safe_dump(FL.flows_document(), sort_keys=False))
+    flows = FS.scan_flows(spark, path)
+    steps = FL.flow_steps(spark, flows)  # a few dozen rows from the document
+    counts = log_lines(spark, sf).groupBy("template").agg(F.count("*").alias("n_lines"))
+    return (steps.join(counts, "template", "left")
+            .select("flow", "pos", "step", "template",
+                    F.coalesce("n_lines", F.lit(0)).alias("n_lines")))
+
+
+def _sequences(spark, sf):
+    g = TR.group_traces(B.indexed(spark, sf)).join(B.splits(spark, sf), "trace_id")
+    out = scratch_path(spark, "sequences")
+    WR.sink_sequences(g.select("split", "trace_id", "part", "n_lines",
+                               F.array_join("lines", "\n").alias("lines")), out)
+    return out
+
+
+@query("sink_sequences", _SPL + """
+, c AS (SELECT s.split, l.trace_id, count(*) AS n FROM tl l JOIN splits s ON s.trace_id = l.trace_id GROUP BY ALL)
+SELECT split, count(*) AS n_traces, CAST(sum(n) AS BIGINT) AS n_lines FROM c GROUP BY split""".replace("\n, c AS", ",\nc AS"))
+def sink_sequences(spark, sf):
+    s = spark.read.parquet(_sequences(spark, sf))
+    return s.groupBy("split").agg(F.count("*").alias("n_traces"), F.sum("n_lines").cast("long").alias("n_lines"))
+
+
+@query("scan_sequences", _SPL + """
+SELECT l.trace_id, CAST(0 AS BIGINT) AS part, count(*) AS n_lines, string_agg(l.template, chr(10) ORDER BY l.idx) AS lines
+FROM tl l JOIN splits s ON s.trace_id = l.trace_id WHERE s.split = 'test' GROUP BY l.trace_id""")
+def scan_sequences(spark, sf):
+    return FS.scan_sequences(spark, _sequences(spark, sf), "test").select("trace_id", "part", "n_lines", "lines")
+
+
+@query("sink_answers", _ANS + "\nSELECT trace_id, verdict, anomaly_type, first_deviation_line FROM answers")
+def sink_answers(spark, sf):
+    out = scratch_path(spark, "answers")
+    WR.sink_answers(B.answers(spark, sf), out)
+    return spark.read.schema("trace_id string, verdict string, anomaly_type string, "
+                             "first_deviation_line long").json(out)
+
+
+@query("sink_overwrite", _ANS + "\nSELECT verdict, count(*) AS n FROM answers GROUP BY verdict")
+def sink_overwrite(spark, sf):
+    out = scratch_path(spark, "answers-swap")
+    a = B.answers(spark, sf)
+    WR.atomic_write(spark, out, lambda p: a.limit(0).write.parquet(p))  # an older version
+    WR.atomic_write(spark, out, lambda p: a.write.parquet(p))          # swapped in whole
+    return spark.read.parquet(out).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query("extract_embedded_json", _LAB_SQL + """
+SELECT 'answers/' || a.trace_id || '.json' AS name, a.verdict AS content
+FROM answers a JOIN labelled l ON l.trace_id = a.trace_id""")
+def extract_embedded_json(spark, sf):
+    lab = B.labelled(spark, sf).select("trace_id")
+    a = B.answers(spark, sf).join(lab, "trace_id")
+    noise = a.select(F.concat(F.lit("INFO scored "), F.col("trace_id")).alias("value"))
+    res = a.select(F.concat(F.lit("RESULT "), F.to_json(F.create_map(
+        F.concat(F.lit("answers/"), F.col("trace_id"), F.lit(".json")), F.col("verdict")))).alias("value"))
+    out = scratch_path(spark, "console")
+    noise.unionByName(res).write.text(out)
+    return FS.extract_embedded_json(spark.read.text(out))
+
+
+def _data_hash_sql() -> str:
+    return """
+dsum AS (SELECT strftime(ts, '%Y%m%d') AS day, sha256(string_agg(raw || chr(10), '' ORDER BY line_no)) AS sha
+  FROM log_lines GROUP BY 1),
+dhash AS (SELECT sha256(string_agg(day || ':' || sha, ',' ORDER BY day)) AS data_sha256 FROM dsum)"""
+
+
+def _data_hash(spark, sf) -> DataFrame:
+    out = _write_day_logs(spark, sf, "raw", "logs-hash")
+    c = FS.file_checksums(spark, f"{out}/*/*.txt").select(
+        F.regexp_extract("file", r"day=(\d+)", 1).alias("day"), "sha256")
+    # one entry per file: bounded by the number of files, not by their size
+    return c.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "day", "sha256"))), ","),
+                        256).alias("data_sha256"))
+
+
+@query("sink_prepare_meta", W(_TPL[5:], _data_hash_sql()) + """
+SELECT (SELECT data_sha256 FROM dhash) AS data_sha256,
+  count(*) FILTER (WHERE seen_in_train) AS templates_in_train, count(*) AS templates_total FROM dictionary""")
+def sink_prepare_meta(spark, sf):
+    d, _ = _dictionary(spark, sf)
+    counts = d.agg(F.count_if("seen_in_train").alias("templates_in_train"), F.count("*").alias("templates_total"))
+    h = _data_hash(spark, sf).first()[0]
+    meta = counts.select(F.lit(h).alias("data_sha256"), "*")
+    out = scratch_path(spark, "prepare-meta")
+    WR.sink_json_row(meta, out)
+    return spark.read.schema("data_sha256 string, templates_in_train long, templates_total long").json(out)
+
+
+@query("reuse_prepared", W(LL) + "\nSELECT true AS reused, count(DISTINCT trace_id) AS n_traces FROM log_lines")
+def reuse_prepared(spark, sf):
+    h = _data_hash(spark, sf).first()[0]
+    path = scratch_path(spark, "prepared-seq")
+
+    def build(p: str) -> None:
+        TR.group_traces(B.indexed_fresh(spark, sf)).write.parquet(p)
+
+    WR.reuse_prepared(spark, path, h, build)          # first call builds
+    df, reused = WR.reuse_prepared(spark, path, h, build)  # same input hash: reused
+    return df.agg(F.lit(reused).alias("reused"), F.count_distinct("trace_id").alias("n_traces"))
+
+
+@query("sink_split_logs", _SPL + f"""
+SELECT s.split, row_number() OVER (PARTITION BY s.split ORDER BY {S._md5('s.trace_id')}, s.trace_id, t.idx) AS line_no,
+  l.raw AS value
+FROM splits s JOIN tl t ON t.trace_id = s.trace_id JOIN log_lines l ON l.line_no = t.line_no""")
+def sink_split_logs(spark, sf):
+    lws = B.lines_with_split(spark, sf).select("trace_id", "idx", "split", "line_no")
+    raw = log_lines(spark, sf).select("line_no", "raw")
+    lines = lws.join(raw, "line_no").withColumn("order_key", SP.hash_key(F.col("trace_id")))
+    out = scratch_path(spark, "split-logs")
+    WR.sink_split_logs(lines, out)
+    r = FS._numbered(spark.read.text(f"{out}/*/*.txt"))
+    return r.select(F.regexp_extract("file", r"split=(\w+)", 1).alias("split"), "line_no", "value")
+
+
+@query("dataset_manifest", W(LL, CONF, TRUTH, SPLITS, _data_hash_sql()) + """
+SELECT (SELECT count(*) FROM log_lines) AS n_lines, count(*) AS n_traces,
+  CAST(sum(t.label) AS BIGINT) AS n_anomalous,
+  (SELECT count(DISTINCT template) FROM log_lines) AS n_templates,
+  count(*) FILTER (WHERE s.split = 'test') AS n_labelled,
+  count(*) FILTER (WHERE s.split = 'train') AS n_train, count(*) FILTER (WHERE s.split = 'val') AS n_val,
+  (SELECT data_sha256 FROM dhash) AS data_sha256
+FROM truth t LEFT JOIN splits s ON s.trace_id = t.trace_id""")
+def dataset_manifest(spark, sf):
+    t = B.truth(spark, sf).join(B.splits(spark, sf), "trace_id", "left")
+    ll = log_lines(spark, sf).agg(F.count("*").alias("n_lines"),
+                                  F.count_distinct("template").alias("n_templates")).first()
+    h = _data_hash(spark, sf).first()[0]
+    return t.agg(F.lit(ll["n_lines"]).alias("n_lines"), F.count("*").alias("n_traces"),
+                 F.sum("label").cast("long").alias("n_anomalous"),
+                 F.lit(ll["n_templates"]).alias("n_templates"),
+                 F.count_if(F.col("split") == "test").alias("n_labelled"),
+                 F.count_if(F.col("split") == "train").alias("n_train"),
+                 F.count_if(F.col("split") == "val").alias("n_val"), F.lit(h).alias("data_sha256"))
