@@ -1419,3 +1419,212 @@ def dataset_manifest(spark, sf):
                  F.count_if(F.col("split") == "test").alias("n_labelled"),
                  F.count_if(F.col("split") == "train").alias("n_train"),
                  F.count_if(F.col("split") == "val").alias("n_val"), F.lit(h).alias("data_sha256"))
+
+
+# ---- joins and windows over steps ---------------------------------------------------------
+
+@query("join_flow_steps", _ANS + "\nSELECT trace_id, idx, sub, pos FROM obs0")
+def join_flow_steps(spark, sf):
+    ix = B.indexed(spark, sf)
+    heads = FL.trace_heads(ix)
+    return FL.observed_steps(ix, heads).select("trace_id", "idx", "sub", "pos")
+
+
+@query("flow_optional_cover", W(LL, CONF, S._OPT_COUNT.strip()) + """
+SELECT trace_id, n_optional FROM opt_n""")
+def flow_optional_cover(spark, sf):
+    ix = B.indexed(spark, sf)
+    return FL.optional_lines(ix, FL.trace_heads(ix))
+
+
+_RUNS_SQL = """
+starts AS (SELECT trace_id, k, idx, pos, row_number() OVER (PARTITION BY trace_id ORDER BY k) AS run
+  FROM obs WHERE prev_pos IS NULL OR pos <> prev_pos),
+kmax AS (SELECT trace_id, max(k) AS k_max FROM obs GROUP BY trace_id),
+runs AS (
+  SELECT s.trace_id, s.run, s.pos, s.idx AS start_line,
+    coalesce(lead(s.k) OVER (PARTITION BY s.trace_id ORDER BY s.k), m.k_max + 1) - s.k AS length, s.k
+  FROM starts s JOIN kmax m ON m.trace_id = s.trace_id),
+runs2 AS (SELECT r.trace_id, r.run, r.pos, r.start_line, r.length, o.idx AS second_line
+  FROM runs r JOIN obs o ON o.trace_id = r.trace_id AND o.k = r.k + 1 WHERE r.length >= 2)"""
+
+
+def _obs(spark, sf):
+    from logweave.session import cut_lineage
+
+    ix = B.indexed(spark, sf)
+    return cut_lineage(FL.observed_steps(ix, FL.trace_heads(ix)))
+
+
+@query("repeat_runs", W(LL, CONF, _RUNS_SQL) + """
+SELECT trace_id, run, pos, start_line, length, second_line FROM runs2""")
+def repeat_runs(spark, sf):
+    r = FL.repeat_runs(_obs(spark, sf))
+    return r.select("trace_id", "run", "pos", "start_line", "length", "second_line")
+
+
+@query("first_deviation", """WITH cl AS (SELECT 'conv-' || CAST(conv_id AS VARCHAR) AS trace_id,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role FROM conversations)
+SELECT trace_id, coalesce(min(idx) FILTER (WHERE role <> CASE WHEN idx % 2 = 0 THEN 'user' ELSE 'assistant' END),
+  count(*)) AS first_deviation, count(*) AS n_actual, count(*) AS n_expected
+FROM cl GROUP BY trace_id""")
+def first_deviation(spark, sf):
+    from logweave.sources.tables import conv_lines
+
+    ix = TR.line_index_by_number(conv_lines(spark, sf))
+    actual = ix.select("trace_id", "idx", F.col("role").alias("step"))
+    expected = ix.select("trace_id", "idx", F.when(F.pmod("idx", F.lit(2)) == 0, "user")
+                         .otherwise("assistant").alias("step"))
+    return TR.first_deviation(actual, expected)
+
+
+# ---- 2.11 data-quality checks (violating rows; empty = pass) -------------------------------
+
+from logweave.operators import quality as Q  # noqa: E402
+
+
+@query("dq_unparsed_lines", W(LL) + f"""
+SELECT raw AS value FROM log_lines WHERE NOT regexp_matches(raw, {S.q(T.V1_LINE_PATTERN)})""")
+def dq_unparsed_lines(spark, sf):
+    out = _write_day_logs(spark, sf, "raw", "logs-dq")
+    return Q.dq_unparsed_lines(spark.read.text(f"{out}/*/*.txt"))
+
+
+@query("dq_split_overlap", _SPL + """
+SELECT trace_id, count(DISTINCT split) AS n_splits FROM splits GROUP BY trace_id HAVING count(DISTINCT split) > 1""")
+def dq_split_overlap(spark, sf):
+    return Q.dq_split_overlap(B.splits(spark, sf))
+
+
+_DECLARED = [("test", "anomalous", SP.SELECTION["anomalous"]), ("test", "normal", SP.SELECTION["normal"])]
+
+
+@query("dq_label_counts", W(LL, CONF, TRUTH, SPLITS, _LAB,
+                            S.values(_DECLARED, ["split", "anomaly_type", "expected"], "declared"),
+                            """act AS (SELECT 'test' AS split, CASE WHEN label = 1 THEN 'anomalous' ELSE 'normal' END AS anomaly_type,
+  count(*) AS actual FROM labelled GROUP BY 2)""") + """
+SELECT coalesce(a.split, d.split) AS split, coalesce(a.anomaly_type, d.anomaly_type) AS anomaly_type,
+  a.actual, d.expected FROM act a FULL JOIN declared d ON d.split = a.split AND d.anomaly_type = a.anomaly_type
+WHERE coalesce(a.actual, 0) <> coalesce(d.expected, 0)""")
+def dq_label_counts(spark, sf):
+    lab = B.labelled(spark, sf).select(
+        F.lit("test").alias("split"),
+        F.when(F.col("label") == 1, "anomalous").otherwise("normal").alias("anomaly_type"))
+    exp = spark.createDataFrame(_DECLARED, "split string, anomaly_type string, expected long")
+    return Q.dq_label_counts(lab, exp).select("split", "anomaly_type", "actual", "expected")
+
+
+@query("dq_dirty_train", _SPL + f"""
+SELECT l.trace_id, l.line_no FROM tl l JOIN splits s ON s.trace_id = l.trace_id
+WHERE s.split IN ('train', 'val') AND regexp_matches(l.template, {S.q(S.KEYWORD_RE)})""")
+def dq_dirty_train(spark, sf):
+    return Q.dq_dirty_train(B.lines_with_split(spark, sf)).select("trace_id", "line_no")
+
+
+@query("dq_label_leak", W(LL) + "\nSELECT raw AS value FROM log_lines WHERE contains(lower(raw), 'anomal')")
+def dq_label_leak(spark, sf):
+    return Q.dq_label_leak(log_lines(spark, sf).select(F.col("raw").alias("value")))
+
+
+@query("dq_mask_leak", W(LL) + f"""
+SELECT line_no, template FROM log_lines WHERE regexp_matches(template, {S.q("|".join(Q.RAW_ID_PATTERNS))})""")
+def dq_mask_leak(spark, sf):
+    return Q.dq_mask_leak(log_lines(spark, sf)).select("line_no", "template")
+
+
+@query("dq_template_refs", _TPL + """
+SELECT DISTINCT d.id AS template_id FROM lws l JOIN dictionary d ON d.text = l.template
+WHERE d.id NOT IN (SELECT id FROM dictionary)""")
+def dq_template_refs(spark, sf):
+    d, lws = _dictionary(spark, sf)
+    refs = TP.join_template_ids(lws, d).select("template_id").distinct()
+    return Q.dq_template_refs(refs, d)
+
+
+@query("dq_label_consistency", _ANS + """
+SELECT a.trace_id FROM answers a JOIN heads h ON h.trace_id = a.trace_id
+WHERE ((h.err_line IS NOT NULL AND a.flow <> 'unknown') <> (a.anomaly_type = 'visible_error'))
+   OR (a.anomaly_type = 'none' AND a.first_deviation_line IS NOT NULL)""")
+def dq_label_consistency(spark, sf):
+    ix = B.indexed(spark, sf)
+    return Q.dq_label_consistency(B.answers(spark, sf), FL.trace_heads(ix)).select("trace_id")
+
+
+@query("dq_deviation_index", W(LL, CONF, TRUTH, SPLITS, _LAB) + """
+SELECT l.trace_id FROM labelled l JOIN answers a ON a.trace_id = l.trace_id
+WHERE l.first_deviation_index IS DISTINCT FROM a.first_deviation_line OR l.anomaly_type <> a.anomaly_type""")
+def dq_deviation_index(spark, sf):
+    return Q.dq_deviation_index(B.labelled(spark, sf), B.answers(spark, sf)).select("trace_id")
+
+
+@query("dq_storm_length", W(LL, CONF, _RUNS_SQL) + """
+SELECT a.trace_id, m.longest FROM answers a LEFT JOIN (SELECT trace_id, max(length) AS longest FROM runs GROUP BY trace_id) m
+  ON m.trace_id = a.trace_id
+WHERE a.anomaly_type = 'retry_storm' AND NOT (coalesce(m.longest, 0) BETWEEN 3 AND 6)""")
+def dq_storm_length(spark, sf):
+    r = FL.repeat_runs(_obs(spark, sf))
+    return Q.dq_storm_length(r, B.answers(spark, sf)).select("trace_id", "longest")
+
+
+_ALLOWED_FLOWS = [f.name for f in FL.EVENT_FLOWS]
+
+
+@query("dq_flow_scope", _ANS + f"""
+SELECT trace_id, flow FROM answers WHERE verdict = 'anomalous'
+  AND flow NOT IN ({", ".join(S.q(f) for f in _ALLOWED_FLOWS)})""")
+def dq_flow_scope(spark, sf):
+    return Q.dq_flow_scope(B.answers(spark, sf), _ALLOWED_FLOWS).select("trace_id", "flow")
+
+
+_SERVICES = sorted({s.service for f in FL.EVENT_FLOWS for s in f.steps} | {"error-service"})
+
+
+@query("dq_known_services", W(LL, S.values([(x,) for x in _SERVICES], ["service"], "known")) + """
+SELECT line_no, service FROM log_lines WHERE service NOT IN (SELECT service FROM known)""")
+def dq_known_services(spark, sf):
+    known = spark.createDataFrame([(x,) for x in _SERVICES], "service string")
+    return Q.dq_known_services(log_lines(spark, sf), F.broadcast(known)).select("line_no", "service")
+
+
+@query("dq_line_counts", W(LL) + """
+SELECT trace_id FROM (SELECT trace_id, count(*) AS n FROM tl GROUP BY trace_id) a
+WHERE n <> (SELECT count(*) FROM log_lines l WHERE l.trace_id = a.trace_id)""")
+def dq_line_counts(spark, sf):
+    seqs = TR.group_traces(B.indexed(spark, sf))
+    return Q.dq_line_counts(seqs, log_lines(spark, sf)).select("trace_id")
+
+
+@query("dq_manifest", W(LL) + "\nSELECT NULL AS file WHERE false")
+def dq_manifest(spark, sf):
+    """Regenerate the day logs and compare checksums with the first write (the manifest)."""
+    def sums(name):
+        out = _write_day_logs(spark, sf, "raw", name)
+        return FS.file_checksums(spark, f"{out}/*/*.txt").select(
+            F.regexp_extract("file", r"(day=\d+)", 1).alias("file"), "sha256")
+    return Q.dq_manifest(sums("manifest-a"), sums("manifest-b")).select("file")
+
+
+# ---- 2.13 plug-in points ---------------------------------------------------------------------
+
+from logweave.operators import plugins as PL  # noqa: E402
+
+
+@query("udf_scorer", W(LL, CONF, TRUTH, SPLITS, _LAB) + """
+SELECT l.trace_id, CAST(max(length(t.template)) AS DOUBLE) AS score,
+  CAST(first(t.idx ORDER BY length(t.template) DESC, t.idx) AS BIGINT) AS worst_index
+FROM labelled l JOIN tl t ON t.trace_id = l.trace_id GROUP BY l.trace_id""")
+def udf_scorer(spark, sf):
+    test = B.labelled(spark, sf).select("trace_id")
+    seqs = TR.group_traces(B.indexed(spark, sf).join(test, "trace_id")).where(F.col("part") == 0)
+    return PL.run_scorer(seqs, PL.longest_line_scorer).select("trace_id", "score", "worst_index")
+
+
+@query("udf_answerer", W(LL, CONF, TRUTH, SPLITS, _LAB) + """
+SELECT l.trace_id, CASE WHEN min(t.idx) FILTER (WHERE contains(CAST(t.idx AS VARCHAR) || ': ' || t.template, ' ERROR ')) IS NULL
+  THEN 'normal' ELSE 'anomalous' END AS verdict,
+  min(t.idx) FILTER (WHERE contains(CAST(t.idx AS VARCHAR) || ': ' || t.template, ' ERROR ')) AS first_deviation_line
+FROM labelled l JOIN tl t ON t.trace_id = l.trace_id GROUP BY l.trace_id""")
+def udf_answerer(spark, sf):
+    test = B.labelled(spark, sf).select("trace_id")
+    seqs = TR.group_traces(B.indexed(spark, sf).join(test, "trace_id")).where(F.col("part") == 0)
+    return PL.run_answerer(seqs).select("trace_id", "verdict", "first_deviation_line")
