@@ -110,12 +110,22 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def round_half_up(x: Column, digits: int) -> Column:
+    """floor(x * 10^d + 0.5) / 10^d: the same double in every engine, never a printing tie."""
+    scale = 10 ** digits
+    return F.floor(x * scale + 0.5) / scale
+
+
+def fixed(x: Column, digits: int) -> Column:
+    return F.format_string(f"%.{digits}f", round_half_up(x, digits))
+
+
 def null_format(x: Column, digits: int = 3) -> Column:
-    return F.when(x.isNull(), F.lit("n/a")).otherwise(F.format_string(f"%.{digits}f", x))
+    return F.when(x.isNull(), F.lit("n/a")).otherwise(fixed(x, digits))
 
 
 COST_HINT = "n/a (set prices in the price file)"
 
 
 def cost_format(x: Column) -> Column:
-    return F.when(x.isNull(), F.lit(COST_HINT)).otherwise(F.format_string("%.4f", x))
+    return F.when(x.isNull(), F.lit(COST_HINT)).otherwise(fixed(x, 4))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions.text import ANOMALY_TYPES, VERDICTS
+from logweave.functions.text import ANOMALY_TYPES, VERDICTS, fixed
 from logweave.operators import metrics as M
 
 ANSWER_SCHEMA = ("flow string, step_check string, explanation string, verdict string, "
@@ -128,6 +128,6 @@ def recall_pivot(runs: DataFrame) -> DataFrame:
     """Run x the five fixed anomaly types; a type the run did not see shows ``-``."""
     e = runs.select("run_id", F.explode("metrics.recall_per_type").alias("type", "r"))
     p = (e.groupBy("run_id").pivot("type", TYPES)
-         .agg(F.first(F.format_string("%.3f", F.col("r.recall")))))
+         .agg(F.first(fixed(F.col("r.recall"), 3))))
     return runs.select("run_id").join(p, "run_id", "left").select(
         "run_id", *[F.coalesce(F.col(t), F.lit("-")).alias(t) for t in TYPES])

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.functions.text import null_format, safe_ratio
+from logweave.functions.text import round_half_up, null_format, safe_ratio
 from logweave.operators.ranking import quantile_chunk, running_total
 
 LOCALISATION_TOLERANCE = 1
@@ -120,10 +120,10 @@ def exact_percentile(df: DataFrame, value: str, pct: float) -> float | None:
                         {"cum": F.col("cnt")})
     start = F.col("cum") - F.col("cnt")
     rows = cum.where((start <= F.lit(hi)) & (F.col("cum") > F.lit(lo))).select(
-        value, start.alias("s"), "cum").collect()
+        F.col(value).alias("_v"), start.alias("_start"), F.col("cum").alias("_cum")).collect()
 
     def at(p: int) -> float:
-        return next(float(r[value]) for r in rows if r["s"] <= p < r["cum"])
+        return next(float(r["_v"]) for r in rows if r["_start"] <= p < r["_cum"])
 
     vlo, vhi = at(lo), at(hi)
     return vlo + (h - lo) * (vhi - vlo)
@@ -171,7 +171,7 @@ def report_table(det: DataFrame) -> DataFrame:
         for p, k, v in rows])))
     types = recall_per_type(det).select(
         F.lit(100).alias("pos"), F.concat(F.lit("recall "), F.col("anomaly_type")).alias("metric"),
-        F.format_string("%d of %d (%.3f)", "flagged", "n", "recall").alias("value"))
+        F.format_string("%d of %d (%.3f)", "flagged", "n", round_half_up(F.col("recall"), 3)).alias("value"))
     return head.unionByName(types)
 
 

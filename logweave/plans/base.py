@@ -24,11 +24,13 @@ def incidents(spark: SparkSession) -> DataFrame:
 
 
 def truth_from(answers_df: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
-    starts = trace_start(trace_lines(spark, sf)).select("trace_id", "start")
-    t = (answers_df.join(starts, "trace_id")
-         .select("trace_id", "flow", "start",
-                 (F.col("verdict") == "anomalous").cast("int").alias("label"), "anomaly_type",
-                 F.col("first_deviation_line").alias("first_deviation_index"), "n_optional"))
+    """Answers (with start and optional-line count) -> truth with incident phase."""
+    if "start" not in answers_df.columns:
+        starts = trace_start(trace_lines(spark, sf)).select("trace_id", "start")
+        answers_df = answers_df.join(starts, "trace_id")
+    t = answers_df.select(
+        "trace_id", "flow", "start", (F.col("verdict") == "anomalous").cast("int").alias("label"),
+        "anomaly_type", F.col("first_deviation_line").alias("first_deviation_index"), "n_optional")
     return SP.incident_phase(t, incidents(spark))
 
 
@@ -55,7 +57,7 @@ def prepared(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
             return spark.read.parquet(paths[name])
 
         ix = put("indexed", indexed_fresh(spark, sf))
-        ans = put("answers", FL.conformance(ix, with_optional=True))
+        ans = put("answers", FL.conformance(ix, with_optional=True, cut_input=False))
         t = put("truth", truth_from(ans, spark, sf))
         put("splits", SP.trace_splits(t, incidents(spark)))
         _PREPARED[key] = paths
@@ -67,7 +69,7 @@ def indexed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
-    return prepared(spark, sf)["answers"].drop("n_optional")
+    return prepared(spark, sf)["answers"].drop("n_optional", "start")
 
 
 def truth(spark: SparkSession, sf: str) -> DataFrame:

@@ -762,13 +762,13 @@ def top_examples(spark, sf):
   round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) END, 9) AS fpr,
   round(CASE WHEN tp > 0 THEN localisation_hits / tp END, 9) AS loc FROM pr)""") + """
 SELECT 1 AS pos, 'traces' AS metric, printf('%d (%d normal, %d anomalous)', n_traces, fp + tn, tp + fn) AS value FROM m
-UNION ALL SELECT 2, 'precision', coalesce(printf('%.3f', p), 'n/a') FROM m
-UNION ALL SELECT 3, 'recall', coalesce(printf('%.3f', rc), 'n/a') FROM m
-UNION ALL SELECT 4, 'F1', coalesce(printf('%.3f', f1), 'n/a') FROM m
-UNION ALL SELECT 5, 'false positive rate', coalesce(printf('%.3f', fpr), 'n/a') FROM m
-UNION ALL SELECT 6, 'AUROC', coalesce(printf('%.3f', auroc), 'n/a') FROM au
-UNION ALL SELECT 7, 'localisation hit rate', coalesce(printf('%.3f', loc), 'n/a') || ' (' || localisation_hits || ' of ' || tp || ')' FROM m
-UNION ALL SELECT 100, 'recall ' || anomaly_type, printf('%d of %d (%.3f)', flagged, n, recall) FROM (""" +
+UNION ALL SELECT 2, 'precision', coalesce(printf('%.3f', floor((p) * 1000 + 0.5) / 1000), 'n/a') FROM m
+UNION ALL SELECT 3, 'recall', coalesce(printf('%.3f', floor((rc) * 1000 + 0.5) / 1000), 'n/a') FROM m
+UNION ALL SELECT 4, 'F1', coalesce(printf('%.3f', floor((f1) * 1000 + 0.5) / 1000), 'n/a') FROM m
+UNION ALL SELECT 5, 'false positive rate', coalesce(printf('%.3f', floor((fpr) * 1000 + 0.5) / 1000), 'n/a') FROM m
+UNION ALL SELECT 6, 'AUROC', coalesce(printf('%.3f', floor((auroc) * 1000 + 0.5) / 1000), 'n/a') FROM au
+UNION ALL SELECT 7, 'localisation hit rate', coalesce(printf('%.3f', floor((loc) * 1000 + 0.5) / 1000), 'n/a') || ' (' || localisation_hits || ' of ' || tp || ')' FROM m
+UNION ALL SELECT 100, 'recall ' || anomaly_type, printf('%d of %d (%.3f)', flagged, n, floor(recall * 1000 + 0.5) / 1000) FROM (""" +
        RECALL_TYPE_SQL.format(src="eval_records") + ")")
 def report_table(spark, sf):
     return M.report_table(eval_records(spark, sf))
@@ -983,7 +983,7 @@ def safe_ratio(spark, sf):
 
 @query("null_format", _ER + """
 SELECT lang, CASE WHEN count(*) FILTER (WHERE label = 1) > 0
-  THEN printf('%.3f', count(*) FILTER (WHERE label = 1 AND flagged) / count(*) FILTER (WHERE label = 1))
+  THEN printf('%.3f', floor((count(*) FILTER (WHERE label = 1 AND flagged) / count(*) FILTER (WHERE label = 1)) * 1000 + 0.5) / 1000)
   ELSE 'n/a' END AS recall
 FROM eval_records e JOIN documents d ON d.doc_id = e.doc_id GROUP BY lang""")
 def null_format(spark, sf):
@@ -1170,17 +1170,17 @@ def run_costs(spark, sf):
 
 @query("compare_runs", W(_DETS[5:]) + """
 SELECT run_id, method, variant, n_traces AS traces,
-  coalesce(printf('%.3f', precision), 'n/a') AS precision, coalesce(printf('%.3f', recall), 'n/a') AS recall,
-  coalesce(printf('%.3f', f1), 'n/a') AS f1, coalesce(printf('%.3f', fpr), 'n/a') AS fpr,
-  coalesce(printf('%.4f', round(cost_per_1000_traces, 9)), 'n/a') AS cost_per_1000,
-  coalesce(printf('%.4f', round(training_cost, 9)), 'n/a') AS training_cost
+  coalesce(printf('%.3f', floor((precision) * 1000 + 0.5) / 1000), 'n/a') AS precision, coalesce(printf('%.3f', floor((recall) * 1000 + 0.5) / 1000), 'n/a') AS recall,
+  coalesce(printf('%.3f', floor((f1) * 1000 + 0.5) / 1000), 'n/a') AS f1, coalesce(printf('%.3f', floor((fpr) * 1000 + 0.5) / 1000), 'n/a') AS fpr,
+  coalesce(printf('%.4f', floor((round(cost_per_1000_traces, 9)) * 10000 + 0.5) / 10000), 'n/a') AS cost_per_1000,
+  coalesce(printf('%.4f', floor((round(training_cost, 9)) * 10000 + 0.5) / 10000), 'n/a') AS training_cost
 FROM rm3""")
 def compare_runs(spark, sf):
     return AN.compare_runs(_costed(spark, sf))
 
 
 @query("recall_pivot", W(_DETS[5:], """
-rt AS (SELECT run_id, anomaly_type, printf('%.3f', round(count(*) FILTER (WHERE flagged) / count(*), 9)) AS r
+rt AS (SELECT run_id, anomaly_type, printf('%.3f', floor((round(count(*) FILTER (WHERE flagged) / count(*), 9)) * 1000 + 0.5) / 1000) AS r
   FROM dets GROUP BY run_id, anomaly_type HAVING max(label) = 1)""") + """
 SELECT r.run_id,
   coalesce(max(r2.r) FILTER (WHERE r2.anomaly_type = 'visible_error'), '-') AS visible_error,
@@ -1196,7 +1196,7 @@ def recall_pivot(spark, sf):
 
 
 @query("sink_scores", W(_DETS[5:]) + """
-SELECT trace_id, label, anomaly_type, coalesce(printf('%.6f', score), '') AS score,
+SELECT trace_id, label, anomaly_type, coalesce(printf('%.6f', floor((score) * 1000000 + 0.5) / 1000000), '') AS score,
   CAST(flagged AS INTEGER) AS flagged, coalesce(CAST(pred_index AS VARCHAR), '') AS worst_line_index,
   coalesce(worst_line_text, '') AS worst_line_text FROM sdet""")
 def sink_scores(spark, sf):
