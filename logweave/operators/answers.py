@@ -56,14 +56,16 @@ def answer_contract(raw: DataFrame, flow_names: list[str]) -> DataFrame:
 
 
 def usage_table(prompts: DataFrame, answers: DataFrame, prefix_chars: int) -> DataFrame:
-    """Token counts per call, estimated at 4 characters per token: prompt, completion and the
-    cached part (the shared system prefix)."""
-    j = prompts.join(answers.select("trace_id", "answer"), "trace_id")
+    """Token counts per trace, estimated at 4 characters per token: prompt (every part of the
+    trace sends the system text and its lines), completion and the cached shared prefix."""
+    per = prompts.groupBy("trace_id").agg(
+        F.sum(F.length("system") + F.length("user")).alias("_chars"), F.count("*").alias("_calls"))
+    j = per.join(answers.select("trace_id", "answer"), "trace_id")
     return j.select(
         "trace_id",
-        F.ceil((F.length("system") + F.length("user")) / 4).cast("long").alias("prompt_tokens"),
+        F.ceil(F.col("_chars") / 4).cast("long").alias("prompt_tokens"),
         F.ceil(F.length("answer") / 4).cast("long").alias("completion_tokens"),
-        F.lit(-(-prefix_chars // 4)).cast("long").alias("cached_tokens"))
+        (F.col("_calls") * F.lit(-(-prefix_chars // 4))).cast("long").alias("cached_tokens"))
 
 
 def token_usage(usage: DataFrame) -> DataFrame:

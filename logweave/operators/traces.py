@@ -58,6 +58,16 @@ def group_traces(indexed: DataFrame, value: str = "template", key: str = "trace_
                     F.transform("es", lambda e: e["idx"]).alias("idx"))
 
 
+def trace_parts(indexed: DataFrame, value: str = "template", key: str = "trace_id",
+                part_size: int = PART_SIZE) -> DataFrame:
+    """``group_traces`` plus ``is_last`` (the part holding the trace's last line), so texts get
+    their START marker on the first part and their END marker on the last one."""
+    g = group_traces(indexed, value, key, part_size)
+    last = indexed.groupBy(key).agg(F.floor(F.max("idx") / part_size).cast("long").alias("_lp"))
+    return (g.join(last, key)
+            .withColumn("is_last", F.col("part") == F.col("_lp")).drop("_lp"))
+
+
 def with_trace_text(seqs: DataFrame, last_part: str | None = None) -> DataFrame:
     """``text`` = TRACE START, lines, TRACE END (markers on first / last part only)."""
     first = F.col("part") == 0

@@ -11,7 +11,7 @@ from logweave.operators import flows as FL
 from logweave.operators import splits as SP
 from logweave.operators.traces import line_index, trace_start
 from logweave.session import cut_lineage
-from logweave.sources.tables import log_lines, trace_lines
+from logweave.sources.tables import conv_lines, log_lines, trace_lines
 
 
 def indexed_fresh(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,15 +92,25 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conv_traces(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations as traces: ordered ``role: text`` lines, trace text and line offsets."""
+    """Conversations as traces: ordered ``role: text`` lines in parts of at most 4096 turns,
+    the part's text (START marker on the first part, END on the last) and line offsets.
+    A part is the scoring unit (``unit`` = trace id, ``#part`` appended after the first)."""
     from logweave.functions import text as T
-    from logweave.operators.traces import group_traces, line_index_by_number
-    from logweave.sources.tables import conv_lines
+    from logweave.operators.traces import line_index_by_number, trace_parts
 
     ix = line_index_by_number(conv_lines(spark, sf))
-    g = group_traces(ix, value="line").where(F.col("part") == 0)
-    return g.select("trace_id", "lines", T.trace_text(F.col("lines")).alias("text"),
-                    T.line_char_offsets(F.col("lines")).alias("starts"))
+    g = trace_parts(ix, value="line")
+    first = F.col("part") == 0
+    start = len(T.TRACE_START) + 1
+    text = F.concat(F.when(first, F.lit(T.TRACE_START + "\n")).otherwise(F.lit("")),
+                    F.array_join("lines", "\n"),
+                    F.when(F.col("is_last"), F.lit("\n" + T.TRACE_END)).otherwise(F.lit("")))
+    offsets = F.aggregate("lines", F.array(F.when(first, F.lit(start)).otherwise(F.lit(0))),
+                          lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1)))
+    unit = F.when(first, F.col("trace_id")).otherwise(
+        F.concat(F.col("trace_id"), F.lit("#"), F.col("part").cast("string")))
+    return g.select(unit.alias("trace_id"), F.col("trace_id").alias("conversation"), "part", "lines",
+                    text.alias("text"), offsets.alias("starts"))
 
 
 def conv_tokens(traces: DataFrame, width: int = 4) -> DataFrame:

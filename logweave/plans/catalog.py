@@ -863,10 +863,12 @@ def _flow_doc_text() -> str:
 
 
 def _prompts(spark, sf, answers_df=None):
-    g = TR.group_traces(B.indexed(spark, sf)).where(F.col("part") == 0)
+    """One prompt per trace part (at most 4096 lines); lines keep their trace-wide numbers."""
+    g = TR.group_traces(B.indexed(spark, sf))
     system = SYSTEM_PROMPT + "\n\nExpected flows:\n" + _flow_doc_text()
-    return g.select("trace_id", F.lit(system).alias("system"),
-                    T.numbered_lines(F.col("lines")).alias("user")), len(system)
+    numbered = F.array_join(F.transform(F.arrays_zip("idx", "lines"), lambda e: F.concat(
+        e["idx"].cast("string"), F.lit(": "), e["lines"])), "\n")
+    return g.select("trace_id", "part", F.lit(system).alias("system"), numbered.alias("user")), len(system)
 
 
 _SYS_LEN = None
@@ -1250,10 +1252,12 @@ def scan_labelled_jsonl(spark, sf):
     g = TR.group_traces(lines.withColumn("tid", F.format_string("T%03d", "id")), value="tid")
     r = TR.group_traces(lines, value="raw")
     ans = B.answers(spark, sf).select("trace_id", "explanation")
-    rec = (lab.join(g.where(F.col("part") == 0).select("trace_id", F.col("lines").alias("template_ids")), "trace_id")
-           .join(r.where(F.col("part") == 0).select("trace_id", F.col("lines").alias("raw_lines")), "trace_id")
+    # one record per trace part (a part holds at most 4096 lines; most traces have one)
+    rec = (lab.join(g.select("trace_id", "part", F.col("lines").alias("template_ids")), "trace_id")
+           .join(r.select("trace_id", "part", F.col("lines").alias("raw_lines")), ["trace_id", "part"])
            .join(ans, "trace_id")
-           .select("trace_id", "flow", F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("start"),
+           .select("trace_id", "part", "flow",
+                   F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("start"),
                    "template_ids",
                    F.when(F.col("label") == 1, "anomalous").otherwise("normal").alias("expected_verdict"),
                    "anomaly_type",
@@ -1262,10 +1266,10 @@ def scan_labelled_jsonl(spark, sf):
     out = scratch_path(spark, "labelled-jsonl")
     rec.write.json(out)
     j = FS.scan_labelled_jsonl(spark, out)
-    return j.select("trace_id", "flow", "expected_verdict", "anomaly_type", "first_deviation_index",
-                    F.size("template_ids").cast("long").alias("n_templates"),
-                    F.element_at("template_ids", 1).alias("first_template"),
-                    F.size("raw_lines").cast("long").alias("n_raw_lines"))
+    return j.groupBy("trace_id", "flow", "expected_verdict", "anomaly_type", "first_deviation_index").agg(
+        F.sum(F.size("template_ids")).cast("long").alias("n_templates"),
+        F.min_by(F.element_at("template_ids", 1), "part").alias("first_template"),
+        F.sum(F.size("raw_lines")).cast("long").alias("n_raw_lines"))
 
 
 def _step_rows_sql() -> str:
@@ -1396,8 +1400,13 @@ def sink_split_logs(spark, sf):
     lines = lws.join(raw, "line_no").withColumn("order_key", SP.hash_key(F.col("trace_id")))
     out = scratch_path(spark, "split-logs")
     WR.sink_split_logs(lines, out)
-    r = FS._numbered(spark.read.text(f"{out}/*/*.txt"))
-    return r.select(F.regexp_extract("file", r"split=(\w+)", 1).alias("split"), "line_no", "value")
+    r = FS._numbered(spark.read.text(f"{out}/*/*.txt")).withColumn(
+        "split", F.regexp_extract("file", r"split=(\w+)", 1))
+    # number lines across the split's ordered part files (chunked by file)
+    from logweave.operators.ranking import rank_within
+
+    r = rank_within(r, ["split"], [F.col("file"), F.col("line_no")], F.col("file"), "n")
+    return r.select("split", F.col("n").alias("line_no"), "value")
 
 
 @query("dataset_manifest", W(LL, CONF, TRUTH, SPLITS, _data_hash_sql()) + """
@@ -1615,7 +1624,7 @@ SELECT l.trace_id, CAST(max(length(t.template)) AS DOUBLE) AS score,
 FROM labelled l JOIN tl t ON t.trace_id = l.trace_id GROUP BY l.trace_id""")
 def udf_scorer(spark, sf):
     test = B.labelled(spark, sf).select("trace_id")
-    seqs = TR.group_traces(B.indexed(spark, sf).join(test, "trace_id")).where(F.col("part") == 0)
+    seqs = TR.group_traces(B.indexed(spark, sf).join(test, "trace_id"))
     return PL.run_scorer(seqs, PL.longest_line_scorer).select("trace_id", "score", "worst_index")
 
 
@@ -1626,5 +1635,5 @@ SELECT l.trace_id, CASE WHEN min(t.idx) FILTER (WHERE contains(CAST(t.idx AS VAR
 FROM labelled l JOIN tl t ON t.trace_id = l.trace_id GROUP BY l.trace_id""")
 def udf_answerer(spark, sf):
     test = B.labelled(spark, sf).select("trace_id")
-    seqs = TR.group_traces(B.indexed(spark, sf).join(test, "trace_id")).where(F.col("part") == 0)
+    seqs = TR.group_traces(B.indexed(spark, sf).join(test, "trace_id"))
     return PL.run_answerer(seqs).select("trace_id", "verdict", "first_deviation_line")

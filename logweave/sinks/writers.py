@@ -56,10 +56,14 @@ def sink_scores(det: DataFrame, path: str) -> None:
     ).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
-def sink_split_logs(lines: DataFrame, path: str) -> None:
-    """One raw log per split: lines grouped by trace (trace order = split order key), in line
-    order inside a trace. ``lines``: split, order_key, trace_id, idx, raw."""
-    (lines.repartition("split").sortWithinPartitions("split", "order_key", "trace_id", "idx")
+def sink_split_logs(lines: DataFrame, path: str, n_files: int | None = None) -> None:
+    """One raw log per split as ordered part files: lines grouped by trace (trace order =
+    ``order_key``), in line order inside a trace. Range partitioning splits a large split over
+    many tasks; part files in name order concatenate to the split's log.
+    ``lines``: split, order_key, trace_id, idx, raw."""
+    n = n_files or lines.sparkSession.sparkContext.defaultParallelism
+    keys = ["split", "order_key", "trace_id", "idx"]
+    (lines.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
      .select("split", F.col("raw").alias("value"))
      .write.mode("overwrite").partitionBy("split").text(path))
 

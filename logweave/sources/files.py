@@ -12,7 +12,7 @@ from logweave.functions.text import PROD_LINE_PATTERN, V1_LINE_PATTERN, content,
 from logweave.operators.ranking import rank_within
 
 LABEL_SCHEMA = "trace_id string, label int, anomaly_type string, first_deviation_index int"
-LABELLED_SCHEMA = ("trace_id string, flow string, start string, template_ids array<string>, "
+LABELLED_SCHEMA = ("trace_id string, part long, flow string, start string, template_ids array<string>, "
                    "expected_verdict string, anomaly_type string, first_deviation_index string, "
                    "explanation string, raw_lines array<string>")
 INCIDENT_SCHEMA = ("id string, title string, flow string, precursor_start string, start string, "
