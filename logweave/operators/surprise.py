@@ -75,9 +75,12 @@ def token_lines(tokens: DataFrame, starts: DataFrame) -> DataFrame:
     stripped = F.regexp_replace("span", r"^\s+", "")  # whitespace incl. newlines
     pos = F.when(F.length(stripped) > 0,
                  F.col("s") + F.length("span") - F.length(stripped)).otherwise(F.col("s"))
+    # the position is computed once per token, before the lookup (a lambda would re-evaluate
+    # the regex per array element)
+    t = t.select("trace_id", "tok", "nll", pos.alias("_pos"))
     j = t.join(starts.select("trace_id", "starts"), "trace_id")
     return j.select("trace_id", "tok", "nll",
-                    (F.size(F.filter("starts", lambda x: x <= pos)) - 1).alias("line"))
+                    (F.size(F.filter("starts", lambda x: x <= F.col("_pos"))) - 1).alias("line"))
 
 
 def token_to_line_loss(tokens: DataFrame, starts: DataFrame) -> DataFrame:

@@ -115,16 +115,14 @@ def conv_traces(spark: SparkSession, sf: str) -> DataFrame:
 
 def conv_tokens(traces: DataFrame, width: int = 4) -> DataFrame:
     """Fixed-width character tokens of each trace text with a loss derived from the token
-    text (a deterministic stand-in for a model's per-token loss)."""
-    n = F.length("text")
-    t = traces.select("trace_id", "text", F.explode(
-        F.sequence(F.lit(0), F.greatest(F.ceil(n / width).cast("int") - 1, F.lit(0)))).alias("tok"))
+    text (a deterministic stand-in for a model's per-token loss). The text is cut into spans
+    inside the row (one regex pass), so token rows never carry the whole text."""
+    spans = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{width}}}"), 0)
+    t = traces.select("trace_id", F.posexplode(spans).alias("tok", "span"))
     s = F.col("tok") * width
-    e = F.least(s + width, F.length("text"))
-    span = F.substring("text", (s + 1).cast("int"), (e - s).cast("int"))
-    nll = F.pmod(F.ascii(span), F.lit(13)) / 4.0 + 0.25 * (e - s)
+    nll = F.pmod(F.ascii("span"), F.lit(13)) / 4.0 + 0.25 * F.length("span")
     return t.select("trace_id", F.col("tok").cast("int").alias("tok"), s.cast("int").alias("s"),
-                    e.cast("int").alias("e"), span.alias("span"), nll.cast("double").alias("nll"))
+                    (s + F.length("span")).cast("int").alias("e"), "span", nll.cast("double").alias("nll"))
 
 
 def train_and_scored(spark: SparkSession, sf: str):

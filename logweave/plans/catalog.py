@@ -1050,50 +1050,67 @@ rm3 AS (
   FROM rm2)""")
 
 
+def _test_ids(spark, sf):
+    return B.splits(spark, sf).where(F.col("split") == "test").select("trace_id")
+
+
+def _lab(spark, sf):
+    return B.truth(spark, sf).join(_test_ids(spark, sf), "trace_id").select(
+        "trace_id", "label", "anomaly_type", "first_deviation_index")
+
+
+_DET_COLS = ["trace_id", "label", "anomaly_type", "flagged", "score", "pred_index",
+             "first_deviation_index", "worst_line_text"]
+
+
+def _det_kw(spark, sf):
+    kw = D.keyword_match(B.indexed(spark, sf).join(_test_ids(spark, sf), "trace_id"))
+    return _lab(spark, sf).join(kw, "trace_id").select(
+        *[F.lit(None).cast("double").alias(c) if c == "score" else c for c in _DET_COLS])
+
+
+def _det_ans(spark, sf):
+    ans = AN.answer_parse(AN.answers_json(B.answers(spark, sf)))
+    return _lab(spark, sf).join(ans.select("trace_id", "flagged", "pred_index", "worst_line_text"),
+                                "trace_id").select(
+        *[F.lit(None).cast("double").alias(c) if c == "score" else c for c in _DET_COLS])
+
+
 def _det_rows(spark, sf):
+    """The three detection tables of the test split, each cut once (a few dozen rows per
+    labelled trace set) so the payload metrics do not re-run the detectors."""
+    from logweave.session import cut_lineage
+
     det_sur, thr = _surprise_detections(spark, sf)
-    t = B.truth(spark, sf)
-    test = B.splits(spark, sf).where(F.col("split") == "test").select("trace_id")
-    lab = t.join(test, "trace_id").select("trace_id", "label", "anomaly_type", "first_deviation_index")
-    ix = B.indexed(spark, sf)
-    kw = D.keyword_match(ix.join(test, "trace_id"))
-    det_kw = lab.join(kw, "trace_id").select(
-        "trace_id", "label", "anomaly_type", "flagged", F.lit(None).cast("double").alias("score"),
-        "pred_index", "first_deviation_index", "worst_line_text")
-    ans = AN.answer_parse(AN.answers_json(B.answers(spark, sf)))
-    det_ans = lab.join(ans.select("trace_id", "flagged", "pred_index", "worst_line_text"), "trace_id").select(
-        "trace_id", "label", "anomaly_type", "flagged", F.lit(None).cast("double").alias("score"),
-        "pred_index", "first_deviation_index", "worst_line_text")
-    det_sur = det_sur.select("trace_id", "label", "anomaly_type", "flagged", "score", "pred_index",
-                             "first_deviation_index", "worst_line_text")
-    return {"kw": det_kw, "ans": det_ans, "sur": det_sur, "thr": thr, "test": test, "truth": t}
+    return {"kw": cut_lineage(_det_kw(spark, sf)), "ans": cut_lineage(_det_ans(spark, sf)),
+            "sur": cut_lineage(det_sur.select(*_DET_COLS)), "thr": thr,
+            "test": _test_ids(spark, sf), "truth": B.truth(spark, sf)}
 
 
 @query("join_labels", W(_DETS[5:]) + """
 SELECT trace_id, label, anomaly_type, flagged, pred_index, first_deviation_index FROM det_kw""")
 def join_labels(spark, sf):
-    d = _det_rows(spark, sf)["kw"]
+    d = _det_kw(spark, sf)
     return d.select("trace_id", "label", "anomaly_type", "flagged", "pred_index", "first_deviation_index")
 
 
 @query("keyword_eval", W(_DETS[5:], CLASS_METRICS_SQL.format(src="det_kw")))
 def keyword_eval(spark, sf):
-    return M.classification_metrics(_det_rows(spark, sf)["kw"])
+    return M.classification_metrics(_det_kw(spark, sf))
 
 
 @query("conformance_eval", W(_DETS[5:], CLASS_METRICS_SQL.format(src="det_ans")))
 def conformance_eval(spark, sf):
-    return M.classification_metrics(_det_rows(spark, sf)["ans"])
+    return M.classification_metrics(_det_ans(spark, sf))
 
 
 @query("join_results", W(_DETS[5:]) + """
 SELECT a.trace_id, n.user_text, d.flagged FROM det_ans d JOIN answers a ON a.trace_id = d.trace_id
 JOIN numb n ON n.trace_id = a.trace_id""")
 def join_results(spark, sf):
-    d = _det_rows(spark, sf)
     prompts, _ = _prompts(spark, sf)
-    seqs = prompts.join(d["test"], "trace_id")
-    res = d["ans"].select("trace_id", "flagged")
+    seqs = prompts.join(_test_ids(spark, sf), "trace_id")
+    res = _det_ans(spark, sf).select("trace_id", "flagged")
     j = seqs.join(res, "trace_id")
     # both sides must have the same traces (the reference zips them strictly)
     n_seq, n_res, n_j = seqs.count(), res.count(), j.count()
@@ -1202,7 +1219,7 @@ SELECT trace_id, label, anomaly_type, coalesce(printf('%.6f', floor((score) * 10
   CAST(flagged AS INTEGER) AS flagged, coalesce(CAST(pred_index AS VARCHAR), '') AS worst_line_index,
   coalesce(worst_line_text, '') AS worst_line_text FROM sdet""")
 def sink_scores(spark, sf):
-    det = _det_rows(spark, sf)["sur"]
+    det = _surprise_detections(spark, sf)[0]
     out = scratch_path(spark, "scores")
     WR.sink_scores(det, out)
     return spark.read.csv(out, header=True, schema=(
