@@ -129,3 +129,28 @@ def train_and_scored(spark: SparkSession, sf: str):
     """(indexed lines with split, truth) for the surprise model."""
     ix = indexed(spark, sf).select("trace_id", "idx", "template").join(splits(spark, sf), "trace_id")
     return ix, truth(spark, sf)
+
+
+_MEMO: dict[tuple[str, str, str], object] = {}
+
+
+def memo_table(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A derived table written once per application into the shared folder and read back by
+    every later query (same pattern as ``prepared``)."""
+    from logweave.session import scratch_path
+
+    key = (spark.sparkContext.applicationId, sf, name)
+    path = _MEMO.get(key)
+    if path is None:
+        path = scratch_path(spark, f"memo-{name}")
+        build().write.mode("overwrite").parquet(path)
+        _MEMO[key] = path
+    return spark.read.parquet(path)
+
+
+def memo_value(spark: SparkSession, sf: str, name: str, compute):
+    """A small driver-side result (a threshold, a folder name) computed once per application."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _MEMO:
+        _MEMO[key] = compute()
+    return _MEMO[key]

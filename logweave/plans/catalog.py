@@ -669,17 +669,16 @@ def _surprise(spark, sf):
 
 
 def _trace_scores(spark, sf):
-    ix, t, model, ls = _surprise(spark, sf)
-    ts = SU.trace_surprise(ls).join(ix.select("trace_id", "split").distinct(), "trace_id")
-    return ts, t
+    def build():
+        ix, _, model, ls = _surprise(spark, sf)
+        return SU.trace_surprise(ls).join(ix.select("trace_id", "split").distinct(), "trace_id")
+    return B.memo_table(spark, sf, "trace_scores", build), B.truth(spark, sf)
 
 
 def _surprise_detections(spark, sf):
-    from logweave.session import cut_lineage
-
     ts, t = _trace_scores(spark, sf)
-    ts = cut_lineage(ts)
-    thr = M.exact_percentile(ts.where(F.col("split") == "val"), "score", 99.0)
+    thr = B.memo_value(spark, sf, "threshold", lambda: M.exact_percentile(
+        ts.where(F.col("split") == "val"), "score", 99.0))
     det = ts.where(F.col("split") == "test").join(
         t.select("trace_id", "label", "anomaly_type", "first_deviation_index"), "trace_id")
     return M.threshold_flag(det, thr), thr
@@ -862,9 +861,13 @@ def _flow_doc_text() -> str:
     return yaml.safe_dump(FL.flows_document(), sort_keys=True)
 
 
-def _prompts(spark, sf, answers_df=None):
-    """One prompt per trace part (at most 4096 lines); lines keep their trace-wide numbers."""
-    g = TR.group_traces(B.indexed(spark, sf))
+def _prompts(spark, sf, traces=None):
+    """One prompt per trace part (at most 4096 lines); lines keep their trace-wide numbers.
+    ``traces`` (trace ids) restricts the prompts before grouping."""
+    ix = B.indexed(spark, sf)
+    if traces is not None:
+        ix = ix.join(traces, "trace_id")
+    g = TR.group_traces(ix)
     system = SYSTEM_PROMPT + "\n\nExpected flows:\n" + _flow_doc_text()
     numbered = F.array_join(F.transform(F.arrays_zip("idx", "lines"), lambda e: F.concat(
         e["idx"].cast("string"), F.lit(": "), e["lines"])), "\n")
@@ -894,8 +897,8 @@ usage AS (
   FROM answers a JOIN numb n ON n.trace_id = a.trace_id)"""
 
 
-def _usage(spark, sf):
-    prompts, n_sys = _prompts(spark, sf)
+def _usage(spark, sf, traces=None):
+    prompts, n_sys = _prompts(spark, sf, traces)
     return AN.usage_table(prompts, AN.answers_json(B.answers(spark, sf)), n_sys)
 
 
@@ -1082,9 +1085,10 @@ def _det_rows(spark, sf):
     from logweave.session import cut_lineage
 
     det_sur, thr = _surprise_detections(spark, sf)
-    return {"kw": cut_lineage(_det_kw(spark, sf)), "ans": cut_lineage(_det_ans(spark, sf)),
-            "sur": cut_lineage(det_sur.select(*_DET_COLS)), "thr": thr,
-            "test": _test_ids(spark, sf), "truth": B.truth(spark, sf)}
+    return {"kw": B.memo_table(spark, sf, "det_kw", lambda: _det_kw(spark, sf)),
+            "ans": B.memo_table(spark, sf, "det_ans", lambda: _det_ans(spark, sf)),
+            "sur": B.memo_table(spark, sf, "det_sur", lambda: det_sur.select(*_DET_COLS)),
+            "thr": thr, "test": _test_ids(spark, sf), "truth": B.truth(spark, sf)}
 
 
 @query("join_labels", W(_DETS[5:]) + """
@@ -1120,12 +1124,15 @@ def join_results(spark, sf):
 
 
 def _payloads(spark, sf):
+    return B.memo_value(spark, sf, "run_payloads", lambda: _write_payloads(spark, sf))
+
+
+def _write_payloads(spark, sf):
     d = _det_rows(spark, sf)
-    u = AN.token_usage(_usage(spark, sf).join(d["test"], "trace_id")).first()
-    ix = B.indexed(spark, sf)
-    test_lines = ix.join(d["test"], "trace_id").count()
-    sp = B.splits(spark, sf)
-    train_lines = ix.join(sp.where(F.col("split") == "train"), "trace_id").count()
+    u = AN.token_usage(_usage(spark, sf, d["test"])).first()
+    sizes = {r["split"]: r["n"] for r in B.lines_with_split(spark, sf).groupBy("split")
+             .agg(F.count("*").alias("n")).collect()}  # one row per split
+    test_lines, train_lines = sizes.get("test", 0), sizes.get("train", 0)
     dl = F.lit(None).cast("double")
     lg = F.lit(None).cast("long")
     runs = [
@@ -1143,8 +1150,7 @@ def _payloads(spark, sf):
                         "cost_per_1000": dl}),
     ]
     root = scratch_path(spark, "runs")
-    for r in runs:
-        rid = r.select("run_id").first()[0]
+    for rid, r in zip(["r1-keywords", "r2-answers", "r3-surprise"], runs):
         WR.sink_json_row(r, f"{root}/{rid}/eval/metrics.json")
     return root
 
