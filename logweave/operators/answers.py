@@ -75,21 +75,21 @@ def token_usage(usage: DataFrame) -> DataFrame:
                      F.count("*").alias("n_calls"))
 
 
-def run_payload(det: DataFrame, method: str, run_id: str, variant: str, split: str,
-                threshold: float | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
-    """One-row evaluation payload with nested metrics (what ``metrics.json`` holds)."""
-    m = M.classification_metrics(det)
-    auc = M.auroc(det)
-    rpt = M.recall_per_type(det).agg(F.map_from_entries(F.collect_list(F.struct(
-        "anomaly_type", F.struct("n", "flagged", "recall")))).alias("recall_per_type"))
-    one = m.join(auc, how="inner", on=F.lit(True)).join(rpt, how="inner", on=F.lit(True))
-    metric_cols = [c for c in m.columns] + ["auroc", "recall_per_type"]
-    cols = [F.lit(method).alias("method"), F.lit(run_id).alias("run_id"),
-            F.lit(variant).alias("variant"), F.lit(split).alias("split"),
-            F.lit(threshold).cast("double").alias("threshold"),
-            F.struct(*metric_cols).alias("metrics")]
-    cols += [v.alias(k) for k, v in (extra or {}).items()]
-    return one.select(*cols)
+def run_payloads(dets: DataFrame, runs: DataFrame) -> DataFrame:
+    """Evaluation payloads (what each ``metrics.json`` holds), all runs in one pass: ``dets``
+    are detection records tagged with ``run_id``; ``runs`` has one row per run with method,
+    variant, split, threshold and the usage columns."""
+    by = ["run_id"]
+    m = M.classification_metrics(dets, by)
+    auc = M.auroc(dets, by=by)
+    rpt = M.recall_per_type(dets, by).groupBy("run_id").agg(F.map_from_entries(F.collect_list(
+        F.struct("anomaly_type", F.struct("n", "flagged", "recall")))).alias("recall_per_type"))
+    one = m.join(auc, "run_id", "left").join(rpt, "run_id", "left")
+    metric_cols = [c for c in m.columns if c != "run_id"] + ["auroc", "recall_per_type"]
+    j = runs.join(one.select("run_id", F.struct(*metric_cols).alias("metrics")), "run_id", "left")
+    return j.select("method", "run_id", "variant", "split", "threshold", "metrics",
+                    *[c for c in runs.columns if c not in ("method", "run_id", "variant", "split",
+                                                             "threshold")])
 
 
 def run_costs(runs: DataFrame, prices: DataFrame) -> DataFrame:

@@ -36,12 +36,13 @@ def confusion_matrix(det: DataFrame) -> DataFrame:
                    F.count_if(~pos & flg).alias("fp"), F.count_if(~pos & ~flg).alias("tn"))
 
 
-def classification_metrics(det: DataFrame) -> DataFrame:
+def classification_metrics(det: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counts, precision, recall, F1 (null if P or R is null, 0.0 if both are 0), FPR, and
-    the localisation rate among true positives."""
+    the localisation rate among true positives; per group of ``by`` (e.g. run id) if given."""
+    by = list(by or [])
     pos, flg = F.col("label") == 1, F.col("flagged")
     hit = localisation_hit(F.col("pred_index"), F.col("first_deviation_index"))
-    c = det.agg(
+    c = det.groupBy(*by).agg(
         F.count("*").alias("n_traces"),
         F.count_if(pos & flg).alias("tp"), F.count_if(pos & ~flg).alias("fn"),
         F.count_if(~pos & flg).alias("fp"), F.count_if(~pos & ~flg).alias("tn"),
@@ -54,7 +55,7 @@ def classification_metrics(det: DataFrame) -> DataFrame:
                 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
           .otherwise(F.lit(0.0)))
     return c.select(
-        "n_traces", (F.col("fp") + F.col("tn")).alias("n_normal"),
+        *by, "n_traces", (F.col("fp") + F.col("tn")).alias("n_normal"),
         (F.col("tp") + F.col("fn")).alias("n_anomalous"), "tp", "fp", "fn", "tn",
         _r(F.col("precision")).alias("precision"), _r(F.col("recall")).alias("recall"),
         _r(f1.cast("double")).alias("f1"),
@@ -63,15 +64,17 @@ def classification_metrics(det: DataFrame) -> DataFrame:
         "localisation_hits", F.col("tp").alias("localisation_n"))
 
 
-def recall_per_type(det: DataFrame) -> DataFrame:
+def recall_per_type(det: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per anomaly type that occurs with label 1: n over all records of the type, flagged,
     recall. Ordered by type."""
-    g = det.groupBy("anomaly_type").agg(
+    by = list(by or [])
+    g = det.groupBy(*by, "anomaly_type").agg(
         F.count("*").alias("n"), F.count_if(F.col("flagged")).alias("flagged"),
         F.max("label").alias("_maxl"))
     return (g.where(F.col("_maxl") == 1)
-            .select("anomaly_type", "n", "flagged", _r(F.col("flagged") / F.col("n")).alias("recall"))
-            .orderBy("anomaly_type"))
+            .select(*by, "anomaly_type", "n", "flagged",
+                    _r(F.col("flagged") / F.col("n")).alias("recall"))
+            .orderBy(*by, "anomaly_type"))
 
 
 def recall_per_type_map(det: DataFrame) -> DataFrame:
@@ -81,29 +84,31 @@ def recall_per_type_map(det: DataFrame) -> DataFrame:
         "anomaly_type", F.struct("n", "flagged", "recall"))))).alias("recall_per_type"))
 
 
-def auroc(det: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def auroc(det: DataFrame, score: str = "score", label: str = "label",
+          by: list[str] | None = None) -> DataFrame:
     """Rank AUROC with average ranks for ties (Mann-Whitney U / (P*N)).
 
     Null when a class is missing or when any record has no score. Records are reduced to
     distinct scores first (the null score is one group); the count of negatives below each
     score is a chunked running total; one final aggregate gives U, P, N and the null count.
     """
-    d = det.groupBy(score).agg(
+    by = list(by or [])
+    d = det.groupBy(*by, score).agg(
         F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) == 0).alias("n_neg"),
         F.count("*").alias("n_all"))
     chunk = F.coalesce(quantile_chunk(d.where(F.col(score).isNotNull()), score), F.lit(-1))
-    d = running_total(d, [], [F.col(score)], chunk,
+    d = running_total(d, by, [F.col(score)], chunk,
                       {"neg_below": F.when(F.col(score).isNotNull(), F.col("n_neg")).otherwise(0)},
                       inclusive=False)
     scored = F.col(score).isNotNull()
-    a = d.agg(
+    a = d.groupBy(*by).agg(
         F.sum(F.when(scored, F.col("n_pos") * (F.col("neg_below") + F.col("n_neg") * 0.5)))
         .alias("U"),
         F.sum("n_pos").alias("n_p"), F.sum("n_neg").alias("n_n"), F.sum("n_all").alias("n_total"),
         F.sum(F.when(~scored, F.col("n_all")).otherwise(0)).alias("n_unscored"))
     ok = ((F.col("n_total") > 0) & (F.col("n_unscored") == 0) & (F.col("n_p") > 0)
           & (F.col("n_n") > 0))
-    return a.select(_r(F.when(ok, F.col("U") / (F.col("n_p") * F.col("n_n")))).alias("auroc"))
+    return a.select(*by, _r(F.when(ok, F.col("U") / (F.col("n_p") * F.col("n_n")))).alias("auroc"))
 
 
 def exact_percentile(df: DataFrame, value: str, pct: float) -> float | None:

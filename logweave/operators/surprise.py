@@ -80,7 +80,7 @@ def token_lines(tokens: DataFrame, starts: DataFrame) -> DataFrame:
     t = t.select("trace_id", "tok", "nll", pos.alias("_pos"))
     j = t.join(starts.select("trace_id", "starts"), "trace_id")
     return j.select("trace_id", "tok", "nll",
-                    (F.size(F.filter("starts", lambda x: x <= F.col("_pos"))) - 1).alias("line"))
+                    (F.size(F.filter("starts", lambda x: x <= F.col("_pos"))) - 1).cast("long").alias("line"))
 
 
 def token_to_line_loss(tokens: DataFrame, starts: DataFrame) -> DataFrame:

@@ -1073,7 +1073,7 @@ def _det_kw(spark, sf):
 
 
 def _det_ans(spark, sf):
-    ans = AN.answer_parse(AN.answers_json(B.answers(spark, sf)))
+    ans = AN.answer_parse(AN.answers_json(B.answers(spark, sf).join(_test_ids(spark, sf), "trace_id")))
     return _lab(spark, sf).join(ans.select("trace_id", "flagged", "pred_index", "worst_line_text"),
                                 "trace_id").select(
         *[F.lit(None).cast("double").alias(c) if c == "score" else c for c in _DET_COLS])
@@ -1133,25 +1133,22 @@ def _write_payloads(spark, sf):
     sizes = {r["split"]: r["n"] for r in B.lines_with_split(spark, sf).groupBy("split")
              .agg(F.count("*").alias("n")).collect()}  # one row per split
     test_lines, train_lines = sizes.get("test", 0), sizes.get("train", 0)
-    dl = F.lit(None).cast("double")
-    lg = F.lit(None).cast("long")
-    runs = [
-        AN.run_payload(d["kw"], "keywords", "r1-keywords", "keywords", "test", None,
-                       {"input_tokens": lg, "output_tokens": lg, "scoring_seconds": dl,
-                        "training_seconds": dl, "cost_per_1000": F.lit(0.0)}),
-        AN.run_payload(d["ans"], "answers", "r2-answers", "flow rules", "test", None,
-                       {"input_tokens": F.lit(u["input_tokens"]).cast("long"),
-                        "output_tokens": F.lit(u["output_tokens"]).cast("long"),
-                        "scoring_seconds": dl, "training_seconds": dl, "cost_per_1000": dl}),
-        AN.run_payload(d["sur"], "surprise", "r3-surprise", "transition model a=0.1", "test", d["thr"],
-                       {"input_tokens": lg, "output_tokens": lg,
-                        "scoring_seconds": F.lit(test_lines * SCORE_SECONDS_PER_LINE),
-                        "training_seconds": F.lit(train_lines * TRAIN_SECONDS_PER_LINE),
-                        "cost_per_1000": dl}),
-    ]
+    runs = spark.createDataFrame([
+        ("keywords", "r1-keywords", "keywords", "test", None, None, None, None, None, 0.0),
+        ("answers", "r2-answers", "flow rules", "test", None, u["input_tokens"], u["output_tokens"],
+         None, None, None),
+        ("surprise", "r3-surprise", "transition model a=0.1", "test", d["thr"], None, None,
+         test_lines * SCORE_SECONDS_PER_LINE, train_lines * TRAIN_SECONDS_PER_LINE, None),
+    ], "method string, run_id string, variant string, split string, threshold double, "
+       "input_tokens long, output_tokens long, scoring_seconds double, training_seconds double, "
+       "cost_per_1000 double")
+    dets = (d["kw"].withColumn("run_id", F.lit("r1-keywords"))
+            .unionByName(d["ans"].withColumn("run_id", F.lit("r2-answers")))
+            .unionByName(d["sur"].withColumn("run_id", F.lit("r3-surprise"))))
+    payloads = B.memo_table(spark, sf, "payloads", lambda: AN.run_payloads(dets, runs))
     root = scratch_path(spark, "runs")
-    for rid, r in zip(["r1-keywords", "r2-answers", "r3-surprise"], runs):
-        WR.sink_json_row(r, f"{root}/{rid}/eval/metrics.json")
+    for rid in ["r1-keywords", "r2-answers", "r3-surprise"]:
+        WR.sink_json_row(payloads.where(F.col("run_id") == rid), f"{root}/{rid}/eval/metrics.json")
     return root
 
 
@@ -1445,9 +1442,9 @@ def dataset_manifest(spark, sf):
     ll = log_lines(spark, sf).agg(F.count("*").alias("n_lines"),
                                   F.count_distinct("template").alias("n_templates")).first()
     h = _data_hash(spark, sf).first()[0]
-    return t.agg(F.lit(ll["n_lines"]).alias("n_lines"), F.count("*").alias("n_traces"),
+    return t.agg(F.lit(ll["n_lines"]).cast("long").alias("n_lines"), F.count("*").alias("n_traces"),
                  F.sum("label").cast("long").alias("n_anomalous"),
-                 F.lit(ll["n_templates"]).alias("n_templates"),
+                 F.lit(ll["n_templates"]).cast("long").alias("n_templates"),
                  F.count_if(F.col("split") == "test").alias("n_labelled"),
                  F.count_if(F.col("split") == "train").alias("n_train"),
                  F.count_if(F.col("split") == "val").alias("n_val"), F.lit(h).alias("data_sha256"))
@@ -1536,7 +1533,7 @@ _DECLARED = [("test", "anomalous", SP.SELECTION["anomalous"]), ("test", "normal"
                             """act AS (SELECT 'test' AS split, CASE WHEN label = 1 THEN 'anomalous' ELSE 'normal' END AS anomaly_type,
   count(*) AS actual FROM labelled GROUP BY 2)""") + """
 SELECT coalesce(a.split, d.split) AS split, coalesce(a.anomaly_type, d.anomaly_type) AS anomaly_type,
-  a.actual, d.expected FROM act a FULL JOIN declared d ON d.split = a.split AND d.anomaly_type = a.anomaly_type
+  a.actual, CAST(d.expected AS BIGINT) AS expected FROM act a FULL JOIN declared d ON d.split = a.split AND d.anomaly_type = a.anomaly_type
 WHERE coalesce(a.actual, 0) <> coalesce(d.expected, 0)""")
 def dq_label_counts(spark, sf):
     lab = B.labelled(spark, sf).select(
@@ -1626,7 +1623,7 @@ def dq_line_counts(spark, sf):
     return Q.dq_line_counts(seqs, log_lines(spark, sf)).select("trace_id")
 
 
-@query("dq_manifest", W(LL) + "\nSELECT NULL AS file WHERE false")
+@query("dq_manifest", W(LL) + "\nSELECT CAST(NULL AS VARCHAR) AS file WHERE false")
 def dq_manifest(spark, sf):
     """Regenerate the day logs and compare checksums with the first write (the manifest)."""
     def sums(name):
