@@ -661,8 +661,9 @@ sdet AS (
 
 def _surprise(spark, sf):
     ix, t = B.train_and_scored(spark, sf)
-    model = SU.transition_model(ix.where(F.col("split") == "train"))
-    model = model.cache()  # (templates + 2)^2 rows at most; reused by every scoring branch
+    # (templates + 2)^2 rows at most; written once, read by every scoring branch
+    model = B.memo_table(spark, sf, "transition_model",
+                         lambda: SU.transition_model(ix.where(F.col("split") == "train")))
     v = SU.vocabulary_size(model)
     ls = SU.line_surprise(ix, model, vocab=v).join(ix.select("trace_id", "split").distinct(), "trace_id")
     return ix, t, model, ls
