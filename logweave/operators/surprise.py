@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions.text import TRACE_END, TRACE_START
+from logweave.functions.text import TRACE_END
 
 START, END, UNSEEN = "<START>", "<END>", "<UNSEEN>"
 ALPHA = 0.1

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from logweave.operators import flows as FL
 from logweave.operators import splits as SP
 from logweave.operators.traces import line_index, trace_start
-from logweave.session import cut_lineage
-from logweave.sources.tables import conv_lines, log_lines, trace_lines
+from logweave.sources.tables import conv_lines, trace_lines
 
 
 def indexed_fresh(spark: SparkSession, sf: str) -> DataFrame:

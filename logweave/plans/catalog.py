@@ -875,9 +875,6 @@ def _prompts(spark, sf, traces=None):
     return g.select("trace_id", "part", F.lit(system).alias("system"), numbered.alias("user")), len(system)
 
 
-_SYS_LEN = None
-
-
 def _system_len() -> int:
     return len(SYSTEM_PROMPT + "\n\nExpected flows:\n" + _flow_doc_text())
 
@@ -1293,10 +1290,6 @@ def scan_labelled_jsonl(spark, sf):
         F.sum(F.size("raw_lines")).cast("long").alias("n_raw_lines"))
 
 
-def _step_rows_sql() -> str:
-    return "f_match"
-
-
 @query("scan_flows", W(LL, CONF) + """
 SELECT m.flow, m.pos, n.step, m.template, count(l.line_no) AS n_lines
 FROM f_match m JOIN f_names n ON n.flow = m.flow AND n.pos = m.pos

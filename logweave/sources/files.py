@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.functions.text import PROD_LINE_PATTERN, V1_LINE_PATTERN, content, parse_prod, parse_v1
+from logweave.functions.text import content, parse_prod, parse_v1
 from logweave.operators.ranking import rank_within
 
 LABEL_SCHEMA = "trace_id string, label int, anomaly_type string, first_deviation_index int"
@@ -155,5 +155,3 @@ def file_checksums(spark: SparkSession, glob: str) -> DataFrame:
 def to_json_text(obj) -> str:
     return json.dumps(obj, indent=2, sort_keys=False)
 
-
-__all__ = ["V1_LINE_PATTERN", "PROD_LINE_PATTERN"]
