@@ -41,12 +41,20 @@ def error_level_match(indexed: DataFrame, line: str = "template",
         "first_deviation_line")
 
 
+def with_document_keywords(docs: DataFrame, text: str = "text",
+                           pattern: str = DOC_KEYWORDS) -> DataFrame:
+    """Add ``pred_index`` / ``worst_line_text``: the first line of the whole text matching the
+    keywords. Row-local (no shuffle); the line array and the match position are computed once
+    per row in their own projection, then reused."""
+    d = docs.withColumn("_lines", F.split(F.col(text), "\n"))
+    d = d.withColumn("_pos", F.array_position(
+        F.transform("_lines", lambda x: keyword_hit(x, pattern)), F.lit(True)))
+    p = F.col("_pos")
+    return d.select(*docs.columns, F.when(p > 0, (p - 1).cast("int")).alias("pred_index"),
+                    F.when(p > 0, F.element_at("_lines", p.cast("int"))).alias("worst_line_text"))
+
+
 def document_keywords(docs: DataFrame, text: str = "text", key: str = "trace_id",
                       pattern: str = DOC_KEYWORDS) -> DataFrame:
     """Keyword search over every line of whole documents (row-local, no shuffle)."""
-    lines = F.split(F.col(text), "\n")
-    pos = F.array_position(F.transform(lines, lambda x: keyword_hit(x, pattern)), F.lit(True))
-    idx = F.when(pos > 0, (pos - 1).cast("int"))
-    return docs.select(key, idx.alias("pred_index"),
-                       F.when(pos > 0, F.element_at(lines, pos.cast("int")))
-                       .alias("worst_line_text"))
+    return with_document_keywords(docs, text, pattern).select(key, "pred_index", "worst_line_text")

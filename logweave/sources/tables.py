@@ -79,24 +79,19 @@ def eval_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     label = 1 - quality; anomaly_type = lang for label 1 else ``none``; score = n_chars;
     first_deviation_index = doc_id % 5. ``flagged``/``pred_index`` come from the keyword
-    detector (``logweave.operators.detect.document_keywords``).
+    detector run over every line of the whole text.
     """
-    from logweave.operators.detect import document_keywords
+    from logweave.operators.detect import with_document_keywords
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
     labs = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    base = docs.join(labs, "doc_id")
+    base = with_document_keywords(docs.join(labs, "doc_id"))
     label = (F.lit(1) - F.col("quality")).cast("int")
-    base = base.select(
+    return base.select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("trace_id"),
-        "doc_id", "text",
-        label.alias("label"),
+        "doc_id", label.alias("label"),
         F.when(label == 1, F.col("lang")).otherwise(F.lit("none")).alias("anomaly_type"),
-        F.col("n_chars").cast("double").alias("score"),
-        F.pmod(F.col("doc_id"), F.lit(5)).cast("int").alias("first_deviation_index"))
-    hits = document_keywords(base.select("trace_id", "text"))
-    return (base.drop("text").join(hits, "trace_id", "left")
-            .select("trace_id", "doc_id", "label", "anomaly_type",
-                    F.col("pred_index").isNotNull().alias("flagged"), "score", "pred_index",
-                    "first_deviation_index",
-                    F.coalesce("worst_line_text", F.lit("")).alias("worst_line_text")))
+        F.col("pred_index").isNotNull().alias("flagged"),
+        F.col("n_chars").cast("double").alias("score"), "pred_index",
+        F.pmod(F.col("doc_id"), F.lit(5)).cast("int").alias("first_deviation_index"),
+        F.coalesce("worst_line_text", F.lit("")).alias("worst_line_text"))
