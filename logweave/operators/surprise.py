@@ -22,18 +22,26 @@ START, END, UNSEEN = "<START>", "<END>", "<UNSEEN>"
 ALPHA = 0.1
 
 
-def transitions(indexed: DataFrame, template: str = "template") -> DataFrame:
-    """Per trace ``n_lines + 1`` rows ``(trace_id, idx, prev, next)``; idx = n_lines is END."""
-    cur = indexed.select("trace_id", "idx", F.col(template).alias("next"))
-    prev = indexed.select("trace_id", (F.col("idx") + 1).alias("idx"), F.col(template).alias("prev"))
+def transitions(indexed: DataFrame, template: str = "template",
+                carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per trace ``n_lines + 1`` rows ``(trace_id, idx, prev, next)``; idx = n_lines is END.
+    ``carry``: per-trace columns (e.g. the split) kept on every transition."""
+    cur = indexed.select("trace_id", "idx", F.col(template).alias("next"), *carry)
+    prev = indexed.select("trace_id", (F.col("idx") + 1).alias("idx"), F.col(template).alias("prev"),
+                          *[F.col(c).alias(f"_p_{c}") for c in carry])
     j = cur.join(prev, ["trace_id", "idx"], "full")
     return j.select("trace_id", "idx", F.coalesce("prev", F.lit(START)).alias("prev"),
-                    F.coalesce("next", F.lit(END)).alias("next"))
+                    F.coalesce("next", F.lit(END)).alias("next"),
+                    *[F.coalesce(c, f"_p_{c}").alias(c) for c in carry])
 
 
 def transition_model(train_indexed: DataFrame) -> DataFrame:
     """Counts of (previous template, next template) on train traces."""
-    return transitions(train_indexed).groupBy("prev", "next").agg(F.count("*").alias("c_pair"))
+    return model_from_transitions(transitions(train_indexed))
+
+
+def model_from_transitions(trans: DataFrame) -> DataFrame:
+    return trans.groupBy("prev", "next").agg(F.count("*").alias("c_pair"))
 
 
 def vocabulary_size(model: DataFrame) -> int:
@@ -42,20 +50,28 @@ def vocabulary_size(model: DataFrame) -> int:
     return n + 2
 
 
-def line_surprise(indexed: DataFrame, model: DataFrame, alpha: float = ALPHA,
-                  vocab: int | None = None) -> DataFrame:
+def score_transitions(trans: DataFrame, model: DataFrame, alpha: float = ALPHA,
+                      vocab: int | None = None) -> DataFrame:
+    """``-ln((c(prev,next) + a) / (c(prev) + a * V))`` per transition; the model side is an
+    aggregate bounded by the template count (AQE broadcasts it when it is small)."""
     v = vocab if vocab is not None else vocabulary_size(model)
     prev_tot = model.groupBy("prev").agg(F.sum("c_pair").alias("c_prev"))
-    t = transitions(indexed).join(model, ["prev", "next"], "left").join(prev_tot, "prev", "left")
+    t = trans.join(model, ["prev", "next"], "left").join(prev_tot, "prev", "left")
     p = (F.coalesce("c_pair", F.lit(0)) + alpha) / (F.coalesce("c_prev", F.lit(0)) + alpha * v)
-    return t.select("trace_id", "idx", "prev", "next", (-F.log(p)).alias("surprise"))
+    keep = [c for c in trans.columns if c not in ("prev", "next", "trace_id", "idx")]
+    return t.select("trace_id", "idx", "prev", "next", *keep, (-F.log(p)).alias("surprise"))
+
+
+def line_surprise(indexed: DataFrame, model: DataFrame, alpha: float = ALPHA,
+                  vocab: int | None = None) -> DataFrame:
+    return score_transitions(transitions(indexed), model, alpha, vocab)
 
 
-def trace_surprise(line_scores: DataFrame) -> DataFrame:
+def trace_surprise(line_scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Score = max line surprise (END included), worst line = argmax (lowest index on ties),
     its text (``TRACE END`` past the last line), and the mean over all lines."""
     order = F.struct(F.col("surprise"), -F.col("idx"))
-    return line_scores.groupBy("trace_id").agg(
+    return line_scores.groupBy("trace_id", *by).agg(
         F.max("surprise").alias("score"),
         F.max_by("idx", order).alias("pred_index"),
         F.max_by(F.when(F.col("next") == END, F.lit(TRACE_END)).otherwise(F.col("next")),

@@ -660,19 +660,22 @@ sdet AS (
 
 
 def _surprise(spark, sf):
+    """Transitions of every split computed once (split carried along); the model learns on
+    the train ones and scores all of them."""
     ix, t = B.train_and_scored(spark, sf)
+    trans = SU.transitions(ix, carry=("split",))
     # (templates + 2)^2 rows at most; written once, read by every scoring branch
     model = B.memo_table(spark, sf, "transition_model",
-                         lambda: SU.transition_model(ix.where(F.col("split") == "train")))
-    v = SU.vocabulary_size(model)
-    ls = SU.line_surprise(ix, model, vocab=v).join(ix.select("trace_id", "split").distinct(), "trace_id")
+                         lambda: SU.model_from_transitions(trans.where(F.col("split") == "train")))
+    v = B.memo_value(spark, sf, "vocab", lambda: SU.vocabulary_size(model))
+    ls = SU.score_transitions(trans, model, vocab=v)
     return ix, t, model, ls
 
 
 def _trace_scores(spark, sf):
     def build():
-        ix, _, model, ls = _surprise(spark, sf)
-        return SU.trace_surprise(ls).join(ix.select("trace_id", "split").distinct(), "trace_id")
+        _, _, _, ls = _surprise(spark, sf)
+        return SU.trace_surprise(ls, by=("split",))
     return B.memo_table(spark, sf, "trace_scores", build), B.truth(spark, sf)
 
 
@@ -687,8 +690,7 @@ def _surprise_detections(spark, sf):
 
 @query("transition_model", _SUR + "\nSELECT prev, next, c_pair FROM model")
 def transition_model(spark, sf):
-    ix, _ = B.train_and_scored(spark, sf)
-    return SU.transition_model(ix.where(F.col("split") == "train"))
+    return _surprise(spark, sf)[2]
 
 
 @query("line_surprise", _SUR + "\nSELECT trace_id, idx, round(surprise, 9) AS surprise FROM ls")
