@@ -25,6 +25,17 @@ def _r(c: Column) -> Column:
     return F.round(c, DIGITS)
 
 
+def join_labels(detections: DataFrame, labels: DataFrame, key: str = "trace_id") -> DataFrame:
+    """Attach label, anomaly_type and first_deviation_index to each detection by trace id; a
+    detection without a label fails the job (naming the trace), like a missing dict key."""
+    lab = labels.select(key, "label", "anomaly_type", "first_deviation_index",
+                        F.lit(True).alias("_labelled"))
+    j = detections.join(lab, key, "left")
+    missing = F.concat(F.lit("no label for trace "), F.col(key))
+    return j.withColumn("label", F.when(F.col("_labelled").isNull(), F.raise_error(missing))
+                        .otherwise(F.col("label")).cast("int")).drop("_labelled")
+
+
 def localisation_hit(pred: Column, truth: Column) -> Column:
     """abs(pred - truth) <= 1; a null on either side never hits."""
     return F.coalesce(F.abs(pred - truth) <= LOCALISATION_TOLERANCE, F.lit(False))

@@ -1068,14 +1068,14 @@ _DET_COLS = ["trace_id", "label", "anomaly_type", "flagged", "score", "pred_inde
 
 def _det_kw(spark, sf):
     kw = D.keyword_match(B.indexed(spark, sf).join(_test_ids(spark, sf), "trace_id"))
-    return _lab(spark, sf).join(kw, "trace_id").select(
+    return M.join_labels(kw, _lab(spark, sf)).select(
         *[F.lit(None).cast("double").alias(c) if c == "score" else c for c in _DET_COLS])
 
 
 def _det_ans(spark, sf):
     ans = AN.answer_parse(AN.answers_json(B.answers(spark, sf).join(_test_ids(spark, sf), "trace_id")))
-    return _lab(spark, sf).join(ans.select("trace_id", "flagged", "pred_index", "worst_line_text"),
-                                "trace_id").select(
+    return M.join_labels(ans.select("trace_id", "flagged", "pred_index", "worst_line_text"),
+                         _lab(spark, sf)).select(
         *[F.lit(None).cast("double").alias(c) if c == "score" else c for c in _DET_COLS])
 
 
