@@ -137,10 +137,16 @@ def scan_prices(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(row, ", ".join(f"{k} double" for k in PRICE_KEYS))
 
 
-def extract_embedded_json(console: DataFrame, prefix: str = "RESULT ") -> DataFrame:
+def extract_embedded_json(console: DataFrame, prefix: str = "RESULT ",
+                          first_only: bool = False) -> DataFrame:
     """Lines starting with the prefix carry a JSON object of file name -> content; one output
-    record per entry."""
+    record per entry. ``first_only`` keeps only the first such line (by file, then line
+    number when the console has a ``line_no`` column), as a single job's output is read."""
     lines = console.where(F.col("value").startswith(prefix))
+    if first_only:
+        order = [c for c in ("file", "line_no") if c in console.columns]
+        key = F.struct(*order) if order else F.monotonically_increasing_id()
+        lines = lines.agg(F.min_by("value", key).alias("value")).where(F.col("value").isNotNull())
     obj = F.from_json(F.substring(F.col("value"), len(prefix) + 1, 1 << 30), "map<string,string>")
     return lines.select(F.explode(obj).alias("name", "content"))
 

@@ -97,3 +97,10 @@ def test_sequences_partition_pruning(spark):
     plan = s._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "split" in plan
     assert s.select(F.col("split")).first()[0] == "test"
+
+
+def test_extract_first_result_only(spark):
+    df = spark.createDataFrame([("a", 1, "noise"), ("a", 2, 'RESULT {"x": "1"}'), ("a", 3, 'RESULT {"y": "2"}')],
+                               "file string, line_no long, value string")
+    got = [(r.name, r.content) for r in FS.extract_embedded_json(df, first_only=True).collect()]
+    assert got == [("x", "1")]
