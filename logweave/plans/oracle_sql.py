@@ -79,7 +79,12 @@ def _flow_tables() -> str:
             opt.append((f.name, t))
             for j, c in enumerate(o.covers):
                 match.append((f.name, t, j, pos[c]))
+    errm = []
+    for f in EVENT_FLOWS:
+        for i, st in enumerate(f.steps):
+            errm.append((f.name, st.service, step_template(st.service, st.level, st.message).split(" ", 2)[2], i))
     return ",\n".join([
+        values(errm, ["flow", "service", "msg", "pos"], "f_errmatch"),
         values(first, ["template", "flow"], "f_first"),
         values(match, ["flow", "template", "sub", "pos"], "f_match"),
         values(nexp, ["flow", "n_exp"], "f_nexp"),
@@ -168,12 +173,20 @@ t3 AS (
     WHEN anomaly_type = 'silent_skip' THEN printf('%s: step %s never happened, yet the flow carried on at line %d.', flow, badk_what, bad_line)
     ELSE printf('%s: line %d deviates from the expected steps.', flow, bad_line) END AS explanation
   FROM t2),
+errstep AS (
+  SELECT l.trace_id, m.pos, min(l.idx) AS err_idx
+  FROM tl l JOIN heads h ON h.trace_id = l.trace_id AND h.flow <> 'unknown'
+  JOIN f_errmatch m ON m.flow = h.flow AND m.service = l.service
+    AND m.msg = regexp_replace(l.template, '^\\S+ \\S+ ', '')
+  WHERE l.level = 'ERROR' GROUP BY l.trace_id, m.pos),
 scheck AS (
-  SELECT h.trace_id, string_agg(fn.step || ': ' || CASE WHEN s.n IS NULL THEN 'missing'
+  SELECT h.trace_id, string_agg(fn.step || ': ' || CASE WHEN e.err_idx IS NOT NULL THEN 'ERROR ' || CAST(e.err_idx AS VARCHAR)
+      WHEN s.n IS NULL THEN 'missing'
       WHEN s.lines IS NOT NULL THEN s.lines
       ELSE printf('%d..%d (%d lines)', s.first, s.last, s.n) END, '; ' ORDER BY fn.pos) AS step_check
   FROM heads h JOIN f_names fn ON fn.flow = h.flow
   LEFT JOIN ostep s ON s.trace_id = h.trace_id AND s.pos = fn.pos
+  LEFT JOIN errstep e ON e.trace_id = h.trace_id AND e.pos = fn.pos
   GROUP BY h.trace_id),
 answers AS (
   SELECT t3.trace_id, flow, n_lines, verdict, anomaly_type, first_deviation_line,
