@@ -654,7 +654,7 @@ ts AS (
   FROM ls GROUP BY trace_id, split),
 thr AS (SELECT quantile_cont(score, 0.99) AS threshold FROM ts WHERE split = 'val'),
 sdet AS (
-  SELECT s.trace_id, t.label, t.anomaly_type, s.score > (SELECT threshold FROM thr) AS flagged,
+  SELECT s.trace_id, t.label, t.anomaly_type, coalesce(s.score > (SELECT threshold FROM thr), false) AS flagged,
     s.score, s.pred_index, t.first_deviation_index, s.worst_line_text, s.mean_nll
   FROM ts s JOIN truth t ON t.trace_id = s.trace_id WHERE s.split = 'test')""")
 
