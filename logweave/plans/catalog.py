@@ -1450,9 +1450,7 @@ def dataset_manifest(spark, sf):
 
 @query("join_flow_steps", _ANS + "\nSELECT trace_id, idx, sub, pos FROM obs0")
 def join_flow_steps(spark, sf):
-    ix = B.indexed(spark, sf)
-    heads = FL.trace_heads(ix)
-    return FL.observed_steps(ix, heads).select("trace_id", "idx", "sub", "pos")
+    return _obs(spark, sf).select("trace_id", "idx", "sub", "pos")
 
 
 @query("flow_optional_cover", W(LL, CONF, S._OPT_COUNT.strip()) + """
@@ -1475,10 +1473,11 @@ runs2 AS (SELECT r.trace_id, r.run, r.pos, r.start_line, r.length, o.idx AS seco
 
 
 def _obs(spark, sf):
-    from logweave.session import cut_lineage
-
-    ix = B.indexed(spark, sf)
-    return cut_lineage(FL.observed_steps(ix, FL.trace_heads(ix)))
+    """Observed steps of every known-flow trace, written once per application."""
+    def build():
+        ix = B.indexed(spark, sf)
+        return FL.observed_steps(ix, FL.trace_heads(ix))
+    return B.memo_table(spark, sf, "obs", build)
 
 
 @query("repeat_runs", W(LL, CONF, _RUNS_SQL) + """
