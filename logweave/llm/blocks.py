@@ -78,7 +78,7 @@ class Block:
         """Number of set flags in each byte range."""
         total = np.zeros(len(flags) + 1, np.int32 if len(flags) < 1 << 30 else np.int64)
         np.cumsum(flags, out=total[1:])
-        return total[ends] - total[starts]
+        return (total[ends] - total[starts]).astype(np.int64)
 
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         return self.counts(flags, self.offsets[:-1], self.offsets[1:])

@@ -30,8 +30,8 @@ from logweave.llm.blocks import SPACE, Block, map_arrow, mix, text_blocks, windo
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_CONTENT_SHARE = 0.5
-MAX_TRAIN_DOCS = 2000
-MAX_TRAIN_CHARS = 20_000
+MAX_TRAIN_DOCS = 800
+MAX_TRAIN_CHARS = 8_000
 
 #: Fixed value: the symbol characters of the base rule.
 SYMBOLS = b"#*$%&|<>"
@@ -168,9 +168,10 @@ def _padded(features: np.ndarray, docs: np.ndarray, labels: np.ndarray) -> tuple
     return x, y, np.arange(count.max())[None, :] < count[:, None]
 
 
-def fit_crf(features: np.ndarray, docs: np.ndarray, labels: np.ndarray, steps: int = 120, rate: float = 0.15, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_crf(features: np.ndarray, docs: np.ndarray, labels: np.ndarray, steps: int = 60, rate: float = 0.25, ridge: float = 1e-3, chain: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood by Adam over exact forward-backward marginals; rows grouped by document.
 
+    Without ``chain`` the transitions stay zero (lines are independent).
     Returns the weights (features,) of *content against boilerplate* and the 2 x 2 transitions.
     """
     x, y, mask = _padded(features, docs, labels)
@@ -196,7 +197,7 @@ def fit_crf(features: np.ndarray, docs: np.ndarray, labels: np.ndarray, steps: i
         p1 = np.exp(forward[..., 1] + backward[..., 1] - z[:, None])
         g_w = np.einsum("dt,dtf->f", np.where(mask, (y == 1) - p1, 0.0), x) / n_lines - ridge * w
         pair = np.exp(forward[:, :-1, :, None] + trans + (u + backward)[:, 1:, None, :] - z[:, None, None, None])
-        g_t = (seen - np.where(both[..., None, None], pair, 0.0).sum((0, 1))) / n_lines - ridge * trans
+        g_t = chain * (seen - np.where(both[..., None, None], pair, 0.0).sum((0, 1))) / n_lines - ridge * trans
         for k, (param, grad) in enumerate(((w, g_w), (trans, g_t))):
             moments[2 * k] = 0.9 * moments[2 * k] + 0.1 * grad
             moments[2 * k + 1] = 0.99 * moments[2 * k + 1] + 0.01 * grad**2
@@ -239,13 +240,15 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ma
         line_doc.append(d + block.first)
     features, line_doc = np.concatenate(features), np.concatenate(line_doc)
     quality = np.array([v for _, v in rows])[line_doc]
-    model = fit_crf(features, line_doc, quality)
-    # lines of a rejected document that look like content of kept ones become content
-    own = decode(features, line_doc, model)
-    relabelled = np.where(quality == 1, 1, own)
-    junk = np.bincount(line_doc, own == 0, minlength=len(rows))[line_doc] > 0
-    relabelled = np.where((quality == 0) & ~junk, 0, relabelled)
-    return fit_crf(features, line_doc, relabelled)
+    # the document's label gives first line labels; a chain-free fit then says which lines of a
+    # rejected document look like those of kept ones, and the chain is fitted on the result
+    target = quality
+    for _ in range(2):
+        model = fit_crf(features, line_doc, target, chain=False)
+        target = np.where(quality == 1, 1, decode(features, line_doc, model))
+        junk = np.bincount(line_doc, target == 0, minlength=len(rows))[line_doc] > 0
+        target = np.where(junk, target, quality)
+    return fit_crf(features, line_doc, target)
 
 
 def label_quality(docs: DataFrame, model, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT_PERCENT, min_share: float = MIN_CONTENT_SHARE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
