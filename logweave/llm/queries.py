@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import quality_crf
+from logweave.llm import byte_bpe, packing, quality_crf
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +22,30 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.label_quality(docs, model)
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's token ids and of the bytes decoded from them."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
+    return byte_bpe.decode(coded, ranks, pattern).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document with their place in the packed sequences."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.tokenise(docs, public_tokenizers.path("word_bpe_49k.json"))
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.place(digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_crf": op2_quality_crf,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op8_packing": op8_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
