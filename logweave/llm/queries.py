@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import byte_bpe, packing, quality_crf
+from logweave.llm import byte_bpe, hd_language, packing, pii, quality_crf
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; prototypes learn only from documents not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    prototypes = hd_language.train(docs.where(~hd_language.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
+    told = hd_language.identify(docs, prototypes)
+    return told.select("doc_id", hd_language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document with their place in the packed sequences."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -42,10 +50,25 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(digests)
 
 
+def _digest(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data spans of every document: counts and digest of the base ones, and all spans."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs, pii.train(docs))
+    kinds = F.transform("base_spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_digest("base_spans").cast("binary"), 256).alias("base_sha256"), _digest("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_crf": op2_quality_crf,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_hd_language": op4_hd_language,
     "op8_packing": op8_packing,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
