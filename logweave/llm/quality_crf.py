@@ -221,16 +221,15 @@ def decode(features: np.ndarray, line_doc: np.ndarray, model: tuple[np.ndarray,
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_chars: int = MAX_TRAIN_CHARS) -> tuple[np.ndarray, np.ndarray] | None:
     """Fit the CRF on at most ``max_docs`` labelled texts of at most ``max_chars`` characters."""
-    picked = (
-        labels.where(F.col("quality").isin(0, 1))
-        .select("doc_id", F.col("quality").cast("int").alias("quality"))
-        .join(docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text"), "doc_id")
-    )
+    labelled = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    short = docs.where(F.length("text") <= max_chars)
+    there = labelled.join(short.select("doc_id"), "doc_id").distinct()  # ids only are shuffled
     half = max(1, max_docs // 2)
     rows = []
-    for value in (0, 1):  # two bounded top-n reads
-        one = picked.where(F.col("quality") == value).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(half)
-        rows += [(r["text"], value) for r in one.collect()]
+    for value in (0, 1):  # two bounded top-n reads of ids, then of the texts they name
+        ids = there.where(F.col("quality") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half).collect()
+        texts = short.where(F.col("doc_id").isin([r["doc_id"] for r in ids])).groupBy("doc_id").agg(F.min("text").alias("text"))
+        rows += [(r["text"], value) for r in texts.orderBy("doc_id").collect()]
     if len({v for _, v in rows}) < 2:
         return None
     features, line_doc, quality = [], [], []
