@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import byte_bpe, hd_language, packing, pii, quality_crf
+from logweave.llm import byte_bpe, hd_language, packing, parity_join, pii, quality_crf
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op4_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", hd_language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set size and near-duplicate component of every document."""
+    return parity_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document with their place in the packed sequences."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_crf": op2_quality_crf,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_hd_language": op4_hd_language,
+    "op7_parity_join": op7_parity_join,
     "op8_packing": op8_packing,
     "op10_pii": op10_pii,
 }
