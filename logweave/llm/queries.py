@@ -8,13 +8,29 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import byte_bpe, hd_language, packing, parity_join, pii, quality_crf
+from logweave.llm import (
+    byte_bpe,
+    chat_format,
+    collision_ann,
+    hd_language,
+    packing,
+    parity_join,
+    pii,
+    quality_crf,
+    url_templates,
+)
+from logweave.session import cut_lineage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every vector whose id is divisible by 100."""
+    return collision_ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base quality counts and the CRF's verdict for every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -42,6 +58,23 @@ def op4_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", hd_language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_templates.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: A conversation whose texts hold the template's own control strings.
+_TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, read back from the formatted output."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = turns.sparkSession.createDataFrame([(-7, 0, "user", _TRICKY), (-7, 1, "assistant", _TRICKY)], "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(cut_lineage(chat_format.format_chats(turns.unionByName(own)), "chats"))
+
+
 def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle set size and near-duplicate component of every document."""
     return parity_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -69,12 +102,50 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_collision_ann": op1_collision_ann,
     "op2_quality_crf": op2_quality_crf,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_hd_language": op4_hd_language,
+    "op5_url_templates": op5_url_templates,
+    "op6_chat_format": op6_chat_format,
     "op7_parity_join": op7_parity_join,
     "op8_packing": op8_packing,
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '###', '\#\#\#'), '</turn>', '\</turn>')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat_format": rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_TRICKY}'
+  UNION ALL SELECT -7, 1, 'assistant', '{_TRICKY}'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('### ' || replace({_ESCAPED.format("role")}, ':', '\:') || ': ' || {_ESCAPED.format("text")} || ' </turn>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id""",
+    "op7_parity_join": rf"""
+WITH RECURSIVE word_lists AS (
+  SELECT doc_id, regexp_extract_all({_LOWER_AZ}, '[^\x20\x09-\x0D]+') AS ws FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g
+  FROM word_lists
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+), reach AS (
+  SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), lowest AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(y, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN lowest l ON l.x = d.doc_id""",
+}
