@@ -364,3 +364,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = rooted.join(lowest, "root", "left")
     linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id"))
+
+
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component, all columns kept.
+
+    A doc_id that several kept rows carry stays once; rows of a null doc_id all stay.
+    """
+    found = cut_lineage(near_duplicates(docs.select("doc_id", "text")), "components")
+    best = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    single = docs.join(best.where(F.col("times") == 1).select("doc_id"), "doc_id", "left_semi")
+    repeated = docs.join(best.where(F.col("times") > 1).select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(repeated).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
