@@ -22,10 +22,7 @@ MIN_LANGUAGE_SCORE = 0.02
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter or without likeness to any learned language."""
-    prototypes = hd_language.train(docs)
-    told = hd_language.identify(docs, prototypes, keep=tuple(docs.columns))
-    known = (F.col("lang_pred") != hd_language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return told.where(known).select(*docs.columns)
+    return hd_language.filter_known(docs, hd_language.train(docs), MIN_LANGUAGE_SCORE)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by the name of its kind; n_chars follows the new text."""
     masked = pii.mask(docs, pii.train(docs))
-    text = masked.withColumn("text", F.col("masked")).drop("masked")
-    return text.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return masked.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

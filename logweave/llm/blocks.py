@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 BLOCK_BYTES = 1 << 20
 
@@ -61,11 +62,19 @@ def mix_int(x: int) -> int:
     return int(mix(np.array([x & (2**64 - 1)], _U))[0])
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator], schema: str) -> DataFrame:
-    """``mapInArrow`` with a DDL schema string."""
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with a DDL schema string or a struct type."""
     return df.mapInArrow(function, schema)
 
 
+def carrying(df: DataFrame, columns: tuple[str, ...] | list[str], added: str) -> tuple[list[str], StructType]:
+    """The columns to carry and the schema with the ``added`` ones (DDL), which win on equal names."""
+    own = StructType.fromDDL(added)
+    taken = {f.name.lower() for f in own.fields}
+    kept = [c for c in columns if c.lower() not in taken]
+    return kept, StructType([*(df.schema[c] for c in kept), *own.fields])
+
+
 class Block:
     """Whole documents of a batch: their bytes, document offsets and prefix sums on demand."""
 

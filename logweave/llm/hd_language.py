@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.blocks import map_arrow
+from logweave.llm.blocks import carrying, map_arrow
 
 DIMENSIONS = 1024
 ORDER = 3
@@ -137,8 +137,7 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Add lang_pred and score (the largest cosine, at least 0) to the columns ``keep``."""
-    fields = {f.name: f for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {fields[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
+    keep, schema = carrying(docs, keep, "lang_pred string, score double")
     langs = list(prototypes)
     unit = np.stack([p / max(np.linalg.norm(p), 1e-9) for p in prototypes.values()]).astype(np.float32) if langs else np.zeros((0, DIMENSIONS), np.float32)
 
@@ -157,7 +156,15 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str
                 own = batch.slice(first, n)
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in keep), pa.array(names), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
-    return map_arrow(docs.select(*keep, *(() if "text" in keep else ("text",))), run, schema)
+    wanted = [*keep, *(() if "text" in keep else ("text",))]
+    return map_arrow(docs.select(*(f"`{c}`" for c in wanted)), run, schema)
+
+
+def filter_known(docs: DataFrame, prototypes: dict[str, np.ndarray], min_score: float) -> DataFrame:
+    """The documents with a letter and a best cosine of ``min_score`` at least, with their own columns."""
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), "text")
+    told = identify(rows, prototypes, keep=("row",))
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.blocks import map_arrow
+from logweave.llm.blocks import carrying, map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 THRESHOLD = 0.95
@@ -223,47 +223,46 @@ _SPANS = "array<struct<kind:string,start:int,end:int>>"
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _map_spans(docs: DataFrame, model: dict, added: str, columns, text: str) -> DataFrame:
-    names = docs.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), added])
-    at = names.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [v.as_py() for v in batch.column(at)]
-            yield columns(batch, texts, [find_spans(t or "", model) for t in texts])
-
-    return map_arrow(docs, run, schema)
+def _spans_of(batch: pa.RecordBatch, at: int, model: dict) -> tuple[list, list]:
+    texts = [v.as_py() for v in batch.column(at)]
+    return texts, [find_spans(t or "", model) for t in texts]
 
 
 def detect(docs: DataFrame, model: dict[str, list[float]], text: str = "text") -> DataFrame:
     """Replace the text by base_spans and spans (arrays of kind, start, end)."""
-    carried = [c for c in docs.columns if c != text]
+    names, schema = carrying(docs, [c for c in docs.columns if c != text], f"base_spans {_SPANS}, spans {_SPANS}")
 
-    def rows(spans):
+    def rows(spans) -> pa.Array:
         return pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in own] for own in spans], _SPAN_TYPE)
 
-    def columns(batch, texts, found):
-        return pa.RecordBatch.from_arrays([*batch.columns, rows([b for b, _ in found]), rows([a for _, a in found])], names=[*batch.schema.names, "base_spans", "spans"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, found = _spans_of(batch, len(names), model)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], rows([b for b, _ in found]), rows([a for _, a in found])], names=[*names, "base_spans", "spans"])
+
+    return map_arrow(docs.select(*(f"`{c}`" for c in names), text), run, schema)
+
 
-    return _map_spans(docs, model, f"base_spans {_SPANS}, spans {_SPANS}", columns, text).select(*(f"`{c}`" for c in carried), "base_spans", "spans")
+def mask_text(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with every span replaced by its kind in angle brackets."""
+    parts, done = [], 0
+    for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if start >= done:
+            parts += [text[done:start], f"<{kind.upper()}>"]
+        done = max(done, end)
+    return "".join([*parts, text[done:]])
 
 
 def mask(docs: DataFrame, model: dict[str, list[float]], text: str = "text") -> DataFrame:
-    """Add ``masked``: the text with every span replaced by its kind in angle brackets (null stays null)."""
-
-    def columns(batch, texts, found):
-        out = []
-        for t, (_, spans) in zip(texts, found, strict=True):
-            if t is None or not spans:
-                out.append(t)
-                continue
-            parts, done = [], 0
-            for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
-                if start >= done:
-                    parts += [t[done:start], f"<{kind.upper()}>"]
-                done = max(done, end)
-            out.append("".join([*parts, t[done:]]))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "masked"])
-
-    return _map_spans(docs, model, "masked string", columns, text)
+    """The same rows and columns, personal data in the text masked (a null text stays null)."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, found = _spans_of(batch, at, model)
+            masked = [mask_text(t, spans) if spans else t for t, (_, spans) in zip(texts, found, strict=True)]
+            columns = list(batch.columns)
+            columns[at] = pa.array(masked, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return map_arrow(docs, run, docs.schema)

@@ -2,13 +2,13 @@
 
 A document is a sequence of ``\\n``-split lines that hold a word. Every line gets a small vector
 of layout features (letters in upper case, symbol characters, words glued to symbols, column
-bars, words in repeated windows, duplicates of an earlier line ...). A two-state linear-chain
+bars, words in windows that their line repeats, duplicates of an earlier line ...). A two-state linear-chain
 conditional random field scores label sequences; Viterbi decoding marks each line *content* or
 *boilerplate*, and the share of word characters in content lines decides retention.
 
 Training uses a bounded, documented sample of labelled documents (``MAX_TRAIN_DOCS`` rows of the
 labels table of at most ``MAX_TRAIN_CHARS`` characters, chosen by hash): document labels give
-first line labels, the lines of rejected documents are relabelled once by the model itself, and
+first line labels, the lines of rejected documents are relabelled by a logistic model of single lines, and
 the likelihood is maximised by gradient steps over exact forward-backward marginals.
 
 Defined results: a null or empty text has no words and fails the base rule; without labelled
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.blocks import SPACE, Block, map_arrow, mix, text_blocks, window_hashes
+from logweave.llm.blocks import SPACE, Block, carrying, map_arrow, mix, text_blocks, window_hashes
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -102,6 +102,7 @@ def analyse(block: Block) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray
         "n_dup_lines": by_doc(line_doc, duplicate),
         "n_repeat_words": by_doc(word_doc, repeats),
     }
+    loops = repeated_words(words, np.searchsorted(line_s, starts, side="right"))  # inside one line
     upper, lower = _case_flags(data)
     chars = np.maximum(block.counts(inside, line_s, line_e), 1)
     n_upper = block.counts(upper, line_s, line_e)
@@ -124,7 +125,7 @@ def analyse(block: Block) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray
         block.counts(_SYMBOL[data], line_s, line_e) / chars,
         per_line(glued) / np.maximum(n_line_words, 1),
         per_line(bar) / np.maximum(n_line_words, 1),
-        per_line(repeats) / np.maximum(n_line_words, 1),
+        per_line(loops) / np.maximum(n_line_words, 1),
         duplicate,
         block.counts(_DIGIT[data], line_s, line_e) / chars,
         line_last == ord("."),
@@ -168,15 +169,28 @@ def _padded(features: np.ndarray, docs: np.ndarray, labels: np.ndarray) -> tuple
     return x, y, np.arange(count.max())[None, :] < count[:, None]
 
 
-def fit_crf(features: np.ndarray, docs: np.ndarray, labels: np.ndarray, steps: int = 60, rate: float = 0.25, ridge: float = 1e-3, chain: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def fit_lines(features: np.ndarray, labels: np.ndarray, steps: int = 500, rate: float = 0.2, ridge: float = 1e-4) -> np.ndarray:
+    """Logistic weights of independent lines, both labels weighing the same (Adam)."""
+    share = np.array([np.mean(labels == y) for y in (0, 1)])
+    weight = 1 / (2 * np.maximum(share[labels], 1e-9)) / len(labels)
+    w = np.zeros(features.shape[1])
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):
+        p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
+        grad = (weight * (labels - p)) @ features - ridge * w
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        w += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return w
+
+
+def fit_crf(features: np.ndarray, docs: np.ndarray, labels: np.ndarray, start: np.ndarray, steps: int = 80, rate: float = 0.2, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood by Adam over exact forward-backward marginals; rows grouped by document.
 
-    Without ``chain`` the transitions stay zero (lines are independent).
-    Returns the weights (features,) of *content against boilerplate* and the 2 x 2 transitions.
+    ``start`` holds first weights. Returns the weights (features,) of *content against boilerplate* and the 2 x 2 transitions.
     """
     x, y, mask = _padded(features, docs, labels)
     n_docs, length, width = x.shape
-    w, trans = np.zeros(width), np.zeros((2, 2))
+    w, trans = start.copy(), np.zeros((2, 2))
     moments = [np.zeros(width), np.zeros(width), np.zeros((2, 2)), np.zeros((2, 2))]
     both = mask[:, 1:] & mask[:, :-1]
     seen = np.zeros((2, 2))
@@ -197,7 +211,7 @@ def fit_crf(features: np.ndarray, docs: np.ndarray, labels: np.ndarray, steps: i
         p1 = np.exp(forward[..., 1] + backward[..., 1] - z[:, None])
         g_w = np.einsum("dt,dtf->f", np.where(mask, (y == 1) - p1, 0.0), x) / n_lines - ridge * w
         pair = np.exp(forward[:, :-1, :, None] + trans + (u + backward)[:, 1:, None, :] - z[:, None, None, None])
-        g_t = chain * (seen - np.where(both[..., None, None], pair, 0.0).sum((0, 1))) / n_lines - ridge * trans
+        g_t = (seen - np.where(both[..., None, None], pair, 0.0).sum((0, 1))) / n_lines - ridge * trans
         for k, (param, grad) in enumerate(((w, g_w), (trans, g_t))):
             moments[2 * k] = 0.9 * moments[2 * k] + 0.1 * grad
             moments[2 * k + 1] = 0.99 * moments[2 * k + 1] + 0.01 * grad**2
@@ -239,22 +253,20 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ma
         line_doc.append(d + block.first)
     features, line_doc = np.concatenate(features), np.concatenate(line_doc)
     quality = np.array([v for _, v in rows])[line_doc]
-    # the document's label gives first line labels; a chain-free fit then says which lines of a
+    # the document's label gives first line labels; independent lines then say which lines of a
     # rejected document look like those of kept ones, and the chain is fitted on the result
     target = quality
     for _ in range(2):
-        model = fit_crf(features, line_doc, target, chain=False)
-        target = np.where(quality == 1, 1, decode(features, line_doc, model))
+        weights = fit_lines(features, target)
+        target = np.where(quality == 1, 1, features @ weights >= 0).astype(int)
         junk = np.bincount(line_doc, target == 0, minlength=len(rows))[line_doc] > 0
         target = np.where(junk, target, quality)
-    return fit_crf(features, line_doc, target)
+    return fit_crf(features, line_doc, target, weights)
 
 
 def label_quality(docs: DataFrame, model, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT_PERCENT, min_share: float = MIN_CONTENT_SHARE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Base counts, content share and verdict of every whole text; columns ``keep`` are carried."""
-    fields = {f.name: f for f in docs.schema.fields}
-    carried = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in keep)
-    schema = f"{carried}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_content_lines long, content_share double, base_failed boolean, kept boolean"
+    keep, schema = carrying(docs, keep, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_content_lines long, content_share double, base_failed boolean, kept boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,10 +284,10 @@ def label_quality(docs: DataFrame, model, min_words: int = MIN_WORDS, max_repeat
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *base, "n_lines", "n_content_lines", "content_share", "base_failed", "kept"])
 
     wanted = [*keep, *(() if "text" in keep else ("text",))]
-    return map_arrow(docs.select(*wanted), run, schema)
+    return map_arrow(docs.select(*(f"`{c}`" for c in wanted)), run, schema)
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the method keeps, with their own columns."""
-    columns = tuple(docs.columns)
-    return label_quality(docs, train(docs, labels), keep=columns).where("kept").select(*columns)
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), "text")
+    return label_quality(rows, train(docs, labels), keep=("row",)).where("kept").select("row.*")

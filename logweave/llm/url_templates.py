@@ -119,10 +119,12 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", label: Column | None
     host, path = split_url(F.col(url))
     split = pages.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    split = split.withColumn("rule", rule).withColumn("_ruled", ruled).withColumn("segments", raw_segments(F.col("path")))
+    split = split.withColumn("rule", rule).withColumn("_ruled", ruled).withColumn("_url_segments", raw_segments(F.col("path")))
     known = label if label is not None else F.when(F.col("_ruled") == "block", 1).when(F.col("_ruled") == "allow", 0)
-    counts = split.withColumn("_bad", known).groupBy("host", "segments").agg(
+    counts = split.withColumn("_bad", known).groupBy("host", F.col("_url_segments").alias("segments")).agg(
         F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum(F.when(F.col("_bad") == 0, 1)), F.lit(0)).alias("good"), F.coalesce(F.sum(F.when(F.col("_bad") == 1, 1)), F.lit(0)).alias("bad"))
     tree = grow_tree(cut_lineage(counts, "url-counts"))
     own = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
-    return split.join(tree, ["host", "segments"], "left").withColumn("verdict", F.coalesce("_ruled", own)).drop("_ruled", "segments")
+    split = split.drop("template", "purity", "verdict")
+    tree = tree.withColumnRenamed("segments", "_url_segments")
+    return split.join(tree, ["host", "_url_segments"], "left").withColumn("verdict", F.coalesce("_ruled", own)).drop("_ruled", "_url_segments")
