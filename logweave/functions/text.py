@@ -61,43 +61,35 @@ def template_of(content_col: Column, policy: str = "keys") -> Column:
     return collapse_ws(masked)
 
 
-def parse_v1(value: Column) -> list[Column]:
-    g = lambda i: F.regexp_extract(value, V1_LINE_PATTERN, i)
-    return [value.rlike(V1_LINE_PATTERN).alias("parsed"), g(1).alias("ts_text"),
-            g(2).alias("level"), g(3).alias("service"), g(4).alias("trace_id"),
-            g(5).alias("message")]
+def _parsed(value: Column, pattern: str, names: list[str]) -> Column:
+    """The groups of one match as a struct (``parsed`` and the names): the pattern runs once,
+    rewriting a matching line to its groups with a separator that no line can hold."""
+    mark = "\u0000"
+    joined = F.regexp_replace(value, pattern, mark + mark.join(f"${i + 1}" for i in range(len(names))))
+    parts = F.split(joined, mark)
+    hit = F.size(parts) == len(names) + 1
+    return F.struct(hit.alias("parsed"), *[
+        F.when(hit, parts[i + 1]).otherwise("").alias(n) for i, n in enumerate(names)])
 
 
-def parse_prod(value: Column) -> list[Column]:
-    g = lambda i: F.regexp_extract(value, PROD_LINE_PATTERN, i)
-    return [value.rlike(PROD_LINE_PATTERN).alias("parsed"), g(1).alias("ts_text"),
-            g(2).alias("level"), g(3).alias("service"), g(4).alias("host"),
-            g(5).alias("trace_id"), g(6).alias("message")]
+def parse_v1(value: Column) -> Column:
+    """Struct of a v1 line: parsed, ts_text, level, service, trace_id, message."""
+    return _parsed(value, V1_LINE_PATTERN, ["ts_text", "level", "service", "trace_id", "message"])
 
 
-def keyword_hit(c: Column, pattern: str = KEYWORDS) -> Column:
-    return c.rlike("(?i)(" + pattern + ")")
-
+def parse_prod(value: Column) -> Column:
+    """Struct of a production line: the v1 fields and host."""
+    return _parsed(value, PROD_LINE_PATTERN,
+                   ["ts_text", "level", "service", "host", "trace_id", "message"])
 
-def trace_text(lines: Column) -> Column:
-    """``TRACE START\\n`` + lines + ``\\nTRACE END``."""
-    return F.concat(F.lit(TRACE_START + "\n"), F.array_join(lines, "\n"), F.lit("\n" + TRACE_END))
 
-
-def numbered_lines(lines: Column) -> Column:
-    """``i: line`` per line, 0-based, joined by newlines."""
-    return F.array_join(
-        F.transform(lines, lambda x, i: F.concat(i.cast("string"), F.lit(": "), x)), "\n")
+def keyword_hit(c: Column, pattern: str = KEYWORDS) -> Column:
+    return c.rlike("(?i)(" + pattern + ")")
 
 
-def line_char_offsets(lines: Column) -> Column:
-    """Char offset of each line inside ``trace_text``; the last entry is the end marker's."""
-    start = len(TRACE_START) + 1
-    return F.aggregate(
-        lines,
-        F.array(F.lit(start)),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1)),
-    )
+def numbered_line(idx: Column, line: Column) -> Column:
+    """``idx: line``."""
+    return F.concat(idx.cast("string"), F.lit(": "), line)
 
 
 def ts_format(ts: Column, zone_suffix: str = "Z") -> Column:
@@ -123,9 +115,3 @@ def fixed(x: Column, digits: int) -> Column:
 def null_format(x: Column, digits: int = 3) -> Column:
     return F.when(x.isNull(), F.lit("n/a")).otherwise(fixed(x, digits))
 
-
-COST_HINT = "n/a (set prices in the price file)"
-
-
-def cost_format(x: Column) -> Column:
-    return F.when(x.isNull(), F.lit(COST_HINT)).otherwise(fixed(x, 4))

@@ -56,16 +56,17 @@ def answer_contract(raw: DataFrame, flow_names: list[str]) -> DataFrame:
 
 
 def usage_table(prompts: DataFrame, answers: DataFrame, prefix_chars: int) -> DataFrame:
-    """Token counts per trace, estimated at 4 characters per token: prompt (every part of the
-    trace sends the system text and its lines), completion and the cached shared prefix."""
+    """Token counts per trace, estimated at 4 characters per token: one prompt of the system text
+    and the trace's lines (joined by line breaks), the completion and the cached prefix.
+    ``prompts``: one row per line (trace_id, user)."""
     per = prompts.groupBy("trace_id").agg(
-        F.sum(F.length("system") + F.length("user")).alias("_chars"), F.count("*").alias("_calls"))
+        (F.sum(F.length("user") + 1) - 1 + prefix_chars).alias("_chars"))
     j = per.join(answers.select("trace_id", "answer"), "trace_id")
     return j.select(
         "trace_id",
         F.ceil(F.col("_chars") / 4).cast("long").alias("prompt_tokens"),
         F.ceil(F.length("answer") / 4).cast("long").alias("completion_tokens"),
-        (F.col("_calls") * F.lit(-(-prefix_chars // 4))).cast("long").alias("cached_tokens"))
+        F.lit(-(-prefix_chars // 4)).cast("long").alias("cached_tokens"))
 
 
 def token_usage(usage: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def dq_known_services(lines: DataFrame, services: DataFrame) -> DataFrame:
 
 def dq_line_counts(sequences: DataFrame, lines: DataFrame) -> DataFrame:
     """Sequence length differs from the raw line count of the trace."""
-    s = sequences.groupBy("trace_id").agg(F.sum("n_lines").alias("seq_lines"))
+    s = sequences.groupBy("trace_id").agg(F.count("*").alias("seq_lines"))
     r = lines.groupBy("trace_id").agg(F.count("*").alias("raw_lines"))
     j = s.join(r, "trace_id", "full")
     return j.where(~F.col("seq_lines").eqNullSafe(F.col("raw_lines")))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.text import TRACE_END
+from logweave.operators.ranking import running_total
 
 START, END, UNSEEN = "<START>", "<END>", "<UNSEEN>"
 ALPHA = 0.1
@@ -81,22 +82,31 @@ def trace_surprise(line_scores: DataFrame, by: tuple[str, ...] = ()) -> DataFram
 
 # ---- token losses --------------------------------------------------------------------------
 
+TOKEN_CHUNK = 8192
+
+
 def token_lines(tokens: DataFrame, starts: DataFrame) -> DataFrame:
-    """As-of lookup of each token's line: the last line whose start offset is <= the position
-    of the token's first non-space character (a pure whitespace token: its own start, i.e. the
-    line it ends). ``tokens``: ``(trace_id, tok, s, e, span, nll)`` (span = the token's text, as
-    a tokenizer's offset mapping gives it); ``starts``: ``(trace_id, starts)``. The lookup runs
-    inside the row on the trace's small offsets array; no range join."""
+    """As-of lookup of each token's line: the last line that begins at or before the token's first
+    non-space character (a token of white space alone: its own start, i.e. the line it ends).
+
+    ``tokens``: ``(trace_id, tok, s, e, span, nll)`` (span = the token's text); ``starts``:
+    ``(trace_id, idx, offset)``, one row per line and one for the end marker. Starts and tokens
+    are merged by position, and a token's line is the number of starts up to it less one: a
+    running count in chunks of ``TOKEN_CHUNK`` characters, linear in tokens and lines."""
     t = tokens.where((F.col("tok") > 0) & (F.col("e") > F.col("s")))
     stripped = F.regexp_replace("span", r"^\s+", "")  # whitespace incl. newlines
     pos = F.when(F.length(stripped) > 0,
                  F.col("s") + F.length("span") - F.length(stripped)).otherwise(F.col("s"))
-    # the position is computed once per token, before the lookup (a lambda would re-evaluate
-    # the regex per array element)
-    t = t.select("trace_id", "tok", "nll", pos.alias("_pos"))
-    j = t.join(starts.select("trace_id", "starts"), "trace_id")
-    return j.select("trace_id", "tok", "nll",
-                    (F.size(F.filter("starts", lambda x: x <= F.col("_pos"))) - 1).cast("long").alias("line"))
+    t = t.select("trace_id", pos.cast("long").alias("_pos"), F.lit(1).alias("_kind"), "tok", "nll",
+                 F.lit(0).cast("long").alias("_one"))
+    lines = starts.select("trace_id", F.col("offset").cast("long").alias("_pos"), F.lit(0).alias("_kind"),
+                          F.lit(None).cast("int").alias("tok"), F.lit(None).cast("double").alias("nll"),
+                          F.lit(1).cast("long").alias("_one"))
+    order = [F.col("_pos"), F.col("_kind"), F.col("tok")]
+    merged = running_total(lines.unionByName(t), ["trace_id"], order,
+                           F.floor(F.col("_pos") / TOKEN_CHUNK), {"_begun": F.col("_one")})
+    return merged.where(F.col("_kind") == 1).select(
+        "trace_id", "tok", "nll", (F.col("_begun") - 1).cast("long").alias("line"))
 
 
 def token_to_line_loss(tokens: DataFrame, starts: DataFrame) -> DataFrame:
@@ -107,19 +117,18 @@ def token_to_line_loss(tokens: DataFrame, starts: DataFrame) -> DataFrame:
                                                  F.count("*").alias("n"))
 
 
-def worst_line(line_losses: DataFrame, traces: DataFrame) -> DataFrame:
-    """Per trace: score = max line loss, worst index (first on ties), its text (``TRACE END``
-    when the index is past the last line) and the mean over all counted tokens. A trace
-    without scored lines gets score 0.0, a null index and ``''``. ``traces``: (trace_id, lines)."""
+def worst_line(line_losses: DataFrame, text: DataFrame) -> DataFrame:
+    """Per trace: score = max line loss, worst index (first on ties), its text and the mean over
+    all counted tokens. A trace without scored lines gets score 0.0, a null index and ``''``.
+    ``text``: the rows of ``trace_text`` (the end marker is the line past the last)."""
     order = F.struct(F.col("line_loss"), -F.col("line"))
     g = line_losses.groupBy("trace_id").agg(
         F.max("line_loss").alias("score"), F.max_by("line", order).alias("worst_index"),
         (F.sum(F.col("line_loss") * F.col("n")) / F.sum("n")).alias("mean_nll"))
-    out = traces.select("trace_id", "lines").join(g, "trace_id", "left")
-    w = F.col("worst_index")
-    text = (F.when(w.isNull(), F.lit(""))
-            .when(w >= F.size("lines"), F.lit(TRACE_END))
-            .otherwise(F.element_at("lines", (w + 1).cast("int"))))
-    return out.select("trace_id", F.coalesce("score", F.lit(0.0)).alias("score"),
-                      F.coalesce("mean_nll", F.lit(0.0)).alias("mean_nll"),
-                      w.cast("long").alias("worst_index"), text.alias("worst_text"))
+    traces = text.select("trace_id").distinct().join(g, "trace_id", "left")
+    lines = text.select("trace_id", F.col("idx").alias("worst_index"), F.col("line").alias("worst_text"))
+    return traces.join(lines, ["trace_id", "worst_index"], "left").select(
+        "trace_id", F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.coalesce("mean_nll", F.lit(0.0)).alias("mean_nll"),
+        F.col("worst_index").cast("long").alias("worst_index"),
+        F.coalesce("worst_text", F.lit("")).alias("worst_text"))

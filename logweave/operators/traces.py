@@ -1,8 +1,8 @@
 """Trace assembly on the long form ``(trace_id, ts, line_no, ...)``.
 
-The long form is the working format: one row per line, keyed by ``(trace_id, idx)``. Arrays per
-trace are only produced for output, in parts of at most ``part_size`` lines, so no row or
-task ever holds an unbounded trace.
+The long form is the working format: one row per line, keyed by ``(trace_id, idx)``. Sequences,
+texts, numbers and offsets per trace are rows too, so no row or task ever holds an
+unbounded trace.
 """
 
 from __future__ import annotations
@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions import text as T
-from logweave.operators.ranking import rank_within
+from logweave.operators.ranking import rank_within, running_total
 
-PART_SIZE = 4096
 INDEX_CHUNK = 4096
 
 
@@ -42,44 +41,33 @@ def trace_start(lines: DataFrame, key: str = "trace_id", ts: str = "ts") -> Data
     return lines.groupBy(key).agg(F.min(ts).alias("start"), F.count("*").alias("n_lines"))
 
 
-def group_traces(indexed: DataFrame, value: str = "template", key: str = "trace_id",
-                 part_size: int = PART_SIZE) -> DataFrame:
-    """Ordered sequences per trace: ``(trace_id, part, n_lines, lines)``.
+def group_traces(indexed: DataFrame, value: str = "template", key: str = "trace_id") -> DataFrame:
+    """Ordered sequences per trace in long form: ``(trace_id, idx, n_lines, line)``.
 
-    A trace longer than ``part_size`` lines comes as several parts (part = idx div part_size);
-    every line is kept.
-    """
-    part = F.floor(F.col("idx") / part_size).cast("long")
-    g = (indexed.select(key, part.alias("part"), F.struct("idx", F.col(value).alias("v")).alias("e"))
-         .groupBy(key, "part")
-         .agg(F.array_sort(F.collect_list("e")).alias("es")))
-    return g.select(key, "part", F.size("es").cast("long").alias("n_lines"),
-                    F.transform("es", lambda e: e["v"]).alias("lines"),
-                    F.transform("es", lambda e: e["idx"]).alias("idx"))
-
-
-def trace_parts(indexed: DataFrame, value: str = "template", key: str = "trace_id",
-                part_size: int = PART_SIZE) -> DataFrame:
-    """``group_traces`` plus ``is_last`` (the part holding the trace's last line), so texts get
-    their START marker on the first part and their END marker on the last one."""
-    g = group_traces(indexed, value, key, part_size)
-    last = indexed.groupBy(key).agg(F.floor(F.max("idx") / part_size).cast("long").alias("_lp"))
-    return (g.join(last, key)
-            .withColumn("is_last", F.col("part") == F.col("_lp")).drop("_lp"))
-
-
-def with_trace_text(seqs: DataFrame, last_part: str | None = None) -> DataFrame:
-    """``text`` = TRACE START, lines, TRACE END (markers on first / last part only)."""
-    first = F.col("part") == 0
-    last = F.col(last_part) if last_part else F.lit(True)
-    body = F.array_join("lines", "\n")
-    text = F.concat(F.when(first, F.lit(T.TRACE_START + "\n")).otherwise(F.lit("")), body,
-                    F.when(last, F.lit("\n" + T.TRACE_END)).otherwise(F.lit("")))
-    return seqs.withColumn("text", text)
-
-
-def trace_text_column(lines_col: str = "lines"):
-    return T.trace_text(F.col(lines_col))
+    The order is the column ``idx``; a trace of any length stays spread over rows and tasks."""
+    sizes = indexed.groupBy(key).agg(F.count("*").alias("n_lines"))
+    return (indexed.select(key, "idx", F.col(value).alias("line")).join(sizes, key)
+            .select(key, "idx", "n_lines", "line"))
+
+
+def trace_text(indexed: DataFrame, value: str = "template", key: str = "trace_id") -> DataFrame:
+    """The trace's text, one row per line: the start marker at ``idx`` -1, the end marker one
+    past the last line. Rows in order, joined by line breaks, are the whole text."""
+    sizes = indexed.groupBy(key).agg(F.count("*").alias("_n"))
+    marks = sizes.select(key, F.inline(F.array(
+        F.struct(F.lit(-1).cast("long").alias("idx"), F.lit(T.TRACE_START).alias("line")),
+        F.struct(F.col("_n").cast("long").alias("idx"), F.lit(T.TRACE_END).alias("line")))))
+    return indexed.select(key, F.col("idx").cast("long").alias("idx"),
+                          F.col(value).alias("line")).unionByName(marks)
+
+
+def line_offsets(text: DataFrame, key: str = "trace_id") -> DataFrame:
+    """``(trace_id, idx, line, offset)``: the character at which each row of ``trace_text``
+    begins. A running total in chunks of ``INDEX_CHUNK`` lines, so cost is linear and a hot
+    trace is split."""
+    chunk = F.floor(F.col("idx") / INDEX_CHUNK)
+    size = (F.length("line") + 1).cast("long")
+    return running_total(text, [key], [F.col("idx")], chunk, {"offset": size}, inclusive=False)
 
 
 def adjacent_pairs(lines: DataFrame, file_col: str | None, line_no: str = "line_no",

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.functions import text as T
 from logweave.operators import flows as FL
 from logweave.operators import splits as SP
 from logweave.operators.traces import line_index, trace_start
@@ -90,38 +91,35 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
     return truth(spark, sf).join(test, "trace_id")
 
 
-def conv_traces(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations as traces: ordered ``role: text`` lines in parts of at most 4096 turns,
-    the part's text (START marker on the first part, END on the last) and line offsets.
-    A part is the scoring unit (``unit`` = trace id, ``#part`` appended after the first)."""
-    from logweave.functions import text as T
-    from logweave.operators.traces import line_index_by_number, trace_parts
-
-    ix = line_index_by_number(conv_lines(spark, sf))
-    g = trace_parts(ix, value="line")
-    first = F.col("part") == 0
-    start = len(T.TRACE_START) + 1
-    text = F.concat(F.when(first, F.lit(T.TRACE_START + "\n")).otherwise(F.lit("")),
-                    F.array_join("lines", "\n"),
-                    F.when(F.col("is_last"), F.lit("\n" + T.TRACE_END)).otherwise(F.lit("")))
-    offsets = F.aggregate("lines", F.array(F.when(first, F.lit(start)).otherwise(F.lit(0))),
-                          lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1)))
-    unit = F.when(first, F.col("trace_id")).otherwise(
-        F.concat(F.col("trace_id"), F.lit("#"), F.col("part").cast("string")))
-    return g.select(unit.alias("trace_id"), F.col("trace_id").alias("conversation"), "part", "lines",
-                    text.alias("text"), offsets.alias("starts"))
-
-
-def conv_tokens(traces: DataFrame, width: int = 4) -> DataFrame:
-    """Fixed-width character tokens of each trace text with a loss derived from the token
-    text (a deterministic stand-in for a model's per-token loss). The text is cut into spans
-    inside the row (one regex pass), so token rows never carry the whole text."""
-    spans = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{width}}}"), 0)
-    t = traces.select("trace_id", F.posexplode(spans).alias("tok", "span"))
+def conv_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as trace texts, one row per ``role: text`` line and per marker."""
+    from logweave.operators.traces import line_index_by_number, trace_text
+
+    return trace_text(line_index_by_number(conv_lines(spark, sf)), value="line")
+
+
+def conv_tokens(text: DataFrame, width: int = 4) -> DataFrame:
+    """Fixed-width character tokens of each trace's text with a loss derived from the token text
+    (a deterministic stand-in for a model's per-token loss). ``text``: rows of the text with
+    their ``offset``. Each row is cut at the token borders of the whole text in one regex pass;
+    the few pieces of a token that spans rows are put together by token."""
+    last = F.col("line") == T.TRACE_END
+    row = F.when(last, F.col("line")).otherwise(F.concat("line", F.lit("\n")))
+    head = F.pmod(-F.col("offset"), F.lit(width)).cast("int")  # characters up to the next border
+    cut = text.select("trace_id", "offset", row.alias("_row"), head.alias("_head"))
+    first = F.substr("_row", F.lit(1), F.col("_head"))
+    rest = F.regexp_extract_all(F.substr("_row", F.col("_head") + 1, F.length("_row")), F.lit(f"(?s).{{1,{width}}}"), 0)
+    pieces = F.when(F.col("_head") > 0, F.concat(F.array(first), rest)).otherwise(rest)
+    p = cut.select("trace_id", "offset", F.posexplode(pieces).alias("_i", "piece"))
+    tok = F.floor(F.col("offset") / width) + F.col("_i")
+    g = p.where(F.length("piece") > 0).groupBy("trace_id", tok.alias("tok")).agg(
+        F.array_sort(F.collect_list(F.struct("offset", "piece"))).alias("_p"))  # at most ``width`` pieces
+    span = F.array_join(F.transform("_p", lambda x: x["piece"]), "")
     s = F.col("tok") * width
+    t = g.select("trace_id", "tok", span.alias("span"))
     nll = F.pmod(F.ascii("span"), F.lit(13)) / 4.0 + 0.25 * F.length("span")
-    return t.select("trace_id", F.col("tok").cast("int").alias("tok"), s.cast("int").alias("s"),
-                    (s + F.length("span")).cast("int").alias("e"), "span", nll.cast("double").alias("nll"))
+    return t.select("trace_id", F.col("tok").cast("int").alias("tok"), s.cast("long").alias("s"),
+                    (s + F.length("span")).cast("long").alias("e"), "span", nll.cast("double").alias("nll"))
 
 
 def train_and_scored(spark: SparkSession, sf: str):

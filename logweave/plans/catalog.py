@@ -144,54 +144,39 @@ def line_index(spark, sf):
     return B.indexed_fresh(spark, sf).select("trace_id", "line_no", "idx")
 
 
-@query("sort_lines", W(LL) + """
-SELECT trace_id, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY ts, line_no) AS line_order
-FROM log_lines GROUP BY trace_id""")
+@query("sort_lines", W(LL) + "SELECT trace_id, idx, line_no FROM tl")
 def sort_lines(spark, sf):
-    g = TR.group_traces(B.indexed(spark, sf), value="line_no")
-    return g.select("trace_id", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",")
-                    .alias("line_order"))
+    return B.indexed(spark, sf).select("trace_id", "idx", "line_no")
 
 
 @query("group_traces", W(LL) + """
-SELECT trace_id, CAST(idx // 4096 AS BIGINT) AS part, count(*) AS n_lines,
-  string_agg(template, chr(10) ORDER BY idx) AS lines
-FROM tl GROUP BY trace_id, idx // 4096""")
+SELECT trace_id, idx, count(*) OVER (PARTITION BY trace_id) AS n_lines, template AS line FROM tl""")
 def group_traces(spark, sf):
-    g = TR.group_traces(B.indexed(spark, sf))
-    return g.select("trace_id", "part", "n_lines", F.array_join("lines", "\n").alias("lines"))
+    return TR.group_traces(B.indexed(spark, sf))
 
 
 @query("trace_text", W(LL) + """
-SELECT trace_id, 'TRACE START' || chr(10) || string_agg(template, chr(10) ORDER BY idx)
-  || chr(10) || 'TRACE END' AS text
-FROM tl GROUP BY trace_id""")
+SELECT trace_id, idx, template AS line FROM tl
+UNION ALL SELECT DISTINCT trace_id, CAST(-1 AS BIGINT), 'TRACE START' FROM tl
+UNION ALL SELECT trace_id, count(*), 'TRACE END' FROM tl GROUP BY trace_id""")
 def trace_text(spark, sf):
-    g = TR.group_traces(B.indexed(spark, sf))
-    return g.select("trace_id", T.trace_text(F.col("lines")).alias("text"))
+    return TR.trace_text(B.indexed(spark, sf))
 
 
 @query("numbered_lines", W(LL) + """
-SELECT trace_id, string_agg(CAST(idx AS VARCHAR) || ': ' || template, chr(10) ORDER BY idx) AS numbered
-FROM tl GROUP BY trace_id""")
+SELECT trace_id, idx, CAST(idx AS VARCHAR) || ': ' || template AS numbered FROM tl""")
 def numbered_lines(spark, sf):
-    g = TR.group_traces(B.indexed(spark, sf))
-    return g.select("trace_id", T.numbered_lines(F.col("lines")).alias("numbered"))
-
-
-@query("line_char_offsets", W(LL, """
-off AS (
-  SELECT trace_id, idx, 12 + coalesce(sum(length(template) + 1) OVER (PARTITION BY trace_id
-    ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s,
-    12 + sum(length(template) + 1) OVER (PARTITION BY trace_id) AS end_marker
-  FROM tl)""") + """
-SELECT trace_id, string_agg(CAST(s AS VARCHAR), ',' ORDER BY idx) || ',' || CAST(max(end_marker) AS VARCHAR) AS offsets
-FROM off GROUP BY trace_id""")
+    return B.indexed(spark, sf).select(
+        "trace_id", "idx", T.numbered_line(F.col("idx"), F.col("template")).alias("numbered"))
+
+
+@query("line_char_offsets", W(LL) + """
+SELECT trace_id, idx, CAST(length('TRACE START') + 1 + coalesce(sum(length(template) + 1) OVER (PARTITION BY trace_id
+  ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM tl
+UNION ALL SELECT trace_id, count(*), CAST(length('TRACE START') + 1 + sum(length(template) + 1) AS BIGINT) FROM tl GROUP BY trace_id""")
 def line_char_offsets(spark, sf):
-    g = TR.group_traces(B.indexed(spark, sf))
-    offs = T.line_char_offsets(F.col("lines"))
-    return g.select("trace_id", F.array_join(F.transform(offs, lambda x: x.cast("string")), ",")
-                    .alias("offsets"))
+    offsets = TR.line_offsets(TR.trace_text(B.indexed(spark, sf)))
+    return offsets.where(F.col("idx") >= 0).select("trace_id", "idx", "offset")
 
 
 @query("trace_start", W(LL) + """
@@ -252,9 +237,14 @@ def flow_recognise(spark, sf):
     return FL.trace_heads(B.indexed_fresh(spark, sf)).select("trace_id", "flow")
 
 
-@query("flow_step_check", _ANS + "\nSELECT trace_id, step_check FROM answers WHERE flow <> 'unknown'")
+@query("flow_step_check", _ANS + """
+SELECT h.trace_id, fn.pos, fn.step, o.idx,
+  CASE WHEN e.err_idx IS NOT NULL THEN 'ERROR' WHEN o.idx IS NULL THEN 'missing' ELSE 'ok' END AS status
+FROM heads h JOIN f_names fn ON fn.flow = h.flow
+LEFT JOIN obs o ON o.trace_id = h.trace_id AND o.pos = fn.pos
+LEFT JOIN errstep e ON e.trace_id = h.trace_id AND e.pos = fn.pos""")
 def flow_step_check(spark, sf):
-    return B.answers(spark, sf).where(F.col("flow") != "unknown").select("trace_id", "step_check")
+    return FL.step_lines(B.indexed(spark, sf))
 
 
 @query("flow_verdict", _ANS + "\nSELECT trace_id, verdict FROM answers")
@@ -807,21 +797,21 @@ lloss AS (SELECT trace_id, line, avg(nll) AS line_loss, count(*) AS n FROM tline
 
 
 def _conv(spark, sf):
-    tr = B.conv_traces(spark, sf)
-    toks = B.conv_tokens(tr)
-    return tr, toks
+    """Offsets of the conversations' text rows, and its tokens."""
+    text = TR.line_offsets(B.conv_text(spark, sf))
+    return text, B.conv_tokens(text)
 
 
 @query("asof_token_line", W(_CONV) + "\nSELECT trace_id, tok, line FROM tline")
 def asof_token_line(spark, sf):
     tr, toks = _conv(spark, sf)
-    return SU.token_lines(toks, tr).select("trace_id", "tok", "line")
+    return SU.token_lines(toks, tr.where("idx >= 0")).select("trace_id", "tok", "line")
 
 
 @query("token_to_line_loss", W(_CONV) + "\nSELECT trace_id, line, round(line_loss, 9) AS line_loss, n FROM lloss")
 def token_to_line_loss(spark, sf):
     tr, toks = _conv(spark, sf)
-    r = SU.token_to_line_loss(toks, tr)
+    r = SU.token_to_line_loss(toks, tr.where("idx >= 0"))
     return r.select("trace_id", "line", F.round("line_loss", 9).alias("line_loss"), "n")
 
 
@@ -836,7 +826,7 @@ SELECT c.trace_id, round(coalesce(w.score, 0.0), 9) AS score, round(coalesce(w.m
 FROM ct c LEFT JOIN wl w ON w.trace_id = c.trace_id""")
 def trace_token_score(spark, sf):
     tr, toks = _conv(spark, sf)
-    w = SU.worst_line(SU.token_to_line_loss(toks, tr), tr)
+    w = SU.worst_line(SU.token_to_line_loss(toks, tr.where("idx >= 0")), tr)
     return w.select("trace_id", F.round("score", 9).alias("score"),
                     F.round("mean_nll", 9).alias("mean_nll"), "worst_index", "worst_text")
 
@@ -865,16 +855,14 @@ def _flow_doc_text() -> str:
 
 
 def _prompts(spark, sf, traces=None):
-    """One prompt per trace part (at most 4096 lines); lines keep their trace-wide numbers.
-    ``traces`` (trace ids) restricts the prompts before grouping."""
+    """Prompt lines with their trace-wide numbers, one row per line; the system text is the same
+    for every trace. ``traces`` (trace ids) restricts the prompts."""
     ix = B.indexed(spark, sf)
     if traces is not None:
         ix = ix.join(traces, "trace_id")
-    g = TR.group_traces(ix)
     system = SYSTEM_PROMPT + "\n\nExpected flows:\n" + _flow_doc_text()
-    numbered = F.array_join(F.transform(F.arrays_zip("idx", "lines"), lambda e: F.concat(
-        e["idx"].cast("string"), F.lit(": "), e["lines"])), "\n")
-    return g.select("trace_id", "part", F.lit(system).alias("system"), numbered.alias("user")), len(system)
+    user = T.numbered_line(F.col("idx"), F.col("template"))
+    return ix.select("trace_id", "idx", F.lit(system).alias("system"), user.alias("user")), len(system)
 
 
 def _system_len() -> int:
@@ -903,12 +891,11 @@ def _usage(spark, sf, traces=None):
 
 
 @query("prompt_table", W(LL) + f"""
-SELECT trace_id, {_system_len()} AS system_chars,
-  string_agg(CAST(idx AS VARCHAR) || ': ' || template, chr(10) ORDER BY idx) AS user_text
-FROM tl GROUP BY trace_id""")
+SELECT trace_id, {_system_len()} AS system_chars, idx, CAST(idx AS VARCHAR) || ': ' || template AS user_line
+FROM tl""")
 def prompt_table(spark, sf):
     p, _ = _prompts(spark, sf)
-    return p.select("trace_id", F.length("system").alias("system_chars"), F.col("user").alias("user_text"))
+    return p.select("trace_id", F.length("system").alias("system_chars"), "idx", F.col("user").alias("user_line"))
 
 
 @query("answer_parse", _ANS + """
@@ -1109,18 +1096,18 @@ def conformance_eval(spark, sf):
 
 
 @query("join_results", W(_DETS[5:]) + """
-SELECT a.trace_id, n.user_text, d.flagged FROM det_ans d JOIN answers a ON a.trace_id = d.trace_id
-JOIN numb n ON n.trace_id = a.trace_id""")
+SELECT a.trace_id, t.idx, CAST(t.idx AS VARCHAR) || ': ' || t.template AS user_line, d.flagged
+FROM det_ans d JOIN answers a ON a.trace_id = d.trace_id JOIN tl t ON t.trace_id = a.trace_id""")
 def join_results(spark, sf):
     prompts, _ = _prompts(spark, sf)
     seqs = prompts.join(_test_ids(spark, sf), "trace_id")
     res = _det_ans(spark, sf).select("trace_id", "flagged")
-    j = seqs.join(res, "trace_id")
     # both sides must have the same traces (the reference zips them strictly)
-    n_seq, n_res, n_j = seqs.count(), res.count(), j.count()
-    if not (n_seq == n_res == n_j):
-        raise ValueError(f"sequences and results differ: {n_seq} vs {n_res} ({n_j} matched)")
-    return j.select("trace_id", F.col("user").alias("user_text"), "flagged")
+    odd = seqs.select("trace_id").distinct().join(res, "trace_id", "full").where(F.col("flagged").isNull())
+    unmatched = odd.count() + res.join(seqs, "trace_id", "left_anti").count()
+    if unmatched:
+        raise ValueError(f"sequences and results differ in {unmatched} traces")
+    return seqs.join(res, "trace_id").select("trace_id", "idx", F.col("user").alias("user_line"), "flagged")
 
 
 def _payloads(spark, sf):
@@ -1269,27 +1256,21 @@ def scan_labelled_jsonl(spark, sf):
     ll = log_lines(spark, sf).select("line_no", "raw")
     lines = (lws.join(lab.select("trace_id"), "trace_id").join(ll, "line_no")
              .join(d.select(F.col("text").alias("template"), "id"), "template"))
-    g = TR.group_traces(lines.withColumn("tid", F.format_string("T%03d", "id")), value="tid")
-    r = TR.group_traces(lines, value="raw")
     ans = B.answers(spark, sf).select("trace_id", "explanation")
-    # one record per trace part (a part holds at most 4096 lines; most traces have one)
-    rec = (lab.join(g.select("trace_id", "part", F.col("lines").alias("template_ids")), "trace_id")
-           .join(r.select("trace_id", "part", F.col("lines").alias("raw_lines")), ["trace_id", "part"])
-           .join(ans, "trace_id")
-           .select("trace_id", "part", "flow",
-                   F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("start"),
-                   "template_ids",
-                   F.when(F.col("label") == 1, "anomalous").otherwise("normal").alias("expected_verdict"),
-                   "anomaly_type",
-                   F.coalesce(F.col("first_deviation_index").cast("string"), F.lit("")).alias("first_deviation_index"),
-                   "explanation", "raw_lines"))
+    rec = lab.join(ans, "trace_id").select(
+        "trace_id", "flow", F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("start"),
+        F.when(F.col("label") == 1, "anomalous").otherwise("normal").alias("expected_verdict"),
+        "anomaly_type",
+        F.coalesce(F.col("first_deviation_index").cast("string"), F.lit("")).alias("first_deviation_index"),
+        "explanation")
+    rec = rec.join(lines.select("trace_id", "idx", F.format_string("T%03d", "id").alias("template_id"),
+                                F.col("raw").alias("raw_line")), "trace_id")
     out = scratch_path(spark, "labelled-jsonl")
     rec.write.json(out)
     j = FS.scan_labelled_jsonl(spark, out)
     return j.groupBy("trace_id", "flow", "expected_verdict", "anomaly_type", "first_deviation_index").agg(
-        F.sum(F.size("template_ids")).cast("long").alias("n_templates"),
-        F.min_by(F.element_at("template_ids", 1), "part").alias("first_template"),
-        F.sum(F.size("raw_lines")).cast("long").alias("n_raw_lines"))
+        F.count("template_id").alias("n_templates"), F.min_by("template_id", "idx").alias("first_template"),
+        F.count("raw_line").alias("n_raw_lines"))
 
 
 @query("scan_flows", W(LL, CONF) + """
@@ -1311,26 +1292,25 @@ def scan_flows(spark, sf):
 
 
 def _sequences(spark, sf):
-    g = TR.group_traces(B.indexed(spark, sf)).join(B.splits(spark, sf), "trace_id")
     out = scratch_path(spark, "sequences")
-    WR.sink_sequences(g.select("split", "trace_id", "part", "n_lines",
-                               F.array_join("lines", "\n").alias("lines")), out)
+    lines = TR.group_traces(B.indexed(spark, sf)).join(B.splits(spark, sf), "trace_id")
+    WR.sink_sequences(lines.select("split", "trace_id", "idx", "line"), out)
     return out
 
 
 @query("sink_sequences", _SPL + """
-, c AS (SELECT s.split, l.trace_id, count(*) AS n FROM tl l JOIN splits s ON s.trace_id = l.trace_id GROUP BY ALL)
-SELECT split, count(*) AS n_traces, CAST(sum(n) AS BIGINT) AS n_lines FROM c GROUP BY split""".replace("\n, c AS", ",\nc AS"))
+SELECT s.split, count(DISTINCT l.trace_id) AS n_traces, count(*) AS n_lines
+FROM tl l JOIN splits s ON s.trace_id = l.trace_id GROUP BY s.split""")
 def sink_sequences(spark, sf):
-    s = spark.read.parquet(_sequences(spark, sf))
-    return s.groupBy("split").agg(F.count("*").alias("n_traces"), F.sum("n_lines").cast("long").alias("n_lines"))
+    per_trace = spark.read.parquet(_sequences(spark, sf)).groupBy("split", "trace_id").agg(F.count("*").alias("n"))
+    return per_trace.groupBy("split").agg(F.count("*").alias("n_traces"), F.sum("n").cast("long").alias("n_lines"))
 
 
 @query("scan_sequences", _SPL + """
-SELECT l.trace_id, CAST(0 AS BIGINT) AS part, count(*) AS n_lines, string_agg(l.template, chr(10) ORDER BY l.idx) AS lines
-FROM tl l JOIN splits s ON s.trace_id = l.trace_id WHERE s.split = 'test' GROUP BY l.trace_id""")
+SELECT l.trace_id, l.idx, l.template AS line
+FROM tl l JOIN splits s ON s.trace_id = l.trace_id WHERE s.split = 'test'""")
 def scan_sequences(spark, sf):
-    return FS.scan_sequences(spark, _sequences(spark, sf), "test").select("trace_id", "part", "n_lines", "lines")
+    return FS.scan_sequences(spark, _sequences(spark, sf), "test").select("trace_id", "idx", "line")
 
 
 @query("sink_answers", _ANS + "\nSELECT trace_id, verdict, anomaly_type, first_deviation_line FROM answers")
@@ -1399,7 +1379,7 @@ def reuse_prepared(spark, sf):
     path = scratch_path(spark, "prepared-seq")
 
     def build(p: str) -> None:
-        TR.group_traces(B.indexed_fresh(spark, sf)).write.parquet(p)
+        B.indexed_fresh(spark, sf).select("trace_id", "idx", "template").write.parquet(p)
 
     WR.reuse_prepared(spark, path, h, build)          # first call builds
     df, reused = WR.reuse_prepared(spark, path, h, build)  # same input hash: reused
@@ -1639,8 +1619,8 @@ SELECT l.trace_id, CAST(max(length(t.template)) AS DOUBLE) AS score,
 FROM labelled l JOIN tl t ON t.trace_id = l.trace_id GROUP BY l.trace_id""")
 def udf_scorer(spark, sf):
     test = B.labelled(spark, sf).select("trace_id")
-    seqs = TR.group_traces(B.indexed(spark, sf).join(test, "trace_id"))
-    return PL.run_scorer(seqs, PL.longest_line_scorer).select("trace_id", "score", "worst_index")
+    lines = B.indexed(spark, sf).join(test, "trace_id").select("trace_id", "idx", F.col("template").alias("line"))
+    return PL.run_scorer(lines, PL.line_length_scorer).select("trace_id", "score", "worst_index")
 
 
 @query("udf_answerer", W(LL, CONF, TRUTH, SPLITS, _LAB) + """
@@ -1650,5 +1630,5 @@ SELECT l.trace_id, CASE WHEN min(t.idx) FILTER (WHERE contains(CAST(t.idx AS VAR
 FROM labelled l JOIN tl t ON t.trace_id = l.trace_id GROUP BY l.trace_id""")
 def udf_answerer(spark, sf):
     test = B.labelled(spark, sf).select("trace_id")
-    seqs = TR.group_traces(B.indexed(spark, sf).join(test, "trace_id"))
-    return PL.run_answerer(seqs).select("trace_id", "verdict", "first_deviation_line")
+    lines = B.indexed(spark, sf).join(test, "trace_id").select("trace_id", "idx", F.col("template").alias("line"))
+    return PL.run_judge(lines, PL.error_level_judge).select("trace_id", "verdict", "first_deviation_line")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from logweave.functions.text import KEYWORDS, keyed_mask_pattern
 from logweave.operators.detect import DOC_KEYWORDS
-from logweave.operators.flows import EVENT_FLOWS, LIST_MAX, step_template
+from logweave.operators.flows import EVENT_FLOWS, step_template
 from logweave.operators.splits import INCIDENTS, SEED, SELECTION, VAL_SHARE
 
 
@@ -126,8 +126,7 @@ oagg AS (
     arg_max(pos, k) AS last_pos
   FROM obs GROUP BY trace_id),
 ostep AS (
-  SELECT trace_id, pos, count(*) AS n, min(idx) AS first, max(idx) AS last,
-    CASE WHEN count(*) <= {LIST_MAX} THEN string_agg(CAST(idx AS VARCHAR), ', ' ORDER BY idx) END AS lines
+  SELECT trace_id, pos, count(*) AS n, string_agg(CAST(idx AS VARCHAR), ', ' ORDER BY idx) AS lines
   FROM obs GROUP BY trace_id, pos),
 t0 AS (
   SELECT h.trace_id, h.flow, h.n_lines, h.err_line, h.err_service, h.n_exp,
@@ -165,12 +164,12 @@ t2 AS (
 t3 AS (
   SELECT *, CASE
     WHEN flow = 'unknown' THEN 'No expected flow starts like this trace.'
-    WHEN anomaly_type = 'none' THEN printf('%s: completed, every expected step occurred once and in order.', flow)
-    WHEN anomaly_type = 'visible_error' THEN printf('%s: line %d is an ERROR from %s, so the flow did not run as expected.', flow, err_line, err_service)
-    WHEN anomaly_type = 'retry_storm' THEN printf('%s: step %s was logged %d times, repeating in a row at line %d without the flow progressing.', flow, storm_what, storm_n, storm_line)
-    WHEN anomaly_type = 'wrong_order' THEN printf('%s: step %s at line %d came before its turn.', flow, bad_what, bad_line)
-    WHEN anomaly_type = 'truncated' THEN printf('%s: stopped after step %s; the remaining steps never occurred.', flow, last_what)
-    WHEN anomaly_type = 'silent_skip' THEN printf('%s: step %s never happened, yet the flow carried on at line %d.', flow, badk_what, bad_line)
+    WHEN anomaly_type = 'none' THEN printf('%s: all expected steps found, each once and in order.', flow)
+    WHEN anomaly_type = 'visible_error' THEN printf('%s: line %d is the first at ERROR level, logged by %s.', flow, err_line, err_service)
+    WHEN anomaly_type = 'retry_storm' THEN printf('%s: step %s has %d lines and repeats itself from line %d.', flow, storm_what, storm_n, storm_line)
+    WHEN anomaly_type = 'wrong_order' THEN printf('%s: step %s stands too early, at line %d.', flow, bad_what, bad_line)
+    WHEN anomaly_type = 'truncated' THEN printf('%s: last known step is %s, later steps have no line.', flow, last_what)
+    WHEN anomaly_type = 'silent_skip' THEN printf('%s: no line for step %s before the one at line %d.', flow, badk_what, bad_line)
     ELSE printf('%s: line %d deviates from the expected steps.', flow, bad_line) END AS explanation
   FROM t2),
 errstep AS (
@@ -181,9 +180,7 @@ errstep AS (
   WHERE l.level = 'ERROR' GROUP BY l.trace_id, m.pos),
 scheck AS (
   SELECT h.trace_id, string_agg(fn.step || ': ' || CASE WHEN e.err_idx IS NOT NULL THEN 'ERROR ' || CAST(e.err_idx AS VARCHAR)
-      WHEN s.n IS NULL THEN 'missing'
-      WHEN s.lines IS NOT NULL THEN s.lines
-      ELSE printf('%d..%d (%d lines)', s.first, s.last, s.n) END, '; ' ORDER BY fn.pos) AS step_check
+      WHEN s.n IS NULL THEN 'missing' ELSE s.lines END, '; ' ORDER BY fn.pos) AS step_check
   FROM heads h JOIN f_names fn ON fn.flow = h.flow
   LEFT JOIN ostep s ON s.trace_id = h.trace_id AND s.pos = fn.pos
   LEFT JOIN errstep e ON e.trace_id = h.trace_id AND e.pos = fn.pos

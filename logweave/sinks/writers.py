@@ -12,28 +12,46 @@ from pyspark.sql import functions as F
 from logweave.sources.files import _hadoop_fs, path_exists
 
 
-def atomic_write(spark: SparkSession, path: str, write: Callable[[str], None]) -> str:
-    """Write into a sibling temp folder, then swap it in with two renames."""
+def _rename(fs, src, dst) -> None:
+    """Rename, or raise; a filesystem's false result is not ignored."""
+    if not fs.rename(src, dst):
+        raise OSError(f"rename failed: {src} -> {dst}")
+
+
+def atomic_write(spark: SparkSession, path: str, write: Callable[[str], None],
+                 rename: Callable = _rename) -> str:
+    """Write into a sibling folder, then swap it in. Every step is checked: when the new copy
+    can't be moved into place the old one is put back and the error raised, and the old
+    copy is deleted only after the new one is seen at ``path``."""
     tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
     write(tmp)
     fs, p = _hadoop_fs(spark, path)
     jvm = spark.sparkContext._jvm
+    new = jvm.org.apache.hadoop.fs.Path(tmp)
     old = jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex[:8]}")
-    if fs.exists(p):
-        fs.rename(p, old)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), p)
-    if fs.exists(old):
+    if not fs.exists(new):
+        raise OSError(f"nothing was written: {tmp}")
+    had = fs.exists(p)
+    if had:
+        rename(fs, p, old)
+    try:
+        rename(fs, new, p)
+    except Exception:
+        if had:
+            _rename(fs, old, p)
+        raise
+    if not fs.exists(p):
+        raise OSError(f"swap failed: {path}")
+    if had:
         fs.delete(old, True)
     return path
 
 
 def sink_sequences(seqs: DataFrame, path: str) -> None:
-    """One record per trace (part) per split, partitioned by split."""
-    seqs.write.mode("overwrite").partitionBy("split").parquet(path)
-
-
-def sink_sequences_json(seqs: DataFrame, path: str) -> None:
-    seqs.write.mode("overwrite").partitionBy("split").json(path)
+    """One row per line (trace_id, idx, line), partitioned by split; a trace's rows stand
+    in order inside each range-partitioned file."""
+    (seqs.repartitionByRange("split", "trace_id", "idx").sortWithinPartitions("split", "trace_id", "idx")
+     .write.mode("overwrite").partitionBy("split").parquet(path))
 
 
 def sink_templates(dictionary: DataFrame, path: str) -> None:

@@ -3,8 +3,6 @@ metrics, prices, console results and file checksums."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +10,9 @@ from logweave.functions.text import content, parse_prod, parse_v1
 from logweave.operators.ranking import rank_within
 
 LABEL_SCHEMA = "trace_id string, label int, anomaly_type string, first_deviation_index int"
-LABELLED_SCHEMA = ("trace_id string, part long, flow string, start string, template_ids array<string>, "
+LABELLED_SCHEMA = ("trace_id string, idx long, flow string, start string, template_id string, "
                    "expected_verdict string, anomaly_type string, first_deviation_index string, "
-                   "explanation string, raw_lines array<string>")
+                   "explanation string, raw_line string")
 INCIDENT_SCHEMA = ("id string, title string, flow string, precursor_start string, start string, "
                    "end string")
 PRICE_KEYS = ["llm_input_per_1m_tokens", "llm_output_per_1m_tokens", "gpu_per_hour"]
@@ -57,27 +55,29 @@ def _numbered(raw: DataFrame) -> DataFrame:
     return r.drop("_block", "_pos")
 
 
-def _strict(df: DataFrame) -> DataFrame:
-    return df.withColumn("parsed", F.when(F.col("parsed"), F.lit(True)).otherwise(
-        F.raise_error(F.concat(F.lit("unparseable line "), F.col("file"), F.lit(":"),
-                               F.col("line_no").cast("string"), F.lit(": "), F.col("value")))))
+def _scan(raw: DataFrame, parse, strict: bool) -> DataFrame:
+    """Parse numbered lines. Strict: a row whose line does not match raises in a filter over the
+    whole row, so it fails whatever columns the caller reads."""
+    df = raw.select("file", "line_no", "value", parse(F.col("value")).alias("_p"))
+    if strict:
+        where = F.concat(F.lit("unparseable line "), F.col("file"), F.lit(":"),
+                         F.col("line_no").cast("string"), F.lit(": "), F.col("value"))
+        df = df.where(F.when(F.col("_p.parsed"), F.lit(True)).otherwise(
+            F.raise_error(where).cast("boolean")))
+    df = df.select("file", "line_no", "value", "_p.*")
+    return df.withColumn("content", content(F.col("service"), F.col("level"), F.col("message")))
 
 
 def scan_log_v1(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """``ts level service trace=id message`` lines. Strict mode fails on the first line that
     does not match, naming file and line; otherwise ``parsed`` routes rejects."""
-    df = _numbered(spark.read.text(path)).select("file", "line_no", "value", *parse_v1(F.col("value")))
-    df = _strict(df) if strict else df
-    return df.withColumn("content", content(F.col("service"), F.col("level"), F.col("message")))
+    return _scan(_numbered(spark.read.text(path)), parse_v1, strict)
 
 
 def scan_log_prod(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Production-shaped lines with host and correlation id, read from many daily files;
     files are taken in name order."""
-    df = _numbered(spark.read.text(path)).select(
-        "file", "line_no", "value", *parse_prod(F.col("value")))
-    df = _strict(df) if strict else df
-    return df.withColumn("content", content(F.col("service"), F.col("level"), F.col("message")))
+    return _scan(_numbered(spark.read.text(path)), parse_prod, strict)
 
 
 def scan_labels(spark: SparkSession, folder: str, split: str) -> DataFrame:
@@ -88,7 +88,7 @@ def scan_labels(spark: SparkSession, folder: str, split: str) -> DataFrame:
 
 
 def scan_labelled_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled traces; the deviation index is an int or ``""`` in the file."""
+    """Labelled traces, one record per line (its place is ``idx``); the deviation index is an int or ``""`` in the file."""
     df = spark.read.schema(LABELLED_SCHEMA).json(path)
     return df.withColumn("first_deviation_index",
                          F.expr("try_cast(first_deviation_index AS INT)"))
@@ -157,7 +157,3 @@ def file_checksums(spark: SparkSession, glob: str) -> DataFrame:
             .select(F.col("path").alias("file"), F.sha2(F.col("content"), 256).alias("sha256"),
                     F.col("length")))
 
-
-def to_json_text(obj) -> str:
-    return json.dumps(obj, indent=2, sort_keys=False)
-

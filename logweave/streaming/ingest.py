@@ -21,7 +21,8 @@ def ingest_logs(spark: SparkSession, source_dir: str, out: str, checkpoint: str,
     """Start the stream; with ``available_now`` it processes every file present, then stops."""
     raw = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files)
            .load(source_dir))
-    parsed = raw.select(F.col("_metadata.file_path").alias("file"), *parse_v1(F.col("value")))
+    parsed = raw.select(F.col("_metadata.file_path").alias("file"),
+                        parse_v1(F.col("value")).alias("_p")).select("file", "_p.*")
     lines = parsed.select(
         "file", "parsed", "ts_text", "level", "service", "trace_id",
         content(F.col("service"), F.col("level"), F.col("message")).alias("content"),

@@ -24,3 +24,25 @@ def test_no_single_partition_exchange(spark, name):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "SinglePartition" not in plan, plan
+
+
+def test_hot_trace_is_split_before_the_step_windows(spark):
+    """With broadcast off the steps are dealt by (trace, chunk) before any window over them."""
+    from logweave.operators import flows as FL
+    from logweave.plans import base as B
+
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ix = B.indexed(spark, SF_SMALL)
+        obs = FL.observed_steps(ix, FL.trace_heads(ix))
+        plan = obs._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    depth = [i for i, line in enumerate(plan) if "Window " in line and "row_number()" in line and "_c#" in line]
+    assert depth
+    for i in depth:
+        below = next(line for line in plan[i + 1:] if "Exchange hashpartitioning" in line)
+        assert "trace_id" in below and "_c#" in below

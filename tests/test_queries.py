@@ -51,6 +51,46 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    from __spark_entry__ import oracle_sql, queries
+    from logweave.plans.catalog import ORACLE, QUERIES
+
+    assert set(QUERIES) == set(ORACLE)
+
+
+LONG = ["sort_lines", "group_traces", "trace_text", "numbered_lines", "line_char_offsets", "prompt_table",
+        "flow_step_check", "token_usage", "asof_token_line", "token_to_line_loss", "trace_token_score",
+        "flow_conformance", "sink_sequences", "scan_sequences", "udf_scorer", "join_results"]
+
 
-    assert set(queries()) == set(oracle_sql())
+@pytest.fixture(scope="module")
+def long_tables(spark, tmp_path_factory):
+    """The small tables plus one trace of 5,000 lines (steps repeated) and one conversation of 5,000 turns."""
+    root = tmp_path_factory.mktemp("long")
+    c = duckdb.connect()
+    for t in ["events", "documents", "labels", "conversations"]:
+        c.execute(f"CREATE TABLE {t} AS SELECT * FROM '{SF_SMALL}/{t}.parquet'")
+    c.execute("""INSERT INTO events BY NAME
+      SELECT 90000000 + i AS event_id, TIMESTAMP '2024-01-20 00:00:00' + to_milliseconds(i * 7) AS ts, 987654 AS user_id,
+        CASE WHEN i = 0 THEN 'signup' WHEN i % 5 = 1 THEN 'login' WHEN i % 5 = 2 THEN 'view' ELSE 'click' END AS event_type,
+        5.0 AS value FROM range(5000) r(i)""")
+    c.execute("""INSERT INTO conversations BY NAME
+      SELECT 900000 AS conv_id, i AS turn, CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END AS role,
+        'turn ' || i || repeat(' word', CAST(i % 7 AS INTEGER)) AS text FROM range(5000) r(i)""")
+    for t in ["events", "documents", "labels", "conversations"]:
+        c.execute(f"COPY {t} TO '{root}/{t}.parquet'")
+    return str(root), c
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_trace_matches_sql(spark, long_tables, name):
+    from logweave.plans.catalog import ORACLE, QUERIES
+
+    root, c = long_tables
+    df = QUERIES[name](spark, root)
+    cols = sorted(df.columns)
+    got = sorted((tuple(_norm(r[x]) for x in cols) for r in df.collect()), key=str)
+    assert "4096" not in ORACLE[name]
+    cur = c.execute(ORACLE[name])
+    dcols = [d[0] for d in cur.description]
+    assert sorted(dcols) == cols
+    at = [dcols.index(x) for x in cols]
+    assert got == sorted((tuple(_norm(r[i]) for i in at) for r in cur.fetchall()), key=str)

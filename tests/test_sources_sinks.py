@@ -22,6 +22,35 @@ def test_strict_scan_names_file_and_line(spark):
         FS.scan_log_v1(spark, f"{root}/raw_dev.log", strict=True).collect()
 
 
+@pytest.mark.parametrize("column", ["content", "line_no", "file"])
+def test_strict_scan_fails_whatever_is_read(spark, column):
+    root = scratch_path(spark, "strict-one")
+    FS.write_small_text(spark, f"{root}/bad.log", GOOD + "\ngarbage\n" + GOOD + "\n")
+    with pytest.raises(Exception, match=r"bad\.log:2"):
+        FS.scan_log_v1(spark, f"{root}/bad.log", strict=True).select(column).collect()
+    with pytest.raises(Exception, match="unparseable line"):
+        FS.scan_log_prod(spark, f"{root}/bad.log", strict=True).select(column).collect()
+
+
+def test_failed_swap_keeps_the_old_copy(spark):
+    path = scratch_path(spark, "swap-fails")
+    WR.atomic_write(spark, path, lambda p: spark.range(3).write.parquet(p))
+    calls = []
+
+    def second_fails(fs, src, dst):
+        calls.append(str(dst))
+        if len(calls) == 2:
+            raise OSError("no rename today")
+        assert fs.rename(src, dst)
+
+    with pytest.raises(OSError, match="no rename today"):
+        WR.atomic_write(spark, path, lambda p: spark.range(5).write.parquet(p), rename=second_fails)
+    assert spark.read.parquet(path).count() == 3
+    with pytest.raises(OSError, match="nothing was written"):
+        WR.atomic_write(spark, path, lambda p: None)
+    assert spark.read.parquet(path).count() == 3
+
+
 def test_prod_lines_and_offsets(spark):
     root = scratch_path(spark, "prod")
     FS.write_small_text(spark, f"{root}/prod_1.log",
@@ -89,11 +118,11 @@ def test_file_checksums_equal_sha256(spark):
 
 def test_sequences_partition_pruning(spark):
     root = scratch_path(spark, "seq")
-    df = spark.createDataFrame([("train", "t1", 0, 2), ("test", "t2", 0, 3)],
-                               "split string, trace_id string, part long, n_lines long")
+    df = spark.createDataFrame([("train", "t1", 0, "x"), ("test", "t2", 1, "z"), ("test", "t2", 0, "y")],
+                               "split string, trace_id string, idx long, line string")
     WR.sink_sequences(df, root)
     s = FS.scan_sequences(spark, root, "test")
-    assert [r.trace_id for r in s.collect()] == ["t2"]
+    assert [(r.trace_id, r.idx, r.line) for r in s.orderBy("idx").collect()] == [("t2", 0, "y"), ("t2", 1, "z")]
     plan = s._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "split" in plan
     assert s.select(F.col("split")).first()[0] == "test"
