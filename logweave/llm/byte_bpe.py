@@ -25,13 +25,14 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 
-from logweave.llm.blocks import map_arrow
+from logweave.llm.blocks import carrying, map_arrow
 
 MEMO = 250_000
-EMIT_IDS = 1 << 21
+EMIT_IDS = 1 << 19
 
 #: White space of the split pattern's ``\\s`` (Unicode White_Space).
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -90,7 +91,7 @@ class ByteBpe:
         self.length = [len(t) for t in self.vocabulary]
         self.automaton = ahocorasick.Automaton()
         for token, i in self.ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), i)
+            self.automaton.add_word(token.decode("latin-1"), (i, len(token) - 1))
         self.automaton.make_automaton()
         self.shorter = [self._shorter(t) for t in self.vocabulary]
         self.pattern = regex.compile(pattern.replace(r"\S", f"[^{_WHITE}]").replace(r"[^\s", f"[^{_WHITE}").replace(r"\s", f"[{_WHITE}]"))
@@ -115,8 +116,8 @@ class ByteBpe:
             return [self.ranks[text]]
         length, shorter, pairs = self.length, self.shorter, self.pairs
         longest = [-1] * len(text)
-        for end, token in self.automaton.iter(text.decode("latin-1")):
-            longest[end + 1 - length[token]] = token  # a later end is a longer match
+        for end, (token, before) in self.automaton.iter(text.decode("latin-1")):
+            longest[end - before] = token  # a later end is a longer match
         dead = bytearray(len(text) + 1)
         found: list[int] = []
         at, token = 0, longest[0]
@@ -157,8 +158,26 @@ class ByteBpe:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, ids))
+
+
+class ByteDecoder:
+    """Bytes of ids, gathered from one buffer of all tokens."""
+
+    def __init__(self, path: str):
+        ranks = read_ranks(path)
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            tokens[i] = token
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, and the end of each id's bytes."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        shift = np.repeat(self.start[ids] - (ends - size), size)
+        return self.data[shift + np.arange(len(shift))], ends
 
 
 _coders: dict[tuple[str, str], ByteBpe] = {}
@@ -171,16 +190,20 @@ def coder(path: str, pattern: str) -> ByteBpe:
     return _coders[path, pattern]
 
 
-def _schema(df: DataFrame, drop: str, added: str) -> tuple[list[str], str]:
-    kept = [f for f in df.schema.fields if f.name != drop]
-    return [f.name for f in kept], ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), added])
+_decoders: dict[str, ByteDecoder] = {}
+
+
+def decoder(path: str) -> ByteDecoder:
+    if path not in _decoders:
+        _decoders[path] = ByteDecoder(path)
+    return _decoders[path]
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Replace column ``text`` by ``ids`` (array of int), other columns carried."""
-    names, schema = _schema(df, text, f"`{ids}` array<int>")
-    at = df.columns.index(text)
-    others = [i for i in range(len(df.columns)) if i != at]
+    names, schema = carrying(df, [c for c in df.columns if c != text], f"`{ids}` array<int>")
+    df = df.select(*(f"`{c}`" for c in names), text)
+    at = others = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
@@ -189,31 +212,39 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
             for row, value in enumerate(batch.column(at)):
                 parts.append(bpe.encode_bytes(value.as_py() or ""))
                 size += len(parts[-1])
-                if size >= 4 * EMIT_IDS or row + 1 == batch.num_rows:
+                if size >= 16 * EMIT_IDS or row + 1 == batch.num_rows:
                     offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
                     values = pa.array(np.frombuffer(b"".join(parts), np.int32))
                     own = batch.slice(done, len(parts))
-                    columns = [own.column(i) for i in others] + [pa.ListArray.from_arrays(pa.array(offsets), values)]
+                    columns = own.columns[:others] + [pa.ListArray.from_arrays(pa.array(offsets), values)]
                     yield pa.RecordBatch.from_arrays(columns, names=[*names, ids])
                     done, parts, size = row + 1, [], 0
 
     return map_arrow(df, run, schema)
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add ``decoded`` (binary): the bytes of each row's ids; all columns carried."""
-    names, schema = _schema(df, decoded, f"`{decoded}` binary")
-    df = df.select(*(df[f"`{n}`"] for n in names))
+    names, schema = carrying(df, df.columns, f"`{decoded}` binary")
+    df = df.select(*(f"`{c}`" for c in names))
     at = names.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(path, pattern)
+        tokens = decoder(path)
         for batch in batches:
             column = batch.column(at)
-            offsets = column.offsets.to_pylist()
-            values = column.values.to_pylist()
-            valid = column.is_valid().to_pylist()
-            decoded_rows = [bpe.decode(values[a:b]) if ok else None for a, b, ok in zip(offsets, offsets[1:], valid, strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded_rows, pa.binary())], names=[*names, decoded])
+            offsets = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            values = column.flatten().to_numpy(zero_copy_only=False)
+            first = 0
+            while first < len(column):  # rows of about EMIT_IDS ids
+                last = int(np.searchsorted(offsets, offsets[first] + EMIT_IDS, side="right")) - 1
+                last = min(max(last, first + 1), len(column))
+                data, ends = tokens.decode(values[offsets[first] : offsets[last]])
+                cuts = np.concatenate([[0], ends])[offsets[first : last + 1] - offsets[first]].astype(np.int64)
+                part = batch.slice(first, last - first)
+                rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+                rows = pa.compute.if_else(part.column(at).is_valid(), rows.cast(pa.binary()), pa.scalar(None, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns, rows], names=[*names, decoded])
+                first = last
 
     return map_arrow(df, run, schema)

@@ -42,7 +42,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's token ids and of the bytes decoded from them."""
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     coded = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
-    return byte_bpe.decode(coded, ranks, pattern).select(
+    return byte_bpe.decode(coded, ranks).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
