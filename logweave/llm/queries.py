@@ -17,6 +17,7 @@ from logweave.llm import (
     parity_join,
     pii,
     quality_crf,
+    toxicity_chain,
     url_templates,
 )
 from logweave.session import cut_lineage
@@ -88,6 +89,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(digests)
 
 
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities and toxicity verdict of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity_chain.score(docs, toxicity_chain.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def _digest(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -110,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_format": op6_chat_format,
     "op7_parity_join": op7_parity_join,
     "op8_packing": op8_packing,
+    "op9_toxicity_chain": op9_toxicity_chain,
     "op10_pii": op10_pii,
 }
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from logweave.llm import byte_bpe, chat_format, hd_language, pii, quality_crf
+from logweave.llm import byte_bpe, chat_format, hd_language, pii, quality_crf, toxicity_chain
 from logweave.llm.blocks import text_blocks
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -201,3 +201,30 @@ def test_block_cuts_do_not_change_results(monkeypatch):
     assert len(cut) > len(whole)
     for name in whole[0][0]:
         assert np.array_equal(np.concatenate([w[0][name] for w in whole]), np.concatenate([c[0][name] for c in cut]))
+
+
+def test_toxicity_catches_planted_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    learn, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    model = toxicity_chain.train(docs, learn)
+    rows = toxicity_chain.score(docs, model).join(held.withColumnRenamed("toxic", "flag"), "doc_id").collect()
+    wrong = [r["doc_id"] for r in rows if r["toxic"] and not r["flag"]]
+    missed = [r["doc_id"] for r in rows if r["flag"] and not r["toxic"]]
+    assert len(wrong) <= 0.002 * len(rows) and len(missed) <= 0.35 * sum(r["flag"] for r in rows)
+    odd = {r["doc_id"]: r for r in toxicity_chain.score(_rows(spark, [*ODD, "you worthless idiot, pathetic scum"]), model, keep=("doc_id", "kept")).collect()}
+    assert not any(odd[i]["toxic"] for i in range(len(ODD))) and odd[len(ODD)]["toxic"] and odd[0]["kept"] == "z"
+    assert toxicity_chain.train(docs, labels.limit(0)) is None
+    assert not any(r["toxic"] for r in toxicity_chain.score(docs.limit(20), None).collect())
+
+
+def test_chain_uses_earlier_categories():
+    draw = np.random.default_rng(8)
+    x = (draw.random((600, 3)) < 0.4).astype(float)
+    first = x[:, 0].astype(int)
+    second = ((x[:, 0] == 1) & (x[:, 1] == 1)).astype(int)
+    models = toxicity_chain.fit_chain(x, np.stack([first, second], axis=1))
+    assert [len(w) for w in models] == [4, 5]  # words and a bias, then one earlier probability more
+    assert models[1][3] > 0  # the later model leans on the earlier category
+    p = toxicity_chain.predict_chain(x, models)
+    assert ((p[:, 0] > 0.5) == first).all() and ((p[:, 1] > 0.5) == second).mean() > 0.99
