@@ -1,7 +1,7 @@
 """Toxicity by classifier chains: categories are predicted one after the other.
 
-The chain is ``CATEGORIES`` in order. Each link is a logistic model on the presence of words and on
-the probabilities of all earlier categories; the last category is the overall verdict. In
+The chain is ``CATEGORIES`` in order. Each link is a logistic model on the presence of words
+and word beginnings (inflected and compound forms), and on the probabilities of all earlier categories; the last category is the overall verdict. In
 training the earlier probabilities are *out of fold* (``FOLDS`` folds), so a later model learns how far
 an earlier one can be trusted on unseen texts; at prediction they are the earlier models' own outputs.
 
@@ -41,7 +41,9 @@ CATEGORIES = (*SEEDS, "toxic")
 THRESHOLD = 0.5
 FOLDS = 5
 VOCABULARY = 256
+PREFIXES = (4, 5)
 MIN_DOCS = 3
+MIN_CHI = 20.0
 MAX_TRAIN_DOCS = 2000
 MAX_TRAIN_CHARS = 8_000
 
@@ -49,7 +51,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+    """The lower-case words of a text, and their beginnings (``PREFIXES`` letters and a star)."""
+    words = set(_WORD.findall((text or "").lower()))
+    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in PREFIXES))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -57,15 +61,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.1, ridge: float = 1e-3) -> np.ndarray:
-    """Weights and a last bias; both classes weigh the same. One class alone gives a constant."""
+    """Weights and a last bias by maximum likelihood. One class alone gives a constant."""
     if y.min(initial=1) == y.max(initial=0):
         return np.append(np.zeros(x.shape[1]), 20.0 if len(y) and y[0] else -20.0)
     x = np.hstack([x, np.ones((len(x), 1))])
-    share = np.array([np.mean(y == 0), np.mean(y == 1)])
-    weight = 1 / (2 * share[y]) / len(y)
     w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
     for step in range(1, steps + 1):
-        grad = x.T @ (weight * (y - _sigmoid(x @ w))) - ridge * np.append(w[:-1], 0)
+        grad = x.T @ (y - _sigmoid(x @ w)) / len(y) - ridge * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return w
@@ -111,8 +113,8 @@ def choose_words(texts: list[set[str]], flags: np.ndarray) -> list[str]:
         c, d = p - a, n - p - b
         return n * (a * d - b * c) ** 2 / max((a + b) * (c + d) * p * (n - p), 1)
 
-    common = [w for w, k in seen.items() if k >= MIN_DOCS]
-    return sorted(common, key=lambda w: (-chi(w), w))[:VOCABULARY]
+    common = [(chi(w), w) for w, k in seen.items() if k >= MIN_DOCS]
+    return [w for x, w in sorted(common, key=lambda f: (-f[0], f[1])) if x >= MIN_CHI][:VOCABULARY]
 
 
 def _presence(texts: list[set[str]], vocabulary: dict[str, int]) -> np.ndarray:
@@ -131,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ma
     for value in (0, 1):
         ids = there.where(F.col("flag") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, max_docs // 2)).collect()
         texts = short.where(F.col("doc_id").isin([r["doc_id"] for r in ids])).groupBy("doc_id").agg(F.min("text").alias("text"))
-        rows += [(r["text"], value) for r in texts.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+        rows += [(t, value) for t in dict.fromkeys(r["text"] for r in texts.orderBy(F.xxhash64("doc_id"), "doc_id").collect())]
     if len({v for _, v in rows}) < 2:
         return None
     texts = [words_of(t) for t, _ in rows]
