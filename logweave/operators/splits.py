@@ -59,34 +59,37 @@ def typed_incidents(raw: DataFrame) -> DataFrame:
                       *(["list_pos"] if "list_pos" in raw.columns else []))
 
 
+def window_days(incidents: DataFrame) -> DataFrame:
+    """One row per incident and day that its window touches (column ``_day``)."""
+    return incidents.withColumn("_day", F.explode(F.sequence(
+        F.to_date("precursor_start"), F.to_date("end"))))
+
+
 def range_anti_incident(traces: DataFrame, incidents: DataFrame) -> DataFrame:
     """Traces whose start is outside every incident's [precursor_start, end] (both inclusive),
-    whatever the incident's flow. The incident list is a handful of rows (broadcast nested
-    loop join against a fixed-size side)."""
-    inc = F.broadcast(incidents.select("precursor_start", "end"))
-    cond = F.col("start").between(F.col("precursor_start"), F.col("end"))
+    whatever the incident's flow. An equi-join on the day with the range as a further condition,
+    so an incident list of any length needs neither a nested loop nor a forced broadcast."""
+    inc = window_days(incidents).select("_day", F.col("precursor_start").alias("_ps"), F.col("end").alias("_e"))
+    start = F.col("start")
+    cond = (F.to_date(start) == F.col("_day")) & (start >= F.col("_ps")) & (start <= F.col("_e"))
     return traces.join(inc, cond, "left_anti")
 
 
 def incident_phase(traces: DataFrame, incidents: DataFrame) -> DataFrame:
     """Per trace (flow equal): ``incident`` if start <= t <= end, else ``precursor`` if
-    precursor_start <= t < start, else ``background``; first matching incident in list order."""
-    inc = F.broadcast(incidents.select(
-        F.col("id").alias("incident_id"), F.col("flow").alias("_f"), "list_pos",
-        F.col("precursor_start").alias("_ps"), F.col("start").alias("_s"), F.col("end").alias("_e")))
+    precursor_start <= t < start, else ``background``; first matching incident in list order.
+    Only traces inside a window are grouped; they join back by trace id."""
+    inc = window_days(incidents).select(
+        F.col("id").alias("_id"), F.col("flow").alias("_f"), "list_pos", "_day",
+        F.col("precursor_start").alias("_ps"), F.col("start").alias("_s"), F.col("end").alias("_e"))
     t = F.col("start")
-    cond = (F.col("flow") == F.col("_f")) & (t >= F.col("_ps")) & (t <= F.col("_e"))
-    j = traces.join(inc, cond, "left")
-    phase = (F.when(F.col("incident_id").isNull(), "background")
-             .when(t >= F.col("_s"), "incident").otherwise("precursor"))
-    j = j.select("*", phase.alias("phase"))
-    # one row per trace: the first incident in list order
-    best = F.min_by(F.struct("incident_id", "phase"), F.col("list_pos"))
-    g = j.groupBy(*traces.columns).agg(
-        F.coalesce(best, F.struct(F.lit(None).cast("string").alias("incident_id"),
-                                  F.lit("background").alias("phase"))).alias("_b"))
-    return g.select(*traces.columns, F.col("_b.incident_id").alias("incident_id"),
-                    F.col("_b.phase").alias("phase"))
+    cond = (F.col("flow") == F.col("_f")) & (F.to_date(t) == F.col("_day")) & (t >= F.col("_ps")) & (t <= F.col("_e"))
+    phase = F.when(t >= F.col("_s"), "incident").otherwise("precursor")
+    hit = traces.select("trace_id", "flow", "start").join(inc, cond).groupBy("trace_id").agg(
+        F.min_by(F.struct(F.col("_id").alias("incident_id"), phase.alias("phase")), "list_pos").alias("_b"))
+    return traces.join(hit, "trace_id", "left").select(
+        *traces.columns, F.col("_b.incident_id").alias("incident_id"),
+        F.coalesce("_b.phase", F.lit("background")).alias("phase"))
 
 
 def incident_summary(phased: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from logweave.operators.ranking import rank_within
 
 SPLIT_ORDER = ["train", "val", "dev", "fewshot", "test"]
 
@@ -34,22 +35,28 @@ def mine_templates(lines: DataFrame, template: str = "template") -> DataFrame:
 
 
 def template_dictionary(lines: DataFrame, split_col: str | None = "split",
-                        template: str = "template") -> DataFrame:
-    """Global ids: templates in order of first appearance, train split first, then later
-    splits in split order; plus total count, train count and the seen-in-train flag.
+                        template: str = "template", key: str = "trace_id") -> DataFrame:
+    """Global ids: templates of the train split in order of first appearance in its log, then
+    those first seen in later splits, in split order, there trace by trace (traces in order of
+    their first line) and line by line; plus total count, train count and the seen flag.
 
-    The global ``row_number`` runs on the dictionary only (one row per template).
+    Ranked in chunks of an hour of log time per split, so a dictionary that grows with the
+    data (values that no key masks) is spread over tasks.
     """
     sr = split_rank(split_col) if split_col else F.lit(0)
     is_train = (F.col(split_col) == "train") if split_col else F.lit(True)
-    d = lines.groupBy(template).agg(
-        F.min(F.struct(sr.alias("sr"), F.col("ts"), F.col("line_no"))).alias("first"),
+    here = F.struct(F.col("ts"), F.col("line_no"))
+    began = lines.groupBy(key).agg(F.min(here).alias("_began"))
+    placed = lines.join(began, key).withColumn("_sr", sr)
+    group = F.when(F.col("_sr") == 0, here).otherwise(F.col("_began"))
+    d = placed.groupBy(template).agg(
+        F.min(F.struct(F.col("_sr").alias("sr"), group.alias("group"), here.alias("here"))).alias("first"),
         F.count("*").alias("count"),
         F.count_if(is_train).alias("train_count"))
-    order = W.orderBy(F.col("first.sr"), F.col("first.ts"), F.col("first.line_no"))
+    chunk = F.struct(F.col("first.sr").alias("sr"), F.date_trunc("hour", F.col("first.group.ts")).alias("hour"))
+    d = rank_within(d, [], [F.col("first")], chunk, out="id")
     return d.select(
-        F.row_number().over(order).cast("long").alias("id"),
-        F.col(template).alias("text"), "count", "train_count",
+        F.col("id").cast("long").alias("id"), F.col(template).alias("text"), "count", "train_count",
         (F.col("train_count") > 0).alias("seen_in_train"))
 
 

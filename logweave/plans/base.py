@@ -34,7 +34,19 @@ def truth_from(answers_df: DataFrame, spark: SparkSession, sf: str) -> DataFrame
     return SP.incident_phase(t, incidents(spark))
 
 
-_PREPARED: dict[tuple[str, str], dict[str, str]] = {}
+def input_state(spark: SparkSession, sf: str) -> tuple:
+    """Name, size and time of every file of the tables read here: a changed input is another key."""
+    from logweave.sources.files import _hadoop_fs
+
+    state = []
+    for t in ("events", "documents", "labels", "conversations"):
+        fs, p = _hadoop_fs(spark, f"{sf}/{t}.parquet")
+        if fs.exists(p):
+            state += sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p))
+    return tuple(state)
+
+
+_PREPARED: dict[tuple, dict[str, str]] = {}
 PREPARED_TABLES = ("indexed", "answers", "truth", "splits")
 
 
@@ -43,7 +55,7 @@ def prepared(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     later queries (like the reference's prepare-once, evaluate-many flow): the indexed long
     form, the conformance answers, per-trace truth with incident phase, and the splits. Each
     is a parquet table in the shared folder, so every reader starts from a cut lineage."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf, input_state(spark, sf))
     paths = _PREPARED.get(key)
     if paths is None:
         from logweave.session import scratch_path
@@ -128,7 +140,7 @@ def train_and_scored(spark: SparkSession, sf: str):
     return ix, truth(spark, sf)
 
 
-_MEMO: dict[tuple[str, str, str], object] = {}
+_MEMO: dict[tuple, object] = {}
 
 
 def memo_table(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
@@ -136,7 +148,7 @@ def memo_table(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     every later query (same pattern as ``prepared``)."""
     from logweave.session import scratch_path
 
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, sf, input_state(spark, sf), name)
     path = _MEMO.get(key)
     if path is None:
         path = scratch_path(spark, f"memo-{name}")
@@ -147,7 +159,7 @@ def memo_table(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
 
 def memo_value(spark: SparkSession, sf: str, name: str, compute):
     """A small driver-side result (a threshold, a folder name) computed once per application."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, sf, input_state(spark, sf), name)
     if key not in _MEMO:
         _MEMO[key] = compute()
     return _MEMO[key]

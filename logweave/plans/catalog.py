@@ -23,7 +23,7 @@ from logweave.plans import oracle_sql as S
 from logweave.session import scratch_path
 from logweave.sinks import writers as WR
 from logweave.sources import files as FS
-from logweave.sources.tables import eval_records, log_lines, table
+from logweave.sources.tables import eval_records, log_lines, table, trace_lines
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -234,7 +234,8 @@ _ANS = W(LL, CONF)
 
 @query("flow_recognise", _ANS + "\nSELECT trace_id, flow FROM answers")
 def flow_recognise(spark, sf):
-    return FL.trace_heads(B.indexed_fresh(spark, sf)).select("trace_id", "flow")
+    lines = trace_lines(spark, sf).groupBy("trace_id").agg(F.min_by("template", F.struct("ts", "line_no")).alias("first_template"))
+    return lines.select("trace_id", FL.flow_of_first(F.col("first_template")).alias("flow"))
 
 
 @query("flow_step_check", _ANS + """
@@ -412,13 +413,14 @@ def scan_incidents(spark, sf):
     FS.write_small_text(spark, path, header + "".join(",".join(r) + "\n" for r in SP.INCIDENTS))
     inc = FS.scan_incidents(spark, path)
     starts = TR.trace_start(log_lines(spark, sf)).select("trace_id", "start")
-    # a handful of windows: broadcast the incident side of the range join
-    j = F.broadcast(inc).join(starts, starts["start"].between(inc["precursor_start"], inc["end"]), "left")
+    days = SP.window_days(inc).select("id", "_day", F.col("precursor_start").alias("_ps"), F.col("end").alias("_e"))
+    at = F.col("start")
+    inside = starts.join(days, (F.to_date(at) == F.col("_day")) & (at >= F.col("_ps")) & (at <= F.col("_e")))
+    n = inside.groupBy("id").agg(F.count("trace_id").alias("n"))
     fmt = "yyyy-MM-dd HH:mm:ss"
-    return j.groupBy(
-        inc["id"], inc["flow"], F.date_format(inc["precursor_start"], fmt).alias("precursor_start"),
-        F.date_format(inc["start"], fmt).alias("start"), F.date_format(inc["end"], fmt).alias("end"),
-    ).agg(F.count("trace_id").alias("n_traces_in_window"))
+    return inc.join(n, "id", "left").select(
+        "id", "flow", *[F.date_format(c, fmt).alias(c) for c in ("precursor_start", "start", "end")],
+        F.coalesce("n", F.lit(0)).alias("n_traces_in_window"))
 
 
 @query("stratified_quota", _SPL + "\nSELECT trace_id, stratum FROM anom_q UNION ALL SELECT trace_id, stratum FROM anom_fill")
@@ -536,22 +538,20 @@ def limit_traces(spark, sf):
 
 _TPL = W(LL, CONF, TRUTH, SPLITS, """
 lws AS (SELECT l.*, s.split FROM tl l JOIN splits s ON s.trace_id = l.trace_id),
-dict0 AS (
-  SELECT template AS text, count(*) AS count,
-    count(*) FILTER (WHERE split = 'train') AS train_count,
-    min(CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 WHEN 'dev' THEN 2 WHEN 'fewshot' THEN 3
-        WHEN 'test' THEN 4 ELSE 5 END) AS sr
-  FROM lws GROUP BY template),
+lwr AS (
+  SELECT *, CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 WHEN 'dev' THEN 2 WHEN 'fewshot' THEN 3
+      WHEN 'test' THEN 4 ELSE 5 END AS sr,
+    first_value(ts) OVER w AS tts, first_value(line_no) OVER w AS tln
+  FROM lws WINDOW w AS (PARTITION BY trace_id ORDER BY ts, line_no)),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY sr, CASE WHEN sr = 0 THEN ts ELSE tts END,
+    CASE WHEN sr = 0 THEN line_no ELSE tln END, ts, line_no) AS place FROM lwr),
 dict1 AS (
-  SELECT d.*, (SELECT first(l.ts ORDER BY l.ts, l.line_no) FROM lws l
-     WHERE l.template = d.text AND (CASE l.split WHEN 'train' THEN 0 WHEN 'val' THEN 1 WHEN 'dev' THEN 2
-        WHEN 'fewshot' THEN 3 WHEN 'test' THEN 4 ELSE 5 END) = d.sr) AS fts,
-    (SELECT first(l.line_no ORDER BY l.ts, l.line_no) FROM lws l
-     WHERE l.template = d.text AND (CASE l.split WHEN 'train' THEN 0 WHEN 'val' THEN 1 WHEN 'dev' THEN 2
-        WHEN 'fewshot' THEN 3 WHEN 'test' THEN 4 ELSE 5 END) = d.sr) AS fln
-  FROM dict0 d),
+  SELECT template AS text, count(*) AS count, count(*) FILTER (WHERE split = 'train') AS train_count,
+    min(place) AS place
+  FROM placed GROUP BY template),
 dictionary AS (
-  SELECT row_number() OVER (ORDER BY sr, fts, fln) AS id, text, count, train_count,
+  SELECT row_number() OVER (ORDER BY place) AS id, text, count, train_count,
     train_count > 0 AS seen_in_train FROM dict1)""")
 
 

@@ -7,7 +7,7 @@ a session we did not build is a checkpoint folder, and only when the cluster lef
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -41,10 +41,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local one only when none is configured."""
+    """The cluster's shared checkpoint folder. Only a local master may leave it unset: it gets a
+    fresh folder on its own disk, which all its threads share; anything else is an error."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="logweave-ckpt-")
         sc.setCheckpointDir(path)
     elif not sc.getCheckpointDir():
@@ -53,7 +56,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared checkpoint folder (never a machine-local temp dir)."""
+    """A new folder name under the shared checkpoint folder."""
     return f"{shared_dir(spark)}/logweave/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -67,16 +70,3 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable Spark checkpoint into ``spark.checkpoint.dir`` (set only when unset)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def exists(path: str) -> bool:
-    return os.path.exists(local_path(path))

@@ -72,3 +72,39 @@ def test_split_sizes_half_even(spark):
     pool = spark.range(25).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("trace_id"))
     s = {r.split: r["count"] for r in SP.split_train_val(pool).groupBy("split").count().collect()}
     assert s == {"val": 2, "train": 23}  # round(2.5) = 2
+
+
+def test_template_ids_follow_traces_in_later_splits(spark):
+    """Two interleaved test traces: ids go trace by trace, not line by line."""
+    import datetime as dt
+
+    from logweave.operators import templates as TP
+
+    t0 = dt.datetime(2024, 1, 5, 23, 59)
+    lines = [("train", "a", "seen"), ("train", "b", "also seen"), ("test", "x", "x first"), ("test", "y", "y first"),
+             ("test", "x", "x second"), ("test", "y", "x second"), ("test", "y", "y last"), ("test", "x", "seen")]
+    df = spark.createDataFrame([(s, k, t0 + dt.timedelta(minutes=i), i, x) for i, (s, k, x) in enumerate(lines)],
+                               "split string, trace_id string, ts timestamp_ntz, line_no long, template string")
+    got = [r.text for r in TP.template_dictionary(df).orderBy("id").collect()]
+    assert got == ["seen", "also seen", "x first", "x second", "y first", "y last"]
+
+
+def test_incident_windows_need_no_nested_loop(spark):
+    import datetime as dt
+
+    from logweave.operators import splits as SP
+
+    day = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    inc = spark.createDataFrame([("i", "t", "f", day(3, 5), day(4), day(6, 5), 1), ("j", "t", "f", day(5), day(6), day(7), 0)],
+                                "id string, title string, flow string, precursor_start timestamp_ntz, start timestamp_ntz, "
+                                "end timestamp_ntz, list_pos int")
+    rows = [("before", "f", day(3, 4)), ("edge", "f", day(3, 5)), ("pre", "f", day(3, 23)), ("in", "f", day(4)), ("both", "f", day(5, 1)),
+            ("last", "f", day(6, 5)), ("other", "g", day(4)), ("after", "f", day(8)), ("none", "f", None)]
+    traces = spark.createDataFrame(rows, "trace_id string, flow string, start timestamp_ntz")
+    phases = {r.trace_id: (r.incident_id, r.phase) for r in SP.incident_phase(traces, inc).collect()}
+    assert phases == {"before": (None, "background"), "edge": ("i", "precursor"), "pre": ("i", "precursor"), "in": ("i", "incident"),
+                      "both": ("j", "precursor"), "last": ("j", "incident"), "other": (None, "background"),
+                      "after": (None, "background"), "none": (None, "background")}
+    outside = SP.range_anti_incident(traces, inc)
+    assert {r.trace_id for r in outside.collect()} == {"before", "after", "none"}
+    assert "NestedLoop" not in outside._jdf.queryExecution().executedPlan().toString()
