@@ -16,9 +16,10 @@ by a fixed-size count sketch of the corpus, rarest first, so passages that many
 not used as keys; an empty block is no key. A set with fewer than ``d + 1`` filled blocks adds
 the prefix of its shingles as keys; two such sets meet there.
 
-*Verification.* Equal keys form buckets. Members are tested against their bucket's leader (one of
-four orders), links contract to components, and what a bucket still holds of different components
-is tested pair by pair: size, then Hamming distance, then exact intersection. Equal sets are one
+*Verification.* Equal keys form buckets; of buckets with the same members one is kept. Members are
+tested against their bucket's leader, links contract to components, and those left out
+try the leaders of four other orders. What a bucket then still holds of different components is compared inside the task, in tiles: only pairs that size and Hamming distance allow are sent
+on to the exact intersection. Equal sets are one
 node, so copies never pair. Very frequent keys are salted; the salts' leaders meet in a second step.
 
 Contract: words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; fewer than five words are one shingle.
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.llm.blocks import Block, map_arrow, mix, mix_int, text_blocks, window_hashes
@@ -49,6 +50,8 @@ SEEN = 500_000
 SALT_ROWS = 20_000
 LEADER_ORDERS = 4
 EMIT_KEYS = 1 << 20
+FILTER_BITS = 1 << 24
+TILE = 2048
 
 _U = np.uint64
 
@@ -245,62 +248,181 @@ def key_rows(docs: DataFrame, counters: np.ndarray) -> DataFrame:
     return map_arrow(docs.where(F.col("doc_id").isNotNull()).select("text"), run, "key long, salt int, salted boolean, set long, n int")
 
 
-def _led(rows: DataFrame, *by: str) -> DataFrame:
-    """Add the leader of each bucket: its first member in one of a few hash orders."""
-    turn = F.xxhash64("set", F.pmod(F.col("key"), F.lit(LEADER_ORDERS)))
+def _led(rows: DataFrame, orders: int, *by: str) -> DataFrame:
+    """Add the leader of each bucket: its first member in one of ``orders`` hash orders."""
+    turn = F.xxhash64("set", F.pmod(F.col("key"), F.lit(orders)), F.lit(orders))
     first = Window.partitionBy(*by).orderBy(turn, "set").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("leader", F.first("set").over(first)).withColumn("leader_n", F.first("n").over(first))
 
 
+_LINK = ["key", "set", "n", "leader", "leader_n"]
+
+
 def bucket_links(rows: DataFrame) -> DataFrame:
-    """Every bucket member with its leader; buckets of one set vanish."""
-    led = _led(rows, "key", "salt")
-    kept = cut_lineage(led.where((F.col("set") != F.col("leader")) | F.col("salted")), "bucket-links")
+    """Every bucket member with its leader; buckets of one set vanish, and of the buckets that
+    hold the same sets one stays."""
+    led = _led(rows, 1, "key", "salt")
+    kept = cut_lineage(led.where((F.col("set") != F.col("leader")) | F.col("salted")).drop("salt", "salted"), "bucket-links")
     tops = kept.where(F.col("set") == F.col("leader")).select("key", "set", "n").distinct()
-    upper = _led(tops, "key").where(F.col("set") != F.col("leader"))
-    columns = ["key", "set", "n", "leader", "leader_n"]
-    return kept.where(F.col("set") != F.col("leader")).select(*columns).unionByName(upper.select(*columns))
+    upper = _led(tops, 1, "key").where(F.col("set") != F.col("leader"))
+    links = kept.where(F.col("set") != F.col("leader")).select(*_LINK).unionByName(upper.select(*_LINK))
+    first, second = F.xxhash64("set", "leader"), F.xxhash64("set", "leader", F.lit(1))
+    alike = links.groupBy("key").agg(F.bit_xor(first).alias("x"), F.bit_xor(second).alias("y"), F.count(F.lit(1)).alias("c"))
+    alike = alike.groupBy("x", "y", "c").agg(F.min("key").alias("key")).select("key")
+    return cut_lineage(links.join(alike, "key", "left_semi"), "buckets")
+
+
+def _star(links: DataFrame) -> DataFrame:
+    return links.select(F.col("set").alias("a"), F.col("n").alias("a_n"), F.col("leader").alias("b"), F.col("leader_n").alias("b_n")).distinct()
+
+
+def open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members (key, set, n) of buckets that hold more than one component, with their root."""
+    rooted = members.join(roots, "set", "left").select("key", "set", "n", F.coalesce("root", "set").alias("root"))
+    keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+    return cut_lineage(rooted.join(keys, "key", "left_semi"), "open-buckets")
 
 
-def fetch_sets(docs: DataFrame, sizes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set, hashes and bitmap of the wanted sets, computed again from one document each."""
-    ids = sizes.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+def _bit_filter(keys: DataFrame) -> np.ndarray:
+    """A bitmap of ``FILTER_BITS`` with the hashed values of the only column, whatever their number."""
+    bit = F.pmod(F.xxhash64(keys.columns[0]), F.lit(FILTER_BITS))
+    words = keys.select(bit.alias("bit")).selectExpr("cast(bit div 64 as int) AS word", "shiftleft(1L, cast(bit % 64 as int)) AS mask")
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for word, mask in words.groupBy("word").agg(F.bit_or("mask")).collect():  # FILTER_BITS / 64 rows at most
+        out[word] = mask
+    return out.view(_U)
+
+
+def fetch_sets(docs: DataFrame, sizes: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """set and its ``bitmap`` or ``hashes``, for the wanted sets, computed again from one document each.
+
+    The wanted documents are picked by a bitmap of fixed size; its false hits fall to the join.
+    """
+    ids = sizes.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    picked = docs.sparkSession.sparkContext.broadcast(_bit_filter(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in text_blocks(batch.column(0)):
+            bit = batch.column("bit").to_numpy()
+            mine = (picked.value[bit // 64] >> (bit % 64).astype(_U)) & _U(1)
+            for block in text_blocks(batch.column("text").filter(pa.array(mine.astype(bool)))):
                 hashes, offsets = shingle_sets(block)
                 parts = [hashes[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([
-                    _long(set_digests(hashes, offsets)), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([bitmap(p) for p in parts], pa.binary()),
-                ], names=["set", "hashes", "bitmap"])
+                values = [bitmap(p) if column == "bitmap" else p.tobytes() for p in parts]
+                yield pa.RecordBatch.from_arrays([_long(set_digests(hashes, offsets)), pa.array(values, pa.binary())], names=["set", column])
 
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
-    return map_arrow(texts, run, "set long, hashes binary, bitmap binary").join(wanted, "set", "left_semi").dropDuplicates(["set"])
+    texts = docs.where(F.col("doc_id").isNotNull()).select("text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS)).cast("long").alias("bit"))
+    found = map_arrow(texts, run, f"set long, {column} binary").join(wanted, "set", "left_semi").dropDuplicates(["set"])
+    return cut_lineage(found, f"set-{column}")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar: sizes, then Hamming distance, then exact intersection."""
+def _sized() -> Column:
+    return (100 * F.col("a_n") >= PERCENT * F.col("b_n")) & (100 * F.col("b_n") >= PERCENT * F.col("a_n"))
+
+
+def _side(sets: DataFrame, name: str, column: str) -> DataFrame:
+    return sets.select(F.col("set").alias(name), F.col(column).alias(f"{name}_{column}"))
+
+
+def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and Hamming distance allow a link."""
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             limit = most_different(batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy())
-            near = [hamming(x, y) for x, y in zip(batch.column("a_map").to_pylist(), batch.column("b_map").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(np.array(near, np.int64) <= limit))
+            near = [hamming(x, y) for x, y in zip(batch.column("a_bitmap").to_pylist(), batch.column("b_bitmap").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(np.array(near, np.int64) <= limit))
+
+    mapped = pairs.where(_sized()).join(_side(sets, "a", "bitmap"), "a").join(_side(sets, "b", "bitmap"), "b")
+    return map_arrow(mapped.select("a", "b", "a_n", "b_n", "a_bitmap", "b_bitmap"), close, "a long, b long")
+
+
+def exact_pairs(near: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar by exact intersection; only their sets are fetched."""
+    near = cut_lineage(near, "near")
+    sets = fetch_sets(docs, sizes, near.select(F.col("a").alias("set")).union(near.select("b")).distinct(), "hashes")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [similar(np.frombuffer(x, _U), np.frombuffer(y, _U)) for x, y in zip(batch.column("a_set").to_pylist(), batch.column("b_set").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            ok = [similar(np.frombuffer(x, _U), np.frombuffer(y, _U)) for x, y in zip(batch.column("a_hashes").to_pylist(), batch.column("b_hashes").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    full = near.join(_side(sets, "a", "hashes"), "a").join(_side(sets, "b", "hashes"), "b")
+    return map_arrow(full.select("a", "b", "a_hashes", "b_hashes"), exact, "a long, b long")
+
+
+def _fold(maps: np.ndarray) -> np.ndarray:
+    half = maps.shape[1] // 2
+    return maps[:, :half] ^ maps[:, half:]
+
+
+def close_in_tile(sets: np.ndarray, sizes: np.ndarray, roots: np.ndarray, tiles: np.ndarray, maps: list[bytes], apart: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components that sizes and Hamming distance allow; ``apart``: of different tiles only."""
+    order = np.argsort(sizes, kind="stable")
+    sets, sizes, roots, tiles = sets[order], sizes[order], roots[order], tiles[order]
+    widths = np.array([len(maps[i]) for i in order])
+    found: tuple[list, list] = ([], [])
+    upper = np.searchsorted(sizes, sizes * 100 // PERCENT, side="right")
+    by_width = {w: np.frombuffer(b"".join(maps[i] for i in order[widths == w]), np.uint64).reshape(-1, w // 8) for w in np.unique(widths)}
+    first = {w: int(np.flatnonzero(widths == w)[0]) for w in by_width}
+    for i in range(len(sets)):
+        w = widths[i]
+        own = by_width[w][i - first[w]]
+        others = np.arange(i + 1, upper[i])
+        others = others[roots[others] != roots[i]]
+        if apart:
+            others = others[tiles[others] != tiles[i]]
+        for v in np.unique(widths[others]):  # the same width, or the next ones, folded
+            at = others[widths[others] == v]
+            theirs = by_width[v][at - first[v]]
+            while theirs.shape[1] > len(own):
+                theirs = _fold(theirs)
+            at = at[np.bitwise_count(theirs ^ own).sum(axis=1, dtype=np.int64) <= most_different(sizes[at], sizes[i])]
+            found[0].append(np.full(len(at), sets[i]))
+            found[1].append(sets[at])
+    empty = [np.zeros(0, np.int64)]
+    return np.concatenate(found[0] or empty), np.concatenate(found[1] or empty)
+
+
+def pairs_in_buckets(members: DataFrame) -> DataFrame:
+    """Near pairs (a, b) of different components inside buckets, from (key, set, n, root, bitmap).
+
+    A bucket of more than ``TILE`` sets is cut into tiles by hash; every two tiles meet in a task of
+    their own, which compares bitmaps and sends on only what may be a link.
+    """
+    counts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    cut = members.join(counts, "key").withColumn("tile", F.pmod(F.xxhash64("set"), F.col("tiles")).cast("int"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "set", "n", "root", "bitmap")
+    ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def side(name: str, column: str) -> DataFrame:
-        return sets.select(F.col("set").alias(name), F.col(column).alias(f"{name}_{'map' if column == 'bitmap' else 'set'}"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
 
-    sized = pairs.where((100 * F.col("a_n") >= PERCENT * F.col("b_n")) & (100 * F.col("b_n") >= PERCENT * F.col("a_n")))
-    mapped = sized.join(side("a", "bitmap"), "a").join(side("b", "bitmap"), "b")
-    near = map_arrow(mapped.select("a", "b", "a_n", "b_n", "a_map", "b_map"), close, "a long, b long")
-    full = near.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b")
-    return map_arrow(full.select("a", "b", "a_set", "b_set"), exact, "a long, b long")
+        def close(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+            rows = pa.Table.from_batches(parts)
+            columns = [rows.column(c).to_numpy() for c in ("set", "n", "root", "tile")]
+            return close_in_tile(*columns, rows.column("bitmap").to_pylist(), rows.column("i")[0] != rows.column("j")[0])
+
+        for batch in batches:
+            key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
+            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            out = []
+            for at in np.split(np.arange(batch.num_rows), cuts):
+                now = (key[at[0]], i[at[0]], j[at[0]])
+                if held and now != last:
+                    out.append(close(held))
+                    held = []
+                held.append(batch.slice(at[0], len(at)))
+                last = now
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a for a, _ in out])), pa.array(np.concatenate([b for _, b in out]))], names=["a", "b"])
+        if held:
+            a, b = close(held)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return map_arrow(ordered, run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -333,25 +455,23 @@ def components(links: DataFrame) -> DataFrame:
 def find_links(docs: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that connect all similar sets, and the components they give."""
     buckets = bucket_links(key_rows(docs, count_keys(docs)))
-    sets = cut_lineage(fetch_sets(docs, sizes, buckets.select("set").union(buckets.select(F.col("leader").alias("set"))).distinct()), "sets")
-    star = buckets.select(F.col("set").alias("a"), F.col("n").alias("a_n"), F.col("leader").alias("b"), F.col("leader_n").alias("b_n")).distinct()
-    first = cut_lineage(verify(star, sets), "verified")
-    roots = components(first)
-    # buckets whose members are not all in one component yet
-    root_of = roots.select(F.col("set").alias("of"), "root")
-    member = buckets.join(root_of, F.col("set") == F.col("of"), "left").select("key", "set", "n", "leader", "leader_n", F.coalesce("root", "set").alias("root"))
-    member = member.join(root_of.select("of", F.col("root").alias("led")), F.col("leader") == F.col("of"), "left").select("key", "set", "n", "leader", "leader_n", "root", F.coalesce("led", "leader").alias("leader_root"))
-    open_keys = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("leader_root").alias("llo"), F.max("leader_root").alias("lhi"))
-    open_keys = open_keys.where((F.least("lo", "llo") != F.greatest("hi", "lhi"))).select("key")
-    both = member.join(open_keys, "key", "left_semi")
-    members = both.select("key", "set", "n", "root").union(both.select("key", "leader", "leader_n", "leader_root")).distinct()
-    members = cut_lineage(members, "open-buckets")
-    x, y = (members.select("key", F.col("set").alias(s), F.col("n").alias(f"{s}_n"), F.col("root").alias(f"{s}_root")) for s in ("a", "b"))
-    sized = (100 * F.col("a_n") >= PERCENT * F.col("b_n")) & (100 * F.col("b_n") >= PERCENT * F.col("a_n"))
-    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & sized).select("a", "a_n", "b", "b_n").distinct()
-    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = cut_lineage(verify(rest.join(tested, ["a", "b"], "left_anti"), sets), "verified")
-    links = first.unionByName(second)
+    members = buckets.select("key", "set", "n").union(buckets.select("key", "leader", "leader_n")).distinct()
+    maps = fetch_sets(docs, sizes, members.select("set").distinct(), "bitmap")
+    star = _star(buckets)
+    links = cut_lineage(exact_pairs(near_pairs(star, maps), docs, sizes), "verified")
+    # members that their leader left out try other leaders of their bucket
+    still = open_buckets(members, components(links))
+    other = _led(still, LEADER_ORDERS, "key").withColumn("leader_root", F.first("root").over(
+        Window.partitionBy("key").orderBy(F.xxhash64("set", F.pmod(F.col("key"), F.lit(LEADER_ORDERS)), F.lit(LEADER_ORDERS)), "set").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    again = _star(other.where(F.col("root") != F.col("leader_root")))
+    more = cut_lineage(exact_pairs(near_pairs(again, maps), docs, sizes), "verified")
+    links = links.unionByName(more)
+    # what is left meets tile by tile
+    still = open_buckets(members.join(still.select("key").distinct(), "key", "left_semi"), components(links))
+    rest = pairs_in_buckets(still.join(maps, "set"))
+    tested = star.unionByName(again).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    last = cut_lineage(exact_pairs(rest.join(tested, ["a", "b"], "left_anti"), docs, sizes), "verified")
+    links = links.unionByName(last)
     return links, components(links)
 
 
@@ -369,10 +489,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_per_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, all columns kept.
 
-    A doc_id that several kept rows carry stays once; rows of a null doc_id all stay.
+    A doc_id that several rows carry stays once at most; rows of a null doc_id all stay.
     """
     found = cut_lineage(near_duplicates(docs.select("doc_id", "text")), "components")
-    best = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    chosen = F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("chosen")
+    best = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"), chosen).where("chosen = 1")
     single = docs.join(best.where(F.col("times") == 1).select("doc_id"), "doc_id", "left_semi")
     repeated = docs.join(best.where(F.col("times") > 1).select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return single.unionByName(repeated).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
