@@ -58,18 +58,19 @@ def merge_by_rank(text: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Memo(dict):
-    """Value of a key by ``make``; two generations of at most ``MEMO`` keys, the older one dropped."""
+    """Value of a key by ``make``; two generations of at most ``limit`` keys, the older one dropped."""
 
-    def __init__(self, make):
+    def __init__(self, make, limit: int | None = None):
         super().__init__()
         self.make = make
+        self.limit = limit or MEMO
         self.older: dict = {}
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= MEMO:
+        if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
         self[key] = value
