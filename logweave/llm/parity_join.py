@@ -248,10 +248,14 @@ def key_rows(docs: DataFrame, counters: np.ndarray) -> DataFrame:
     return map_arrow(docs.where(F.col("doc_id").isNotNull()).select("text"), run, "key long, salt int, salted boolean, set long, n int")
 
 
+def _turn(orders: int) -> tuple[Column, Column]:
+    """One of ``orders`` hash orders of a bucket's members; equal sets are neighbours."""
+    return F.xxhash64("set", F.pmod(F.col("key"), F.lit(orders)), F.lit(orders)), F.col("set")
+
+
 def _led(rows: DataFrame, orders: int, *by: str) -> DataFrame:
     """Add the leader of each bucket: its first member in one of ``orders`` hash orders."""
-    turn = F.xxhash64("set", F.pmod(F.col("key"), F.lit(orders)), F.lit(orders))
-    first = Window.partitionBy(*by).orderBy(turn, "set").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = Window.partitionBy(*by).orderBy(*_turn(orders)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("leader", F.first("set").over(first)).withColumn("leader_n", F.first("n").over(first))
 
 
@@ -259,9 +263,15 @@ _LINK = ["key", "set", "n", "leader", "leader_n"]
 
 
 def bucket_links(rows: DataFrame) -> DataFrame:
-    """Every bucket member with its leader; buckets of one set vanish, and of the buckets that
-    hold the same sets one stays."""
-    led = _led(rows, 1, "key", "salt")
+    """Every bucket member once, with its leader; buckets of one set vanish, and of the buckets that
+    hold the same sets one stays.
+
+    Copies in several tasks give the same row several times. In the order of the leaders they
+    stand side by side, so they are dropped there: a repeated link would cancel in ``bit_xor``.
+    """
+    order = Window.partitionBy("key", "salt").orderBy(*_turn(1))
+    led = _led(rows, 1, "key", "salt").withColumn("before", F.lag("set").over(order))
+    led = led.where(F.col("before").isNull() | (F.col("before") != F.col("set"))).drop("before")
     kept = cut_lineage(led.where((F.col("set") != F.col("leader")) | F.col("salted")).drop("salt", "salted"), "bucket-links")
     tops = kept.where(F.col("set") == F.col("leader")).select("key", "set", "n").distinct()
     upper = _led(tops, 1, "key").where(F.col("set") != F.col("leader"))

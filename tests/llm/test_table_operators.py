@@ -177,6 +177,21 @@ def test_near_duplicates_many_copies_with_salts(spark, monkeypatch):
     assert parity_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_beside_copies_in_other_tasks(spark):
+    draw = random.Random(5)
+    rows, copies, more = [], [], []
+    for group in range(60):  # unrelated triples: A, a near copy, A again in another task
+        base = [f"g{group}_{i}" for i in range(60)]
+        rows += [(10 * group, " ".join(base)), (10 * group + 1, " ".join(_edited(base, 1, draw)))]
+        copies.append((10 * group + 2, " ".join(base)))
+        if group % 3 == 0:  # and four times in all
+            more += [(10 * group + 3, " ".join(base)), (10 * group + 4, " ".join(base))]
+    parts = [rows, copies, more[::2], more[1::2]]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)).flatMap(list), "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in parity_join.near_duplicates(df).collect()), key=str)
+    assert got == _components([r for part in parts for r in part])
+
+
 def test_sketches_bound_the_difference():
     draw = np.random.default_rng(5)
     for _ in range(200):
