@@ -6,9 +6,10 @@ are judged by templates learned per host:
 
 * segments that vary by form (digits, hex, long mixed strings) become wildcards at once, so the pages
   are pre-aggregated to (host, raw template) with page, good and bad counts;
-* the tree grows level by level. Under one node a segment stays literal if it holds ``MIN_SHARE`` of
-  the node's pages and ``MIN_PAGES`` at least; the others merge into a wildcard. Literal siblings with
-  labels whose bad shares do not differ by a two-proportion z-test (``Z``) merge into one branch;
+* the tree grows level by level. Under one node a segment stays literal if it has ``MIN_PAGES``
+  pages, whatever the size of its host; the others merge into a wildcard. Literal siblings with labels are
+  added up by bad share, and neighbouring shares that do not differ by a two-proportion z-test (``Z``)
+  merge into one branch, named by its segments (by the first and their number beyond ``NAMES``);
 * a node's purity is its bad share, smoothed with ``SMOOTHING`` pseudo-pages of its parent's share
   (the root's parent is the host, the host's is the whole corpus). A template is rejected if its
   smoothed bad share reaches ``REJECT``.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from logweave.session import cut_lineage
 
 MIN_PAGES = 5
-MIN_SHARE = 0.01
+NAMES = 100
 Z = 1.96
 SMOOTHING = 10.0
 REJECT = 0.75
@@ -87,21 +88,26 @@ def grow_tree(counts: DataFrame) -> DataFrame:
         tree = cut_lineage(tree.withColumn("segment", F.try_element_at("segments", F.lit(level + 1))), "tree")
         children = tree.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(
             F.sum("pages").alias("n"), F.sum("good").alias("g"), F.sum("bad").alias("b"), F.first("purity").alias("parent"))
-        children = children.join(children.groupBy("host", "template").agg(F.sum("n").alias("all")), ["host", "template"])
-        literal = ~F.startswith("segment", F.lit("*")) & (F.col("n") >= MIN_PAGES) & (F.col("n") >= MIN_SHARE * F.col("all"))
-        children = children.withColumn("literal", literal)
-        # at most 1 / MIN_SHARE literals under a node: a bounded window
-        labelled = children.where(F.col("literal") & (F.col("g") + F.col("b") > 0)).withColumn("share", F.col("b") / (F.col("g") + F.col("b")))
-        by_share = Window.partitionBy("host", "template").orderBy("share", "segment")
+        literal = ~F.startswith("segment", F.lit("*")) & (F.col("n") >= MIN_PAGES)
+        labels = F.col("g") + F.col("b")
+        children = children.withColumn("literal", literal).withColumn("share", F.when(F.col("literal") & (labels > 0), F.try_divide("b", labels)))
+        labelled = children.where(F.col("share").isNotNull())
+        # siblings of one share never differ, so the window holds distinct shares: of P pages under a node P ** (2 / 3) or so at most
+        shares = labelled.groupBy("host", "template", "share").agg(F.sum("g").alias("g"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("size"), F.min("segment").alias("least"))
+        by_share = Window.partitionBy("host", "template").orderBy("share")
         n1, n2 = F.col("g") + F.col("b"), F.lag(F.col("g") + F.col("b")).over(by_share)
         pooled = (F.col("b") + F.lag("b").over(by_share) + 1) / (n1 + n2 + 2)
         apart = F.col("share") - F.lag("share").over(by_share) > Z * F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n2))
-        labelled = labelled.withColumn("apart", F.coalesce(apart.cast("int"), F.lit(0))).withColumn("branch", F.sum("apart").over(by_share))
-        names = labelled.groupBy("host", "template", "branch").agg(F.array_sort(F.collect_set("segment")).alias("own"))
-        named = F.when(F.size("own") == 1, F.col("own")[0]).otherwise(F.concat(F.lit("{"), F.array_join("own", "|"), F.lit("}")))
-        labelled = labelled.join(names, ["host", "template", "branch"]).select("host", "template", "segment", named.alias("merged"))
+        shares = shares.withColumn("apart", F.coalesce(apart.cast("int"), F.lit(0))).withColumn("branch", F.sum("apart").over(by_share))
+        names = shares.groupBy("host", "template", "branch").agg(F.sum("size").alias("size"), F.min("least").alias("least"))
+        shares = shares.select("host", "template", "share", "branch").join(names, ["host", "template", "branch"])
+        few = labelled.select("host", "template", "share", "segment").join(shares.where((F.col("size") > 1) & (F.col("size") <= NAMES)), ["host", "template", "share"])
+        few = few.groupBy("host", "template", "branch").agg(F.array_sort(F.collect_set("segment")).alias("own"))
+        listed = F.coalesce(F.array_join("own", "|"), F.concat("least", F.lit("|+"), (F.col("size") - 1).cast("string")))
+        named = F.when(F.col("size") == 1, F.col("least")).otherwise(F.concat(F.lit("{"), listed, F.lit("}")))
+        merged = shares.join(few, ["host", "template", "branch"], "left").select("host", "template", "share", named.alias("merged"))
         wildcard = F.when(F.startswith("segment", F.lit("*")), F.col("segment")).otherwise(F.lit("*"))
-        branches = children.join(labelled, ["host", "template", "segment"], "left").withColumn(
+        branches = children.join(merged, ["host", "template", "share"], "left").withColumn(
             "branch", F.concat("template", F.lit("/"), F.coalesce("merged", F.when(F.col("literal"), F.col("segment")).otherwise(wildcard))))
         nodes = branches.groupBy("host", "branch").agg(F.sum("b").alias("nb"), F.sum("g").alias("ng"), F.first("parent").alias("p"))
         branches = branches.select("host", "template", "segment", "branch").join(
