@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from logweave.llm import hd_language, packing, parity_join, pii, quality_crf
 from logweave.session import cut_lineage
 
-#: A text whose best language has a lower cosine is in none of the known languages.
-MIN_LANGUAGE_SCORE = 0.02
+#: A text whose best language has a lower cosine is in none of the known languages, unless it is
+#: too short to tell and written in their letters.
+MIN_LANGUAGE_SCORE = hd_language.NOISE
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter or without likeness to any learned language."""
-    return hd_language.filter_known(docs, hd_language.train(docs), MIN_LANGUAGE_SCORE)
+    return hd_language.filter_known(docs, hd_language.train(docs), MIN_LANGUAGE_SCORE, hd_language.alphabets(docs))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,10 @@ from logweave.llm.blocks import carrying, map_arrow
 DIMENSIONS = 1024
 ORDER = 3
 SEED = 20_240
+#: Cosines of texts without a common n-gram have a standard deviation of 1 / sqrt(DIMENSIONS).
+NOISE = 4 / DIMENSIONS**0.5
+SHORT_LETTERS = 64
+RARE_LETTER = 0.0001
 UNKNOWN = "und"
 GROUP_CHARS = 200_000
 SLICE = 1_000_000
@@ -160,11 +164,44 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str
     return map_arrow(docs.select(*(f"`{c}`" for c in wanted)), run, schema)
 
 
-def filter_known(docs: DataFrame, prototypes: dict[str, np.ndarray], min_score: float) -> DataFrame:
-    """The documents with a letter and a best cosine of ``min_score`` at least, with their own columns."""
+def alphabets(docs: DataFrame) -> str:
+    """The letters that make up ``RARE_LETTER`` of the letters of some ``lang`` at least."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                codes = np.frombuffer(text.lower().encode("utf-32-le"), "<u4")
+                found = np.bincount(codes[_is_alpha()[codes]])
+                total = sums.setdefault(lang, np.zeros(0, np.int64))
+                if len(found) > len(total):
+                    total, found = found, total
+                total[: len(found)] += found
+                sums[lang] = total
+        for lang, total in sums.items():
+            own = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.astype(np.int32)), pa.array(total[own].astype(np.int64))], names=["lang", "code", "n"])
+
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    letters = map_arrow(rows, count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).collect()  # languages x letters numbers
+    totals: dict[str, int] = {}
+    for lang, _, n in letters:
+        totals[lang] = totals.get(lang, 0) + n
+    return "".join(sorted({chr(code) for lang, code, n in letters if n >= RARE_LETTER * totals[lang]}))
+
+
+def filter_known(docs: DataFrame, prototypes: dict[str, np.ndarray], min_score: float = NOISE, letters: str = "") -> DataFrame:
+    """The documents with a letter and a best cosine of ``min_score`` at least, with their own columns.
+
+    A text of fewer than ``SHORT_LETTERS`` letters has too few n-grams to rise above the noise for
+    sure; it also stays if at least half of its letters are among ``letters``.
+    """
     rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), "text")
     told = identify(rows, prototypes, keep=("row",))
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")
+    own = F.regexp_replace(F.lower("row.text"), r"[^\p{L}]", "")
+    strange = F.length(F.translate(own, letters, "")) if letters else F.length(own)
+    short = (F.length(own) > 0) & (F.length(own) < SHORT_LETTERS) & (2 * strange <= F.length(own))
+    return told.where((F.col("lang_pred") != UNKNOWN) & F.when(F.col("score") >= min_score, True).otherwise(short)).select("row.*")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -117,6 +117,23 @@ def test_language_profiles(spark):
     assert empty == {} and {r["lang_pred"] for r in hd_language.identify(docs, empty).collect()} == {"und"}
 
 
+def test_foreign_scripts_go_and_clean_texts_stay(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    draw = random.Random(6)
+    foreign = []
+    for low, high in ((0x430, 0x44F), (0x3B1, 0x3C9), (0x4E00, 0x9FA5)):
+        for k in range(60):
+            words = ["".join(chr(draw.randint(low, high)) for _ in range(draw.randint(2, 9))) for _ in range((1, 5, 40)[k % 3])]
+            foreign.append((-1 - len(foreign), " ".join(words), None, "s", 0))
+    short = [(10**9 + i, t, None, "s", 0) for i, t in enumerate(["Er\u00f6.", "A.", "Avec.", "Lllldoado."])]
+    kept = corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(foreign + short, docs.schema)), "")
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert sum(i < 0 for i in ids) <= 1  # four standard deviations
+    assert ids >= {r["doc_id"] for r in docs.select("doc_id").collect()} | {s[0] for s in short}
+
+
 def test_language_slices_equal_one_pass(monkeypatch):
     text = "Ça va? " * 40 + "the end " * 30
     whole = hd_language.gram_keys(text)
