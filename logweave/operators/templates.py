@@ -2,7 +2,7 @@
 
 Templates are the masked, whitespace-collapsed lines, grouped exactly. For lines under ten
 tokens this is the same grouping a similarity-0.9 prefix-tree miner produces (one differing
-token gives at most 8/9 < 0.9). The dictionary is an aggregate (one row per template); its
+token gives at most 8/9 < 0.9); longer lines are clustered in ``similar_templates``. The dictionary is an aggregate (one row per template); its
 size is bounded by the number of distinct log statements, not by the data volume.
 
 Joins against the dictionary are left to AQE: it sees the measured size of the aggregated
@@ -68,9 +68,9 @@ def join_template_ids(lines: DataFrame, dictionary: DataFrame,
     return lines.join(d, template, "left")
 
 
-def unseen_template_traces(lines_with_ids: DataFrame, key: str = "trace_id") -> DataFrame:
+def unseen_template_traces(lines_with_ids: DataFrame, key: str | tuple[str, ...] = "trace_id") -> DataFrame:
     """Traces that hold at least one template never seen in train."""
-    return (lines_with_ids.groupBy(key)
+    return (lines_with_ids.groupBy(*([key] if isinstance(key, str) else key))
             .agg(F.count_if(~F.col("seen_in_train")).alias("n_unseen_lines"),
                  F.count("*").alias("n_lines"))
             .where(F.col("n_unseen_lines") > 0))

@@ -39,7 +39,7 @@ def input_state(spark: SparkSession, sf: str) -> tuple:
     from logweave.sources.files import _hadoop_fs
 
     state = []
-    for t in ("events", "documents", "labels", "conversations"):
+    for t in ("events", "documents", "labels", "conversations", "orders"):
         fs, p = _hadoop_fs(spark, f"{sf}/{t}.parquet")
         if fs.exists(p):
             state += sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p))

@@ -16,6 +16,7 @@ from logweave.functions import text as T
 from logweave.operators import detect as D
 from logweave.operators import flows as FL
 from logweave.operators import metrics as M
+from logweave.operators import similar_templates as ST
 from logweave.operators import templates as TP
 from logweave.operators import traces as TR
 from logweave.plans import base as B
@@ -23,7 +24,7 @@ from logweave.plans import oracle_sql as S
 from logweave.session import scratch_path
 from logweave.sinks import writers as WR
 from logweave.sources import files as FS
-from logweave.sources.tables import eval_records, log_lines, table, trace_lines
+from logweave.sources.tables import eval_records, log_lines, order_lines, table, trace_lines
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -612,6 +613,35 @@ def sink_templates(spark, sf):
         "id long, text string, count long, train_count long, seen_in_train boolean").json(out)
 
 
+def _similar_tables(spark, sf):
+    """Order lines, the template of every distinct line per split, and the dictionary."""
+    lines = order_lines(spark, sf)
+    assigned = B.memo_table(spark, sf, "similar-assigned", lambda: ST.assign_over_splits(lines))
+    found = B.memo_table(spark, sf, "similar-dictionary", lambda: ST.dictionary_over_splits(lines, assigned))
+    return lines, assigned, found
+
+
+@query("similar_templates", S.SIMILAR_TEMPLATES + "\nSELECT id, text, count, train_count, seen_in_train FROM st_dict")
+def similar_templates(spark, sf):
+    return _similar_tables(spark, sf)[2]
+
+
+@query("match_template_ids", S.SIMILAR_TEMPLATES + """
+SELECT l.line_no, l.split, d.id AS template_id, d.seen_in_train FROM st_lines l JOIN st_dict d ON d.text = l.template""")
+def match_template_ids(spark, sf):
+    ids = ST.with_template_ids(*_similar_tables(spark, sf))
+    return ids.select("line_no", "split", "template_id", "seen_in_train")
+
+
+@query("unmatched_template_traces", S.SIMILAR_TEMPLATES + """
+SELECT l.trace_id, l.split, count(*) FILTER (WHERE NOT d.seen_in_train) AS n_unseen_lines, count(*) AS n_lines
+FROM st_lines l JOIN st_dict d ON d.text = l.template GROUP BY l.trace_id, l.split
+HAVING count(*) FILTER (WHERE NOT d.seen_in_train) > 0""")
+def unmatched_template_traces(spark, sf):
+    ids = ST.with_template_ids(*_similar_tables(spark, sf))
+    return TP.unseen_template_traces(ids, ("trace_id", "split"))
+
+
 @query("flow_summary", _ANS + "\nSELECT flow, count(*) AS n_traces FROM answers GROUP BY flow")
 def flow_summary(spark, sf):
     return B.answers(spark, sf).groupBy("flow").agg(F.count("*").alias("n_traces")).orderBy("flow")

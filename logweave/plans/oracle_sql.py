@@ -11,6 +11,7 @@ from logweave.functions.text import KEYWORDS, keyed_mask_pattern
 from logweave.operators.detect import DOC_KEYWORDS
 from logweave.operators.flows import EVENT_FLOWS, step_template
 from logweave.operators.splits import INCIDENTS, SEED, SELECTION, VAL_SHARE
+from logweave.sources.tables import ORDER_SPLIT_SQL, order_text_sql
 
 
 def q(s: str) -> str:
@@ -290,6 +291,61 @@ eval_records AS (
     CASE WHEN coalesce(p, 0) > 0 THEN ls[p] ELSE '' END AS worst_line_text
   FROM doc_hit)"""
 
+ORDER_LINES = f"""
+order_lines AS (
+  SELECT CAST(o_orderkey AS BIGINT) AS line_no, o_orderdate AS ts, 'c' || CAST(o_custkey AS VARCHAR) AS trace_id,
+    {ORDER_SPLIT_SQL} AS split, {order_text_sql("VARCHAR")} AS text
+  FROM orders)"""
+
+
+def _similar(src: str, p: str) -> str:
+    """Clusters of similar lines inside a split by comparing all pairs: ``{p}_m(split, text, template)``."""
+    head = "list_transform({0}.tok[1:2], lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END)"
+    return f"""
+{p}_l AS (SELECT DISTINCT split, text, string_split(text, ' ') AS tok FROM {src}),
+{p}_e AS (
+  SELECT a.split, a.text AS x, b.text AS y FROM {p}_l a JOIN {p}_l b
+    ON a.split = b.split AND len(a.tok) = len(b.tok) AND {head.format("a")} = {head.format("b")}
+    AND 100 * len(list_filter(list_zip(a.tok, b.tok), lambda z: z[1] = z[2])) >= 90 * len(a.tok)),
+{p}_r AS (SELECT split, x, y FROM {p}_e UNION SELECT r.split, r.x, e.y FROM {p}_r r JOIN {p}_e e ON e.split = r.split AND e.x = r.y),
+{p}_c AS (SELECT split, x AS text, min(y) AS comp FROM {p}_r GROUP BY split, x),
+{p}_k AS (
+  SELECT split, comp, i, CASE WHEN count(DISTINCT t) = 1 THEN min(t) ELSE '<*>' END AS tok
+  FROM (SELECT c.split, c.comp, unnest(range(1, len(l.tok) + 1)) AS i, unnest(l.tok) AS t
+        FROM {p}_c c JOIN {p}_l l ON l.split = c.split AND l.text = c.text) GROUP BY split, comp, i),
+{p}_t AS (SELECT split, comp, string_agg(tok, ' ' ORDER BY i) AS template FROM {p}_k GROUP BY split, comp),
+{p}_m AS (SELECT c.split, c.text, t.template FROM {p}_c c JOIN {p}_t t ON t.split = c.split AND t.comp = c.comp)"""
+
+
+SIMILAR_TEMPLATES = "WITH RECURSIVE " + ORDER_LINES.strip() + """,
+st_train AS (SELECT split, text FROM order_lines WHERE split = 'train'),""" + _similar("st_train", "tr") + """,
+st_later AS (SELECT DISTINCT split, text FROM order_lines WHERE split <> 'train'),
+st_wild AS (
+  SELECT DISTINCT template, string_split(template, ' ') AS fixed FROM tr_m WHERE list_contains(string_split(template, ' '), '<*>')),
+st_fit AS (
+  SELECT l.text, first(w.template ORDER BY len(list_filter(w.fixed, lambda f: f = '<*>')), w.template) AS template
+  FROM (SELECT DISTINCT text, string_split(text, ' ') AS tok FROM st_later) l JOIN st_wild w ON len(w.fixed) = len(l.tok)
+    AND len(list_filter(list_zip(w.fixed, l.tok), lambda z: z[1] <> '<*>' AND z[1] <> z[2])) = 0
+  GROUP BY l.text),
+st_placed AS (
+  SELECT l.split, l.text, coalesce(m.template, f.template) AS template
+  FROM st_later l LEFT JOIN tr_m m ON m.text = l.text LEFT JOIN st_fit f ON f.text = l.text),
+st_rest AS (SELECT split, text FROM st_placed WHERE template IS NULL),""" + _similar("st_rest", "ow") + """,
+st_all AS (
+  SELECT split, text, template FROM tr_m UNION ALL SELECT split, text, template FROM st_placed WHERE template IS NOT NULL
+  UNION ALL SELECT split, text, template FROM ow_m),
+st_lines AS (
+  SELECT o.*, a.template, CASE o.split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 4 END AS sr
+  FROM order_lines o JOIN st_all a ON a.split = o.split AND a.text = o.text),
+st_first AS (
+  SELECT *, row_number() OVER (PARTITION BY template ORDER BY sr, ts, line_no) AS turn FROM st_lines),
+st_ids AS (
+  SELECT template, row_number() OVER (ORDER BY sr, ts, line_no, template) AS id FROM st_first WHERE turn = 1),
+st_dict AS (
+  SELECT i.id, i.template AS text, count(*) AS count, count(*) FILTER (WHERE l.split = 'train') AS train_count,
+    count(*) FILTER (WHERE l.split = 'train') > 0 AS seen_in_train
+  FROM st_ids i JOIN st_lines l ON l.template = i.template GROUP BY i.id, i.template)"""
+
 KEYWORD_RE = "(?i)(" + KEYWORDS + ")"
 
 

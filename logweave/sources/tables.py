@@ -7,6 +7,8 @@ the same definitions in plain SQL.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,46 @@ def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "trace_id", "ts", "line_no", "level", "service", "content", "template")
 
 
+#: Long statements of the order log: condition on an order (SQL that Spark and DuckDB share), level
+#: and words. The first that holds is logged; ``{...}`` is an expression whose value is one token.
+ORDER_STATEMENTS: list[tuple[str, str, str]] = [
+    ("o_orderkey % 100 = 7", "INFO", "audit order x{o_orderkey} was opened by hand for a second check"),
+    ("o_orderkey % 97 = 5 AND year(o_orderdate) >= 2000", "WARN",
+     "refund of this order is kept back until desk k{o_custkey % 3} has signed"),
+    ("o_orderkey % 4 = 0", "INFO", "accepted order for branch b{o_custkey % 40} and queued it for packing"),
+    ("o_orderkey % 4 = 1", "INFO",
+     "reserved goods of group g{o_custkey % 13} in hall h{o_orderkey % 17} for the next truck that leaves the main yard before noon"),
+    ("o_orderkey % 4 = 2", "WARN",
+     "open order with priority {replace(o_orderpriority, ' ', '_')} and status {o_orderstatus} was handed to clerk c{o_custkey % 9} "
+     "who will call the customer again on the next working day before the bill is sent out"),
+    ("o_custkey % 50 = 0", "WARN", "parcel lost"),
+    ("true", "INFO", "parcel from depot d{o_custkey % 7} leaves via line l{o_orderkey % 11}"),
+]
+_ORDER_SERVICES = ["audit", "refund", "order", "stock", "bill", "ship", "ship"]
+
+
+def order_text_sql(cast: str) -> str:
+    """``service LEVEL message`` of an order as a SQL expression (``cast``: the string type's name)."""
+    cases = []
+    for (condition, level, message), service in zip(ORDER_STATEMENTS, _ORDER_SERVICES, strict=True):
+        parts = re.split(r"{(.*?)}", f"{service}-service {level} {message}")
+        shown = [f"CAST({p} AS {cast})" if i % 2 else f"'{p}'" for i, p in enumerate(parts) if p]
+        cases.append(f"WHEN {condition} THEN {' || '.join(shown)}")
+    return f"CASE {' '.join(cases)} END"
+
+
+ORDER_SPLIT_SQL = "CASE WHEN year(o_orderdate) < 1999 THEN 'train' WHEN year(o_orderdate) < 2000 THEN 'val' ELSE 'test' END"
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log line of 4 to 31 tokens per order: line_no, ts, trace_id (the customer), split (by year), text."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.select(
+        F.col("o_orderkey").cast("long").alias("line_no"), F.col("o_orderdate").alias("ts"),
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("trace_id"),
+        F.expr(ORDER_SPLIT_SQL).alias("split"), F.expr(order_text_sql("STRING")).alias("text"))
+
+
 def conv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as traces: trace = conversation, order = turn, line = ``role: text``."""
     c = table(spark, sf_dir, "conversations")
