@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions import text as T
+from logweave.operators import alignment as AL
 from logweave.operators import detect as D
 from logweave.operators import flows as FL
 from logweave.operators import metrics as M
@@ -21,7 +22,7 @@ from logweave.operators import templates as TP
 from logweave.operators import traces as TR
 from logweave.plans import base as B
 from logweave.plans import oracle_sql as S
-from logweave.session import scratch_path
+from logweave.session import cut_lineage, scratch_path
 from logweave.sinks import writers as WR
 from logweave.sources import files as FS
 from logweave.sources.tables import eval_records, log_lines, order_lines, table, trace_lines
@@ -239,6 +240,21 @@ def flow_recognise(spark, sf):
     return lines.select("trace_id", FL.flow_of_first(F.col("first_template")).alias("flow"))
 
 
+@query("flow_align", S.ALIGNED + """
+SELECT t.trace_id, coalesce(b.flow, 'unknown') AS flow, b.cost
+FROM (SELECT DISTINCT trace_id FROM tl) t LEFT JOIN al_best b ON b.trace_id = t.trace_id""")
+def flow_align(spark, sf):
+    return AL.align_flows(B.indexed(spark, sf))
+
+
+@query("flow_align_conformance", S.ALIGNED_COVER + "\nSELECT * FROM answers")
+def flow_align_conformance(spark, sf):
+    """Conformance with flows told by alignment, one of which has a line that covers two steps."""
+    ix = B.indexed(spark, sf)
+    told = cut_lineage(AL.align_flows(ix, FL.COVER_FLOWS), "told")
+    return FL.conformance(ix, FL.COVER_FLOWS, cut_input=False, recognised=told)
+
+
 @query("flow_step_check", _ANS + """
 SELECT h.trace_id, fn.pos, fn.step, o.idx,
   CASE WHEN e.err_idx IS NOT NULL THEN 'ERROR' WHEN o.idx IS NULL THEN 'missing' ELSE 'ok' END AS status

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from logweave.functions.text import KEYWORDS, keyed_mask_pattern
 from logweave.operators.detect import DOC_KEYWORDS
-from logweave.operators.flows import EVENT_FLOWS, step_template
+from logweave.operators.flows import COVER_FLOWS, EVENT_FLOWS, step_template
 from logweave.operators.splits import INCIDENTS, SEED, SELECTION, VAL_SHARE
 from logweave.sources.tables import ORDER_SPLIT_SQL, order_text_sql
 
@@ -60,15 +60,15 @@ tl AS (
   FROM log_lines)"""
 
 
-def _flow_tables() -> str:
+def _flow_tables(flows=EVENT_FLOWS) -> str:
     first, match, nexp, what, names, opt = [], [], [], [], [], []
     seen_first = set()
-    for f in sorted(EVENT_FLOWS, key=lambda f: f.name):
+    for f in sorted(flows, key=lambda f: f.name):
         t = step_template(f.steps[0].service, f.steps[0].level, f.steps[0].message)
         if t not in seen_first:
             seen_first.add(t)
             first.append((t, f.name))
-    for f in EVENT_FLOWS:
+    for f in flows:
         pos = {s.step: i for i, s in enumerate(f.steps)}
         nexp.append((f.name, len(f.steps)))
         for i, s in enumerate(f.steps):
@@ -81,7 +81,7 @@ def _flow_tables() -> str:
             for j, c in enumerate(o.covers):
                 match.append((f.name, t, j, pos[c]))
     errm = []
-    for f in EVENT_FLOWS:
+    for f in flows:
         for i, st in enumerate(f.steps):
             errm.append((f.name, st.service, step_template(st.service, st.level, st.message).split(" ", 2)[2], i))
     return ",\n".join([
@@ -95,7 +95,7 @@ def _flow_tables() -> str:
     ])
 
 
-CONFORMANCE = _flow_tables() + f""",
+_CONFORMANCE_RULES = """
 heads0 AS (
   SELECT trace_id, count(*) AS n_lines, arg_min(template, idx) AS first_template,
     min(idx) FILTER (WHERE level = 'ERROR') AS err_line,
@@ -191,6 +191,41 @@ answers AS (
     coalesce(sc.step_check, '') AS step_check, explanation
   FROM t3 LEFT JOIN scheck sc ON sc.trace_id = t3.trace_id)"""
 
+CONFORMANCE = _flow_tables() + "," + _CONFORMANCE_RULES
+
+_TOLD_BY_FIRST = "LEFT JOIN f_first f ON f.template = h.first_template"
+# The alignment by one row per trace, flow and line: the vector of costs per flow position moves line by line.
+ALIGNMENT = """
+al_act AS (SELECT flow, template, min(pos) AS p, count(*) AS c FROM f_match GROUP BY flow, template),
+al_line AS (
+  SELECT l.trace_id, l.idx, n.flow, n.n_exp, a.p, a.c, CASE WHEN o.template IS NULL THEN 1 ELSE 0 END AS e
+  FROM tl l CROSS JOIN f_nexp n LEFT JOIN al_act a ON a.flow = n.flow AND a.template = l.template
+  LEFT JOIN f_opt o ON o.flow = n.flow AND o.template = l.template),
+al AS (
+  SELECT DISTINCT trace_id, flow, n_exp, CAST(-1 AS BIGINT) AS idx, CAST(0 AS BIGINT) AS dropped, range(0, n_exp + 1) AS v FROM al_line
+  UNION ALL
+  SELECT al.trace_id, al.flow, al.n_exp, l.idx, al.dropped + l.e,
+    list_transform(range(1, al.n_exp + 2), lambda q: least(al.v[q] + l.e,
+      CASE WHEN l.p IS NOT NULL AND q - 1 >= l.p + l.c THEN al.v[l.p + 1] + (q - 1) - l.p - l.c ELSE al.v[q] + l.e END))
+  FROM al JOIN al_line l ON l.trace_id = al.trace_id AND l.flow = al.flow AND l.idx = al.idx + 1),
+al_cost AS (
+  SELECT trace_id, flow, arg_max(v[n_exp + 1], idx) AS cost, max(dropped) + any_value(n_exp) AS worst
+  FROM al GROUP BY trace_id, flow),
+al_best AS (
+  SELECT trace_id, first(flow ORDER BY cost, cost - worst, flow) AS flow, min(cost) AS cost
+  FROM al_cost WHERE cost < worst GROUP BY trace_id),
+"""
+
+
+def aligned(flows) -> str:
+    """Conformance with the flow told by alignment; needs WITH RECURSIVE."""
+    rules = _CONFORMANCE_RULES.replace(_TOLD_BY_FIRST, "LEFT JOIN al_best f ON f.trace_id = h.trace_id")
+    return _flow_tables(flows) + "," + ALIGNMENT + rules
+
+
+ALIGNED = "WITH RECURSIVE " + LOG_LINES.strip() + ",\n" + aligned(EVENT_FLOWS)
+ALIGNED_COVER = "WITH RECURSIVE " + LOG_LINES.strip() + ",\n" + aligned(COVER_FLOWS)
+
 INCIDENT_TABLE = values(
     [(i, t, f, a, s, e, n) for n, (i, t, f, a, s, e) in enumerate(INCIDENTS)],
     ["id", "title", "flow", "precursor_start", "start", "end", "list_pos"], "inc_raw")
