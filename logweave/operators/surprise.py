@@ -1,71 +1,102 @@
 """Next-line surprise scoring and token-loss aggregation.
 
-A countable stand-in for a language model trained on normal traces: a template transition
-model (previous template -> next template, with START and END markers) learned on the train
-split, and a per-line surprise ``-ln((c(prev,next) + a) / (c(prev) + a * V))``. Traces are
-scored by their worst line, thresholded at a percentile of the validation scores.
-
-Transitions come from an equi-join of each line with the line before it on
-``(trace_id, idx)``: unique keys, so a hot trace spreads over the whole cluster. The model is
-an aggregate bounded by (templates + 2)^2 rows; AQE broadcasts it when its measured size
-allows.
+A countable stand-in for a language model trained on normal traces: a back-off model of a line given
+the ``ORDER`` templates before it (with START and END markers). The probability of a template in
+a context mixes the context's own counts with the next shorter context's probability by the
+escape weight of Witten and Bell, ``(c(ctx, next) + t(ctx) * p(next | shorter)) / (n(ctx) + t(ctx))``,
+where ``t`` counts the different templates seen after the context; unseen contexts fall through, and
+below the empty context all templates are equally likely. A line's surprise is ``-ln p``; a
+trace is scored by its worst line, and the threshold is a percentile over traces held out of learning.
+
+It learns from conforming traces only, and from the line sequences that the flow definitions allow.
+
+Scale: a line needs the ``ORDER`` lines before it, not its trace: lines are dealt by chunks of their index, and
+the last ``ORDER`` lines of a chunk are repeated at the head of the next one, so a hot trace is many
+tasks' work. Lines with the same history are one *pattern*: counts are summed and
+probabilities computed per pattern, and only then joined to the lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from logweave.functions.text import TRACE_END
+from logweave.operators.flows import EVENT_FLOWS, Flow, flow_variants
 from logweave.operators.ranking import running_total
 
-START, END, UNSEEN = "<START>", "<END>", "<UNSEEN>"
-ALPHA = 0.1
+START, END = "<START>", "<END>"
+ORDER = 4
+HISTORY_CHUNK = 4096
+#: Share of the conforming traces that set the threshold: their hash begins below this hex digit (3/16).
+CALIBRATE_BELOW = "3"
 
 
-def transitions(indexed: DataFrame, template: str = "template",
-                carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per trace ``n_lines + 1`` rows ``(trace_id, idx, prev, next)``; idx = n_lines is END.
-    ``carry``: per-trace columns (e.g. the split) kept on every transition."""
-    cur = indexed.select("trace_id", "idx", F.col(template).alias("next"), *carry)
-    prev = indexed.select("trace_id", (F.col("idx") + 1).alias("idx"), F.col(template).alias("prev"),
-                          *[F.col(c).alias(f"_p_{c}") for c in carry])
-    j = cur.join(prev, ["trace_id", "idx"], "full")
-    return j.select("trace_id", "idx", F.coalesce("prev", F.lit(START)).alias("prev"),
-                    F.coalesce("next", F.lit(END)).alias("next"),
-                    *[F.coalesce(c, f"_p_{c}").alias(c) for c in carry])
+def learning_role(trace_id: Column, normal: Column) -> Column:
+    """``learn`` or ``calibrate`` for a conforming trace, else null."""
+    held_out = F.md5(F.concat(F.lit("surprise:"), trace_id)) < CALIBRATE_BELOW
+    return F.when(normal, F.when(held_out, "calibrate").otherwise("learn"))
 
 
-def transition_model(train_indexed: DataFrame) -> DataFrame:
-    """Counts of (previous template, next template) on train traces."""
-    return model_from_transitions(transitions(train_indexed))
+def _context(*templates: Column) -> Column:
+    return F.md5(F.concat_ws("\u0001", *templates)) if templates else F.md5(F.lit(""))
 
 
-def model_from_transitions(trans: DataFrame) -> DataFrame:
-    return trans.groupBy("prev", "next").agg(F.count("*").alias("c_pair"))
+def histories(indexed: DataFrame, template: str = "template", carry: tuple[str, ...] = (), order: int = ORDER,
+              chunk: int = HISTORY_CHUNK) -> DataFrame:
+    """Per trace ``n_lines + 1`` rows ``(trace_id, idx, next, levels, deepest)``; idx = n_lines is END.
+
+    ``levels``: ``(k, context)`` for the last ``k`` templates, as far as the trace has them (START is
+    the one before line 0); ``deepest``: the longest of these contexts. ``carry``: per-trace columns."""
+    lines = indexed.select("trace_id", "idx", F.col(template).alias("next"), *carry)
+    ends = lines.groupBy("trace_id", *carry).agg((F.max("idx") + 1).alias("idx"), F.lit(END).alias("next"))
+    own = F.floor(F.col("idx") / chunk)
+    places = F.when(F.pmod("idx", F.lit(chunk)) >= chunk - order, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = lines.unionByName(ends).withColumn("_c", F.explode(places)).repartition("trace_id", "_c")
+    w = W.partitionBy("trace_id", "_c").orderBy("idx")
+    before = [F.when(F.col("idx") >= k, F.lag("next", k).over(w)).when(F.col("idx") == k - 1, START).alias(f"_p{k}")
+              for k in range(1, order + 1)]
+    rows = spread.select("*", *before).where(F.col("_c") == own)
+    levels = [F.struct(F.lit(k).alias("k"), _context(*[F.col(f"_p{j}") for j in range(k, 0, -1)]).alias("context"))
+              for k in range(order + 1)]
+    there = F.array(levels[0], *[F.when(F.col(f"_p{k}").isNotNull(), levels[k]) for k in range(1, order + 1)])
+    rows = rows.withColumn("levels", F.filter(there, lambda x: x.isNotNull()))
+    return rows.select("trace_id", "idx", "next", *carry, "levels", F.element_at("levels", -1)["context"].alias("deepest"))
+
+
+def variant_lines(spark: SparkSession, flows: tuple[Flow, ...] = EVENT_FLOWS) -> DataFrame:
+    """The line sequences that the flow definitions allow, as ``(trace_id, idx, template)``."""
+    rows = [(f"variant-{n}", i, t) for n, seq in enumerate(flow_variants(flows)) for i, t in enumerate(seq)]
+    return spark.createDataFrame(rows, "trace_id string, idx long, template string")
+
+
+def context_model(rows: DataFrame) -> DataFrame:
+    """``(k, context, next, n)``: how often a template follows a context of ``k`` templates."""
+    patterns = rows.groupBy("deepest", "next").agg(F.any_value("levels").alias("levels"), F.count("*").alias("n"))
+    return patterns.select("next", "n", F.inline("levels")).groupBy("k", "context", "next").agg(F.sum("n").alias("n"))
 
 
 def vocabulary_size(model: DataFrame) -> int:
-    """Train templates + END + one slot for unseen templates."""
-    n = model.where(F.col("next") != END).select("next").distinct().count()
-    return n + 2
-
-
-def score_transitions(trans: DataFrame, model: DataFrame, alpha: float = ALPHA,
-                      vocab: int | None = None) -> DataFrame:
-    """``-ln((c(prev,next) + a) / (c(prev) + a * V))`` per transition; the model side is an
-    aggregate bounded by the template count (AQE broadcasts it when it is small)."""
-    v = vocab if vocab is not None else vocabulary_size(model)
-    prev_tot = model.groupBy("prev").agg(F.sum("c_pair").alias("c_prev"))
-    t = trans.join(model, ["prev", "next"], "left").join(prev_tot, "prev", "left")
-    p = (F.coalesce("c_pair", F.lit(0)) + alpha) / (F.coalesce("c_prev", F.lit(0)) + alpha * v)
-    keep = [c for c in trans.columns if c not in ("prev", "next", "trace_id", "idx")]
-    return t.select("trace_id", "idx", "prev", "next", *keep, (-F.log(p)).alias("surprise"))
-
-
-def line_surprise(indexed: DataFrame, model: DataFrame, alpha: float = ALPHA,
-                  vocab: int | None = None) -> DataFrame:
-    return score_transitions(transitions(indexed), model, alpha, vocab)
+    """Learned templates + END + one slot for unseen templates."""
+    return model.where(F.col("next") != END).select("next").distinct().count() + 2
+
+
+def score_histories(rows: DataFrame, model: DataFrame, vocab: int) -> DataFrame:
+    """``(trace_id, idx, next, carried columns, surprise)`` of every row of ``histories``."""
+    totals = model.groupBy("k", "context").agg(F.sum("n").alias("n"), F.count("*").alias("t"))
+    patterns = rows.groupBy("deepest", "next").agg(F.any_value("levels").alias("levels"))
+    levels = patterns.select("deepest", "next", F.inline("levels")).join(totals, ["k", "context"])
+    counts = model.select("k", "context", "next", F.col("n").alias("c"))
+    levels = levels.join(counts, ["k", "context", "next"], "left")
+    level = F.struct("k", F.coalesce("c", F.lit(0)).cast("double").alias("c"), F.col("n").cast("double").alias("n"),
+                     F.col("t").cast("double").alias("t"))
+    seen = levels.groupBy("deepest", "next").agg(F.array_sort(F.collect_list(level)).alias("seen"))  # at most ORDER + 1
+    p = F.aggregate("seen", F.lit(1.0 / vocab), lambda p, x: (x["c"] + x["t"] * p) / (x["n"] + x["t"]))
+    scored = seen.select("deepest", "next", (-F.log(p)).alias("_s"))
+    keep = [c for c in rows.columns if c not in ("levels", "deepest")]
+    unseen = F.lit(1.0 / vocab)
+    return rows.join(scored, ["deepest", "next"], "left").select(*keep, F.coalesce("_s", -F.log(unseen)).alias("surprise"))
 
 
 def trace_surprise(line_scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

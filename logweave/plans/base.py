@@ -134,10 +134,13 @@ def conv_tokens(text: DataFrame, width: int = 4) -> DataFrame:
                     (s + F.length("span")).cast("long").alias("e"), "span", nll.cast("double").alias("nll"))
 
 
-def train_and_scored(spark: SparkSession, sf: str):
-    """(indexed lines with split, truth) for the surprise model."""
-    ix = indexed(spark, sf).select("trace_id", "idx", "template").join(splits(spark, sf), "trace_id")
-    return ix, truth(spark, sf)
+def roles(spark: SparkSession, sf: str) -> DataFrame:
+    """Per trace of a split: the split, and its part in learning what conforming traces look like."""
+    from logweave.operators.surprise import learning_role
+
+    t = splits(spark, sf).join(truth(spark, sf).select("trace_id", "label"), "trace_id")
+    normal = (F.col("label") == 0) & F.col("split").isin("train", "val")
+    return t.select("trace_id", "split", learning_role(F.col("trace_id"), normal).alias("role"))
 
 
 _MEMO: dict[tuple, object] = {}

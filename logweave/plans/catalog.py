@@ -667,28 +667,7 @@ def flow_summary(spark, sf):
 
 from logweave.operators import surprise as SU  # noqa: E402
 
-_SUR = W(LL, CONF, TRUTH, SPLITS, """
-lws AS (SELECT l.trace_id, l.idx, l.template, s.split FROM tl l JOIN splits s ON s.trace_id = l.trace_id),
-trans AS (
-  SELECT coalesce(c.trace_id, p.trace_id) AS trace_id, coalesce(c.split, p.split) AS split,
-    coalesce(c.idx, p.idx + 1) AS idx, coalesce(p.template, '<START>') AS prev,
-    coalesce(c.template, '<END>') AS next
-  FROM lws c FULL JOIN lws p ON p.trace_id = c.trace_id AND p.idx + 1 = c.idx),
-model AS (SELECT prev, next, count(*) AS c_pair FROM trans WHERE split = 'train' GROUP BY prev, next),
-prev_tot AS (SELECT prev, sum(c_pair) AS c_prev FROM model GROUP BY prev),
-vocab AS (SELECT count(DISTINCT next) + 2 AS v FROM model WHERE next <> '<END>'),
-ls AS (
-  SELECT t.trace_id, t.split, t.idx, t.prev, t.next,
-    -ln((coalesce(m.c_pair, 0) + 0.1) / (coalesce(pt.c_prev, 0) + 0.1 * (SELECT v FROM vocab))) AS surprise
-  FROM trans t LEFT JOIN model m ON m.prev = t.prev AND m.next = t.next
-  LEFT JOIN prev_tot pt ON pt.prev = t.prev),
-ts AS (
-  SELECT trace_id, split, max(surprise) AS score,
-    first(idx ORDER BY surprise DESC, idx ASC) AS pred_index,
-    first(CASE WHEN next = '<END>' THEN 'TRACE END' ELSE next END ORDER BY surprise DESC, idx ASC) AS worst_line_text,
-    avg(surprise) AS mean_nll
-  FROM ls GROUP BY trace_id, split),
-thr AS (SELECT quantile_cont(score, 0.99) AS threshold FROM ts WHERE split = 'val'),
+_SUR = W(LL, CONF, TRUTH, SPLITS, S.surprise(SU.ORDER, SU.CALIBRATE_BELOW), """
 sdet AS (
   SELECT s.trace_id, t.label, t.anomaly_type, coalesce(s.score > (SELECT threshold FROM thr), false) AS flagged,
     s.score, s.pred_index, t.first_deviation_index, s.worst_line_text, s.mean_nll
@@ -696,43 +675,44 @@ sdet AS (
 
 
 def _surprise(spark, sf):
-    """Transitions of every split computed once (split carried along); the model learns on
-    the train ones and scores all of them."""
-    ix, t = B.train_and_scored(spark, sf)
-    trans = SU.transitions(ix, carry=("split",))
-    # (templates + 2)^2 rows at most; written once, read by every scoring branch
-    model = B.memo_table(spark, sf, "transition_model",
-                         lambda: SU.model_from_transitions(trans.where(F.col("split") == "train")))
-    v = B.memo_value(spark, sf, "vocab", lambda: SU.vocabulary_size(model))
-    ls = SU.score_transitions(trans, model, vocab=v)
-    return ix, t, model, ls
+    """Histories of every split computed once (split and role carried along); the model learns from
+    the conforming ones and from the flow definitions, and scores all of them."""
+    ix = B.indexed(spark, sf).select("trace_id", "idx", "template").join(B.roles(spark, sf), "trace_id")
+    rows = B.memo_table(spark, sf, "histories", lambda: SU.histories(ix, carry=("split", "role")))
+
+    def learn():
+        allowed = SU.histories(SU.variant_lines(spark))
+        learned = rows.where(F.col("role") == "learn")
+        return SU.context_model(learned.select(allowed.columns).unionByName(allowed))
+
+    model = B.memo_table(spark, sf, "context_model", learn)
+    vocab = B.memo_value(spark, sf, "vocab", lambda: SU.vocabulary_size(model))
+    return model, SU.score_histories(rows, model, vocab)
 
 
 def _trace_scores(spark, sf):
     def build():
-        _, _, _, ls = _surprise(spark, sf)
-        return SU.trace_surprise(ls, by=("split",))
+        return SU.trace_surprise(_surprise(spark, sf)[1], by=("split", "role"))
     return B.memo_table(spark, sf, "trace_scores", build), B.truth(spark, sf)
 
 
 def _surprise_detections(spark, sf):
     ts, t = _trace_scores(spark, sf)
     thr = B.memo_value(spark, sf, "threshold", lambda: M.exact_percentile(
-        ts.where(F.col("split") == "val"), "score", 99.0))
+        ts.where(F.col("role") == "calibrate"), "score", 99.0))
     det = ts.where(F.col("split") == "test").join(
         t.select("trace_id", "label", "anomaly_type", "first_deviation_index"), "trace_id")
     return M.threshold_flag(det, thr), thr
 
 
-@query("transition_model", _SUR + "\nSELECT prev, next, c_pair FROM model")
+@query("transition_model", _SUR + "\nSELECT k, context, next, n FROM model")
 def transition_model(spark, sf):
-    return _surprise(spark, sf)[2]
+    return _surprise(spark, sf)[0]
 
 
 @query("line_surprise", _SUR + "\nSELECT trace_id, idx, round(surprise, 9) AS surprise FROM ls")
 def line_surprise(spark, sf):
-    _, _, _, ls = _surprise(spark, sf)
-    return ls.select("trace_id", "idx", F.round("surprise", 9).alias("surprise"))
+    return _surprise(spark, sf)[1].select("trace_id", "idx", F.round("surprise", 9).alias("surprise"))
 
 
 @query("trace_surprise", _SUR + """
@@ -746,7 +726,7 @@ def trace_surprise(spark, sf):
 @query("percentile_threshold", _SUR + "\nSELECT round(threshold, 9) AS threshold FROM thr")
 def percentile_threshold(spark, sf):
     ts, _ = _trace_scores(spark, sf)
-    return M.percentile_threshold(spark, ts.where(F.col("split") == "val"), "score", 99.0)
+    return M.percentile_threshold(spark, ts.where(F.col("role") == "calibrate"), "score", 99.0)
 
 
 @query("threshold_flag", _SUR + "\nSELECT trace_id, round(score, 9) AS score, flagged FROM sdet")
@@ -1571,6 +1551,15 @@ def dq_dirty_train(spark, sf):
     return Q.dq_dirty_train(B.lines_with_split(spark, sf)).select("trace_id", "line_no")
 
 
+@query("dq_dirty_learning", _SUR + f"""
+SELECT l.trace_id, l.line_no FROM tl l JOIN (SELECT DISTINCT trace_id FROM lws WHERE role IS NOT NULL) r ON r.trace_id = l.trace_id
+WHERE regexp_matches(l.template, {S.q(S.KEYWORD_RE)})""")
+def dq_dirty_learning(spark, sf):
+    """Error words in the traces that the surprise model learns from or sets its threshold on."""
+    learned = B.roles(spark, sf).where(F.col("role").isNotNull())
+    return Q.dq_dirty_train(B.indexed(spark, sf).join(learned, "trace_id")).select("trace_id", "line_no")
+
+
 @query("dq_label_leak", W(LL) + "\nSELECT raw AS value FROM log_lines WHERE contains(lower(raw), 'anomal')")
 def dq_label_leak(spark, sf):
     return Q.dq_label_leak(log_lines(spark, sf).select(F.col("raw").alias("value")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from logweave.functions.text import KEYWORDS, keyed_mask_pattern
 from logweave.operators.detect import DOC_KEYWORDS
-from logweave.operators.flows import COVER_FLOWS, EVENT_FLOWS, step_template
+from logweave.operators.flows import COVER_FLOWS, EVENT_FLOWS, flow_variants, step_template
 from logweave.operators.splits import INCIDENTS, SEED, SELECTION, VAL_SHARE
 from logweave.sources.tables import ORDER_SPLIT_SQL, order_text_sql
 
@@ -326,6 +326,53 @@ eval_records AS (
     CASE WHEN coalesce(p, 0) > 0 THEN ls[p] ELSE '' END AS worst_line_text
   FROM doc_hit)"""
 
+def surprise(order: int, calibrate_below: str) -> str:
+    """Back-off model, line and trace scores and threshold, over tl, splits, truth and the flow definitions."""
+    variants = values([(f"variant-{n}", i, t) for n, seq in enumerate(flow_variants()) for i, t in enumerate(seq)],
+                      ["trace_id", "idx", "template"], "f_variants")
+    lags = ", ".join(f"CASE WHEN idx >= {k} THEN lag(next, {k}) OVER w WHEN idx = {k - 1} THEN '<START>' END AS p{k}"
+                     for k in range(1, order + 1))
+    contexts = " UNION ALL ".join(
+        f"SELECT *, {k} AS k, md5({'concat_ws(chr(1), ' + ', '.join(f'p{j}' for j in range(k, 0, -1)) + ')' if k else q('')}) AS context"
+        f" FROM hist{f' WHERE p{k} IS NOT NULL' if k else ''}" for k in range(order + 1))
+    per_level = ", ".join(f"max({x}) FILTER (WHERE k = {k}) AS {x}{k}" for k in range(order + 1) for x in "cnt")
+    mixed = ",\n".join(
+        f"lv{k} AS (SELECT *, CASE WHEN n{k} IS NULL THEN q{k - 1} ELSE (c{k} + t{k} * q{k - 1}) / (n{k} + t{k}) END AS q{k} "
+        f"FROM lv{k - 1})".replace("q-1", "u").replace("lv-1", "lv") for k in range(order + 1))
+    return variants + f""",
+lws AS (
+  SELECT l.trace_id, l.idx, l.template, s.split, CASE WHEN t.label = 0 AND s.split IN ('train', 'val') THEN
+    CASE WHEN md5('surprise:' || l.trace_id) < {q(calibrate_below)} THEN 'calibrate' ELSE 'learn' END END AS role
+  FROM tl l JOIN splits s ON s.trace_id = l.trace_id JOIN truth t ON t.trace_id = l.trace_id),
+seq0 AS (
+  SELECT trace_id, split, role, idx, template AS next FROM lws
+  UNION ALL SELECT trace_id, 'variant', 'learn', CAST(idx AS BIGINT), template FROM f_variants),
+seq AS (
+  SELECT * FROM seq0
+  UNION ALL SELECT trace_id, any_value(split), any_value(role), max(idx) + 1, '<END>' FROM seq0 GROUP BY trace_id),
+hist AS (SELECT *, {lags} FROM seq WINDOW w AS (PARTITION BY trace_id ORDER BY idx)),
+ctx AS ({contexts}),
+model AS (SELECT k, context, next, count(*) AS n FROM ctx WHERE role = 'learn' GROUP BY k, context, next),
+tot AS (SELECT k, context, CAST(sum(n) AS BIGINT) AS n, count(*) AS t FROM model GROUP BY k, context),
+vocab AS (SELECT count(DISTINCT next) + 2 AS v FROM model WHERE next <> '<END>'),
+lv AS (
+  SELECT trace_id, any_value(split) AS split, any_value(role) AS role, idx, any_value(next) AS next, 1.0 / (SELECT v FROM vocab) AS u,
+    {per_level}
+  FROM (SELECT c.*, CAST(coalesce(m.n, 0) AS DOUBLE) AS c, CAST(t.n AS DOUBLE) AS n, CAST(t.t AS DOUBLE) AS t
+        FROM ctx c LEFT JOIN tot t ON t.k = c.k AND t.context = c.context
+        LEFT JOIN model m ON m.k = c.k AND m.context = c.context AND m.next = c.next WHERE c.split <> 'variant')
+  GROUP BY trace_id, idx),
+{mixed},
+ls AS (SELECT trace_id, split, role, idx, next, -ln(q{order}) AS surprise FROM lv{order}),
+ts AS (
+  SELECT trace_id, split, role, max(surprise) AS score,
+    first(idx ORDER BY surprise DESC, idx ASC) AS pred_index,
+    first(CASE WHEN next = '<END>' THEN 'TRACE END' ELSE next END ORDER BY surprise DESC, idx ASC) AS worst_line_text,
+    avg(surprise) AS mean_nll
+  FROM ls GROUP BY trace_id, split, role),
+thr AS (SELECT quantile_cont(score, 0.99) AS threshold FROM ts WHERE role = 'calibrate')"""
+
+
 ORDER_LINES = f"""
 order_lines AS (
   SELECT CAST(o_orderkey AS BIGINT) AS line_no, o_orderdate AS ts, 'c' || CAST(o_custkey AS VARCHAR) AS trace_id,
