@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions.text import KEYWORDS, V1_LINE_PATTERN, keyword_hit
+from logweave.functions.text import KEYWORDS, MASKED_KEYS, V1_LINE_PATTERN, keyword_hit
 
-RAW_ID_PATTERNS = [r"APP-2026-", r"=C\d{8}", r"=P\d{7}", r"=LN\d{9}", r"=\d+(\s|$)"]
+#: A masked key with a value that is not the mask token.
+UNMASKED = r"\b(" + "|".join(MASKED_KEYS) + r")=([^<\s]|<[^*])"
 
 
 def dq_unparsed_lines(raw: DataFrame, pattern: str = V1_LINE_PATTERN) -> DataFrame:
@@ -38,8 +39,8 @@ def dq_label_leak(raw: DataFrame, word: str = "anomal") -> DataFrame:
 
 
 def dq_mask_leak(lines: DataFrame, line: str = "template") -> DataFrame:
-    pat = "|".join(RAW_ID_PATTERNS)
-    return lines.where(F.col(line).rlike(pat))
+    """Lines in which a value of a masked key is still readable."""
+    return lines.where(F.col(line).rlike(UNMASKED))
 
 
 def dq_template_refs(refs: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def dq_deviation_index(labels: DataFrame, answers: DataFrame) -> DataFrame:
                    | (F.col("anomaly_type") != F.col("rule_type")))
 
 
-def dq_storm_length(runs: DataFrame, answers: DataFrame, lo: int = 3, hi: int = 6) -> DataFrame:
+def dq_storm_length(runs: DataFrame, answers: DataFrame, lo: int = 4, hi: int = 6) -> DataFrame:
     """Storm traces whose longest run of one step is outside [lo, hi]."""
     longest = runs.groupBy("trace_id").agg(F.max("length").alias("longest"))
     s = answers.where(F.col("anomaly_type") == "retry_storm").join(longest, "trace_id", "left")

@@ -21,11 +21,13 @@ from logweave.operators import similar_templates as ST
 from logweave.operators import templates as TP
 from logweave.operators import traces as TR
 from logweave.plans import base as B
+from logweave.plans import delta as DL
 from logweave.plans import oracle_sql as S
 from logweave.session import cut_lineage, scratch_path
 from logweave.sinks import writers as WR
+from logweave.sources import digests as DG
 from logweave.sources import files as FS
-from logweave.sources.tables import eval_records, log_lines, order_lines, table, trace_lines
+from logweave.sources.tables import BROKEN_SQL, broken_lines, eval_records, log_lines, order_lines, table, trace_lines
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -53,6 +55,24 @@ def _day(ts="ts"):
     return F.date_format(ts, "yyyyMMdd")
 
 
+def _broken_logs(spark: SparkSession, sf: str) -> str:
+    """The day logs with planted faults, written once per application."""
+    def write():
+        out = scratch_path(spark, "logs-broken")
+        WR.sink_day_logs(broken_lines(spark, sf), out)
+        return out
+    return B.memo_value(spark, sf, "broken-logs", write)
+
+
+def _quarantine(spark: SparkSession, sf: str):
+    """Rejects and counts of the broken day logs, by one pass per application."""
+    def run():
+        out = scratch_path(spark, "quarantine")
+        lines = FS._numbered(spark.read.text(f"{_broken_logs(spark, sf)}/*/*.txt"))
+        return FS.quarantine(lines, out)
+    return B.memo_value(spark, sf, "quarantine", run)
+
+
 def _write_day_logs(spark: SparkSession, sf: str, column: str, name: str) -> str:
     out = scratch_path(spark, name)
     WR.sink_day_logs(log_lines(spark, sf).select(_day().alias("day"), "line_no",
@@ -72,6 +92,28 @@ def scan_log_v1(spark, sf):
     return df.select("ts_text", "level", "service", "trace_id", "message", "parsed", "line_no")
 
 
+@query("quarantine_rejects", W(LL, S.BROKEN) + "\nSELECT day, line_no, reason, value FROM broken WHERE reason IS NOT NULL")
+def quarantine_rejects(spark, sf):
+    rejects = _quarantine(spark, sf)[1]
+    return rejects.select(F.regexp_extract("file", r"day=(\d+)", 1).alias("day"), "line_no", "reason", "value")
+
+
+@query("quarantine_lines", W(LL, S.BROKEN) + """
+SELECT b.day, b.line_no, regexp_extract(b.value, 'trace=(\\S+)', 1) AS trace_id FROM broken b WHERE reason IS NULL""")
+def quarantine_lines(spark, sf):
+    good = _quarantine(spark, sf)[0]
+    return good.select(F.regexp_extract("file", r"day=(\d+)", 1).alias("day"), "line_no", "trace_id")
+
+
+@query("quarantine_counts", W(LL, S.BROKEN) + """
+SELECT count(*) AS n_lines, count(*) FILTER (WHERE reason IS NULL) AS n_good, count(*) FILTER (WHERE reason = 'blank') AS n_blank,
+  count(*) FILTER (WHERE reason = 'shape') AS n_shape, count(*) FILTER (WHERE reason = 'timestamp') AS n_timestamp FROM broken""")
+def quarantine_counts(spark, sf):
+    """As observed while the lines were parted."""
+    counts = _quarantine(spark, sf)[2]
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} long" for c in counts))
+
+
 @query("scan_log_prod", W(LL) + """
 SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS ts_utc, level, service, host, corr_id AS trace_id,
   content
@@ -1513,11 +1555,10 @@ def first_deviation(spark, sf):
 from logweave.operators import quality as Q  # noqa: E402
 
 
-@query("dq_unparsed_lines", W(LL) + f"""
-SELECT raw AS value FROM log_lines WHERE NOT regexp_matches(raw, {S.q(T.V1_LINE_PATTERN)})""")
+@query("dq_unparsed_lines", W(LL, S.BROKEN) + f"""
+SELECT value FROM broken WHERE NOT regexp_matches(value, {S.q(T.V1_LINE_PATTERN)})""")
 def dq_unparsed_lines(spark, sf):
-    out = _write_day_logs(spark, sf, "raw", "logs-dq")
-    return Q.dq_unparsed_lines(spark.read.text(f"{out}/*/*.txt"))
+    return Q.dq_unparsed_lines(spark.read.text(f"{_broken_logs(spark, sf)}/*/*.txt"))
 
 
 @query("dq_split_overlap", _SPL + """
@@ -1566,18 +1607,17 @@ def dq_label_leak(spark, sf):
 
 
 @query("dq_mask_leak", W(LL) + f"""
-SELECT line_no, template FROM log_lines WHERE regexp_matches(template, {S.q("|".join(Q.RAW_ID_PATTERNS))})""")
+SELECT line_no, template FROM log_lines WHERE regexp_matches(template, {S.q(Q.UNMASKED)})""")
 def dq_mask_leak(spark, sf):
     return Q.dq_mask_leak(log_lines(spark, sf)).select("line_no", "template")
 
 
-@query("dq_template_refs", _TPL + """
-SELECT DISTINCT d.id AS template_id FROM lws l JOIN dictionary d ON d.text = l.template
-WHERE d.id NOT IN (SELECT id FROM dictionary)""")
+@query("dq_template_refs", S.SIMILAR_TEMPLATES + "\nSELECT id AS template_id FROM st_dict WHERE NOT seen_in_train")
 def dq_template_refs(spark, sf):
-    d, lws = _dictionary(spark, sf)
-    refs = TP.join_template_ids(lws, d).select("template_id").distinct()
-    return Q.dq_template_refs(refs, d)
+    """Ids that the lines of all splits refer to and the dictionary frozen after train does not hold."""
+    lines, assigned, found = _similar_tables(spark, sf)
+    refs = ST.with_template_ids(lines, assigned, found).select("template_id").distinct()
+    return Q.dq_template_refs(refs, found.where("seen_in_train"))
 
 
 @query("dq_label_consistency", _ANS + """
@@ -1589,17 +1629,21 @@ def dq_label_consistency(spark, sf):
     return Q.dq_label_consistency(B.answers(spark, sf), FL.trace_heads(ix)).select("trace_id")
 
 
-@query("dq_deviation_index", W(LL, CONF, TRUTH, SPLITS, _LAB) + """
-SELECT l.trace_id FROM labelled l JOIN answers a ON a.trace_id = l.trace_id
-WHERE l.first_deviation_index IS DISTINCT FROM a.first_deviation_line OR l.anomaly_type <> a.anomaly_type""")
+@query("dq_deviation_index", _ANS + f"""
+, hit AS (SELECT trace_id, min(idx) AS i FROM tl WHERE regexp_matches(template, {S.q(S.KEYWORD_RE)}) GROUP BY trace_id)
+SELECT h.trace_id FROM hit h JOIN answers a ON a.trace_id = h.trace_id
+WHERE h.i IS DISTINCT FROM a.first_deviation_line OR a.anomaly_type <> 'visible_error'""".replace("\n, hit", ",\nhit", 1))
 def dq_deviation_index(spark, sf):
-    return Q.dq_deviation_index(B.labelled(spark, sf), B.answers(spark, sf)).select("trace_id")
+    """Labels told by the keyword detector alone, against the conformance answers."""
+    hits = D.keyword_match(B.indexed(spark, sf)).where("flagged").select(
+        "trace_id", F.lit("visible_error").alias("anomaly_type"), F.col("pred_index").alias("first_deviation_index"))
+    return Q.dq_deviation_index(hits, B.answers(spark, sf)).select("trace_id")
 
 
 @query("dq_storm_length", W(LL, CONF, _RUNS_SQL) + """
 SELECT a.trace_id, m.longest FROM answers a LEFT JOIN (SELECT trace_id, max(length) AS longest FROM runs GROUP BY trace_id) m
   ON m.trace_id = a.trace_id
-WHERE a.anomaly_type = 'retry_storm' AND NOT (coalesce(m.longest, 0) BETWEEN 3 AND 6)""")
+WHERE a.anomaly_type = 'retry_storm' AND NOT (coalesce(m.longest, 0) BETWEEN 4 AND 6)""")
 def dq_storm_length(spark, sf):
     r = FL.repeat_runs(_obs(spark, sf))
     return Q.dq_storm_length(r, B.answers(spark, sf)).select("trace_id", "longest")
@@ -1633,14 +1677,67 @@ def dq_line_counts(spark, sf):
     return Q.dq_line_counts(seqs, log_lines(spark, sf)).select("trace_id")
 
 
-@query("dq_manifest", W(LL) + "\nSELECT CAST(NULL AS VARCHAR) AS file WHERE false")
+@query("dq_manifest", W(LL, S.BROKEN) + """
+SELECT DISTINCT 'day=' || strftime(ts, '%Y%m%d') AS file FROM log_lines
+WHERE raw <> """ + BROKEN_SQL)
 def dq_manifest(spark, sf):
-    """Regenerate the day logs and compare checksums with the first write (the manifest)."""
-    def sums(name):
-        out = _write_day_logs(spark, sf, "raw", name)
+    """The manifest of the clean day logs against the files with planted faults."""
+    def sums(out):
         return FS.file_checksums(spark, f"{out}/*/*.txt").select(
             F.regexp_extract("file", r"(day=\d+)", 1).alias("file"), "sha256")
-    return Q.dq_manifest(sums("manifest-a"), sums("manifest-b")).select("file")
+    clean = _write_day_logs(spark, sf, "raw", "manifest")
+    return Q.dq_manifest(sums(_broken_logs(spark, sf)), sums(clean)).select("file")
+
+
+_DAY_TEXT = """
+day_text AS (SELECT strftime(ts, '%Y%m%d') AS day, string_agg(raw || chr(10), '' ORDER BY line_no) AS t FROM log_lines GROUP BY 1),
+blocks AS (
+  SELECT day, b AS block, sha256(substr(t, b * 4096 + 1, 4096)) AS sha256
+  FROM (SELECT day, t, unnest(range(0, (length(t) + 4095) // 4096)) AS b FROM day_text))"""
+
+
+def _day_blocks(spark, sf):
+    out = _write_day_logs(spark, sf, "raw", "logs-blocks")
+    blocks = DG.block_digests(spark, f"{out}/*/*.txt", block=4096)
+    return blocks.withColumn("file", F.regexp_extract("file", r"day=(\d+)", 1))
+
+
+@query("block_digests", W(LL, _DAY_TEXT) + "\nSELECT day, block, sha256 FROM blocks")
+def block_digests(spark, sf):
+    return _day_blocks(spark, sf).select(F.col("file").alias("day"), "block", "sha256")
+
+
+@query("tree_digest", W(LL, _DAY_TEXT) + """
+SELECT day, count(*) AS n_blocks, sha256(string_agg(sha256, '' ORDER BY block)) AS root FROM blocks GROUP BY day""")
+def tree_digest(spark, sf):
+    """Day files have fewer blocks than one level folds (deeper trees: tests)."""
+    blocks = cut_lineage(_day_blocks(spark, sf), "blocks")
+    return DG.tree_digest(blocks, fan=1 << 16).withColumnRenamed("file", "day")
+
+
+def _delta_store(spark, sf):
+    """A store built from all day files but the last two, then brought up to all of them."""
+    def build():
+        out, root = scratch_path(spark, "delta-logs"), scratch_path(spark, "delta-store")
+        rows = log_lines(spark, sf).select(_day().alias("day"), "line_no", F.col("raw").alias("value"))
+        last = [r[0] for r in rows.select("day").distinct().orderBy(F.desc("day")).limit(2).collect()]
+        WR.sink_day_logs(rows.where(~F.col("day").isin(last)), f"{out}/a")
+        DL.update(spark, root, f"{out}/*/*/*.txt")
+        WR.sink_day_logs(rows.where(F.col("day").isin(last)), f"{out}/b")
+        DL.update(spark, root, f"{out}/*/*/*.txt")
+        return root
+    return B.memo_value(spark, sf, "delta-store", build)
+
+
+@query("delta_lines", W(LL) + "\nSELECT trace_id, idx, template, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS ts FROM tl")
+def delta_lines(spark, sf):
+    rows = DL.lines(spark, _delta_store(spark, sf))
+    return rows.select("trace_id", "idx", "template", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"))
+
+
+@query("delta_dictionary", W(LL) + "\nSELECT template, count(*) AS count FROM tl GROUP BY template")
+def delta_dictionary(spark, sf):
+    return DL.dictionary(spark, _delta_store(spark, sf))
 
 
 # ---- 2.13 plug-in points ---------------------------------------------------------------------

@@ -7,11 +7,11 @@ computes them distributed.
 
 from __future__ import annotations
 
-from logweave.functions.text import KEYWORDS, keyed_mask_pattern
+from logweave.functions.text import KEYWORDS, V1_LINE_PATTERN, keyed_mask_pattern
 from logweave.operators.detect import DOC_KEYWORDS
 from logweave.operators.flows import COVER_FLOWS, EVENT_FLOWS, flow_variants, step_template
 from logweave.operators.splits import INCIDENTS, SEED, SELECTION, VAL_SHARE
-from logweave.sources.tables import ORDER_SPLIT_SQL, order_text_sql
+from logweave.sources.tables import BROKEN_SQL, ORDER_SPLIT_SQL, order_text_sql
 
 
 def q(s: str) -> str:
@@ -60,6 +60,17 @@ tl AS (
   FROM log_lines)"""
 
 
+BROKEN = f"""
+broken0 AS (
+  SELECT strftime(ts, '%Y%m%d') AS day, {BROKEN_SQL} AS value,
+    CAST(row_number() OVER (PARTITION BY strftime(ts, '%Y%m%d') ORDER BY line_no) AS BIGINT) AS line_no
+  FROM log_lines),
+broken AS (
+  SELECT *, CASE WHEN trim(value) = '' THEN 'blank' WHEN NOT regexp_matches(value, {q(V1_LINE_PATTERN)}) THEN 'shape'
+    WHEN try_cast(regexp_extract(value, '^(\\S+)', 1) AS TIMESTAMPTZ) IS NULL THEN 'timestamp' END AS reason
+  FROM broken0)"""
+
+
 def _flow_tables(flows=EVENT_FLOWS) -> str:
     first, match, nexp, what, names, opt = [], [], [], [], [], []
     seen_first = set()

@@ -3,7 +3,7 @@ metrics, prices, console results and file checksums."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions.text import content, parse_prod, parse_v1
@@ -68,18 +68,55 @@ def _scan(raw: DataFrame, parse, strict: bool) -> DataFrame:
     return df.withColumn("content", content(F.col("service"), F.col("level"), F.col("message")))
 
 
-def scan_log_v1(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+def scan_log_v1(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
     """``ts level service trace=id message`` lines. Strict mode fails on the first line that
     does not match, naming file and line; otherwise ``parsed`` routes rejects."""
     return _scan(_numbered(spark.read.text(path)), parse_v1, strict)
 
 
-def scan_log_prod(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+def scan_log_prod(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
     """Production-shaped lines with host and correlation id, read from many daily files;
     files are taken in name order."""
     return _scan(_numbered(spark.read.text(path)), parse_prod, strict)
 
 
+REJECT_REASONS = ["blank", "shape", "timestamp"]
+
+
+def reject_reason(value: Column, parsed: Column, ts_text: Column) -> Column:
+    """Why a line is no log line (one of ``REJECT_REASONS``), or null."""
+    return (F.when(F.trim(value) == "", "blank").when(~parsed, "shape")
+            .when(F.try_to_timestamp(ts_text).isNull(), "timestamp"))
+
+
+def reject_counts() -> list[Column]:
+    """Aggregates over ``reason``: all lines, good ones, and rejects by reason."""
+    return [F.count("*").alias("n_lines"), F.count_if(F.col("reason").isNull()).alias("n_good"),
+            *[F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in REJECT_REASONS]]
+
+
+def quarantine(lines: DataFrame, out: str, parse=parse_v1) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Part numbered lines ``(file, line_no, value)`` into good lines and rejects, in one pass.
+
+    Both are written to ``out``, partitioned by ``reason``; the counts are observed while writing,
+    so nothing is read twice. Returns the good lines (parsed fields and content), the rejects
+    ``(file, line_no, reason, value)`` and the counts."""
+    seen = Observation()
+    p = lines.select("file", "line_no", "value", parse(F.col("value")).alias("_p"))
+    p = p.withColumn("reason", reject_reason(F.col("value"), F.col("_p.parsed"), F.col("_p.ts_text")))
+    fields = [f.name for f in p.schema["_p"].dataType if f.name != "parsed"]
+    good = F.col("reason").isNull()
+    rows = p.observe(seen, *reject_counts()).select(
+        "file", "line_no", *[F.when(good, F.col(f"_p.{f}")).alias(f) for f in fields],
+        F.when(good, content(F.col("_p.service"), F.col("_p.level"), F.col("_p.message"))).alias("content"),
+        F.when(~good, F.col("value")).alias("value"), F.coalesce("reason", F.lit("none")).alias("reason"))
+    rows.write.mode("overwrite").partitionBy("reason").parquet(out)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    table = lines.sparkSession.read.schema(schema).parquet(out)
+    return (table.where(F.col("reason") == "none").drop("value", "reason"),
+            table.where(F.col("reason") != "none").select("file", "line_no", "reason", "value"), dict(seen.get))
+
+
 def scan_labels(spark: SparkSession, folder: str, split: str) -> DataFrame:
     path = f"{folder}/labels_{split}.csv"
     if not path_exists(spark, path):
@@ -152,8 +189,7 @@ def extract_embedded_json(console: DataFrame, prefix: str = "RESULT ",
 
 
 def file_checksums(spark: SparkSession, glob: str) -> DataFrame:
-    """SHA-256 per file (whole-file read; files are bounded, e.g. one log per day)."""
-    return (spark.read.format("binaryFile").load(glob)
-            .select(F.col("path").alias("file"), F.sha2(F.col("content"), 256).alias("sha256"),
-                    F.col("length")))
+    """SHA-256 per file, streamed (see ``digests``)."""
+    from logweave.sources.digests import file_digests
 
+    return file_digests(spark, glob)

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.functions.text import NO_CORR, content, mask_keys
+from logweave.functions.text import NO_CORR, content, template_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,19 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("host="), F.col("host")),
                     F.concat(F.lit("corrId="), F.col("corr_id")), "message").alias("raw_prod"),
         content(F.col("service"), F.col("level"), F.col("message")).alias("content"))
-    return df.withColumn("template", mask_keys(F.col("content")))
+    return df.withColumn("template", template_of(F.col("content")))
+
+
+#: Planted faults of the day logs, as SQL that Spark and DuckDB share: some lines are cut short, some are
+#: blank, some have an impossible date.
+BROKEN_SQL = ("CASE WHEN line_no % 97 = 3 THEN substr(raw, 1, 20) WHEN line_no % 101 = 5 THEN '' "
+              "WHEN line_no % 103 = 7 THEN '2024-13-45T00:00:00.000Z' || substr(raw, 25) ELSE raw END")
+
+
+def broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day logs with planted faults: day, line_no, value."""
+    return log_lines(spark, sf_dir).select(F.date_format("ts", "yyyyMMdd").alias("day"), "line_no",
+                                           F.expr(BROKEN_SQL).alias("value"))
 
 
 def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
