@@ -7,8 +7,8 @@ hash sets; the sorted common ends slice both lists into groups, and inside each
 the last B token, whose ranges end together, are linked.
 
 Neither tokenizer looks across a single space between two other characters, so a text's result is
-that of its *stretches* between such spaces, joined; a stretch is aligned once and memoised (a
-memo bounded by bytes, which changes only speed). Whether a tokenizer file has that property is
+that of its *stretches* between such spaces, joined; they are memoised (a memo bounded by bytes,
+which changes only speed), and new ones are encoded many at a time. Whether a tokenizer file has that property is
 tried when it is loaded; if not, texts are aligned whole.
 
 **Bounded tables.** Of two linked tokens one ends with the other's bytes, so the possible pairs
@@ -27,7 +27,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,15 +37,20 @@ from pyspark.sql.window import Window
 
 from logweave.llm.blocks import carrying, map_arrow
 
-MEMO_BYTES = 48 << 20  # texts and results a worker keeps, twice
+MEMO_BYTES = 40 << 20  # texts and results a worker keeps, twice
 KEEP_CHARS = 256  # longer stretches are not kept
-WORK_CHARS = 1 << 19  # stretches encoded together
+WORK_CHARS = 1 << 20  # texts aligned together
+JOINED_CHARS = 4096  # new stretches encoded as one text
 EMIT_BYTES = 8 << 20
 
 #: A space between two characters that are no white space: no token of either kind crosses it.
 _CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
-#: A space that is not such a cut.
-_UNCUT = re.compile(r"^ | $|[\s▁] | [\s▁]")
+#: White space (and the piece mark), which forbids a cut at the space beside it.
+_WHITE = frozenset(c for c in [*map(chr, range(0x3001)), "▁"] if c.isspace() or c == "▁")
+_UNCUT = [pair for c in sorted(_WHITE) for pair in (c + " ", " " + c)]
+
+#: A stretch that may not stand beside another one after a single space.
+_EDGES = re.compile(r"^[\s▁]|[\s▁]$")
 
 _PROBES = ["one two  three\n four\tfive ,6 don't 'tis 7 8.9 été 中文 x", "a b c the of and", "A's 'S ' s жз - -- 1 22 333"]
 
@@ -107,100 +111,130 @@ def pairs_of(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def align_ids(a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]) -> list[tuple[list[int], list[int]]]:
-    """Groups of two id lists over the same bytes: sliced at the ends that both have."""
-    at_a, at_b, end = {}, {}, 0
-    for i, token in enumerate(a):
-        end += len(bytes_a[token])
-        at_a[end] = i + 1
-    end = 0
-    for i, token in enumerate(b):
-        end += len(bytes_b[token])
-        at_b[end] = i + 1
-    groups, i, j = [], 0, 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        groups.append((a[i : at_a[end]], b[j : at_b[end]]))
-        i, j = at_a[end], at_b[end]
-    return groups
-
-
 class Aligner:
     """Both tokenizers, the list of possible pairs and the memo of a worker."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.bytes_a = tokens_a(path_a)
         self.b, self.bytes_b = tokens_b(path_b)
-        self.number = {pair: i for i, pair in enumerate(pairs_of(self.bytes_a, self.bytes_b))}
-        self.young: dict[str, tuple | None] = {}
-        self.old: dict[str, tuple | None] = {}
+        self.size_a, self.size_b = (np.array([len(t) for t in tokens], np.int64) for tokens in (self.bytes_a, self.bytes_b))
+        n_a, n_b = len(self.size_a), len(self.size_b)
+        # every id inside and at the end of its part of a group
+        self.shown = [f"{i}{end}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for end in ends for i in range(n)]
+        self.pairs = np.array([i * len(self.bytes_b) + j for i, j in pairs_of(self.bytes_a, self.bytes_b)], np.int64)
+        self.young: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
         self.held = 0
-        self.cuttable = all(self._whole(p) == self._joined(p) for p in _PROBES)
-
-    def _ids(self, stretches: list[str]) -> list[tuple[list[int], list[int]]]:
-        first = self.a.encode_batch_fast([" " + s for s in stretches], add_special_tokens=False)
-        second = self.b.encode(stretches, num_threads=1)
-        return [(x.ids, y) for x, y in zip(first, second, strict=True)]
+        self.cuttable = all(self._ids(p) == self._joined(p) for p in _PROBES)
 
-    def _whole(self, text: str) -> tuple[list[int], list[int]]:
-        return self._ids([text])[0]
+    def _ids(self, text: str) -> tuple[list[int], list[int]]:
+        return self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
 
     def _joined(self, text: str) -> tuple[list[int], list[int]]:
-        parts = self._ids(_CUT.split(text))
+        parts = [self._ids(s) for s in _CUT.split(text)]
         return [i for x, _ in parts for i in x], [i for _, y in parts for i in y]
 
-    def stretches(self, text: str) -> list[str]:
-        """The text cut where both tokenizers may be cut; every stretch stands after one space."""
+    def stretches(self, text: str) -> tuple[list[str], bool]:
+        """The text cut where both tokenizers may be cut (every stretch stands after one space), and
+        whether every stretch may stand beside any other one."""
         if not self.cuttable:
-            return [text]
-        return _CUT.split(text) if _UNCUT.search(text) else text.split(" ")
-
-    def _result(self, stretch: str, a: list[int], b: list[int]) -> tuple | None:
-        """(A ids, B ids, packed pair numbers, groups text), or None if the bytes differ."""
-        wanted = b" " + stretch.encode()
-        if b"".join(map(self.bytes_a.__getitem__, a)) != wanted or b"".join(map(self.bytes_b.__getitem__, b)) != wanted:
-            return None
-        groups = align_ids(a, b, self.bytes_a, self.bytes_b)
-        links = array("i", [self.number[x[-1], y[-1]] for x, y in groups]).tobytes()
-        shown = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
-        return len(a), len(b), links, shown
-
-    def results(self, wanted: set[str]) -> dict[str, tuple | None]:
-        """Results of stretches, from the memo or new."""
-        found, new = {}, []
-        for stretch in wanted:
-            value = self.young.get(stretch, 0)
-            if value == 0:
-                value = self.old.get(stretch, 0)
-                if value == 0:
-                    new.append(stretch)
-                    continue
-                self._keep(stretch, value)
-            found[stretch] = value
-        for stretch, (a, b) in zip(new, self._ids(new) if new else [], strict=True):
-            found[stretch] = self._result(stretch, a, b)
-            self._keep(stretch, found[stretch])
-        return found
-
-    def _keep(self, stretch: str, value: tuple | None) -> None:
-        if len(stretch) > KEEP_CHARS:
-            return
-        self.held += 350 + 2 * len(stretch) + (len(value[2]) + len(value[3]) if value else 0)
-        if self.held > MEMO_BYTES:
-            self.old, self.young, self.held = self.young, {}, 0
-        self.young[stretch] = value
+            return [text], False
+        if text[0] in _WHITE or text[-1] in _WHITE or any([pair in text for pair in _UNCUT]):
+            return _CUT.split(text), False
+        return text.split(" "), True
+
+    def _pieces(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> list[str]:
+        """The ids as text with the mark that follows each, group by group, A before B."""
+        n_a, n_b = len(self.size_a), len(self.size_b)
+        at_a, at_b = a.copy(), b + 2 * n_a
+        at_a[ends_a - 1] += n_a
+        at_b[ends_b - 1] += n_b
+        number = np.arange(len(ends_a))
+        group_a = np.repeat(number, np.diff(ends_a, prepend=0))
+        group_b = np.repeat(number, np.diff(ends_b, prepend=0))
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        return list(map(self.shown.__getitem__, np.concatenate([at_a, at_b])[order].tolist()))
+
+    def _aligned(self, stretches: list[str]) -> list[tuple]:
+        """(A ids, B ids, packed pair numbers, groups text) of each stretch, encoded as one text; zeros where the bytes differ."""
+        text = " ".join(stretches)
+        a, b = self._ids(text)
+        whole = b" " + text.encode()
+        if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
+            return [self._aligned([s])[0] for s in stretches] if len(stretches) > 1 else [(0, 0, b"", "")]
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        at_a = dict(zip(np.cumsum(self.size_a[ids_a]).tolist(), range(1, len(a) + 1), strict=True))
+        at_b = dict(zip(np.cumsum(self.size_b[ids_b]).tolist(), range(1, len(b) + 1), strict=True))
+        common = sorted(at_a.keys() & at_b.keys())
+        ends_a, ends_b = (np.array(list(map(at.__getitem__, common)), np.int64) for at in (at_a, at_b))
+        last = ids_a[ends_a - 1] * len(self.bytes_b) + ids_b[ends_b - 1]
+        links = np.searchsorted(self.pairs, last).astype("<i4").tobytes()
+        pieces = self._pieces(ids_a, ids_b, ends_a, ends_b)
+        if len(stretches) == 1:
+            return [(len(a), len(b), links, "".join(pieces)[:-1])]
+        sizes = list(map(len, stretches if text.isascii() else [s.encode() for s in stretches]))
+        cut = np.searchsorted(np.array(common), np.cumsum(np.array(sizes) + 1))  # the group that ends each stretch
+        x, y = ends_a[cut], ends_b[cut]
+        n_a, n_b = np.diff(x, prepend=0).tolist(), np.diff(y, prepend=0).tolist()
+        g, p = [0, *(cut + 1).tolist()], [0, *(x + y).tolist()]
+        return [(i, j, links[4 * g0 : 4 * g1], "".join(pieces[p0:p1])[:-1])
+                for i, j, g0, g1, p0, p1 in zip(n_a, n_b, g, g[1:], p, p[1:], strict=False)]
+
+    def _learn(self, beside: set[str], others: set[str]) -> list[str]:
+        """Put new stretches into the young memo, from the old one or encoded. Those that may stand ``beside``
+        each other are encoded together. Returns the ones too long to stay."""
+        passing, together, size = [], [], 0
+        for stretch in others:
+            if self.cuttable and stretch and not _EDGES.search(stretch):
+                beside.add(stretch)
+            else:
+                passing.append(stretch)
+        old, young = self.old.get, self.young
+        for stretch in beside:
+            value = old(stretch)
+            if value is not None:
+                young[stretch] = value
+                self.held += 400
+            elif len(stretch) > KEEP_CHARS:
+                passing.append(stretch)
+            else:
+                together.append(stretch)
+                size += len(stretch)
+                if size >= JOINED_CHARS:
+                    self._remember(together)
+                    together, size = [], 0
+        if together:
+            self._remember(together)
+        for stretch in passing:
+            young[stretch] = self._aligned([stretch])[0]
+        return passing
+
+    def _remember(self, stretches: list[str]) -> None:
+        values = self._aligned(stretches)
+        self.young.update(zip(stretches, values, strict=True))
+        self.held += 350 * len(stretches) + sum([len(v[2]) + len(v[3]) for v in values]) + 2 * sum(map(len, stretches))
 
     def align(self, texts: list[str]) -> list[tuple]:
         """(n_a, n_b, packed pair numbers, groups text) of each text."""
-        cut = [self.stretches(t) if t else [] for t in texts]
-        found = self.results({s for parts in cut for s in parts})
-        out = []
+        if self.held > MEMO_BYTES:
+            self.old, self.young, self.held = self.young, {}, 0
+        beside: set[str] = set()
+        others: set[str] = set()
+        cut = []
+        for text in texts:
+            parts, plain = self.stretches(text) if text else ([], True)
+            (beside if plain else others).update(parts)
+            cut.append(parts)
+        passing = self._learn(beside - self.young.keys(), others - self.young.keys())
+        out, value = [], self.young.__getitem__
         for parts in cut:
-            values = [found[s] for s in parts]
-            if not values or None in values:
+            n_a, n_b, links, shown = zip(*map(value, parts), strict=True) if parts else ((), (), (), ())
+            if 0 in n_a:  # the bytes of a stretch differ
                 out.append((0, 0, b"", ""))
             else:
-                n_a, n_b, links, shown = zip(*values, strict=True)
                 out.append((sum(n_a), sum(n_b), b"".join(links), ";".join(shown)))
+        for stretch in passing:
+            del self.young[stretch]
         return out
 
 
@@ -255,13 +289,11 @@ def link_counts(aligned: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                numbers = np.frombuffer(value.as_py() or b"", np.int32)
-                if len(numbers):
-                    seen = np.bincount(numbers)
-                    if len(seen) > len(total):
-                        total, seen = np.append(total, np.zeros(len(seen) - len(total), np.int64)), seen
-                    total[: len(seen)] += seen
+            numbers, _ = _packed(batch.column(0))
+            if len(numbers):
+                seen = np.bincount(numbers, minlength=len(total))
+                seen[: len(total)] += total
+                total = seen
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["pair", "n"])
 
@@ -272,6 +304,15 @@ def link_counts(aligned: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return sums.join(possible, "pair").withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("b")))
 
 
+def _packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of packed ones, and each row's number of them."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    numbers = np.frombuffer(data, "<i4", (offsets[-1] - offsets[0]) // 4, offsets[0]) if data is not None and offsets[-1] > offsets[0] else np.zeros(0, "<i4")
+    return numbers, np.diff(offsets) // 4
+
+
 def score_links(aligned: DataFrame, counts: DataFrame) -> DataFrame:
     """Replace ``links`` by n_best (links of their B id's most frequent pairs) and count_sum."""
     found = counts.select("pair", "n", "best").toPandas()  # at most as many rows as the vocabularies allow pairs
@@ -284,8 +325,12 @@ def score_links(aligned: DataFrame, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [np.frombuffer(v.as_py() or b"", np.int32) for v in batch.column(at)]
-            columns = [pa.array([int(values[p].sum()) for p in packed], pa.int64()) for values in (best, n)]
+            numbers, sizes = _packed(batch.column(at))
+            ends = np.cumsum(sizes)
+            columns = []
+            for values in (best, n):
+                total = np.concatenate([[0], np.cumsum(values[numbers])])
+                columns.append(pa.array(total[ends] - total[ends - sizes], pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *columns], names=[*names, "n_best", "count_sum"])
 
     return map_arrow(aligned, run, schema)

@@ -195,11 +195,12 @@ def test_alignment_equals_whole_text_definition(spark, monkeypatch, memo):
 def test_stretches_are_cut_or_whole():
     worker = align_tokens.aligner(*FILES)
     assert worker.cuttable
-    assert worker.stretches("a b  c\n d") == ["a", "b  c\n d"]
-    assert worker.stretches("a b c") == ["a", "b", "c"]
+    assert worker.stretches("a b  c\n d") == (["a", "b  c\n d"], False)
+    assert worker.stretches("a b c") == (["a", "b", "c"], True)
+    assert worker.stretches("\na b")[1] is False
     worker.cuttable = False
     try:
-        assert worker.stretches("a b c") == ["a b c"]
+        assert worker.stretches("a b c") == (["a b c"], False)
         assert worker.align(["the cat"])[0][:2] == (2, 2)
     finally:
         worker.cuttable = True
