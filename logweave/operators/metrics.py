@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions.text import round_half_up, null_format, safe_ratio
-from logweave.operators.ranking import quantile_chunk, running_total
+from logweave.operators.ranking import dealt, running_total
+from logweave.session import cut_lineage
 
 LOCALISATION_TOLERANCE = 1
 HIST_BINS = 40
@@ -107,7 +108,7 @@ def auroc(det: DataFrame, score: str = "score", label: str = "label",
     d = det.groupBy(*by, score).agg(
         F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) == 0).alias("n_neg"),
         F.count("*").alias("n_all"))
-    chunk = F.coalesce(quantile_chunk(d.where(F.col(score).isNotNull()), score), F.lit(-1))
+    d, chunk = dealt(cut_lineage(d, "scores"), by, [F.col(score)])
     d = running_total(d, by, [F.col(score)], chunk,
                       {"neg_below": F.when(F.col(score).isNotNull(), F.col("n_neg")).otherwise(0)},
                       inclusive=False)
@@ -126,14 +127,14 @@ def exact_percentile(df: DataFrame, value: str, pct: float) -> float | None:
     """p-th percentile with linear interpolation (numpy's default), computed distributed:
     distinct values, chunked cumulative counts, then only the (at most two) rows around
     the interpolation position come back to the driver."""
-    vals = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("cnt"))
+    vals = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("cnt")), "values")
     n = vals.agg(F.sum("cnt")).first()[0]
     if not n:
         return None
     h = (n - 1) * pct / 100.0
     lo, hi = int(h // 1), int(-(-h // 1))
-    cum = running_total(vals, [], [F.col(value)], quantile_chunk(vals, value),
-                        {"cum": F.col("cnt")})
+    vals, chunk = dealt(vals, [], [F.col(value)])
+    cum = running_total(vals, [], [F.col(value)], chunk, {"cum": F.col("cnt")})
     start = F.col("cum") - F.col("cnt")
     rows = cum.where((start <= F.lit(hi)) & (F.col("cum") > F.lit(lo))).select(
         F.col(value).alias("_v"), start.alias("_start"), F.col("cum").alias("_cum")).collect()

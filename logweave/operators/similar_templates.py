@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.operators.components import connected_components
-from logweave.operators.ranking import rank_within
+from logweave.operators.ranking import rank_ordered
 from logweave.operators.templates import split_rank
 from logweave.session import cut_lineage
 
@@ -172,8 +172,7 @@ def dictionary_over_splits(lines: DataFrame, assigned: DataFrame, split: str = "
     first = F.min(F.struct(split_rank(split).alias("split"), F.col("ts").alias("ts"), F.col("line_no").alias("line_no")))
     found = placed.groupBy("template").agg(
         first.alias("first"), F.count("*").alias("count"), F.count_if(F.col(split) == "train").alias("train_count"))
-    chunk = F.struct(F.col("first.split").alias("split"), F.date_trunc("hour", F.col("first.ts")).alias("hour"))
-    ranked = rank_within(found, [], [F.col("first"), F.col("template")], chunk, out="id")
+    ranked = rank_ordered(cut_lineage(found, "dictionary"), [], [F.col("first"), F.col("template")], out="id")
     return ranked.select(F.col("id").cast("long").alias("id"), F.col("template").alias("text"), "count", "train_count",
                          (F.col("train_count") > 0).alias("seen_in_train"))
 

@@ -11,10 +11,11 @@ dictionary at runtime and broadcasts it only when it is under the broadcast thre
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.operators.ranking import rank_within
+from logweave.operators.ranking import rank_ordered
+from logweave.session import cut_lineage
 
 SPLIT_ORDER = ["train", "val", "dev", "fewshot", "test"]
 
@@ -40,21 +41,29 @@ def template_dictionary(lines: DataFrame, split_col: str | None = "split",
     those first seen in later splits, in split order, there trace by trace (traces in order of
     their first line) and line by line; plus total count, train count and the seen flag.
 
-    Ranked in chunks of an hour of log time per split, so a dictionary that grows with the
-    data (values that no key masks) is spread over tasks.
+    One aggregate over the lines gives counts and the train order. Only templates that train lacks
+    need the start of a trace, so only their lines and traces are looked up.
     """
     sr = split_rank(split_col) if split_col else F.lit(0)
     is_train = (F.col(split_col) == "train") if split_col else F.lit(True)
-    here = F.struct(F.col("ts"), F.col("line_no"))
-    began = lines.groupBy(key).agg(F.min(here).alias("_began"))
-    placed = lines.join(began, key).withColumn("_sr", sr)
-    group = F.when(F.col("_sr") == 0, here).otherwise(F.col("_began"))
-    d = placed.groupBy(template).agg(
-        F.min(F.struct(F.col("_sr").alias("sr"), group.alias("group"), here.alias("here"))).alias("first"),
-        F.count("*").alias("count"),
-        F.count_if(is_train).alias("train_count"))
-    chunk = F.struct(F.col("first.sr").alias("sr"), F.date_trunc("hour", F.col("first.group.ts")).alias("hour"))
-    d = rank_within(d, [], [F.col("first")], chunk, out="id")
+    here = F.struct(F.col("ts").alias("ts"), F.col("line_no").alias("line_no"))
+
+    def first(rank: Column, group: Column, line: Column) -> Column:
+        return F.struct(rank.cast("int").alias("sr"), group.alias("group"), line.alias("here"))
+
+    counted = cut_lineage(lines.groupBy(template).agg(
+        F.min(F.when(is_train, here)).alias("_train"), F.count("*").alias("count"),
+        F.count_if(is_train).alias("train_count")), "templates")
+    in_train = F.col("_train").isNotNull()
+    counts = [template, "count", "train_count"]
+    d = counted.where(in_train).select(*counts, first(F.lit(0), F.col("_train"), F.col("_train")).alias("first"))
+    late = counted.where(~in_train)
+    if not late.isEmpty():
+        their = lines.join(late.select(template), template)
+        began = lines.join(their.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.min(here).alias("_began"))
+        place = their.join(began, key).groupBy(template).agg(F.min(first(sr, F.col("_began"), here)).alias("first"))
+        d = d.unionByName(late.select(*counts).join(place, template))
+    d = rank_ordered(d, [], [F.col("first")], out="id")
     return d.select(
         F.col("id").cast("long").alias("id"), F.col(template).alias("text"), "count", "train_count",
         (F.col("train_count") > 0).alias("seen_in_train"))
@@ -77,6 +86,6 @@ def unseen_template_traces(lines_with_ids: DataFrame, key: str | tuple[str, ...]
 
 
 def template_csv_rows(dictionary: DataFrame) -> DataFrame:
-    """``T%03d, count, template`` rows of the template list file."""
-    return dictionary.select(F.format_string("T%03d", F.col("id")).alias("template_id"),
+    """``T%03d, count, template`` rows of the template list file, and the id to order them by."""
+    return dictionary.select("id", F.format_string("T%03d", F.col("id")).alias("template_id"),
                              "count", F.col("text").alias("template"))

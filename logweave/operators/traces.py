@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions import text as T
-from logweave.operators.ranking import rank_within, running_total
+from logweave.operators.ranking import rank_ordered, rank_within, running_total
 
 INDEX_CHUNK = 4096
 
@@ -20,11 +20,10 @@ def line_index(lines: DataFrame, key: str = "trace_id", ts: str = "ts",
                line_no: str = "line_no") -> DataFrame:
     """Add ``idx``: 0-based position of a line in its trace, ordered by (ts, line_no).
 
-    Ranked in chunks of one second of log time (``date_trunc``, zone-free on TIMESTAMP_NTZ),
-    so a trace with billions of lines is spread over many tasks.
+    A trace of more than ``CHUNK_ROWS`` lines is dealt by sampled split points of its order,
+    so billions of lines within one second are spread over many tasks.
     """
-    chunk = F.date_trunc("second", F.col(ts))
-    out = rank_within(lines, [key], [F.col(ts), F.col(line_no)], chunk, out="idx")
+    out = rank_ordered(lines, [key], [F.col(ts), F.col(line_no)], out="idx")
     return out.withColumn("idx", F.col("idx") - 1)
 
 

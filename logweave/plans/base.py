@@ -113,22 +113,30 @@ def conv_text(spark: SparkSession, sf: str) -> DataFrame:
 def conv_tokens(text: DataFrame, width: int = 4) -> DataFrame:
     """Fixed-width character tokens of each trace's text with a loss derived from the token text
     (a deterministic stand-in for a model's per-token loss). ``text``: rows of the text with
-    their ``offset``. Each row is cut at the token borders of the whole text in one regex pass;
-    the few pieces of a token that spans rows are put together by token."""
+    their ``offset``. Tokens inside a row are cut in one regex pass and never shuffled; only the
+    pieces of tokens that span rows are put together by token."""
     last = F.col("line") == T.TRACE_END
     row = F.when(last, F.col("line")).otherwise(F.concat("line", F.lit("\n")))
     head = F.pmod(-F.col("offset"), F.lit(width)).cast("int")  # characters up to the next border
     cut = text.select("trace_id", "offset", row.alias("_row"), head.alias("_head"))
-    first = F.substr("_row", F.lit(1), F.col("_head"))
-    rest = F.regexp_extract_all(F.substr("_row", F.col("_head") + 1, F.length("_row")), F.lit(f"(?s).{{1,{width}}}"), 0)
-    pieces = F.when(F.col("_head") > 0, F.concat(F.array(first), rest)).otherwise(rest)
-    p = cut.select("trace_id", "offset", F.posexplode(pieces).alias("_i", "piece"))
-    tok = F.floor(F.col("offset") / width) + F.col("_i")
-    g = p.where(F.length("piece") > 0).groupBy("trace_id", tok.alias("tok")).agg(
-        F.array_sort(F.collect_list(F.struct("offset", "piece"))).alias("_p"))  # at most ``width`` pieces
+    cut = cut.withColumn("_tail", F.greatest(F.pmod(F.length("_row") - F.col("_head"), F.lit(width)), F.lit(0)))
+    # tokens inside a row need no other row
+    middle = F.substr("_row", F.col("_head") + 1, F.greatest(F.length("_row") - F.col("_head") - F.col("_tail"), F.lit(0)))
+    inside = cut.select("trace_id", (F.col("offset") + F.col("_head")).alias("_at"),
+                        F.posexplode(F.regexp_extract_all(middle, F.lit(f"(?s).{{{width}}}"), 0)).alias("_i", "span"))
+    inside = inside.select("trace_id", (F.floor(F.col("_at") / width) + F.col("_i")).alias("tok"), "span")
+    # pieces before a row's first border and after its last one: put together by token
+    begin = F.struct(F.col("offset").alias("at"), F.substr("_row", F.lit(1), F.col("_head")).alias("piece"))
+    at_tail = F.length("_row") - F.col("_tail")
+    end = F.struct((F.col("offset") + at_tail).alias("at"), F.substr("_row", at_tail + 1, F.col("_tail")).alias("piece"))
+    short = F.length("_row") <= F.col("_head")
+    pieces = F.when(short, F.array(begin)).otherwise(F.array(begin, end))
+    p = cut.select("trace_id", F.inline(pieces)).where(F.length("piece") > 0)
+    g = p.groupBy("trace_id", F.floor(F.col("at") / width).alias("tok")).agg(
+        F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("_p"))  # at most ``width`` pieces
     span = F.array_join(F.transform("_p", lambda x: x["piece"]), "")
     s = F.col("tok") * width
-    t = g.select("trace_id", "tok", span.alias("span"))
+    t = inside.unionByName(g.select("trace_id", "tok", span.alias("span")))
     nll = F.pmod(F.ascii("span"), F.lit(13)) / 4.0 + 0.25 * F.length("span")
     return t.select("trace_id", F.col("tok").cast("int").alias("tok"), s.cast("long").alias("s"),
                     (s + F.length("span")).cast("long").alias("e"), "span", nll.cast("double").alias("nll"))

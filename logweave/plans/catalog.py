@@ -866,7 +866,7 @@ lloss AS (SELECT trace_id, line, avg(nll) AS line_loss, count(*) AS n FROM tline
 
 def _conv(spark, sf):
     """Offsets of the conversations' text rows, and its tokens."""
-    text = TR.line_offsets(B.conv_text(spark, sf))
+    text = B.memo_table(spark, sf, "conv-text", lambda: TR.line_offsets(B.conv_text(spark, sf)))
     return text, B.conv_tokens(text)
 
 

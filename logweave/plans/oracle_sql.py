@@ -138,8 +138,9 @@ oagg AS (
     arg_max(pos, k) AS last_pos
   FROM obs GROUP BY trace_id),
 ostep AS (
-  SELECT trace_id, pos, count(*) AS n, string_agg(CAST(idx AS VARCHAR), ', ' ORDER BY idx) AS lines
-  FROM obs GROUP BY trace_id, pos),
+  SELECT trace_id, pos, count(*) AS n, string_agg(CAST(idx AS VARCHAR), ', ' ORDER BY idx) FILTER (WHERE turn <= 1000)
+    || CASE WHEN count(*) > 1000 THEN ', and ' || CAST(count(*) - 1000 AS VARCHAR) || ' more' ELSE '' END AS lines
+  FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, pos ORDER BY idx, sub) AS turn FROM obs) GROUP BY trace_id, pos),
 t0 AS (
   SELECT h.trace_id, h.flow, h.n_lines, h.err_line, h.err_service, h.n_exp,
     coalesce(o.n_obs, 0) AS n_obs, coalesce(o.n_distinct, 0) AS n_distinct,

@@ -77,11 +77,12 @@ def sink_scores(det: DataFrame, path: str) -> None:
 def sink_split_logs(lines: DataFrame, path: str, n_files: int | None = None) -> None:
     """One raw log per split as ordered part files: lines grouped by trace (trace order =
     ``order_key``), in line order inside a trace. Range partitioning splits a large split over
-    many tasks; part files in name order concatenate to the split's log.
+    many tasks, and Spark chooses their number by size unless ``n_files`` is given; part files in name
+    order concatenate to the split's log.
     ``lines``: split, order_key, trace_id, idx, raw."""
-    n = n_files or lines.sparkSession.sparkContext.defaultParallelism
     keys = ["split", "order_key", "trace_id", "idx"]
-    (lines.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    dealt = lines.repartitionByRange(n_files, *keys) if n_files else lines.repartitionByRange(*keys)
+    (dealt.sortWithinPartitions(*keys)
      .select("split", F.col("raw").alias("value"))
      .write.mode("overwrite").partitionBy("split").text(path))
 
@@ -98,7 +99,8 @@ def sink_labels(labels: DataFrame, path: str) -> None:
 
 
 def sink_template_csv(rows: DataFrame, path: str) -> None:
-    rows.orderBy("template_id").write.mode("overwrite").option("header", True).csv(path)
+    """Rows with ``id``, by which the file is ordered (as text T1000 would stand before T101)."""
+    rows.orderBy("id").drop("id").write.mode("overwrite").option("header", True).csv(path)
 
 
 def sink_answers(answers: DataFrame, path: str) -> None:

@@ -20,14 +20,18 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.sources.files import _hadoop_fs
+
 BUFFER = 1 << 20
 BLOCK = 64 << 20
 FAN = 1024
 
 
 def list_files(spark: SparkSession, glob: str) -> DataFrame:
-    """``(file, length)`` of every file; contents are not read."""
-    return spark.read.format("binaryFile").load(glob).select(F.col("path").alias("file"), "length")
+    """``(file, length)`` of every file of a glob, empty ones too (which Spark's readers pass over)."""
+    system, path = _hadoop_fs(spark, glob)
+    rows = [(s.getPath().toString(), s.getLen()) for s in system.globStatus(path) or [] if s.isFile()]
+    return spark.createDataFrame(rows, "file string, length long")
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from logweave.operators.ranking import hash_rank, quantile_chunk, rank_within, running_total
+from logweave.operators.ranking import CHUNK_ROWS, dealt, hash_rank, rank_ordered, rank_within, running_total
+from logweave.operators.traces import line_index
 
 
 def test_rank_within_equals_row_number_with_hot_key(spark):
@@ -35,9 +37,31 @@ def test_hash_rank_is_global_order(spark):
     assert got == sorted(got) and len(got) == 2000
 
 
-def test_quantile_chunk_is_monotone(spark):
-    df = spark.range(5000).select((F.col("id") % 997).cast("double").alias("x"))
-    c = quantile_chunk(df, "x", n_chunks=50)
-    rows = df.select("x", c.alias("c")).distinct().orderBy("x").collect()
-    cs = [r.c for r in rows]
-    assert cs == sorted(cs) and cs[-1] > cs[0]
+@pytest.mark.parametrize("rows", [100, 1_000_000])
+def test_rank_ordered_equals_row_number(spark, rows):
+    rng = random.Random(2)
+    data = [("hot", rng.randrange(5), i) for i in range(3000)] + [(f"k{rng.randrange(40)}", rng.randrange(5), 3000 + i) for i in range(400)]
+    df = spark.createDataFrame(data, "k string, v int, n long").repartition(5)
+    for keys in (["k"], []):
+        got = rank_ordered(df, keys, [F.col("v"), F.col("n")], "r", rows)
+        want = df.withColumn("r", F.row_number().over((W.partitionBy(*keys) if keys else W).orderBy("v", "n")).cast("long"))
+        assert got.columns == ["k", "v", "n", "r"]
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_one_trace_in_one_second_is_spread_over_tasks(spark):
+    """200,000 lines of one trace and second: chunks of about 65,536 rows, and no literal of the data in the plan."""
+    lines = spark.range(200_000).select(F.lit("hot").alias("trace_id"), F.lit("2024-01-01").cast("timestamp").alias("ts"), F.col("id").alias("line_no"))
+    placed, chunk = dealt(lines, ["trace_id"], [F.col("ts"), F.col("line_no")])
+    sizes = [r["count"] for r in placed.groupBy(chunk.alias("c")).count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < 2 * CHUNK_ROWS and sum(sizes) == 200_000
+    indexed = line_index(lines)
+    plan = indexed._jdf.queryExecution().executedPlan().toString()
+    assert "_chunk" in next(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+    assert indexed.where(F.col("idx") != F.col("line_no")).count() == 0
+
+
+def test_nothing_to_rank(spark):
+    none = spark.createDataFrame([], "k string, v int")
+    assert rank_ordered(none, ["k"], [F.col("v")]).collect() == []
+    assert rank_ordered(none, [], [F.col("v")]).collect() == []
