@@ -13,8 +13,10 @@ and streamed past its arrays, so a task holds one shard and one batch, whatever
 queries; each shard returns its k best and Spark merges them. Equal vectors need no care:
 they stand side by side on every line.
 
-Defined results: vectors that are null, zero, of a rare dimension, or hold null or non-finite
-components take no part; a query row is never its own neighbour (nor are rows of the same id); rows that repeat an
+Vectors of each length have shards of their own and are searched among themselves.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part; of
+several vectors of one query id the smallest asks; a query row is never its own neighbour (nor are rows of the same id); rows that repeat an
 id count once, with their smallest distance; equal distances go to the smaller id; fewer than
 k candidates give fewer rows; an empty table gives an empty result. Extra columns do not matter.
 """
@@ -103,35 +105,38 @@ class Shard:
 
 def nearest(embeddings: DataFrame, is_query: Column, k: int = 10, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k nearest found (columns vec_id, embedding)."""
-    good = embeddings.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    sizes = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dimension, rows = (sizes[0]["d"], sizes[0]["count"]) if sizes else (0, 0)
-    good = good.where(F.size("embedding") == dimension)
-    shards = max(1, -(-rows // shard_rows))
-    data = good.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("part"), "vec_id", "embedding")
-    asked = good.where(is_query).dropDuplicates(["vec_id"])
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("part"), "vec_id", "embedding")
-    both = data.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "part", "vec_id")
+    good = embeddings.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    good = good.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dims"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    per_length = good.groupBy("dims").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
+    shards = max(1, per_length.agg(F.sum("shards")).first()[0] or 0)
+    good = good.join(per_length, "dims")
+    data = good.select("dims", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int").alias("shard"), F.lit(0).alias("part"), "vec_id", "embedding")
+    # of several vectors of one id the smallest asks
+    asked = good.where("asks").groupBy("vec_id").agg(F.min(F.struct("embedding", "dims", "shards")).alias("q"))
+    asked = asked.select("q.dims", F.explode(F.sequence(F.lit(0), F.col("q.shards") - 1)).alias("shard"), F.lit(1).alias("part"), "vec_id", "q.embedding")
+    both = data.unionByName(asked).repartition(shards, "dims", "shard").sortWithinPartitions("dims", "shard", "part", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, gathered, shard = None, [], None
         for batch in batches:
-            number, part = batch.column("shard").to_numpy(), batch.column("part").to_numpy()
-            ids = batch.column("vec_id").to_numpy()
-            vectors = batch.column("embedding").flatten().to_numpy().reshape(len(ids), dimension)
-            cuts = np.flatnonzero((np.diff(number) != 0) | (np.diff(part) != 0)) + 1
+            dims, number, part, all_ids = (batch.column(c).to_numpy() for c in ("dims", "shard", "part", "vec_id"))
+            edges = np.flatnonzero((np.diff(dims) != 0) | (np.diff(number) != 0) | (np.diff(part) != 0)) + 1
             out = []
-            for at in np.split(np.arange(len(ids)), cuts):
-                if number[at[0]] != current:
-                    current, gathered, shard = number[at[0]], [], None
-                if part[at[0]] == 0:
-                    gathered.append((ids[at], vectors[at]))
+            for first, last in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if first == last:
+                    continue
+                if (dims[first], number[first]) != current:
+                    current, gathered, shard = (dims[first], number[first]), [], None
+                ids = all_ids[first:last]
+                vectors = batch.column("embedding").slice(first, last - first).flatten().to_numpy().reshape(-1, dims[first])
+                if part[first] == 0:
+                    gathered.append((ids, vectors))
                     continue
                 if shard is None and gathered:
                     shard = Shard(np.concatenate([g for g, _ in gathered]), np.concatenate([v for _, v in gathered]))
                     gathered = []
                 if shard is not None:
-                    out += [(int(ids[i]), *shard.search(int(ids[i]), vectors[i], k)) for i in at]
+                    out += [(int(i), *shard.search(int(i), v, k)) for i, v in zip(ids, vectors, strict=True)]
             if out:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.repeat([q for q, _, _ in out], [len(f) for _, f, _ in out]).astype(np.int64)),
