@@ -31,11 +31,11 @@ ORDER = 3
 SEED = 20_240
 #: Cosines of texts without a common n-gram have a standard deviation of 1 / sqrt(DIMENSIONS).
 NOISE = 4 / DIMENSIONS**0.5
-SHORT_LETTERS = 64
 RARE_LETTER = 0.0001
 UNKNOWN = "und"
 GROUP_CHARS = 200_000
 SLICE = 1_000_000
+GRAMS_AT_ONCE = 4096  # n-gram vectors held together
 
 _letters: dict[int, np.ndarray] = {}
 _alpha: list[np.ndarray] = []
@@ -94,6 +94,16 @@ def gram_keys(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return (keys, counts) if any_letter else (keys[:0], counts[:0])
 
 
+def bundle_grams(counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The bundle of each row's n-grams: ``counts`` (rows x keys) times the keys' vectors, which are made
+    ``GRAMS_AT_ONCE`` at a time, so a text of any variety costs bounded memory."""
+    total = np.zeros((len(counts), DIMENSIONS), np.float64)
+    for start in range(0, len(keys), GRAMS_AT_ONCE):
+        part = slice(start, start + GRAMS_AT_ONCE)
+        total += counts[:, part] @ gram_vectors(keys[part]).astype(np.float32)
+    return total
+
+
 def _groups(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about ``GROUP_CHARS``: first row, rows, distinct keys, counts (rows x keys)."""
     first, size, parts = 0, 0, []
@@ -120,10 +130,10 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
             for first, n, keys, counts in _groups(batch, "text"):
                 if not len(keys):
                     continue
-                vectors = gram_vectors(keys).astype(np.float32)
                 own = langs[first : first + n]
-                for lang in set(own):
-                    total = (counts[own == lang].sum(0, dtype=np.float64).astype(np.float32) @ vectors).astype(np.float64)
+                here = sorted(set(own))
+                per_lang = np.stack([counts[own == lang].sum(0, dtype=np.float64) for lang in here]).astype(np.float32)
+                for lang, total in zip(here, bundle_grams(per_lang, keys), strict=True):
                     sums[lang] = sums.get(lang, 0) + total
         if sums:
             values = pa.array(np.concatenate(list(sums.values())))
@@ -150,7 +160,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str
             for first, n, keys, counts in _groups(batch, "text"):
                 names, scores = [UNKNOWN] * n, np.zeros(n)
                 if len(keys) and langs:
-                    vectors = counts @ gram_vectors(keys).astype(np.float32)
+                    vectors = bundle_grams(counts, keys).astype(np.float32)
                     norms = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
                     cosine = np.round((vectors @ unit.T).astype(np.float64) / norms[:, None], 6)
                     best = cosine.argmax(1)
@@ -191,17 +201,18 @@ def alphabets(docs: DataFrame) -> str:
 
 
 def filter_known(docs: DataFrame, prototypes: dict[str, np.ndarray], min_score: float = NOISE, letters: str = "") -> DataFrame:
-    """The documents with a letter and a best cosine of ``min_score`` at least, with their own columns.
+    """The documents with a letter that are like a learned language, with their own columns.
 
-    A text of fewer than ``SHORT_LETTERS`` letters has too few n-grams to rise above the noise for
-    sure; it also stays if at least half of its letters are among ``letters``.
+    A document stays if its best cosine is ``min_score`` at least, or if at least half of its letters are
+    among ``letters``: a text of few n-grams may share none with the prototype of its own language. One
+    rule for texts of every length.
     """
     rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), "text")
     told = identify(rows, prototypes, keep=("row",))
     own = F.regexp_replace(F.lower("row.text"), r"[^\p{L}]", "")
     strange = F.length(F.translate(own, letters, "")) if letters else F.length(own)
-    short = (F.length(own) > 0) & (F.length(own) < SHORT_LETTERS) & (2 * strange <= F.length(own))
-    return told.where((F.col("lang_pred") != UNKNOWN) & F.when(F.col("score") >= min_score, True).otherwise(short)).select("row.*")
+    familiar = (F.length(own) > 0) & (2 * strange <= F.length(own))
+    return told.where((F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= min_score) | familiar)).select("row.*")
 
 
 def held_out(doc_id: Column) -> Column:
