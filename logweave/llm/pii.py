@@ -17,6 +17,7 @@ are searched whole, in linear time.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,20 +99,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     """Base spans (True) and the wider proposals outside them (False)."""
     base = base_spans(text)
-    taken = sorted((s, e) for _, s, e in base)
     out = [(k, s, e, True) for k, s, e in base]
-
-    def free(s: int, e: int) -> bool:
-        i = int(np.searchsorted([b for _, b in taken], s, side="right")) if taken else 0
-        return i >= len(taken) or taken[i][0] >= e
-
     wide = [("email", m) for m in _SPELLED.finditer(text)] if " at " in text or "@" in text or "(at" in text or "[at" in text or "( at" in text or "[ at" in text else []
     wide += [("phone", m) for m in _NATIONAL.finditer(text)]
     wide += [("card", m) for m in _CARD.finditer(text) if m.end() - m.start() <= 40 and 13 <= len(_digits(m[0])) <= 19]
+    begins: list[int] = []  # base spans, overlapping ones as one
+    ends: list[int] = []
+    for _, start, end in sorted(base, key=lambda b: b[1]):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            begins.append(start)
+            ends.append(end)
+    reach = 0  # the end of the last accepted proposal
     for kind, m in sorted(wide, key=lambda x: (x[1].start(), KINDS.index(x[0]))):
-        if free(m.start(), m.end()):
-            out.append((kind, m.start(), m.end(), False))
-            taken = sorted([*taken, (m.start(), m.end())])
+        start, end = m.span()
+        at = bisect_right(ends, start)
+        if start >= reach and (at == len(ends) or begins[at] >= end):
+            out.append((kind, start, end, False))
+            reach = end
     return out
 
 
