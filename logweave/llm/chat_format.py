@@ -103,8 +103,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
             ids = rows.column("conv_id")
             new = pc.not_equal(ids.slice(1).fill_null(-(2**62)), ids.slice(0, len(ids) - 1).fill_null(-(2**62))).to_numpy(zero_copy_only=False)
             bounds = [0, *(np.flatnonzero(new) + 1).tolist()]
-            sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(rows.column("text")), 0).to_numpy(zero_copy_only=False))])
-            # whole conversations, and parts of PART_BYTES of one that is larger
+            written = [pc.fill_null(pc.binary_length(rows.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("role", "text")]
+            sizes = np.concatenate([[0], np.cumsum(sum(written) + len(MARK + SEPARATOR + END))])
+            # whole conversations, and parts of PART_BYTES (roles and marks count) of one that is larger
             cuts = [0]
             for a, b in zip(bounds, [*bounds[1:], len(ids)], strict=True):
                 at = a
@@ -126,9 +127,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
 _TURN = re.compile(r"### ((?:[^\\:]|\\.)*): (.*?) </turn>\n", re.DOTALL)
 
 
-def read_turns(text: str) -> list[tuple[str, str]]:
+def read_turns(text: str) -> Iterator[tuple[str, str]]:
     """(role, text) of every turn of a formatted part."""
-    return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(text)]
+    return ((unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(text))
 
 
 def read_back(parts: DataFrame) -> DataFrame:
@@ -152,20 +153,21 @@ def read_back(parts: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for row in batch.select(["conv_id", "text", "loss"]).to_pylist():
-                if state is None or row["conv_id"] != current:
+            for conv_id, part, loss in zip(*(batch.column(c) for c in ("conv_id", "text", "loss")), strict=True):
+                if state is None or conv_id.as_py() != current:
                     close()
-                    current, state = row["conv_id"], [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                turns = read_turns(row["text"])
-                state[0] += len(turns)
-                for role, text in turns:
+                    current, state = conv_id.as_py(), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                whole = part.as_py()  # one part at a time is an object, and one turn of it
+                for role, text in read_turns(whole):
+                    state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())
-                raw = row["text"].encode()
-                for span in row["loss"]:
-                    trained = unescape(raw[span["start"] : span["end"]].decode())
+                raw = whole.encode()
+                starts, ends = (pc.struct_field(loss.values, i).to_pylist() for i in range(2))
+                for start, end in zip(starts, ends, strict=True):
+                    trained = unescape(raw[start:end].decode())
                     state[2] += len(trained)
                     state[3].update(trained.encode())
-                state[4] += len(row["text"])
+                state[4] += len(whole)
             if len(done) >= 10_000:
                 yield flush()
         close()
