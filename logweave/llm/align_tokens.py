@@ -37,11 +37,11 @@ from pyspark.sql.window import Window
 
 from logweave.llm.blocks import carrying, map_arrow
 
-MEMO_BYTES = 40 << 20  # texts and results a worker keeps, twice
+MEMO_BYTES = 28 << 20  # texts and results a worker keeps, twice
 KEEP_CHARS = 256  # longer stretches are not kept
 WORK_CHARS = 1 << 20  # texts aligned together
 JOINED_CHARS = 4096  # new stretches encoded as one text
-EMIT_BYTES = 8 << 20
+EMIT_BYTES = 4 << 20
 
 #: A space between two characters that are no white space: no token of either kind crosses it.
 _CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")

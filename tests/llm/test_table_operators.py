@@ -54,6 +54,29 @@ def test_neighbours_recall_and_edges(spark):
     assert all(a <= b for near in got.values() for a, b in zip(near, near[1:], strict=False))
 
 
+def test_neighbours_of_every_length_and_of_repeated_ids(spark):
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.normal(size=d).tolist()) for d, start in ((4, 0), (2, 1000), (3, 2000)) for i in range(start, start + {4: 500, 2: 249, 3: 3}[d])]
+    rows += [(100, [9.0, 9.0, 9.0, 9.0]), (100, [-9.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = collision_ann.nearest(df, F.col("vec_id") % 100 == 0, k=3, shard_rows=100).collect()
+    by_query = collections.defaultdict(list)
+    for r in found:
+        by_query[r["query_id"]].append((r["score"], r["vec_id"]))
+    assert sorted(by_query) == [0, 100, 200, 300, 400, 1000, 1100, 1200, 2000]
+    own = {}
+    for i, v in rows:
+        own[i] = min(own.get(i, v), v)
+    for q, near in by_query.items():
+        best = {}
+        for i, v in rows:
+            if i != q and len(v) == len(own[q]):
+                best[i] = min(best.get(i, np.inf), float(np.sqrt(((np.array(v) - own[q]) ** 2).sum())))
+        wanted = sorted((d, i) for i, d in best.items())[:3]
+        assert len(near) == len(wanted)
+        assert len(set(near) & set(wanted)) >= len(wanted) - 1
+
+
 def test_neighbours_small_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.0, 2.0])], "vec_id long, embedding array<double>")
     rows = collision_ann.nearest(df, F.col("vec_id") % 100 == 0).collect()
@@ -116,6 +139,29 @@ def test_small_sections_of_a_large_host_keep_their_verdict(spark):
         assert not bad or r["template"].startswith("/{badaa|+130}/")
 
 
+def test_branches_that_differ_far_down_are_told_apart(spark):
+    deep = "http://a.net/" + "/".join("abcdefghij")
+    rows = [(f"{deep}/{k}/{i}", k == "bad") for k in ("ok", "bad") for i in range(200)] + [("http://a.net/" + "x/" * 300 + "1", None)]
+    pages = spark.createDataFrame([(u, None if b is None else int(b)) for u, b in rows], "url string, bad int")
+    judged = url_templates.judge(pages, rules=(), label=F.col("bad"))
+    assert {(r["verdict"], "/bad/" in r["path"], r["count"]) for r in judged.groupBy("verdict", "path").count().groupBy(
+        "verdict", F.regexp_extract("path", "/(ok|bad|x)/", 0).alias("path")).sum("count").withColumnRenamed("sum(count)", "count").collect()} == {
+        ("block", True, 200), ("allow", False, 200), ("allow", False, 1)}
+
+
+def test_tree_finds_held_out_ruled_pages(spark):
+    """Learned from the rules' verdicts on half of the pages, the tree judges the other half without rules."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    ruled = url_templates.judge(pages).select("page_id", "url", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("truth"))
+    taught = F.pmod(F.xxhash64("page_id"), F.lit(2)) == 0
+    known = F.when(taught, F.when(F.col("truth") == "block", 1).when(F.col("truth") == "allow", 0))
+    judged = url_templates.judge(ruled, rules=(), label=known).where(~taught & F.col("truth").isNotNull())
+    counts = collections.Counter((r["truth"], r["verdict"]) for r in judged.collect())
+    caught, missed, wrong = counts["block", "block"], counts["block", "allow"], counts["allow", "block"]
+    assert caught + missed >= 50  # without the tree all of them pass
+    assert caught >= 0.35 * (caught + missed) and caught >= 0.9 * (caught + wrong), counts
+
+
 # --- near duplicates ---
 
 
@@ -260,6 +306,42 @@ def test_packing_is_gapless_and_tight(spark, seed, monkeypatch):
     assert len(bins) <= len(first_fit) + 2
 
 
+def test_evolution_lowers_the_bins_of_hard_blocks():
+    """Blocks on which best-fit decreasing misses the lower bound: never worse, and better in sum."""
+    first, evolved = [], []
+    for seed in range(4):
+        draw = random.Random(seed)
+        lengths = [draw.randint(200, 1000) for _ in range(400)]
+        order = sorted(range(len(lengths)), key=lambda m: -lengths[m])
+        first.append(len(packing.best_fit([], order, lengths, 2048)))
+        found = packing.evolve(lengths, [], 2048, seed)
+        assert sorted(m for b in found for m in b) == list(range(400))
+        assert all(sum(lengths[m] for m in b) <= 2048 for b in found)
+        assert first[-1] > -(-sum(lengths) // 2048)
+        evolved.append(len(found))
+    assert all(a <= b for a, b in zip(evolved, first, strict=True)) and sum(evolved) < sum(first)
+
+
+def test_hard_and_easy_blocks_are_placed_once_each(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ITEMS", 300)
+    draw = random.Random(3)
+    lengths = [draw.randint(1, 40) for _ in range(600)] + [draw.randint(650, 1000) for _ in range(500)]
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long")
+    rows = packing.place(pieces, 2048).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(lengths)))
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for members in bins.values():
+        at = 0
+        for offset, length in sorted(members):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    plain = packing.best_fit([], sorted(range(len(lengths)), key=lambda m: -lengths[m]), lengths, 2048)
+    assert len(bins) <= len(plain) + 2
+
+
 def test_crossover_keeps_every_item_once():
     draw = random.Random(7)
     lengths = [draw.randint(1, 900) for _ in range(200)]

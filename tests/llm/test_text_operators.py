@@ -245,3 +245,79 @@ def test_chain_uses_earlier_categories():
     assert models[1][3] > 0  # the later model leans on the earlier category
     p = toxicity_chain.predict_chain(x, models)
     assert ((p[:, 0] > 0.5) == first).all() and ((p[:, 1] > 0.5) == second).mean() > 0.99
+
+
+def test_grams_in_slices_bundle_alike(monkeypatch):
+    keys, counts = hd_language.gram_keys("the quick brown fox jumps over the lazy dog and runs away " * 3)
+    table = np.stack([counts, counts[::-1]]).astype(np.float32)
+    whole = table @ hd_language.gram_vectors(keys).astype(np.float32)
+    monkeypatch.setattr(hd_language, "GRAMS_AT_ONCE", 5)
+    assert np.array_equal(hd_language.bundle_grams(table, keys), whole)
+
+
+def test_varied_long_text_costs_bounded_memory(spark):
+    """120,000 different CJK trigrams in one text: vectors are made in slices, not all at once."""
+    import tracemalloc
+
+    draw = random.Random(8)
+    text = "".join(chr(draw.randint(0x4E00, 0x9FA5)) for _ in range(120_000))
+    keys, counts = hd_language.gram_keys(text)
+    assert len(keys) > 100_000
+    tracemalloc.start()
+    hd_language.bundle_grams(counts[None, :].astype(np.float32), keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
+
+
+def test_profiles_equal_plain_loops(spark):
+    """Prototypes and cosines of a small corpus by plain sums over every n-gram of every text."""
+    texts = [("a", "der Hund und die Katze"), ("b", "le chien et le chat"), ("a", "die Maus, der Hund"), ("b", "la souris"), (None, "le chat et la souris"), (None, "Hund 77!")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+
+    def bundle(text):
+        padded = " " + re.sub(r"[^a-z]+", " ", text.lower()).strip() + " "
+        total = np.zeros(hd_language.DIMENSIONS)
+        for i in range(len(padded) - 2):
+            vectors = [np.roll(hd_language.letter_vector(ord(c)), 2 - place).astype(float) for place, c in enumerate(padded[i : i + 3])]
+            total += vectors[0] * vectors[1] * vectors[2]
+        return total
+
+    own = {lang: sum(bundle(t) for g, t in texts if g == lang) for lang in ("a", "b")}
+    learned = hd_language.train(docs)
+    assert {k: v.tolist() for k, v in learned.items()} == {k: v.tolist() for k, v in own.items()}
+    told = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in hd_language.identify(docs, learned).collect()}
+    for i, (_, text) in enumerate(texts):
+        v = bundle(text)
+        cosine = {lang: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for lang, p in own.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        assert told[i][0] == best and abs(told[i][1] - max(cosine[best], 0)) < 1e-5
+
+
+def test_wide_candidates_take_linear_time_and_never_overlap():
+    import time
+
+    def spent(n):
+        text = " ".join(f"user{i} at mail{i} dot com, (555) 123-{i % 10000:04d} a@b{i}.org 4111 1111 1111 {i % 10000:04d}" for i in range(n))
+        begun = time.process_time()
+        found = pii.candidates(text)
+        spans = sorted((s, e) for _, s, e, _ in found)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+        assert len(found) >= 3 * n
+        return time.process_time() - begun
+
+    small = spent(2000)
+    assert spent(20000) < 40 * max(small, 0.02)
+
+
+def test_many_empty_turns_fill_parts(spark, monkeypatch):
+    """200,000 empty turns of one conversation: parts stay within their size, in linear time."""
+    monkeypatch.setattr(chat_format, "PART_BYTES", 1 << 16)
+    turns = spark.range(200_000).selectExpr("5L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "CAST(null AS string) AS text")
+    parts = chat_format.format_chats(turns).cache()
+    sizes = parts.selectExpr("max(length(text)) AS most", "count(*) AS n", "sum(n_turns) AS turns").first()
+    assert sizes["most"] <= 2 << 16 and sizes["n"] >= 50 and sizes["turns"] == 200_000
+    row = chat_format.read_back(parts).first()
+    plain = "".join(f"{r}\n\n" for _ in range(100_000) for r in ("user", "assistant"))
+    assert (row["n_turns"], row["loss_chars"]) == (200_000, 0)
+    assert row["turns_sha256"] == hashlib.sha256(plain.encode()).hexdigest()
