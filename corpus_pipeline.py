@@ -17,7 +17,7 @@ from logweave.llm import hd_language, packing, parity_join, pii, quality_crf
 from logweave.session import cut_lineage
 
 #: A text whose best language has a lower cosine is in none of the known languages, unless it is
-#: too short to tell and written in their letters.
+#: written in their letters.
 MIN_LANGUAGE_SCORE = hd_language.NOISE
 
 
@@ -56,7 +56,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: CRF labels, hyperdimensional profiles and tokenizers have no SQL form; see tests/llm/test_pipeline.py.
+#: CRF labels, hyperdimensional profiles and tokenizers have no SQL form; see tests/llm/test_table_operators.py.
 ORACLE_SQL = None
 
 

@@ -174,3 +174,12 @@ def memo_value(spark: SparkSession, sf: str, name: str, compute):
     if key not in _MEMO:
         _MEMO[key] = compute()
     return _MEMO[key]
+
+
+def clear(spark: SparkSession) -> None:
+    """Forget the prepared and derived tables and delete all scratch of this application."""
+    from logweave.session import clear_scratch
+
+    _PREPARED.clear()
+    _MEMO.clear()
+    clear_scratch(spark)

@@ -8,6 +8,7 @@ inventory. Computed columns carry the same names in the SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from logweave.operators import traces as TR
 from logweave.plans import base as B
 from logweave.plans import delta as DL
 from logweave.plans import oracle_sql as S
-from logweave.session import cut_lineage, scratch_path
+from logweave.session import cut_lineage, scratch_path, together
 from logweave.sinks import writers as WR
 from logweave.sources import digests as DG
 from logweave.sources import files as FS
@@ -1079,7 +1080,7 @@ det_ans AS (
 dets AS (
   SELECT 'r1-keywords' AS run_id, 'keywords' AS method, 'keywords' AS variant, * FROM det_kw
   UNION ALL SELECT 'r2-answers', 'answers', 'flow rules', * FROM det_ans
-  UNION ALL SELECT 'r3-surprise', 'surprise', 'transition model a=0.1', trace_id, label, anomaly_type,
+  UNION ALL SELECT 'r3-surprise', 'surprise', 'back-off model of order 4', trace_id, label, anomaly_type,
     flagged, score, pred_index, first_deviation_index, worst_line_text FROM sdet),
 test_usage AS (
   SELECT sum(u.prompt_tokens) AS input_tokens, sum(u.completion_tokens) AS output_tokens
@@ -1137,13 +1138,16 @@ def _det_ans(spark, sf):
 def _det_rows(spark, sf):
     """The three detection tables of the test split, each cut once (a few dozen rows per
     labelled trace set) so the payload metrics do not re-run the detectors."""
-    from logweave.session import cut_lineage
+    B.prepared(spark, sf)  # what all three read
 
-    det_sur, thr = _surprise_detections(spark, sf)
-    return {"kw": B.memo_table(spark, sf, "det_kw", lambda: _det_kw(spark, sf)),
-            "ans": B.memo_table(spark, sf, "det_ans", lambda: _det_ans(spark, sf)),
-            "sur": B.memo_table(spark, sf, "det_sur", lambda: det_sur.select(*_DET_COLS)),
-            "thr": thr, "test": _test_ids(spark, sf), "truth": B.truth(spark, sf)}
+    def surprise():
+        det, thr = _surprise_detections(spark, sf)
+        return B.memo_table(spark, sf, "det_sur", lambda: det.select(*_DET_COLS)), thr
+
+    kw, ans, (sur, thr) = together(
+        lambda: B.memo_table(spark, sf, "det_kw", lambda: _det_kw(spark, sf)),
+        lambda: B.memo_table(spark, sf, "det_ans", lambda: _det_ans(spark, sf)), surprise)
+    return {"kw": kw, "ans": ans, "sur": sur, "thr": thr, "test": _test_ids(spark, sf), "truth": B.truth(spark, sf)}
 
 
 @query("join_labels", W(_DETS[5:]) + """
@@ -1192,7 +1196,7 @@ def _write_payloads(spark, sf):
         ("keywords", "r1-keywords", "keywords", "test", None, None, None, None, None, 0.0),
         ("answers", "r2-answers", "flow rules", "test", None, u["input_tokens"], u["output_tokens"],
          None, None, None),
-        ("surprise", "r3-surprise", "transition model a=0.1", "test", d["thr"], None, None,
+        ("surprise", "r3-surprise", "back-off model of order 4", "test", d["thr"], None, None,
          test_lines * SCORE_SECONDS_PER_LINE, train_lines * TRAIN_SECONDS_PER_LINE, None),
     ], "method string, run_id string, variant string, split string, threshold double, "
        "input_tokens long, output_tokens long, scoring_seconds double, training_seconds double, "
@@ -1202,8 +1206,8 @@ def _write_payloads(spark, sf):
             .unionByName(d["sur"].withColumn("run_id", F.lit("r3-surprise"))))
     payloads = B.memo_table(spark, sf, "payloads", lambda: AN.run_payloads(dets, runs))
     root = scratch_path(spark, "runs")
-    for rid in ["r1-keywords", "r2-answers", "r3-surprise"]:
-        WR.sink_json_row(payloads.where(F.col("run_id") == rid), f"{root}/{rid}/eval/metrics.json")
+    together(*[partial(WR.sink_json_row, payloads.where(F.col("run_id") == rid), f"{root}/{rid}/eval/metrics.json")
+               for rid in ["r1-keywords", "r2-answers", "r3-surprise"]])
     return root
 
 

@@ -10,9 +10,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -55,9 +60,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/logweave/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared checkpoint folder."""
-    return f"{shared_dir(spark)}/logweave/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder name under the application's part of the shared checkpoint folder."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables this application has written to the shared folder: call it when no result
+    is read any more (results are lazy, and read them)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def together(*builds: Callable[[], T]) -> list[T]:
+    """Results of independent builds whose Spark jobs may run at the same time."""
+    with ThreadPoolExecutor(max(1, len(builds))) as pool:
+        return list(pool.map(lambda build: build(), builds))
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
