@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logweave.llm.blocks import carrying, map_arrow
+from logweave.llm.blocks import carrying, map_arrow, small_batches
 
 MEMO_BYTES = 28 << 20  # texts and results a worker keeps, twice
 KEEP_CHARS = 256  # longer stretches are not kept
@@ -280,7 +280,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> Data
                     )
                     done, rows, emitted = done + len(rows), [], 0
 
-    return map_arrow(docs, run, schema)
+    return map_arrow(small_batches(docs), run, schema)
 
 
 def link_counts(aligned: DataFrame, path_a: str, path_b: str) -> DataFrame:

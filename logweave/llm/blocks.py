@@ -67,6 +67,19 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
+#: Arrow batches of whole texts, in bytes: Spark's 64 MB are held several times over by a task's JVM and worker.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to Arrow batches of ``BATCH_BYTES`` unless it has a setting of its own."""
+    conf = df.sparkSession.conf
+    if _BATCH_CONF not in conf.getAll:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df
+
+
 def carrying(df: DataFrame, columns: tuple[str, ...] | list[str], added: str) -> tuple[list[str], StructType]:
     """The columns to carry and the schema with the ``added`` ones (DDL), which win on equal names."""
     own = StructType.fromDDL(added)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.blocks import carrying, map_arrow
+from logweave.llm.blocks import carrying, map_arrow, small_batches
 
 DIMENSIONS = 1024
 ORDER = 3
@@ -141,7 +141,7 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.ListArray.from_arrays(offsets, values)], names=["lang", "bundle"])
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    parts = map_arrow(rows, bundle, "lang string, bundle array<double>")
+    parts = map_arrow(small_batches(rows), bundle, "lang string, bundle array<double>")
     summed = parts.select("lang", F.posexplode("bundle").alias("at", "value")).groupBy("lang", "at").agg(F.sum("value").alias("value"))
     prototypes: dict[str, np.ndarray] = {}
     for lang, at, value in summed.collect():  # languages x DIMENSIONS numbers
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in keep), pa.array(names), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
     wanted = [*keep, *(() if "text" in keep else ("text",))]
-    return map_arrow(docs.select(*(f"`{c}`" for c in wanted)), run, schema)
+    return map_arrow(small_batches(docs.select(*(f"`{c}`" for c in wanted))), run, schema)
 
 
 def alphabets(docs: DataFrame) -> str:
@@ -193,7 +193,7 @@ def alphabets(docs: DataFrame) -> str:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.astype(np.int32)), pa.array(total[own].astype(np.int64))], names=["lang", "code", "n"])
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    letters = map_arrow(rows, count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).collect()  # languages x letters numbers
+    letters = map_arrow(small_batches(rows), count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).collect()  # languages x letters numbers
     totals: dict[str, int] = {}
     for lang, _, n in letters:
         totals[lang] = totals.get(lang, 0) + n

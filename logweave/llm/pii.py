@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.blocks import carrying, map_arrow
+from logweave.llm.blocks import carrying, map_arrow, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 THRESHOLD = 0.95
@@ -199,7 +199,7 @@ def train(docs: DataFrame) -> dict[str, list[float]]:
             yield pa.RecordBatch.from_arrays(arrays, names=["kind", *(f"v{i}" for i in range(len(LABELERS)))])
 
     keys = ["kind", *(f"v{i}" for i in range(len(LABELERS)))]
-    counted = map_arrow(docs.select("text"), cast, schema).groupBy(*keys).count().orderBy(*keys).collect()  # at most kinds x 3**labelers rows
+    counted = map_arrow(small_batches(docs.select("text")), cast, schema).groupBy(*keys).count().orderBy(*keys).collect()  # at most kinds x 3**labelers rows
     model = {}
     for kind in KINDS:
         rows = [r for r in counted if r["kind"] == kind]
@@ -246,7 +246,7 @@ def detect(docs: DataFrame, model: dict[str, list[float]], text: str = "text") -
             _, found = _spans_of(batch, len(names), model)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], rows([b for b, _ in found]), rows([a for _, a in found])], names=[*names, "base_spans", "spans"])
 
-    return map_arrow(docs.select(*(f"`{c}`" for c in names), text), run, schema)
+    return map_arrow(small_batches(docs.select(*(f"`{c}`" for c in names), text)), run, schema)
 
 
 def mask_text(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -271,4 +271,4 @@ def mask(docs: DataFrame, model: dict[str, list[float]], text: str = "text") ->
             columns[at] = pa.array(masked, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return map_arrow(docs, run, docs.schema)
+    return map_arrow(small_batches(docs), run, docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.blocks import SPACE, Block, carrying, map_arrow, mix, text_blocks, window_hashes
+from logweave.llm.blocks import SPACE, Block, carrying, map_arrow, mix, small_batches, text_blocks, window_hashes
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -284,7 +284,7 @@ def label_quality(docs: DataFrame, model, min_words: int = MIN_WORDS, max_repeat
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *base, "n_lines", "n_content_lines", "content_share", "base_failed", "kept"])
 
     wanted = [*keep, *(() if "text" in keep else ("text",))]
-    return map_arrow(docs.select(*(f"`{c}`" for c in wanted)), run, schema)
+    return map_arrow(small_batches(docs.select(*(f"`{c}`" for c in wanted))), run, schema)
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
