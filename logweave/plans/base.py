@@ -4,6 +4,10 @@ are checkpointed into the shared folder instead of being recomputed."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +51,43 @@ def input_state(spark: SparkSession, sf: str) -> tuple:
 
 
 _PREPARED: dict[tuple, dict[str, str]] = {}
+_BY_TRACE: dict[str, tuple[str, str | None]] = {}  # prepared folder -> bucketed table, folder of hot traces
 PREPARED_TABLES = ("indexed", "answers", "truth", "splits")
+#: A trace with more lines than this is not put into a bucket.
+HOT_TRACE = 1 << 16
+BUCKET_ROWS = 1 << 20
+
+
+def bucket_by_trace(indexed: DataFrame, root: str, hot_lines: int = HOT_TRACE, rows: int = BUCKET_ROWS) -> tuple[str, str | None]:
+    """A second form of the lines for work that goes trace by trace: a table bucketed and sorted by trace, which
+    aggregates and joins on the trace read without an exchange, and apart from it the lines of hot
+    traces (a bucket is one task's work). Returns the table's name and the hot traces' folder, if any."""
+    spark = indexed.sparkSession
+    hot = indexed.where(F.col("idx") >= hot_lines).select("trace_id").distinct()
+    hot_path = None
+    if not hot.isEmpty():
+        hot_path = f"{root}/hot"
+        indexed.join(hot, "trace_id", "left_semi").write.mode("overwrite").parquet(hot_path)
+        indexed = indexed.join(hot, "trace_id", "left_anti")
+    n = max(spark.sparkContext.defaultParallelism, -(-indexed.count() // rows))
+    name = f"logweave_lines_{uuid.uuid4().hex[:12]}"
+    (indexed.repartition(n, "trace_id").write.mode("overwrite").option("path", f"{root}/buckets")
+     .bucketBy(n, "trace_id").sortBy("trace_id", "idx").saveAsTable(name))
+    return name, hot_path
+
+
+def per_trace(forms: tuple[str, str | None], spark: SparkSession, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``fn``, which treats every trace by itself, on the bucketed lines and on those of hot traces."""
+    name, hot_path = forms
+    out = fn(spark.table(name))
+    return out if hot_path is None else out.unionByName(fn(spark.read.parquet(hot_path)))
+
+
+def by_trace(spark: SparkSession, sf: str, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``per_trace`` over the prepared lines."""
+    prepared(spark, sf)
+    key = (spark.sparkContext.applicationId, sf, input_state(spark, sf))
+    return per_trace(_BY_TRACE[_PREPARED[key]["indexed"]], spark, fn)
 
 
 def prepared(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
@@ -69,7 +109,9 @@ def prepared(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
             return spark.read.parquet(paths[name])
 
         ix = put("indexed", indexed_fresh(spark, sf))
-        ans = put("answers", FL.conformance(ix, with_optional=True, cut_input=False))
+        forms = _BY_TRACE[paths["indexed"]] = bucket_by_trace(ix, f"{root}/by-trace")
+        check = partial(FL.conformance, with_optional=True, cut_input=False)
+        ans = put("answers", per_trace(forms, spark, check))
         t = put("truth", truth_from(ans, spark, sf))
         put("splits", SP.trace_splits(t, incidents(spark)))
         _PREPARED[key] = paths
@@ -180,6 +222,9 @@ def clear(spark: SparkSession) -> None:
     """Forget the prepared and derived tables and delete all scratch of this application."""
     from logweave.session import clear_scratch
 
+    for name, _ in _BY_TRACE.values():
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    _BY_TRACE.clear()
     _PREPARED.clear()
     _MEMO.clear()
     clear_scratch(spark)

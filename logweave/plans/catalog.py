@@ -257,7 +257,7 @@ SELECT trace_id,
   coalesce(arg_min(template, idx) FILTER (WHERE regexp_matches(template, {S.q(S.KEYWORD_RE)})), '') AS worst_line_text
 FROM tl GROUP BY trace_id""")
 def keyword_match(spark, sf):
-    return D.keyword_match(B.indexed(spark, sf))
+    return B.by_trace(spark, sf, D.keyword_match)
 
 
 @query("error_level_match", W(LL) + """
@@ -1123,7 +1123,8 @@ _DET_COLS = ["trace_id", "label", "anomaly_type", "flagged", "score", "pred_inde
 
 
 def _det_kw(spark, sf):
-    kw = D.keyword_match(B.indexed(spark, sf).join(_test_ids(spark, sf), "trace_id"))
+    tests = _test_ids(spark, sf)
+    kw = B.by_trace(spark, sf, lambda lines: D.keyword_match(lines.join(tests, "trace_id")))
     return M.join_labels(kw, _lab(spark, sf)).select(
         *[F.lit(None).cast("double").alias(c) if c == "score" else c for c in _DET_COLS])
 

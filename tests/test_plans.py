@@ -46,3 +46,40 @@ def test_hot_trace_is_split_before_the_step_windows(spark):
     for i in depth:
         below = next(line for line in plan[i + 1:] if "Exchange hashpartitioning" in line)
         assert "trace_id" in below and "_c#" in below
+
+
+def test_work_by_trace_reads_buckets_without_an_exchange(spark):
+    """With broadcast off, nothing between the bucketed lines and the aggregate per trace is shuffled."""
+    from logweave.operators import detect as D
+    from logweave.operators import flows as FL
+    from logweave.plans import base as B
+
+    B.prepared(spark, SF_SMALL)
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for fn in (D.keyword_match, FL.trace_heads, lambda lines: FL.line_facts(lines, FL.trace_heads(lines))):
+            plan = B.by_trace(spark, SF_SMALL, fn)._jdf.queryExecution().executedPlan().toString()
+            assert "Bucketed: true" in plan and "Exchange" not in plan, plan
+        # the one exchange of the evaluation by keywords is that of the short list of test traces
+        tests = B.splits(spark, SF_SMALL).where("split = 'test'").select("trace_id")
+        plan = B.by_trace(spark, SF_SMALL, lambda lines: D.keyword_match(lines.join(tests, "trace_id")))
+        plan = plan._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan.split("Exchange")[0], plan
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_hot_traces_stay_out_of_the_buckets(spark):
+    from logweave.operators import detect as D
+    from logweave.plans import base as B
+    from logweave.session import scratch_path
+
+    rows = [("hot", i, "api ERROR x" if i == 70 else "api INFO y") for i in range(500)] + [(f"t{i % 20}", i // 20, "api INFO z") for i in range(200)]
+    lines = spark.createDataFrame(rows, "trace_id string, idx long, template string")
+    forms = B.bucket_by_trace(lines, scratch_path(spark, "buckets"), hot_lines=100, rows=50)
+    assert spark.table(forms[0]).where("trace_id = 'hot'").count() == 0 and forms[1] is not None
+    got = sorted(map(tuple, B.per_trace(forms, spark, D.keyword_match).collect()))
+    assert got == sorted(map(tuple, D.keyword_match(lines).collect())) and len(got) == 21
