@@ -139,24 +139,14 @@ def rearrange(
                     else:
                         out.append(b"".join((PREFIX, raw[s:lo], SUFFIX, raw[hi:e], MIDDLE, raw[lo:hi])))
                 part = batch.slice(block.first, block.n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *part.columns[:others],
-                        pa.array(n),
-                        pa.array(np.where(plain, "plain", np.where(spm, "spm", "psm")), pa.string()),
-                        pa.array(before, mask=plain),
-                        pa.array(between, mask=plain),
-                        pa.array(out, pa.binary()).cast(pa.string()),
-                    ],
-                    schema=pa.schema([*(pa.field(c, t) for c, t in zip(names, part.schema.types, strict=False)), *_OWN]),
-                )
+                forms = pa.array(np.where(plain, "plain", np.where(spm, "spm", "psm")), pa.string())
+                texts = pa.array(out, pa.binary()).cast(pa.string())
+                columns = [pa.array(n), forms, pa.array(before, mask=plain), pa.array(between, mask=plain), texts]
+                yield pa.RecordBatch.from_arrays([*part.columns[:others], *columns], names=[*names, "n", "form", "prefix_chars", "middle_chars", "output"])
 
     return map_arrow(docs, run, schema)
 
 
-_OWN = [pa.field("n", pa.int64()), pa.field("form", pa.string()), pa.field("prefix_chars", pa.int64()), pa.field("middle_chars", pa.int64()), pa.field("output", pa.string())]
-
-
 def restore(docs: DataFrame, output: str = "output", form: str = "form", restored: str = "restored") -> DataFrame:
     """Add ``restored``: the text rebuilt from an output and its form (a rearranged text holds no mark)."""
     parts = F.split(F.col(f"`{output}`"), _ANY_MARK, -1)

@@ -499,11 +499,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_per_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, all columns kept.
 
-    A doc_id that several rows carry stays once at most; rows of a null doc_id all stay.
+    A doc_id that several rows carry stays once at most; rows of a null doc_id all stay. The texts of
+    documents that a bitmap of fixed size clears are not shuffled; its false hits fall to the join.
     """
     found = cut_lineage(near_duplicates(docs.select("doc_id", "text")), "components")
     chosen = F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("chosen")
-    best = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"), chosen).where("chosen = 1")
-    single = docs.join(best.where(F.col("times") == 1).select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(best.where(F.col("times") > 1).select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    ids = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"), chosen)
+    # the ids that go, or that several rows carry; only rows that may have one of them are joined
+    odd = cut_lineage(ids.where((F.col("chosen") == 0) | (F.col("times") > 1)), "odd-ids")
+    marked = docs.sparkSession.sparkContext.broadcast(_bit_filter(odd.select("doc_id")))
+
+    @F.pandas_udf("boolean")
+    def may_be_odd(bit: pd.Series) -> pd.Series:
+        at = bit.to_numpy()
+        return pd.Series(((marked.value[at // 64] >> (at % 64).astype(_U)) & _U(1)).astype(bool))
+
+    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS)).cast("long")
+    candidate = F.col("doc_id").isNotNull() & may_be_odd(bit)
+    plain, others = docs.where(~candidate), docs.where(candidate)
+    single = others.join(odd.select("doc_id"), "doc_id", "left_anti")
+    repeated = others.join(odd.where("chosen = 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return plain.select(*docs.columns).unionByName(single.select(*docs.columns)).unionByName(repeated.select(*docs.columns))
