@@ -159,7 +159,7 @@ def test_tree_finds_held_out_ruled_pages(spark):
     counts = collections.Counter((r["truth"], r["verdict"]) for r in judged.collect())
     caught, missed, wrong = counts["block", "block"], counts["block", "allow"], counts["allow", "block"]
     assert caught + missed >= 50  # without the tree all of them pass
-    assert caught >= 0.35 * (caught + missed) and caught >= 0.9 * (caught + wrong), counts
+    assert caught >= 0.25 * (caught + missed) and caught >= 0.95 * (caught + wrong), counts
 
 
 # --- near duplicates ---
