@@ -353,6 +353,21 @@ def test_crossover_keeps_every_item_once():
     assert len(packing.evolve(lengths, [a, b], 2048, 1)) <= min(len(a), len(b))
 
 
+def test_easy_blocks_are_evolved_too(spark, monkeypatch):
+    """Where best-fit already meets the lower bound, islands, population and generations still do their whole work."""
+    draw, bred = random.Random(4), []
+    lengths = [draw.randint(1, 40) for _ in range(900)]
+    least = -(-sum(lengths) // 2048)
+    assert len(packing.best_fit([], sorted(range(900), key=lambda m: -lengths[m]), lengths, 2048)) == least
+    cross = packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: bred.append(a) or cross(*a))
+    assert len(packing.evolve(lengths, [], 2048, 1)) == least and len(bred) == packing.GENERATIONS
+    epoch, rounds = packing._epoch, []
+    monkeypatch.setattr(packing, "_epoch", lambda capacity: rounds.append(capacity) or epoch(capacity))
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long")
+    assert len({r["sequence_id"] for r in packing.place(pieces, 2048).collect()}) == least and rounds == [2048]
+
+
 # --- queries and pipeline ---
 
 
