@@ -102,10 +102,11 @@ def update(spark: SparkSession, root: str, glob: str) -> dict[str, object]:
 
 
 def _day_contexts(rows: DataFrame) -> DataFrame:
-    """Context counts of each day's traces."""
+    """Context counts of each day's traces: lines with the same history are counted before their levels are unfolded."""
     seen = histories(rows, carry=("day",))
-    levels = seen.select("day", "next", F.inline("levels"))
-    return levels.groupBy("day", "k", "context", "next").agg(F.count("*").alias("n"))
+    patterns = seen.groupBy("day", "levels", "next").agg(F.count("*").alias("n"))
+    levels = patterns.select("day", "next", "n", F.inline("levels"))
+    return levels.groupBy("day", "k", "context", "next").agg(F.sum("n").alias("n"))
 
 
 def lines(spark: SparkSession, root: str) -> DataFrame:
