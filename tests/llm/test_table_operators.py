@@ -384,6 +384,35 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(rows, key=str) == sorted(found.fetchall(), key=str) and rows
 
 
+def test_pipeline_stages_set_small_batches(spark):
+    import corpus_pipeline
+
+    before = {name: spark.conf.getAll.get(name) for name in corpus_pipeline.SMALL}
+    try:
+        for name in before:
+            spark.conf.unset(name)
+        docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+        dict(corpus_pipeline.STAGES)["personal_data"](spark, docs, SF)
+        assert {name: spark.conf.get(name) for name in before} == corpus_pipeline.SMALL
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name)
+            if value is not None:
+                spark.conf.set(name, value)
+
+
+def test_powers_are_kept_for_one_block(monkeypatch):
+    from logweave.llm import blocks
+
+    monkeypatch.setattr(blocks, "_powers", {})
+    want = [pow(blocks._P, i, 1 << 64) for i in range(100)]
+    assert blocks._power(blocks._P, 100).tolist() == want
+    assert blocks._power(blocks._P, blocks.BLOCK_BYTES + 1)[:100].tolist() == want
+    longer = blocks._power(blocks._P, blocks.BLOCK_BYTES + 7)
+    assert int(longer[-1]) == pow(blocks._P, blocks.BLOCK_BYTES + 6, 1 << 64)
+    assert [len(kept) for kept in blocks._powers.values()] == [blocks.BLOCK_BYTES + 7]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

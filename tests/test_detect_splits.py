@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import functions as F
 
@@ -74,6 +75,24 @@ def test_split_sizes_half_even(spark):
     assert s == {"val": 2, "train": 23}  # round(2.5) = 2
 
 
+def test_split_takes_the_first_hashes_without_ranking_the_pool(spark):
+    ids = [f"t{i}" for i in range(3000)]
+    pool = spark.createDataFrame([(i,) for i in [*ids, None]], "trace_id string")
+    split = SP.split_train_val(pool)
+    order = sorted(ids, key=lambda i: hashlib.md5(f"0:{i}".encode()).hexdigest())
+    # 300 of 3,001, one of them the trace without an id, which is in no split
+    assert {r.trace_id for r in split.where("split = 'val'").collect()} == set(order[:299])
+    assert {r.trace_id for r in split.where("split = 'train'").collect()} == set(order[299:])
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan, plan
+
+
+def test_split_of_an_empty_and_a_tiny_pool(spark):
+    pool = spark.range(4).select(F.col("id").cast("string").alias("trace_id"))
+    assert SP.split_train_val(pool.limit(0)).collect() == []
+    assert {r.split for r in SP.split_train_val(pool).collect()} == {"train"}  # round(0.4) = 0
+
+
 def test_template_ids_follow_traces_in_later_splits(spark):
     """Two interleaved test traces: ids go trace by trace, not line by line."""
     import datetime as dt

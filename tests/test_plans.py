@@ -160,3 +160,17 @@ def test_contexts_of_a_day_are_counted_before_they_are_unfolded(spark):
     want = histories(rows, carry=("day",)).selectExpr("day", "next", "inline(levels)").groupBy("day", "k", "context", "next").count()
     assert sorted(map(tuple, got.select("day", "k", "context", "next", "n").collect())) == sorted(map(tuple, want.select("day", "k", "context", "next", "count").collect()))
     assert "Aggregate" in _plan(got).split("Generate")[1].split("Window")[0]
+
+
+def test_raw_lines_meet_the_labelled_ones_without_a_shuffle(spark):
+    """``scan_labelled_jsonl`` writes the few labelled lines before it looks up their raw text."""
+    import glob
+
+    from __spark_entry__ import queries
+    from logweave.session import _scratch_root
+
+    queries()["scan_labelled_jsonl"](spark, SF_SMALL)
+    written = glob.glob(f"{_scratch_root(spark).removeprefix('file:')}/labelled-lines-*")
+    assert written
+    lines, labelled = spark.read.parquet(written[0]), queries()["scan_labelled_jsonl"](spark, SF_SMALL)
+    assert {r.trace_id for r in lines.select("trace_id").distinct().collect()} == {r.trace_id for r in labelled.collect()}
