@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -368,6 +369,56 @@ def test_easy_blocks_are_evolved_too(spark, monkeypatch):
     assert len({r["sequence_id"] for r in packing.place(pieces, 2048).collect()}) == least and rounds == [2048]
 
 
+def test_every_generation_breeds_the_whole_population(monkeypatch):
+    """A child of every individual in every generation, however many seeds arrive; it shows on hard blocks."""
+    calls = collections.Counter()
+    for name in ("crossover", "mutation"):
+        own = getattr(packing, name)
+        monkeypatch.setattr(packing, name, lambda *a, own=own, name=name: calls.update([name]) or own(*a))
+    for seed in range(3):
+        draw = random.Random(seed)
+        lengths = [draw.randint(300, 900) for _ in range(4096)]
+        least = -(-sum(lengths) // 2048)
+        plain = packing.best_fit([], sorted(range(4096), key=lambda m: -lengths[m]), lengths, 2048)
+        found = packing.evolve(lengths, [], 2048, seed)
+        assert sorted(m for b in found for m in b) == list(range(4096))
+        assert all(sum(lengths[m] for m in b) <= 2048 for b in found)
+        assert 3 * (len(plain) - len(found)) > len(plain) - least
+    assert calls == {"crossover": 3 * packing.GENERATIONS, "mutation": 3 * packing.GENERATIONS * (packing.POPULATION - 1)}
+    lengths = [draw.randint(1, 900) for _ in range(200)]
+    seeds = [packing.best_fit([], draw.sample(range(200), 200), lengths, 2048) for _ in range(packing.POPULATION + packing.GENERATIONS)]
+    calls.clear()
+    packing.evolve(lengths, seeds, 2048, 1)
+    assert calls == {"crossover": packing.GENERATIONS, "mutation": packing.GENERATIONS * (packing.POPULATION - 1)}
+
+
+def test_mutation_keeps_every_item_once():
+    draw = random.Random(9)
+    for n in (1, 2, 200):
+        lengths = [draw.randint(1, 900) for _ in range(n)]
+        child = packing.mutation(packing.best_fit([], list(range(n)), lengths, 2048), lengths, 2048, draw)
+        assert sorted(m for own in child for m in own) == list(range(n))
+        assert all(sum(lengths[m] for m in own) <= 2048 for own in child)
+
+
+def test_population_lives_through_the_epochs(monkeypatch):
+    """The next epoch of an island goes on with all its individuals and the elite of the other island."""
+    arrived, own = [], packing.breed
+    monkeypatch.setattr(packing, "breed", lambda lengths, seeds, *a, **k: arrived.append(seeds) or own(lengths, seeds, *a, **k))
+    draw = random.Random(5)
+    lengths = [draw.randint(300, 900) for _ in range(300)]
+    items = pd.DataFrame({"block": 3, "island": 0, "origin": 0, "uid": range(300), "length": lengths, "bins": [np.zeros(0, np.int32)] * 300})
+    epoch = packing._epoch(2048)
+    here, there = epoch(items), epoch(items.assign(island=1, origin=1))
+    numbers = np.stack([*here["bins"]])
+    assert numbers.shape == (300, packing.POPULATION)
+    there = there.assign(island=0, bins=[row[:1] for row in there["bins"]])
+    after = epoch(pd.concat([there, here]).sample(frac=1, random_state=1))
+    assert arrived[:2] == [[], []] and [packing._bin_of(p, 300).tolist() for p in arrived[2]] == [*numbers.T.tolist(), [row[0] for row in there["bins"]]]
+    assert sorted(after["uid"]) == list(range(300)) and set(after["origin"]) == {0}
+    assert len({row[0] for row in after["bins"]}) <= len(set(numbers[:, 0]))
+
+
 # --- queries and pipeline ---
 
 
